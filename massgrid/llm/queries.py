@@ -1,9 +1,11 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from massgrid.llm import media
+from massgrid.llm import bpe, media, packing
 
 QUERIES = {
     "op1_media_columns": media.query,
+    "op5_byte_bpe": bpe.query,
+    "op10_packing": packing.query,
 }
 
 ORACLES: dict[str, str] = {}
