@@ -1,11 +1,14 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from massgrid.llm import bpe, media, packing
+from massgrid.llm import bpe, media, ngram_join, packing
 
 QUERIES = {
     "op1_media_columns": media.query,
+    "op2_ngram_jaccard_join": ngram_join.query,
     "op5_byte_bpe": bpe.query,
     "op10_packing": packing.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": ngram_join.ORACLE,
+}
