@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from massgrid.llm.bytesops import binary_array, list_array, text_bytes
 from massgrid.llm.common import text_rows
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -229,6 +229,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             for i, j in blocks(offsets, BLOCK_BYTES):
                 ids, ends = vocab.encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), list_array(ids, ends, pa.int32())], names=["doc_id", "ids"])
+                pa.default_memory_pool().release_unused()
 
     return text_rows(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -249,6 +250,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
             raw = np.frombuffer(parts.buffers()[2] or b"", np.uint8)
             decoded = binary_array(raw, places[ends]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
+            pa.default_memory_pool().release_unused()
 
     return encoded.mapInArrow(run, f"{schema}, decoded binary")
 

@@ -30,7 +30,7 @@ from massgrid.llm.bpe import blocks
 from massgrid.llm.bytesops import binary_array, list_array, text_bytes
 from massgrid.llm.common import text_rows
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 Piece = tuple[int, int, int, np.ndarray]  # document, start in it, tokens of the document, ids
 
 
