@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by merge replay.
 
-A block of the corpus is cut into pretokens, and every distinct pretoken is encoded once. The distinct
+A block of the corpus is cut into pretokens, and every distinct pretoken that the worker has not met before is encoded once. The distinct
 pretokens stand end to end in one symbol array with links to the neighbours; an inverted index maps the
 rank of a token pair to the positions where the pair stands. Ranks are applied in ascending order, each
 at all its positions at once, and only the pairs next to a merged position are looked up anew. Texts are
@@ -25,7 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massgrid.llm.bytesops import binary_array, list_array, text_bytes
+from massgrid.llm.bytesops import binary_array, gather_ranges, list_array, text_bytes
+from massgrid.llm.chunks import ChunkIds
 from massgrid.llm.common import text_rows
 
 BLOCK_BYTES = 6 << 20
@@ -57,6 +58,7 @@ class Vocabulary:
         self.first = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.rank[t[:k]] * len(tokens) + self.rank[t[k:]], i) for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank]
         pairs.sort()
+        self.known = ChunkIds(self._pieces)
         self.keys, self.values = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int32)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -150,35 +152,35 @@ class Vocabulary:
             ids, ends = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
         return ids, ends
 
-    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids end to end, offsets) of a block of texts."""
-        cuts = split_places(raw, offsets)
-        coded = binary_array(raw, cuts).dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+    def _pieces(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, offsets) of chunks, whose distinct pretokens are encoded together."""
         codes: dict[str, int] = {}
         parts, sizes = [], np.empty(len(chunks), np.int64)
         findall = self.pattern.findall
-        for i, chunk in enumerate(chunks):
+        for i, chunk in enumerate(chunks.to_pylist()):
             pieces = findall(chunk.decode())
             sizes[i] = len(pieces)
             for piece in pieces:
                 parts.append(codes.setdefault(piece, len(codes)))
         words = [w.encode() for w in codes]
-        whole = [self.rank.get(w, -1) for w in words]
+        whole = np.array([self.rank.get(w, -1) for w in words], np.int32)
         ids, ends = self.replay([w if k < 0 else b"" for w, k in zip(words, whole, strict=True)])
-        whole = np.array(whole, np.int32)
         length = np.diff(ends)
         length[whole >= 0] = 1
-        table = np.empty(int(length.sum()), np.int32)
         bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+        table = np.empty(int(bounds[-1]), np.int32)
         single = np.zeros(len(table), bool)
         single[bounds[:-1][whole >= 0]] = True
         table[single], table[~single] = whole[whole >= 0], ids
-        by_word = list_array(table, bounds, pa.int32())
-        flat = by_word.take(pa.array(parts, pa.int32()))
-        word_ends = np.concatenate([[0], np.cumsum(sizes)])
-        by_chunk = list_array(flat.flatten().to_numpy(), flat.offsets.to_numpy()[word_ends] if len(flat) else word_ends, pa.int32())
-        out = by_chunk.take(coded.indices)
+        parts = np.array(parts, np.int64)
+        flat = table[gather_ranges(bounds[parts], length[parts])]
+        return flat, np.concatenate([[0], np.cumsum(length[parts])])[np.concatenate([[0], np.cumsum(sizes)])]
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, offsets) of a block of texts."""
+        cuts = split_places(raw, offsets)
+        coded = binary_array(raw, cuts).dictionary_encode()
+        out = list_array(*self.known.lookup(coded.dictionary), pa.int32()).take(coded.indices)
         return out.flatten().to_numpy(), out.offsets.to_numpy()[np.searchsorted(cuts, offsets)].astype(np.int64) if len(out) else np.zeros(len(offsets), np.int64)
 
 

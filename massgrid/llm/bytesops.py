@@ -98,16 +98,20 @@ _LOWER[0x41:0x5B] += 0x20
 SLICE = 1 << 19
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, words before each text) of the maximal runs of non-space bytes in every text.
+#: Separators for words without punctuation: every ASCII character that is no letter or digit.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
-    Space is 0x20 and 0x09..0x0D; a run ends at its text's end.
+
+def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, words before each text) of the maximal runs of bytes that are no space in every text.
+
+    Space is 0x20 and 0x09..0x0D unless told otherwise; a run ends at its text's end.
     """
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[raw]
+    solid = ~space[raw]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.empty(n, bool)

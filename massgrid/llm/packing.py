@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from massgrid.llm.bpe import blocks
 from massgrid.llm.bytesops import binary_array, list_array, text_bytes
+from massgrid.llm.chunks import ChunkIds
 from massgrid.llm.common import text_rows
 
 BLOCK_BYTES = 8 << 20
@@ -110,7 +111,7 @@ class Levels:
 
 
 class WordTokenizer:
-    """The ids of texts by the `tokenizers` library, which is asked once for every distinct run of non-space characters of a block.
+    """The ids of texts by the `tokenizers` library, which is asked once for every distinct run of non-space characters.
 
     This holds for tokenizers that drop white space and split at it first; special tokens' strings are found as the library finds them.
     """
@@ -120,16 +121,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
+        self.known = ChunkIds(self._pieces)
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)]
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
+        return np.fromiter((i for x in lists for i in x), np.int32, bounds[-1]), bounds
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, offsets), each text closed by end_id."""
         runs = pc.ascii_split_whitespace(texts)
         coded = runs.flatten().dictionary_encode()
-        found = self.tokenizer.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)
-        lists = [e.ids for e in found]
-        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
-        table = list_array(np.fromiter((i for x in lists for i in x), np.int32, bounds[-1]), bounds, pa.int32())
-        flat = table.take(coded.indices)
+        flat = list_array(*self.known.lookup(coded.dictionary), pa.int32()).take(coded.indices)
         ids, ends = flat.flatten().to_numpy(), flat.offsets.to_numpy().astype(np.int64) if len(flat) else np.zeros(1, np.int64)
         ends = ends[np.asarray(runs.offsets, np.int64) - runs.offsets[0].as_py()]
         out = np.full(len(ids) + len(texts), end_id, np.uint32)

@@ -1,17 +1,21 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from massgrid.llm import bpe, media, ngram_join, packing, secrets, topk
+from massgrid.llm import bpe, langid, media, ngram_join, packing, secrets, topk, toxicity
 
 QUERIES = {
     "op1_media_columns": media.query,
     "op2_ngram_jaccard_join": ngram_join.query,
     "op3_secret_scans": secrets.query,
     "op5_byte_bpe": bpe.query,
+    "op6_toxicity": toxicity.query,
+    "op8_language_id": langid.query,
     "op9_exact_top_k": topk.query,
     "op10_packing": packing.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": ngram_join.ORACLE,
+    "op6_toxicity": toxicity.query,
+    "op8_language_id": langid.query,
     "op9_exact_top_k": topk.ORACLE,
 }
