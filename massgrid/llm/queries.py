@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from massgrid.llm import bpe, langid, media, ngram_join, packing, secrets, topk, toxicity
+from massgrid.llm import bpe, langid, media, ngram_join, packing, repeats, secrets, topk, toxicity
 
 QUERIES = {
     "op1_media_columns": media.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_secret_scans": secrets.query,
     "op5_byte_bpe": bpe.query,
     "op6_toxicity": toxicity.query,
+    "op7_suffix_array_dedup": repeats.query,
     "op8_language_id": langid.query,
     "op9_exact_top_k": topk.query,
     "op10_packing": packing.query,
@@ -16,6 +17,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": ngram_join.ORACLE,
     "op6_toxicity": toxicity.query,
+    "op7_suffix_array_dedup": repeats.query,
     "op8_language_id": langid.query,
     "op9_exact_top_k": topk.ORACLE,
 }
