@@ -1,8 +1,59 @@
-"""Corpus pipeline: stages in order, each written and read again."""
+"""From raw documents to packed token sequences, in five stages; each is written and read again.
 
-STAGES = []
+1. toxicity: documents that the classifier, trained on the labels of documents that are not held out, scores 0.5
+   or higher go.
+2. near-duplicates: of each group whose word shingles overlap by 75 % or more, directly or through others, the
+   document with the smallest doc_id stays.
+3. repeats: bytes that a repeated 400-byte string covers are cut from the texts; documents stay.
+4. secrets: spans of secrets are replaced by a mark; documents stay.
+5. packing: the texts become token sequences of at most 4096 ids.
+
+SQL can express none of the models, so ORACLE_SQL is None; tests/llm holds the stages against brute force.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from massgrid.llm import ngram_join, packing, repeats, secrets, toxicity
+from massgrid.llm.common import saved
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.accepted(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.representatives(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = repeats.decoded(repeats.without_repeats(docs, tuple(others)))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return kept.select(*(new.get(c, F.col(f"carried.`{c}`")) for c in docs.columns))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = secrets.cleaned(docs, secrets.Model.trained(secrets.samples(spark)))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("toxicity", drop_toxic), ("near-duplicates", drop_near_duplicates), ("repeats", cut_repeats), ("secrets", redact_secrets), ("packing", pack_tokens)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; each but the last is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

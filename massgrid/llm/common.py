@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -55,3 +56,9 @@ def bucket_count(df: DataFrame, each: int, least: int = 64, most: int = 1 << 20)
     """Power of two of hash buckets, so that a bucket holds about `each` bytes of input whatever the input's size."""
     wanted = max(least, min(most, input_bytes(df) // each))
     return 1 << (wanted - 1).bit_length()
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more, before the next step needs the disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from massgrid.llm.bpe import blocks
 from massgrid.llm.bytesops import U64, gather_ranges, list_array, mix, shingle_sets, text_bytes
-from massgrid.llm.common import bucket_count, saved, text_rows
+from massgrid.llm.common import bucket_count, released, saved, text_rows
 from massgrid.llm.graph import components
 
 BLOCK_BYTES = 4 << 20
@@ -229,6 +229,8 @@ def similar_sets(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
     blocks_ = rows.mapInArrow(_shingle_blocks(buckets.bit_length() - 1), "bucket long, block long, shingles binary, documents binary")
     frequent = blocks_.groupBy("bucket").applyInArrow(_frequent, "block long, shingles binary, frequency binary, documents binary")
     sets = saved(frequent.groupBy("block").applyInArrow(_prefixes(percent), SETS), "sets")
+    del blocks_, frequent
+    released(docs.sparkSession)  # the shuffles so far hold all shingles, those to come only shared ones
     reps = sets.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
     active = sets.where("prefix is not null").join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
     active = saved(active.select(F.col("doc_id").alias("rep"), "n", "shared", "prefix", "bits"), "active-sets")
@@ -268,6 +270,13 @@ def join_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     return linked_.union(unnamed)
 
 
+def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows, with all their columns, but those of documents in a group with a smaller doc_id."""
+    others = saved(join_groups(docs, percent).where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    released(docs.sparkSession)
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: groups of near-duplicate documents."""
     return join_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -115,14 +115,16 @@ def located(text: Column, pattern: str, number: int, group: int = 0, least: int
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text, base, added): arrays of (start, kind, end, s) by start and then kind; kind counts KINDS from 0."""
+    return _scanned(text_rows(docs), model, ["doc_id", "text"])
+
+
+def _scanned(rows: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     text = F.col("text")
-    rows = text_rows(docs).select(
-        "doc_id", "text", located(text, ASSIGN, 0, 2, 8).alias("assign"), located(text, ACCESS, 1).alias("access"), located(text, HEX, 2).alias("hex"), located(text, RUN, 3).alias("runs")
-    )
-    rows = rows.select("doc_id", "text", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "runs")
+    rows = rows.select(*columns, located(text, ASSIGN, 0, 2, 8).alias("assign"), located(text, ACCESS, 1).alias("access"), located(text, HEX, 2).alias("hex"), located(text, RUN, 3).alias("runs"))
+    rows = rows.select(*columns, F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "runs")
     free = lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
     random = lambda r: r["s"].rlike("[0-9]") & r["s"].rlike("[A-Za-z]") & free(r) & (model.score(r["s"]) > model.threshold)
-    return rows.select("doc_id", "text", "base", F.when(F.size("runs") > 0, F.filter("runs", random)).otherwise(F.col("runs")).alias("added"))
+    return rows.select(*columns, "base", F.when(F.size("runs") > 0, F.filter("runs", random)).otherwise(F.col("runs")).alias("added"))
 
 
 def spelled(spans: Column) -> Column:
@@ -142,6 +144,14 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))).otherwise(text)
 
 
+def cleaned(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all their columns, and every secret in `text` redacted."""
+    rows = docs.select(F.col("text"), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
+    text = redacted(F.col("text"), F.array_sort(F.concat("base", "added")))
+    found = _scanned(rows, model, ["text", "row"]).select(text.alias("text"), "row")
+    return found.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: secrets of every document."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), Model.trained(samples(spark)))

@@ -100,30 +100,45 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, passes: int
     return np.array([r.place for r in rows], np.int64), np.array([r.weight for r in rows], float)
 
 
+def _scores(text: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    weight = np.zeros((1 << BITS) + 1, np.float32)
+    weight[model[0]] = model[1]
+    base = float(weight[-1]) if len(model[0]) else -np.inf
+    weight[-1] = 0  # place -1: no feature
+    raw, offsets = text_bytes(text)
+    out = np.empty(len(text))
+    for i, j in blocks(offsets, BLOCK_BYTES):
+        found, first = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        row, column = np.nonzero(weight[found])  # few; once in each text
+        owner = np.searchsorted(first, row, side="right") - 1
+        once = np.unique((owner << BITS) | found[row, column])
+        x = base + np.bincount(once >> BITS, weight[once & ((1 << BITS) - 1)], minlength=j - i)
+        out[i:j] = np.round(1 / (1 + np.exp(-np.clip(x, -500, 35))), 9)
+    return out
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, score) of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.zeros((1 << BITS) + 1, np.float32)
-        weight[sent.value[0]] = sent.value[1]
-        base = float(weight[-1])
-        if not len(sent.value[0]):
-            base = -np.inf
-        weight[-1] = 0  # place -1: no feature
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(1))
-            for i, j in blocks(offsets, BLOCK_BYTES):
-                found, first = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                row, column = np.nonzero(weight[found])  # few; once in each text
-                text = np.searchsorted(first, row, side="right") - 1
-                once = np.unique((text << BITS) | found[row, column])
-                x = base + np.bincount(once >> BITS, weight[once & ((1 << BITS) - 1)], minlength=j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.round(1 / (1 + np.exp(-np.clip(x, -500, 35))), 9))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), sent.value))], names=["doc_id", "score"])
 
     return text_rows(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), sent.value) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     out = score(docs, train(docs, labels, max_rows))
