@@ -1,11 +1,12 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from massgrid.llm import bpe, langid, media, ngram_join, packing, repeats, secrets, topk, toxicity
+from massgrid.llm import bpe, html_text, langid, media, ngram_join, packing, repeats, secrets, topk, toxicity
 
 QUERIES = {
     "op1_media_columns": media.query,
     "op2_ngram_jaccard_join": ngram_join.query,
     "op3_secret_scans": secrets.query,
+    "op4_html_extraction": html_text.query,
     "op5_byte_bpe": bpe.query,
     "op6_toxicity": toxicity.query,
     "op7_suffix_array_dedup": repeats.query,
