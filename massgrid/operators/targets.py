@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massgrid.functions.chemistry import dalton_to_mz, float_mass
+from massgrid.functions.chemistry import dalton_to_mz, float_mass, mass_of
 from massgrid.functions.hydrophobicity import hydrophobicity
 from massgrid.functions.proforma import expand
 from massgrid.operators.search import in_one_taxon
 from massgrid.plans.ptm import Ptm, PtmSet, conditions, mass_bounds
-from massgrid.functions.chemistry import mass_of
+
 
 
 def charges(spec: str) -> list[int]:
