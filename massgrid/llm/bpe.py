@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from massgrid.llm.bytesops import binary_array, gather_ranges, list_array, text_bytes
 from massgrid.llm.chunks import ChunkIds
-from massgrid.llm.common import text_rows
+from massgrid.llm.common import lean, text_rows
 
 BLOCK_BYTES = 6 << 20
 NONE = np.int32(2**31 - 1)
@@ -233,7 +233,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), list_array(ids, ends, pa.int32())], names=["doc_id", "ids"])
                 pa.default_memory_pool().release_unused()
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return text_rows(docs).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -254,7 +254,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
             pa.default_memory_pool().release_unused()
 
-    return encoded.mapInArrow(run, f"{schema}, decoded binary")
+    return encoded.mapInArrow(lean(run), f"{schema}, decoded binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

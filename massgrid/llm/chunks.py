@@ -17,7 +17,7 @@ Encoded = tuple[np.ndarray, np.ndarray]  # ids end to end, offsets
 
 
 class ChunkIds:
-    def __init__(self, encode: Callable[[pa.Array], Encoded], limit: int = 1 << 20):
+    def __init__(self, encode: Callable[[pa.Array], Encoded], limit: int = 1 << 19):
         self.encode, self.limit = encode, limit
         self.keys, self.starts, self.sizes = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)

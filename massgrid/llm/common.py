@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +62,28 @@ def bucket_count(df: DataFrame, each: int, least: int = 64, most: int = 1 << 20)
     return 1 << (wanted - 1).bit_length()
 
 
+def trimmed() -> None:
+    """Give free memory of this process back to the system; Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that trims its worker's memory now and then, and when it ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        for i, out in enumerate(run(batches)):
+            yield out
+            if i % 8 == 7:
+                trimmed()
+        trimmed()
+
+    return wrapped
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of tables that nothing refers to any more, before the next step needs the disk."""
     gc.collect()

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from massgrid.llm.common import lean
+
 #: Tags whose content is no text of the page.
 HIDDEN = "script|style|title|noscript|template|svg|iframe|math|object|canvas"
 #: Tags that end a block where they open or close.
@@ -287,7 +289,7 @@ def extract(pages: DataFrame, field: Field) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from massgrid.llm.bpe import blocks
 from massgrid.llm.bytesops import U64, mix, text_bytes
-from massgrid.llm.common import text_rows
+from massgrid.llm.common import lean, text_rows
 from massgrid.llm.toxicity import held_out
 
 ORDER = 4
@@ -225,7 +225,7 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
                     far = (n > 0) & (least > models.bound)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names[best], pa.string()), pa.array(np.round(sure, 6)), pa.array(far)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return text_rows(docs).mapInArrow(lean(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

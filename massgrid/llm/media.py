@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massgrid.llm.common import saved, shared_folder, text_rows
+from massgrid.llm.common import lean, saved, shared_folder, text_rows
 
 WIDTH = 64
 PNG_MARK = b"\x89PNG\r\n\x1a\n"
@@ -136,7 +136,7 @@ def store(docs: DataFrame, folder: str, max_shard_bytes: int = 1 << 29) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(shard, pa.string()), pa.array(at, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "n_bytes", "media_sha256", "shard", "offset", "media_bytes"])
         shards.close()
 
-    return saved(text_rows(docs).mapInArrow(write, INDEX), "media-index")
+    return saved(text_rows(docs).mapInArrow(lean(write), INDEX), "media-index")
 
 
 class ShardReader:
@@ -164,7 +164,7 @@ def with_headers(index: DataFrame) -> DataFrame:
             cols = list(zip(*heads, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in cols)], names=[*batch.schema.names, "width", "height", "bits"])
 
-    return index.mapInArrow(read, f"{INDEX}, width long, height long, bits long")
+    return index.mapInArrow(lean(read), f"{INDEX}, width long, height long, bits long")
 
 
 def with_payload(index: DataFrame, payload: bool = False) -> DataFrame:
@@ -200,7 +200,7 @@ def with_payload(index: DataFrame, payload: bool = False) -> DataFrame:
                 names.append("payload")
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *names])
 
-    return index.mapInArrow(read, f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string" + ", payload binary" * payload)
+    return index.mapInArrow(lean(read), f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string" + ", payload binary" * payload)
 
 
 def media_table(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from massgrid.llm.bpe import blocks
 from massgrid.llm.bytesops import U64, gather_ranges, list_array, mix, shingle_sets, text_bytes
-from massgrid.llm.common import bucket_count, released, saved, text_rows
+from massgrid.llm.common import bucket_count, lean, released, saved, text_rows
 from massgrid.llm.graph import components
 
 BLOCK_BYTES = 4 << 20
@@ -226,7 +226,7 @@ def similar_sets(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
     """
     rows = text_rows(docs).where("doc_id is not null")
     buckets = bucket_count(docs, 256 << 10, 256)
-    blocks_ = rows.mapInArrow(_shingle_blocks(buckets.bit_length() - 1), "bucket long, block long, shingles binary, documents binary")
+    blocks_ = rows.mapInArrow(lean(_shingle_blocks(buckets.bit_length() - 1)), "bucket long, block long, shingles binary, documents binary")
     frequent = blocks_.groupBy("bucket").applyInArrow(_frequent, "block long, shingles binary, frequency binary, documents binary")
     sets = saved(frequent.groupBy("block").applyInArrow(_prefixes(percent), SETS), "sets")
     del blocks_, frequent
@@ -240,7 +240,7 @@ def similar_sets(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
         left = active.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
         right = active.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
         joined = pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "shared_a", "shared_b")
-        return saved(joined.mapInArrow(_verify(percent), "a long, b long"), name)
+        return saved(joined.mapInArrow(lean(_verify(percent)), "a long, b long"), name)
 
     thin = postings.select("tile", "rep", "n")
     pivots = thin.groupBy("tile").agg(F.min(F.struct("rep", "n")).alias("p"), F.max("rep").alias("top")).where("p.rep < top").select("tile", F.col("p.rep").alias("a"), F.col("p.n").alias("n_a"))
@@ -266,7 +266,7 @@ def join_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
             _, bounds = shingle_sets(*text_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), batch.column(0)], names=["doc_id", "n_shingles", "component_id"])
 
-    unnamed = text_rows(docs).where("doc_id is null").mapInArrow(sizes, "doc_id long, n_shingles long, component_id long")
+    unnamed = text_rows(docs).where("doc_id is null").mapInArrow(lean(sizes), "doc_id long, n_shingles long, component_id long")
     return linked_.union(unnamed)
 
 

@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from massgrid.llm.bpe import blocks
 from massgrid.llm.bytesops import binary_array, list_array, text_bytes
 from massgrid.llm.chunks import ChunkIds
-from massgrid.llm.common import text_rows
+from massgrid.llm.common import lean, text_rows
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 Piece = tuple[int, int, int, np.ndarray]  # document, start in it, tokens of the document, ids
 
 
@@ -124,9 +124,12 @@ class WordTokenizer:
         self.known = ChunkIds(self._pieces)
 
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)]
-        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
-        return np.fromiter((i for x in lists for i in x), np.int32, bounds[-1]), bounds
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(pieces), 8192):  # the library's objects are large
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.slice(i, 8192).to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter((i for x in lists for i in x), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, offsets), each text closed by end_id."""
@@ -194,7 +197,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, m
             sequence += 1
         yield rows(done)
 
-    return text_rows(docs).mapInArrow(run, SCHEMA)
+    return text_rows(docs).mapInArrow(lean(run), SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

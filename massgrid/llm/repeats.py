@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from massgrid.llm.bpe import blocks
 from massgrid.llm.bytesops import U64, byte_table, gather_ranges, mix, powers, text_bytes
-from massgrid.llm.common import released, saved
+from massgrid.llm.common import lean, released, saved
 
 LENGTH = 400
 ANCHOR = 160
@@ -268,7 +268,7 @@ def covered(docs: DataFrame, carry: list[str], text: str = "text", key: str = "d
     """(rows, spans): rows (doc_id, k, h, text, carried struct); spans (k, h, list of (s, e)), the covered intervals of a text in bytes."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("carried"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"), "text", "carried")
-    places = saved(rows.where(F.octet_length("text") >= LENGTH).select("k", "h", "text").mapInArrow(_places, PLACES), "places")
+    places = saved(rows.where(F.octet_length("text") >= LENGTH).select("k", "h", "text").mapInArrow(lean(_places), PLACES), "places")
     contents = places.groupBy("anchor", "seg", "len").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("h").alias("h"), F.first("start").alias("start"), F.first("at").alias("at"))
     contents = saved(contents, "contents")
     several = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumn("hot", F.col("kinds") > HOT)
@@ -276,7 +276,7 @@ def covered(docs: DataFrame, carry: list[str], text: str = "text", key: str = "d
     volume = wanted.agg(F.sum("len")).first()[0] or 0
     buckets = max(16, int(volume) // (256 << 10))
     asked = wanted.groupBy("k", "h").agg(F.collect_list(F.struct("start", "len", "at", "anchor", "seg", "hot")).alias("wanted"))
-    sent = rows.join(asked, ["k", "h"]).select("text", "wanted").mapInArrow(_cut(buckets), CONTENTS)
+    sent = rows.join(asked, ["k", "h"]).select("text", "wanted").mapInArrow(lean(_cut(buckets)), CONTENTS)
     parts = sent.groupBy("bucket").applyInArrow(_resolve, "anchor long, seg long, len long, s long, e long")
     whole = contents.where("n > 1").select("anchor", "seg", "len", F.lit(0).cast("long").alias("s"), F.col("len").alias("e"))
     cover = saved(whole.union(parts), "cover")
@@ -298,8 +298,12 @@ def merged(pairs: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, spans array<struct<s, e>>, kept binary, carried struct) of every document; carry: more columns to keep in the struct."""
+def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, spans array<struct<s, e>>, kept binary, carried struct) of every document.
+
+    carry: more columns to keep in the struct. as_text: kept is a string, without characters of which only some
+    bytes are kept.
+    """
     rows, spans = covered(docs, list(carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,25 +316,15 @@ def without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                 for s, e in cut:
                     parts.append(raw[at:s])
                     at = e
-                kept.append(b"".join([*parts, raw[at:]]))
+                left = b"".join([*parts, raw[at:]])
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 sizes.append(len(raw))
                 runs.append([{"s": s, "e": e} for s, e in cut])
             kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary()), batch.column(3)], names=["doc_id", "n_bytes", "spans", "kept", "carried"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.string() if as_text else pa.binary()), batch.column(3)], names=["doc_id", "n_bytes", "spans", "kept", "carried"])
 
     joined = rows.join(spans, ["k", "h"], "left").select("doc_id", "text", "spans", "carried")
-    return joined.mapInArrow(run, f"doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary, carried {joined.schema['carried'].dataType.simpleString()}")
-
-
-def decoded(kept: DataFrame) -> DataFrame:
-    """Adds `text`: the kept bytes as text. A character of which only some bytes are kept is left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.decode("utf-8", "ignore") for x in batch.column(batch.schema.names.index("kept")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
-
-    return kept.mapInArrow(run, kept.withColumn("text", F.lit("")).schema)
+    return joined.mapInArrow(lean(run), f"doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept {'string' if as_text else 'binary'}, carried {joined.schema['carried'].dataType.simpleString()}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

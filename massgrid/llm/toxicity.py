@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from massgrid.llm.bpe import blocks
 from massgrid.llm.bytesops import PUNCTUATION, U64, mix, text_bytes, word_hashes, words
-from massgrid.llm.common import text_rows
+from massgrid.llm.common import lean, text_rows
 
 BITS = 20
 BLOCK_BYTES = 4 << 20
@@ -125,7 +125,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), sent.value))], names=["doc_id", "score"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, score double")
+    return text_rows(docs).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -136,7 +136,7 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str =
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at), sent.value) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:
