@@ -1,4 +1,458 @@
-"""Every query of the peptide engine by name, with its SQL."""
+"""Every query of the peptide engine by name, with its SQL for DuckDB.
 
-QUERIES = {}
-ORACLES = {}
+Queries run over whole tables. Lists leave as sorted, comma-joined text, and counts as bigint, in both engines.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from massgrid import views
+from massgrid.functions import chemistry as chem
+from massgrid.functions.codecs import decode_ids, encode_ids
+from massgrid.functions.hydrophobicity import hydrophobicity
+from massgrid.operators import build, search, targets, taxonomy
+from massgrid.operators.digest import Protease, digest, fragments, missed_cleavages
+from massgrid.plans.ptm import BOND_C, BOND_N, STATIC, TERMINUS_C, TERMINUS_N, VARIABLE, Plan, Ptm
+from massgrid.sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+TRYPSIN = Protease("trypsin", 6, 50, 2)
+SEMI = Protease("semi-trypsin", 6, 10, 0)
+UNSPECIFIC = Protease("unspecific", 6, 7)
+#: Masses in Dalton of peptides that many of the derived proteins have.
+MASSES = [chem.to_int(m) for m in (641.276903295, 716.34531724, 745.397018485, 761.355547605, 799.346045535, 1153.547598965, 3233.40933428, 3745.68002995)]
+PPM = (20, 20)
+CARBAMIDOMETHYL = Ptm.of("carbamidomethylation", "C", 57.021464, STATIC)
+OXIDATION = Ptm.of("oxidation", "M", 15.994915, VARIABLE)
+PHOSPHO = Ptm.of("phosphorylation", "S", 79.966331, VARIABLE)
+PYRO_GLU = Ptm.of("pyro-glu", "E", -18.010565, VARIABLE, TERMINUS_N)
+METHYL_K = Ptm.of("methylation", "R", 14.01565, VARIABLE, TERMINUS_C)
+ACETYL = Ptm.of("acetylation", "X", 42.010565, VARIABLE, BOND_N)
+AMIDE = Ptm.of("amidation", "X", -0.984016, VARIABLE, BOND_C)
+BASE = views.digest_sql(TRYPSIN)
+PEPTIDES = f"{BASE},\n{views.PEPTIDES_SQL}"
+TREE = "with recursive " + views.TAXA_SQL
+RANKED = "select t.id, parent_id, scientific_name, rank_id, r.name as rank from taxa t join ranks r on r.id = t.rank_id"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def joined(column: str) -> F.Column:
+    return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
+
+
+def joined_sql(column: str) -> str:
+    return f"array_to_string(cast({column} as varchar[]), ',') as {column}"
+
+
+def digested(spark: SparkSession, sf_dir: str, protease: Protease = TRYPSIN) -> DataFrame:
+    return digest(views.proteins(spark, sf_dir), protease)
+
+
+def peptide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.aggregate(digested(spark, sf_dir).drop("genes", "accession"))
+
+
+# --- digestion ------------------------------------------------------------------------------------------------------
+
+
+@query("q_trypsin_full", f"with {views.PROTEINS_SQL},\n{views.FRAGMENTS_SQL}\nselect id, count(*) as n, cast(max(p - a) as bigint) as longest, cast(sum((p - a) * (p - a)) as bigint) as squares from cuts group by id")
+def _(spark, sf_dir):
+    rows = views.proteins(spark, sf_dir).where("sequence <> ''").select("id", F.explode(fragments(F.col("sequence"), TRYPSIN)).alias("s"))
+    size = F.length("s").cast("long")
+    return rows.groupBy("id").agg(F.count("*").alias("n"), F.max(size).alias("longest"), F.sum(size * size).alias("squares"))
+
+
+@query("q_trypsin_mc2", f"{BASE} select protein_id, sequence, mass from digest")
+def _(spark, sf_dir):
+    return digested(spark, sf_dir).select("protein_id", "sequence", "mass")
+
+
+PER_PROTEIN = "select protein_id, count(*) as n, cast(sum(mass) as decimal(38, 0)) as total, min(sequence) as first, max(sequence) as last from digest group by protein_id"
+
+
+def per_protein(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("protein_id").agg(F.count("*").alias("n"), F.sum(F.col("mass").cast("decimal(28,0)")).cast("decimal(38,0)").alias("total"), F.min("sequence").alias("first"), F.max("sequence").alias("last"))
+
+
+@query("q_semi_trypsin", f"{views.digest_sql(SEMI)} {PER_PROTEIN}")
+def _(spark, sf_dir):
+    return per_protein(digested(spark, sf_dir, SEMI))
+
+
+@query("q_unspecific", f"{views.digest_sql(UNSPECIFIC)} {PER_PROTEIN}")
+def _(spark, sf_dir):
+    return per_protein(digested(spark, sf_dir, UNSPECIFIC))
+
+
+@query("q_missed_cleavages", f"{BASE}, inner_sites as (select sequence, cast(len(list_filter(range(1, length(sequence) + 1), lambda i: sequence[i] in ('K', 'R') and sequence[i + 1] <> 'P')) as bigint) as missed from (select distinct sequence from digest)) select missed, count(*) as n from inner_sites group by missed")
+def _(spark, sf_dir):
+    return digested(spark, sf_dir).select("sequence").distinct().groupBy(missed_cleavages(F.col("sequence"), TRYPSIN).alias("missed")).agg(F.count("*").alias("n"))
+
+
+# --- chemistry ------------------------------------------------------------------------------------------------------
+
+
+@query("q_residue_counts", f"with {views.PROTEINS_SQL} select id, array_to_string(list_transform(range(0, 26), lambda i: cast(length(sequence) - length(replace(sequence, chr(cast(i + 65 as int)), '')) as varchar)), ',') as counts from proteins")
+def _(spark, sf_dir):
+    counts = F.array(*(chem.count_of(F.col("sequence"), chem.code_letter(i)).cast("string") for i in range(26)))
+    return views.proteins(spark, sf_dir).select("id", F.array_join(counts, ",").alias("counts"))
+
+
+@query("q_peptide_mass", f"{BASE} select sequence, any_value(mass) as mass, any_value(mass) / 1e9 as dalton from digest group by sequence")
+def _(spark, sf_dir):
+    rows = digested(spark, sf_dir).select("sequence", "mass").distinct()
+    return rows.select("sequence", "mass", chem.float_mass(F.col("mass")).alias("dalton"))
+
+
+MZ = f"(mass / 1e9 + charge * {chem.PROTON}e0) / charge"
+
+
+@query("q_mz_conversion", f"{BASE} select mass, charge, cast(floor({MZ} * 1e5) as bigint) as mz5, cast(round((({MZ}) * charge - charge * {chem.PROTON}e0) * 1e5) as bigint) as back5 from (select distinct mass from digest), (select unnest([1, 2, 3]) as charge)")
+def _(spark, sf_dir):
+    rows = digested(spark, sf_dir).select("mass").distinct().withColumn("charge", F.explode(F.array(*(F.lit(c) for c in targets.charges("1-3")))))
+    mz = chem.dalton_to_mz(chem.float_mass(F.col("mass")), F.col("charge"))
+    return rows.select("mass", "charge", F.floor(mz * 1e5).cast("long").alias("mz5"), F.round(chem.mz_to_dalton(mz, F.col("charge")) * 1e5).cast("long").alias("back5"))
+
+
+@query("q_ppm_window", f"{BASE} select distinct mass, mass - mass // 1000000 * 10 as lo, mass + mass // 1000000 * 5 as hi from digest")
+def _(spark, sf_dir):
+    lo, hi = chem.ppm_window(F.col("mass"), 10, 5)
+    return digested(spark, sf_dir).select("mass").distinct().select("mass", lo.alias("lo"), hi.alias("hi"))
+
+
+@query("q_amino_acids", "select * from (values " + ", ".join(f"('{c}', cast({m} as bigint), {str(c in chem.CANONICAL).lower()}, '{chem.RESIDUE_NAMES[c]}')" for c, m in sorted(chem.MASS.items())) + ") as t(code, mono_mass, is_canonical, name)")
+def _(spark, sf_dir):
+    return chem.amino_acids(spark).orderBy("code")
+
+
+@query("q_compact_size", f"with {views.PROTEINS_SQL} select id, cast((16 + 5 * length(sequence) + 7) // 8 as bigint) as bytes from proteins")
+def _(spark, sf_dir):
+    return views.proteins(spark, sf_dir).select("id", F.expr("(16 + 5 * cast(length(sequence) as bigint) + 7) div 8").alias("bytes"))
+
+
+@query("q_protein_id_codec")
+def _(spark, sf_dir):
+    """Ids of every mass through the codec and back; bytes and how many came back unchanged."""
+
+    def run(frames):
+        for f in frames:
+            data = [encode_ids(list(x)) for x in f["protein_ids"]]
+            yield f.assign(bytes=[len(d) for d in data], same=[decode_ids(d) == list(x) for d, x in zip(data, f["protein_ids"], strict=True)])[["mass", "bytes", "same"]]
+
+    return build.mass_index(digested(spark, sf_dir)).mapInPandas(run, "mass long, bytes long, same boolean")
+
+
+@query("q_hydrophobicity")
+def _(spark, sf_dir):
+    return digested(spark, sf_dir, Protease("trypsin", 6, 50, 0)).select("sequence").distinct().withColumn("score", F.round(hydrophobicity("sequence"), 6))
+
+
+# --- peptide table --------------------------------------------------------------------------------------------------
+
+
+@query("q_peptides_agg", f"{PEPTIDES} select mass, sequence, {joined_sql('protein_ids')}, is_swiss_prot, is_trembl from peptides")
+def _(spark, sf_dir):
+    return peptide_table(spark, sf_dir).select("mass", "sequence", joined("protein_ids"), "is_swiss_prot", "is_trembl")
+
+
+@query("q_unique_taxa", f"{PEPTIDES} select sequence, {joined_sql('unique_taxonomy_ids')}, {joined_sql('non_unique_taxonomy_ids')} from peptides")
+def _(spark, sf_dir):
+    return peptide_table(spark, sf_dir).select("sequence", joined("unique_taxonomy_ids"), joined("non_unique_taxonomy_ids"))
+
+
+@query("q_mass_index", f"{BASE}, ids as (select mass, list_sort(list(distinct protein_id)) as protein_ids from digest group by mass) select mass, {joined_sql('protein_ids')} from ids")
+def _(spark, sf_dir):
+    return build.mass_index(digested(spark, sf_dir)).select("mass", joined("protein_ids"))
+
+
+RANGES = """counted as (select mass, count(distinct sequence) as n from digest group by mass),
+tiled as (select mass, n, cast(coalesce(sum(n) over (order by mass rows between unbounded preceding and 1 preceding), 0) // 5000 as bigint) as partition from counted),
+ranges as (select partition, min(mass) as lo, max(mass) as hi, cast(sum(n) as bigint) as n from tiled group by partition)"""
+
+
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.partition_ranges(digested(spark, sf_dir).select("mass", "sequence").distinct(), 5000)
+
+
+@query("q_partition_ranges", f"{BASE}, {RANGES} select * from ranges")
+def _(spark, sf_dir):
+    return ranges(spark, sf_dir)
+
+
+@query("q_range_tiling_check", f"{BASE}, {RANGES} select partition, lo, hi, before from (select *, lag(hi) over (order by lo, hi) as before from ranges) where before >= lo")
+def _(spark, sf_dir):
+    return build.tiling_faults(ranges(spark, sf_dir))
+
+
+@query("q_partition_lookup", f"{BASE}, {RANGES} select mass, partition from (select distinct mass from digest) join ranges on mass between lo and hi")
+def _(spark, sf_dir):
+    return build.partitions_of(digested(spark, sf_dir).select("mass").distinct(), ranges(spark, sf_dir)).select("mass", "partition")
+
+
+@query("q_stats", f"{BASE} select 'proteins' as key, (select count(*) from proteins) as value union all select 'peptides', count(distinct sequence) from digest union all select 'masses', count(distinct mass) from digest")
+def _(spark, sf_dir):
+    proteins = views.proteins(spark, sf_dir)
+    return build.stats(proteins, digest(proteins, TRYPSIN).select("mass", "sequence").distinct())
+
+
+@query(
+    "q_condition_merge",
+    f"""{BASE}, windows as (select distinct mass // 100000000000 as partition, sequence[1] as signature, mass - mass // 1000000 * 50 as lo, mass + mass // 1000000 * 50 as hi from digest),
+    marked as (select *, max(hi) over w as reach from windows window w as (partition by partition, signature order by lo, hi rows between unbounded preceding and 1 preceding)),
+    islands as (select *, sum(case when reach is null or reach < lo then 1 else 0 end) over (partition by partition, signature order by lo, hi rows unbounded preceding) as island from marked)
+    select partition, signature, min(lo) as lo, max(hi) as hi, count(*) as members from islands group by partition, signature, island""",
+)
+def _(spark, sf_dir):
+    lo, hi = chem.ppm_window(F.col("mass"), 50, 50)
+    rows = digested(spark, sf_dir).select(F.expr("mass div 100000000000").alias("partition"), F.substring("sequence", 1, 1).alias("signature"), lo.alias("lo"), hi.alias("hi")).distinct()
+    return build.touching_windows(rows)
+
+
+# --- taxonomy -------------------------------------------------------------------------------------------------------
+
+
+@query("q_taxonomy_by_id", f"{TREE} {RANKED} where t.id = 1003")
+def _(spark, sf_dir):
+    return taxonomy.by_id(views.taxa(spark, sf_dir), views.ranks(spark), 1003)
+
+
+@query("q_taxonomy_search", f"{TREE} {RANKED} where scientific_name ilike '%an%'")
+def _(spark, sf_dir):
+    return taxonomy.search(views.taxa(spark, sf_dir), views.ranks(spark), "an")
+
+
+def below_sql(roots: str) -> str:
+    return f"{TREE}, below as (select id from taxa where id in ({roots}) union select t.id from taxa t join below b on t.parent_id = b.id)"
+
+
+@query("q_sub_species", f"{below_sql('101')} {RANKED} where r.name = 'species' and t.id in (select id from below)")
+def _(spark, sf_dir):
+    return taxonomy.species(views.taxa(spark, sf_dir), views.ranks(spark), [101])
+
+
+@query("q_species_union", f"{below_sql('102, 103, 1002')} {RANKED} where r.name = 'species' and t.id in (select id from below)")
+def _(spark, sf_dir):
+    return taxonomy.species(views.taxa(spark, sf_dir), views.ranks(spark), [102, 103, 1002])
+
+
+@query("q_resolve_taxonomy_ids", f"with {views.PROTEINS_SQL}, {views.TAXA_SQL} select distinct t.id, scientific_name from proteins p join taxa t on t.id = p.taxonomy_id")
+def _(spark, sf_dir):
+    return search.resolve(views.proteins(spark, sf_dir).select(F.col("taxonomy_id").alias("id")), views.taxa(spark, sf_dir), "id", "scientific_name")
+
+
+# --- proteins and peptides ------------------------------------------------------------------------------------------
+
+GENES = "array_to_string(genes, ' ')"
+SHALLOW = f"select id, accession, length(sequence) as residues, taxonomy_id, is_reviewed, {GENES} as genes from proteins"
+
+
+def shallow(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "accession", F.length("sequence").cast("long").alias("residues"), "taxonomy_id", "is_reviewed", F.array_join("genes", " ").alias("genes"))
+
+
+@query("q_resolve_protein_ids", f"{BASE} select distinct protein_id as id, accession from digest")
+def _(spark, sf_dir):
+    return search.resolve(digested(spark, sf_dir).select(F.col("protein_id").alias("id")), views.proteins(spark, sf_dir), "id", "accession")
+
+
+@query("q_protein_by_accession", f"with {views.PROTEINS_SQL} {SHALLOW} where accession = 'D42'")
+def _(spark, sf_dir):
+    return shallow(views.proteins(spark, sf_dir).where(F.col("accession") == "d42".upper()))
+
+
+@query("q_protein_by_gene", f"with {views.PROTEINS_SQL} {SHALLOW} where list_contains(genes, 'src7')")
+def _(spark, sf_dir):
+    return shallow(views.proteins(spark, sf_dir).where(F.array_contains("genes", "src7")))
+
+
+@query("q_protein_search", f"with {views.PROTEINS_SQL} {SHALLOW} where accession ilike '%d12%' or {GENES} ilike '%d12%' or accession ilike '%SRC1 %' or {GENES} ilike '%SRC1 %'")
+def _(spark, sf_dir):
+    return shallow(search.find_proteins(views.proteins(spark, sf_dir), "d12", "SRC1 "))
+
+
+@query("q_protein_label", f"with {views.PROTEINS_SQL} select id, accession || ' (' || array_to_string(genes, ', ') || ')' as label from proteins")
+def _(spark, sf_dir):
+    return views.proteins(spark, sf_dir).select("id", targets.label().alias("label"))
+
+
+@query("q_protein_peptides", f"{PEPTIDES} select mass, sequence, {joined_sql('protein_ids')} from peptides where sequence in (select sequence from digest where accession = 'D42')")
+def _(spark, sf_dir):
+    proteins = views.proteins(spark, sf_dir)
+    own = digest(proteins.where("accession = 'D42'").select("id", "sequence"), TRYPSIN).select("mass", "sequence")
+    all_ = digest(proteins, TRYPSIN).drop("genes", "accession").join(own, ["mass", "sequence"], "left_semi")
+    return build.aggregate(all_).select("mass", "sequence", joined("protein_ids")).orderBy("mass", "sequence")
+
+
+@query("q_peptide_proteins", f"{BASE} select d.sequence, accession, taxonomy_id, is_reviewed from digest d where sequence = 'INERTHANEA'")
+def _(spark, sf_dir):
+    found = search.lookup(peptide_table(spark, sf_dir), "INERTHANEA", chem.mass_of("INERTHANEA"))
+    return search.proteins_of(found, views.proteins(spark, sf_dir)).select("sequence", "accession", "taxonomy_id", "is_reviewed")
+
+
+@query("q_peptide_show", f"{PEPTIDES} select mass, sequence, {joined_sql('protein_ids')}, {joined_sql('unique_taxonomy_ids')}, is_swiss_prot, is_trembl from peptides where sequence = 'THANEA'")
+def _(spark, sf_dir):
+    return search.lookup(peptide_table(spark, sf_dir), "THANEA", chem.mass_of("THANEA")).select("mass", "sequence", joined("protein_ids"), joined("unique_taxonomy_ids"), "is_swiss_prot", "is_trembl")
+
+
+@query("q_peptide_exists", f"{BASE} select s as sequence, s in (select sequence from digest) as found from (values ('THANEA'), ('WWWWWWK')) as t(s)")
+def _(spark, sf_dir):
+    asked = spark.createDataFrame([(s, chem.mass_of(s)) for s in ("THANEA", "WWWWWWK")], "sequence string, mass long")
+    have = digested(spark, sf_dir).where(F.col("mass").isin([chem.mass_of("THANEA"), chem.mass_of("WWWWWWK")])).select("sequence", "mass", F.lit(True).alias("found")).distinct()
+    return asked.join(have, ["sequence", "mass"], "left").select("sequence", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+# --- mass searches --------------------------------------------------------------------------------------------------
+
+
+def hits(spark: SparkSession, sf_dir: str, plan: Plan) -> DataFrame:
+    """The filter comes before the aggregation, so only hits are shuffled."""
+    found = search.match(digested(spark, sf_dir).select("protein_id", "sequence", "mass"), plan)
+    return found.groupBy("cond_id", "query_mass", "mass", "sequence").agg(F.countDistinct("protein_id").alias("n_proteins"))
+
+
+def hits_sql(plan: Plan) -> str:
+    return f"{BASE}, hits as ({plan.sql()}) select cond_id, query_mass, mass, sequence, count(distinct protein_id) as n_proteins from hits group by all"
+
+
+SEARCHES = {
+    "q_search_plain": Plan.of(MASSES[-1:], (), PPM),
+    "q_search_static": Plan.of([m + CARBAMIDOMETHYL.delta for m in MASSES], [CARBAMIDOMETHYL], (100, 100)),
+    "q_search_variable": Plan.of(MASSES[4:6], [CARBAMIDOMETHYL, OXIDATION], PPM),
+    "q_search_terminal": Plan.of(MASSES[:6], [PYRO_GLU, METHYL_K], PPM),
+    "q_search_bonds": Plan.of([MASSES[0] + ACETYL.delta, MASSES[5] + AMIDE.delta], [ACETYL, AMIDE], PPM),
+    "q_search_batch": Plan.of([chem.to_int(600.3 + 1.0005 * k) for k in range(500)], [OXIDATION], PPM, 1),
+}
+for _name, _plan in SEARCHES.items():
+    QUERIES[_name] = lambda spark, sf_dir, plan=_plan: hits(spark, sf_dir, plan)
+    ORACLES[_name] = hits_sql(_plan)
+
+
+@query("q_ptm_conditions", "select * from (values " + ", ".join(f"(cast({i} as int), cast({c.mass} as bigint), '{c.signature().replace(chr(39), chr(39) * 2)}')" for i, c in enumerate(SEARCHES["q_search_variable"].conditions)) + ") as t(cond_id, mass, signature)")
+def _(spark, sf_dir):
+    return SEARCHES["q_search_variable"].frame(spark).select("cond_id", "mass", "signature")
+
+
+@query("q_condition_count", "select cast(m as bigint) as query_mass, cast(n as bigint) as n from (values " + ", ".join(f"({m}, {SEARCHES['q_search_batch'].query_mass.count(m)})" for m in dict.fromkeys(SEARCHES["q_search_batch"].query_mass)) + ") as t(m, n)")
+def _(spark, sf_dir):
+    return SEARCHES["q_search_batch"].frame(spark).groupBy("query_mass").agg(F.count("*").alias("n"))
+
+
+SHOWN = f"mass, sequence, {joined_sql('protein_ids')}"
+WIDE = Plan.of(MASSES, (), (500, 500))
+WIDE_SQL = " or ".join(f"mass between {lo} and {hi}" for lo, hi in (WIDE.window(c) for c in WIDE.conditions))
+
+
+def filtered(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    return search.search(peptide_table(spark, sf_dir), WIDE, resolve=False, **how).select("mass", "sequence", joined("protein_ids"))
+
+
+@query("q_search_reviewed", f"{PEPTIDES} select {SHOWN} from peptides where is_swiss_prot and ({WIDE_SQL})")
+def _(spark, sf_dir):
+    return filtered(spark, sf_dir, is_reviewed=True)
+
+
+@query("q_search_trembl", f"{PEPTIDES} select {SHOWN} from peptides where is_trembl and ({WIDE_SQL})")
+def _(spark, sf_dir):
+    return filtered(spark, sf_dir, is_reviewed=False)
+
+
+@query("q_search_taxonomy", f"{PEPTIDES}, {views.TAXA_SQL}, below as (select id from taxa where id = 101 union select t.id from taxa t join below b on t.parent_id = b.id) select {SHOWN} from peptides where ({WIDE_SQL}) and list_has_any(list_concat(unique_taxonomy_ids, non_unique_taxonomy_ids), (select list(cast(id as int)) from below where id >= 1000))")
+def _(spark, sf_dir):
+    ids = [r.id for r in taxonomy.species(views.taxa(spark, sf_dir), views.ranks(spark), [101]).select("id").collect()]  # one subtree's species
+    return filtered(spark, sf_dir, taxa=ids)
+
+
+ONE, TWO = (Plan.of(MASSES[:6], [OXIDATION], (2000, 2000), n) for n in (1, 2))
+
+
+def forms(spark: SparkSession, sf_dir: str, plan: Plan, distinct: bool) -> DataFrame:
+    found = search.match(digested(spark, sf_dir).select("sequence", "mass").distinct(), plan)
+    return search.peptidoforms(found, plan, distinct)
+
+
+def forms_sql(plan: Plan, most: int) -> str:
+    """Placements of up to two oxidations by unnesting positions; the plan has conditions with 0, 1, .. of them."""
+    mark = f"[+{OXIDATION.delta / chem.SCALE:.6f}]"
+    parts = []
+    for q, c in zip(plan.query_mass, plan.conditions, strict=True):
+        lo, hi = plan.window(c)
+        k = len(c.variable)
+        source = f"(select distinct sequence, mass from digest where mass between {lo} and {hi})"
+        spots = f"(select sequence, mass, unnest(list_filter(range(1, length(sequence) + 1), lambda i: sequence[i] = 'M')) as i from {source})"
+        head = f"select cast({q} as bigint) as query_mass, x.sequence, x.mass + {k * OXIDATION.delta} as form_mass, "
+        if k == 0:
+            parts.append(f"{head} x.sequence as proforma from {source} x")
+        elif k == 1:
+            parts.append(f"{head} substr(x.sequence, 1, i) || '{mark}' || substr(x.sequence, i + 1) as proforma from {spots} x")
+        else:
+            parts.append(f"{head} substr(x.sequence, 1, x.i) || '{mark}' || substr(x.sequence, x.i + 1, y.i - x.i) || '{mark}' || substr(x.sequence, y.i + 1) as proforma from {spots} x join {spots} y on x.sequence = y.sequence and x.i < y.i")
+    return f"{BASE}, forms as ({' union all '.join(parts)})"
+
+
+@query("q_peptidoforms_one_mod", f"{forms_sql(ONE, 1)} select query_mass, sequence, proforma, form_mass from forms")
+def _(spark, sf_dir):
+    return forms(spark, sf_dir, ONE, False).select("query_mass", "sequence", "proforma", "form_mass")
+
+
+@query("q_peptidoforms_two_mods", f"{forms_sql(TWO, 2)} select query_mass, sequence, proforma, form_mass from forms")
+def _(spark, sf_dir):
+    return forms(spark, sf_dir, TWO, False).select("query_mass", "sequence", "proforma", "form_mass")
+
+
+@query("q_distinct_peptidoforms", f"{forms_sql(TWO, 2)} select distinct sequence, proforma, form_mass from forms")
+def _(spark, sf_dir):
+    return forms(spark, sf_dir, TWO, True).select("sequence", "proforma", "form_mass")
+
+
+# --- assay targets, sinks -------------------------------------------------------------------------------------------
+
+SPECIES = [1000, 1001, 1002, 1003, 1004]
+
+
+@query("q_charges", "select cast(spec as varchar) as spec, cast(charge as int) as charge from (values ('2', 2), ('2,4,3,2', 2), ('2,4,3,2', 3), ('2,4,3,2', 4), ('2-4', 2), ('2-4', 3), ('2-4', 4)) as t(spec, charge)")
+def _(spark, sf_dir):
+    return spark.createDataFrame([(s, c) for s in ("2", "2,4,3,2", "2-4") for c in targets.charges(s)], "spec string, charge int")
+
+
+@query(
+    "q_srm_targets",
+    f"""{PEPTIDES}, u as (select mass, sequence, unnest(protein_ids) as id from peptides where len(list_intersect(unique_taxonomy_ids, {[*SPECIES]})) = 1)
+    select accession || ' (' || array_to_string(genes, ', ') || ')' as protein, u.sequence, charge, cast(floor({MZ} * 1e5) as bigint) as mz5 from u join proteins using (id), (select unnest([2, 3]) as charge)""",
+)
+def _(spark, sf_dir):
+    out = targets.targets(peptide_table(spark, sf_dir), views.proteins(spark, sf_dir), SPECIES, "2-3")
+    return out.select("protein", "sequence", "charge", F.floor(F.col("mz") * 1e5).cast("long").alias("mz5"))
+
+
+@query("q_fasta", f"{forms_sql(ONE, 1)}, d as (select distinct proforma, form_mass from forms) select '>mdb|' || cast(row_number() over (order by form_mass, proforma) - 1 as varchar) || chr(10) || proforma as value from d")
+def _(spark, sf_dir):
+    return files.fasta(forms(spark, sf_dir, ONE, True), with_mass=False)
+
+
+@query(
+    "q_tsv",
+    f"""{PEPTIDES} select sequence, array_to_string(list_sort(list_transform(protein_ids, lambda i: 'D' || i)), ',') as proteins, is_swiss_prot, is_trembl, {joined_sql('unique_taxonomy_ids')}, {joined_sql('non_unique_taxonomy_ids')} from peptides""",
+)
+def _(spark, sf_dir):
+    return files.peptides_tsv(peptide_table(spark, sf_dir), views.proteins(spark, sf_dir)).drop("mass")
+
+
+@query("q_page", f"{BASE} select distinct mass, sequence from digest order by mass, sequence limit 50 offset 100")
+def _(spark, sf_dir):
+    return search.page(digested(spark, sf_dir).select("mass", "sequence").distinct(), 2, 50, "mass", "sequence")

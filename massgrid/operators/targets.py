@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +40,10 @@ def label(accession: str = "accession", genes: str = "genes"):
 
 
 def forms_of(ptms: list[Ptm], most_variable: int):
-    """UDF: (proforma, mass) of a sequence, modified in every allowed way, and plain."""
+    """pandas UDF: (proforma, mass) of a sequence, modified in every allowed way, and plain."""
     roles = PtmSet(ptms)
 
-    def run(sequence: str) -> list[tuple[str, int]]:
+    def one(sequence: str) -> list[dict]:
         mass = mass_of(sequence)
         out = {sequence: mass}
         if roles:
@@ -50,9 +51,12 @@ def forms_of(ptms: list[Ptm], most_variable: int):
             for c in conditions(roles, top, *mass_bounds(top, roles, 1), most_variable):
                 if c.matches(sequence):
                     out.update(expand(sequence, c))
-        return sorted(out.items())
+        return [{"proforma": text, "mass": m} for text, m in sorted(out.items())]
 
-    return F.udf(run, "array<struct<proforma:string,mass:long>>")
+    def run(sequences: pd.Series) -> pd.Series:
+        return sequences.map(one)
+
+    return F.pandas_udf(run, "array<struct<proforma:string,mass:long>>")
 
 
 def targets(peptides: DataFrame, proteins: DataFrame, species: list[int], spec: str = "2-3", ptms: list[Ptm] | None = None, most_variable: int = 2) -> DataFrame:

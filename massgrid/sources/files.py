@@ -92,7 +92,7 @@ def fasta(forms: DataFrame, with_mass: bool = True, sequence: str = "proforma",
 
 def plain_number(x: Column) -> Column:
     """Decimal without an exponent or trailing zeros."""
-    return F.regexp_replace(F.format_number(x, "0.#########"), ",", "")
+    return F.regexp_replace(F.regexp_replace(F.format_number(x, 9), ",", ""), r"\.?0+$", "")
 
 
 def peptides_tsv(peptides: DataFrame, proteins: DataFrame) -> DataFrame:

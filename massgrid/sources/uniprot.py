@@ -140,7 +140,7 @@ def features(ft: str) -> list[Feature]:
             out[-1].qualifiers[name] = m[2].strip()
         elif out and name:
             out[-1].qualifiers[name] += " " + line.strip()
-    return [Feature(f.key, f.isoform, f.start, f.end, {k: v.strip('"') for k, v in f.qualifiers.items()}) for f in out]
+    return [Feature(f.key, f.isoform, f.start, f.end, {k: v.strip().strip("\"") for k, v in f.qualifiers.items()}) for f in out]
 
 
 def alternative_products(cc: str) -> list[tuple[str, list[str], list[str]]]:
