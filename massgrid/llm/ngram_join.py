@@ -50,6 +50,12 @@ def linked(common, n_left, n_right, percent: int = 75):
     return 100 * common >= percent * (n_left + n_right - common)
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values, none of them negative."""
+    starts = np.flatnonzero(np.diff(values, prepend=-1))
+    return starts, np.append(starts, len(values))[1:]
+
+
 def _block_sets(keys: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple:
     """Sizes, set hashes, representative rows and (shingle | row) values, sorted."""
     sets, bounds = shingle_sets(raw, offsets)
@@ -81,8 +87,7 @@ def _shingle_blocks(bits: int):
                     j = min(hi, i + BLOCK_ROWS)
                     sizes, digest, _, values = _block_sets(keys[i:j], raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     bucket = (values >> U64(64 - bits)).astype(np.int64)
-                    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                    ends = np.append(cuts[1:], len(values))
+                    cuts, ends = _runs(bucket)
                     shingles = [values[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
                     documents = keys[i:j].tobytes() + digest.tobytes() + sizes.astype(np.int64).tobytes()
                     yield pa.RecordBatch.from_arrays(
@@ -112,8 +117,7 @@ def _frequent(table: pa.Table) -> pa.Table:
     by_block = np.argsort(block[order], kind="stable")
     order, count = order[by_block], count[by_block].astype(np.uint32)
     of = block[order]
-    cuts = np.flatnonzero(np.diff(of, prepend=-1))
-    ends = np.append(cuts[1:], len(of))
+    cuts, ends = _runs(of)
     names = table["block"].to_numpy()
     values = values[order]
     return pa.table(

@@ -17,8 +17,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": ngram_join.ORACLE,
-    "op6_toxicity": toxicity.query,
-    "op7_suffix_array_dedup": repeats.query,
-    "op8_language_id": langid.query,
     "op9_exact_top_k": topk.ORACLE,
 }

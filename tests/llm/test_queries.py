@@ -1,0 +1,48 @@
+"""Each query over the small tables, against its SQL where it has one; and the pipeline's stages."""
+
+import pytest
+from helpers import SMALL, same_rows
+
+import corpus_pipeline
+from massgrid.llm import queries, secrets, toxicity
+from test_ngram_join import brute as groups
+from test_repeats import brute as cut
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, duck, name):
+    same_rows(queries.QUERIES[name](spark, SMALL), duck, queries.ORACLES[name])
+
+
+def test_every_operator_has_a_query():
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+
+
+def test_pipeline(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        out.write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        kept[name] = (before, docs)
+        assert name == "packing" or docs.columns == before.columns
+    before, after = kept["toxicity"]
+    model = toxicity.train(before, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    want = {r.doc_id for r in toxicity.score(before, model).where("score < 0.5").collect()}
+    assert {r.doc_id for r in after.collect()} == want
+    before, after = kept["near-duplicates"]
+    rows = [(r.doc_id, r.text) for r in before.collect()]
+    assert {r.doc_id for r in after.collect()} == {k for k, _, c in groups(rows) if c == k}
+    before, after = kept["repeats"]
+    rows = sorted((r.doc_id, r.text) for r in before.collect())
+    left = {r.doc_id: r.text for r in after.collect()}
+    for (k, _), (n, gone, _, _) in zip(rows, cut([t for _, t in rows])):
+        assert n - gone - 12 <= len(left[k].encode()) <= n - gone  # parts of characters go
+    before, after = kept["secrets"]
+    again = secrets.scan(after, secrets.Model.trained(secrets.samples(spark)))
+    assert after.count() == before.count() and again.where("size(base) > 0").count() == 0
+    before, after = kept["packing"]
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
+    assert after.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").isEmpty()
+    assert corpus_pipeline.run(spark, SMALL).count() == after.count()
