@@ -10,7 +10,8 @@
 4. Then the tiles are taken whole: sets sorted by size, each against the band of following sizes that can still
    reach the threshold, unless both are in one component already. Bitmap signatures bound the overlap from above:
    a bit that is set on one side only stands for at least one shingle that is not shared. Pairs that remain get
-   the exact intersection of sorted arrays.
+   the exact intersection of sorted arrays. A tile of more than TILE_ROWS sets is split into blocks, and each pair
+   of blocks goes to a task of its own.
 
 Equal sets count once, so copies never make pairs. Shingles are held as 48-bit values, so a pair of sets of 500
 has a chance of 1e-9 to share a shingle by accident.
@@ -38,6 +39,8 @@ from massgrid.llm.graph import components
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 60_000  # a row of a block is a 16-bit number
 SIGNATURE_WORDS = 8
+#: Sets of a tile that one task compares; larger tiles are split.
+TILE_ROWS = 512
 LOW = U64(0xFFFF)
 
 
@@ -177,12 +180,12 @@ def _bound(m_left: np.ndarray, m_right: np.ndarray, left: np.ndarray, right: np.
 
 def _tile_pairs(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """Pairs of a bucket of tiles that the sizes and bitmaps do not rule out."""
+        """Pairs of a bucket of tiles, or of two blocks of a large tile, that the sizes and bitmaps do not rule out."""
         table = table.combine_chunks()
-        tile, rep, n, m, component = (table[c].to_numpy() for c in ("tile", "rep", "n", "m", "component"))
+        tile, rep, n, m, component, side = (table[c].to_numpy() for c in ("cell", "rep", "n", "m", "component", "side"))
         bits = np.frombuffer(b"".join(table["bits"].to_pylist()), U64).reshape(-1, SIGNATURE_WORDS)
         order = np.lexsort((n, tile))
-        tile, rep, n, m, component, bits = tile[order], rep[order], n[order], m[order], component[order], bits[order]
+        tile, rep, n, m, component, side, bits = tile[order], rep[order], n[order], m[order], component[order], side[order], bits[order]
         _, start = np.unique(tile, return_index=True)
         stop = np.append(start[1:], len(tile))
         last = np.empty(len(tile), np.int64)
@@ -196,7 +199,7 @@ def _tile_pairs(percent: int):
             j = max(i + 1, int(np.searchsorted(total, total[i] + 200_000, side="right")) - 1)
             x = np.repeat(left[i:j], width[i:j])
             y = gather_ranges(left[i:j] + 1, width[i:j])
-            keep = (component[x] != component[y]) & (rep[x] != rep[y])
+            keep = (component[x] != component[y]) & (rep[x] != rep[y]) & ((side[x] == 0) | (side[x] != side[y]))
             x, y = x[keep], y[keep]
             keep = linked(_bound(m[x], m[y], bits[x], bits[y]), n[x], n[y], percent)
             x, y = x[keep], y[keep]
@@ -252,9 +255,13 @@ def similar_sets(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
     first = verified(near.select("a", F.col("rep").alias("b")).distinct(), "links-by-pivot")
     groups = saved(components(first), "groups-by-pivot").select(F.col("vertex").alias("rep"), "component")
     open_ = postings.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = open_.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("tile")
-    tiles = open_.join(mixed, "tile", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(4 * buckets)))
-    pairs = tiles.groupBy("bucket").applyInArrow(_tile_pairs(percent), "a long, b long")
+    mixed = open_.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+    mixed = mixed.select("tile", F.ceil(F.col("rows") / TILE_ROWS).cast("int").alias("parts"))
+    # a large tile becomes blocks, and each pair of blocks a cell; sides 1 and 2 only meet each other
+    dealt = open_.join(mixed, "tile").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    cells = dealt.select(F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "rep", "n", "m", "component", "bits", side.cast("int").alias("side"))
+    pairs = cells.withColumn("bucket", F.pmod("cell", F.lit(4 * buckets))).groupBy("bucket").applyInArrow(_tile_pairs(percent), "a long, b long")
     second = verified(pairs.distinct(), "links-by-tile")
     return sets.select("doc_id", "digest", "n").join(reps, ["digest", "n"], "left").select("doc_id", "n", "rep"), first.union(second)
 

@@ -51,6 +51,13 @@ def test_against_all_pairs(table, odd_texts):
     assert got == brute(enumerate(texts))
 
 
+def test_split_tiles(table, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 2)
+    texts = near_copies(11, 3, 12)
+    got = sorted(map(tuple, ngram_join.join_groups(table(texts)).collect()))
+    assert got == brute(enumerate(texts))
+
+
 def test_chain_is_one_group(table):
     words = [f"w{i}" for i in range(60)]
     texts = []
