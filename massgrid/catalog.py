@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from massgrid import views
 from massgrid.functions import chemistry as chem
 from massgrid.functions.codecs import decode_ids, encode_ids
+from massgrid.functions.display import protein_text, taxon_text
 from massgrid.functions.hydrophobicity import hydrophobicity
 from massgrid.operators import build, search, targets, taxonomy
 from massgrid.operators.digest import Protease, digest, fragments, missed_cleavages
@@ -224,6 +225,28 @@ def _(spark, sf_dir):
     return build.touching_windows(rows)
 
 
+@query("q_mass_summary", f"{BASE} select n, round(mean, 3) as mean, round(deviation, 3) as deviation, least, most from (select count(*) as n, avg(mass / 1e9) as mean, stddev_pop(mass / 1e9) as deviation, min(mass / 1e9) as least, max(mass / 1e9) as most from (select distinct mass, sequence from digest))")
+def _(spark, sf_dir):
+    rows = digested(spark, sf_dir).select("mass", "sequence").distinct()
+    return chem.summary(rows, chem.float_mass(F.col("mass"))).select("n", F.round("mean", 3).alias("mean"), F.round("deviation", 3).alias("deviation"), "least", "most")
+
+
+@query("q_row_bytes", f"{PEPTIDES} select sequence, cast(16 + (5 * length(sequence) + 6 + 7) // 8 + 26 + 4 * (len(protein_ids) + len(unique_taxonomy_ids) + len(non_unique_taxonomy_ids)) + 1 as bigint) as bytes from peptides")
+def _(spark, sf_dir):
+    return peptide_table(spark, sf_dir).select("sequence", chem.row_bytes().alias("bytes"))
+
+
+@query("q_taxonomy_text", f"{TREE} select t.id, scientific_name || ' (' || r.name || '), id ' || t.id || ', parent ' || parent_id as text from taxa t join ranks r on r.id = t.rank_id")
+def _(spark, sf_dir):
+    return taxonomy.ranked(views.taxa(spark, sf_dir), views.ranks(spark)).select("id", taxon_text().alias("text"))
+
+
+@query("q_protein_text", f"""with {views.PROTEINS_SQL} select id, accession || chr(10) || 'taxon: ' || taxonomy_id || chr(10) || 'genes: ' || array_to_string(genes, ', ') || chr(10) || case when is_reviewed then 'reviewed' else 'not reviewed' end || chr(10) ||
+  array_to_string(list_transform(range(0, greatest((length(sequence) + 59) // 60, 1)), lambda i: substr(sequence, cast(60 * i + 1 as int), 60)), chr(10)) as text from proteins""")
+def _(spark, sf_dir):
+    return views.proteins(spark, sf_dir).select("id", protein_text().alias("text"))
+
+
 # --- taxonomy -------------------------------------------------------------------------------------------------------
 
 

@@ -116,3 +116,32 @@ def residue_counts(sequence: Column) -> Column:
 def amino_acids(spark: SparkSession) -> DataFrame:
     """(code, mono_mass, is_canonical, name), a fixed table."""
     return spark.createDataFrame([(c, MASS[c], c in CANONICAL, RESIDUE_NAMES[c]) for c in sorted(MASS)], "code string, mono_mass long, is_canonical boolean, name string")
+
+
+#: No peptide of 50 residues is heavier.
+HEAVIEST = WATER + 50 * MASS["W"]
+
+
+def rounded(mass: Column) -> Column:
+    """Dalton to four places, as shown to readers."""
+    return F.round(float_mass(mass), 4)
+
+
+def row_bytes(sequence: str = "sequence", ids: str = "protein_ids", unique: str = "unique_taxonomy_ids", other: str = "non_unique_taxonomy_ids") -> Column:
+    """Estimated bytes of a peptide row: partition and mass, packed sequence, 26 counts, ids and taxa, flags."""
+    packed = F.ceil((F.length(sequence) * 5 + 6) / 8)
+    return (F.lit(16) + packed + 26 + 4 * (F.size(ids) + F.size(unique) + F.size(other)) + 1).cast("long")
+
+
+def mass_unit(name: str) -> str:
+    """Thompson (m/z) or Dalton, by any of their usual names."""
+    known = {"th": "Thompson", "thompson": "Thompson", "m/z": "Thompson", "da": "Dalton", "dalton": "Dalton"}
+    try:
+        return known[name.strip().lower()]
+    except KeyError:
+        raise ValueError(f"no unit of mass: {name!r}") from None
+
+
+def summary(rows: DataFrame, value: Column) -> DataFrame:
+    """(n, mean, deviation, least, most) of a value; the deviation is that of the whole population."""
+    return rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("most"))

@@ -105,7 +105,7 @@ def digest(proteins: DataFrame, protease: Protease = Protease(), masses: tuple[i
         made = F.array_distinct(_windows(F.col("_parts"), protease, True)) if not protease.semi else F.array_distinct(F.flatten(F.transform(_windows(F.col("_parts"), protease, False), lambda w: _free_ends(w, protease))))
     else:
         made = peptides_of(F.col("sequence"), protease)
-    # the mass is made with the peptide, before rows are: otherwise each later test of it would compute it again
-    made = F.transform(F.filter(made, lambda s: known(s, protease)), lambda s: F.struct(s.alias("sequence"), peptide_mass(s).alias("mass")))
-    out = rows.select(F.col("id").alias("protein_id"), F.explode(made).alias("p"), *kept).select("protein_id", "p.sequence", "p.mass", *kept)
+    found = rows.select(F.col("id").alias("protein_id"), F.explode(made).alias("sequence"), *kept).where(known(F.col("sequence"), protease))
+    # a generator of one row: later tests of the mass cannot be pushed below it, where each would compute it again
+    out = found.select("protein_id", F.inline(F.array(F.struct("sequence", peptide_mass(F.col("sequence")).alias("mass")))), *kept)
     return out.where(F.col("mass").between(*masses)) if masses else out

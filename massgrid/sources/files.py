@@ -126,3 +126,21 @@ def json_lines(rows: DataFrame) -> DataFrame:
 
 def write_text(rows: DataFrame, path: str) -> None:
     rows.select("value").write.mode("overwrite").text(path)
+
+
+def text_lines(forms: DataFrame, sequence: str = "proforma") -> DataFrame:
+    """Plain text: one form on a line."""
+    return forms.select(F.col(sequence).alias("value"))
+
+
+def mobility_request(sequences: list[str], charges: list[int], name: str = "0") -> dict:
+    """Body of an inference request for ion mobilities: two columns of equal length."""
+    if len(sequences) != len(charges):
+        raise ValueError("as many charges as sequences are needed")
+    column = lambda n, kind, data: {"name": n, "shape": [len(data), 1], "datatype": kind, "data": data}
+    return {"id": name, "inputs": [column("peptide_sequences", "BYTES", sequences), column("precursor_charges", "INT32", charges)]}
+
+
+def mobility_response(body: dict) -> list[float]:
+    """The values of the only output of an inference response."""
+    return [float(x) for x in body["outputs"][0]["data"]]

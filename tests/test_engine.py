@@ -191,3 +191,17 @@ def test_files(spark, tmp_path, engine, proteins):
     files.write_tsv(out, str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), sep="\t", header=True).count() == engine.peptides.count()
     assert files.json_lines(out).first().value.startswith("{")
+
+
+def test_stream_of_masses(engine, spark, tmp_path):
+    from massgrid.functions.display import peptide_text
+    from massgrid.streaming.searches import search_stream
+
+    wanted = [r.mass for r in engine.peptides.limit(3).collect()]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(m,) for m in wanted], "mass long").write.parquet(source)
+    stream = spark.readStream.schema("mass long").parquet(source)
+    search_stream(stream, engine.peptides, out, str(tmp_path / "marks"), ppm=(1, 1)).awaitTermination()
+    found = spark.read.parquet(out)
+    assert {r.mass for r in found.collect()} == set(wanted)
+    assert engine.peptides.select(peptide_text().alias("t")).first().t.count("\n") == 6

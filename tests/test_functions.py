@@ -86,3 +86,22 @@ def test_peptidoforms():
 
 def test_windows_merge():
     assert merged_windows([("a", 1, 5), ("a", 5, 9), ("b", 2, 3), ("a", 20, 21)]) == [("a", 1, 9, 2), ("a", 20, 21, 1), ("b", 2, 3, 1)]
+
+
+def test_display_and_units():
+    import base64
+    import json
+
+    from massgrid.functions.display import search_payload
+    from massgrid.sources.files import mobility_request, mobility_response
+
+    body = {"mass": 839.4, "ptms": [], "note": "??>>~~"}
+    for encode in (base64.b64encode, base64.urlsafe_b64encode):
+        assert search_payload(encode(json.dumps(body).encode()).decode().rstrip("=")) == body
+    assert chem.mass_unit(" Da ") == "Dalton" and chem.mass_unit("m/z") == "Thompson"
+    with pytest.raises(ValueError):
+        chem.mass_unit("kg")
+    assert chem.HEAVIEST == chem.mass_of("W" * 50)
+    assert mobility_request(["AK"], [2])["inputs"][1]["data"] == [2] and mobility_response({"outputs": [{"data": [0.5]}]}) == [0.5]
+    with pytest.raises(ValueError):
+        mobility_request(["AK"], [])
