@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -86,5 +87,7 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of tables that nothing refers to any more, before the next step needs the disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # handles of Python first, then what they kept alive
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -241,7 +241,7 @@ def similar_sets(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
     reps = sets.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
     active = sets.where("prefix is not null").join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
     active = saved(active.select(F.col("doc_id").alias("rep"), "n", "shared", "prefix", "bits"), "active-sets")
-    postings = active.select("rep", "n", F.size("shared").cast("long").alias("m"), "bits", F.explode("prefix").alias("tile"))
+    postings = active.select("rep", "n", F.explode("prefix").alias("tile"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         left = active.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
@@ -249,16 +249,16 @@ def similar_sets(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
         joined = pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "shared_a", "shared_b")
         return saved(joined.mapInArrow(lean(_verify(percent)), "a long, b long"), name)
 
-    thin = postings.select("tile", "rep", "n")
-    pivots = thin.groupBy("tile").agg(F.min(F.struct("rep", "n")).alias("p"), F.max("rep").alias("top")).where("p.rep < top").select("tile", F.col("p.rep").alias("a"), F.col("p.n").alias("n_a"))
-    near = thin.join(pivots, "tile").where(f"rep <> a and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
+    pivots = postings.groupBy("tile").agg(F.min(F.struct("rep", "n")).alias("p"), F.max("rep").alias("top")).where("p.rep < top").select("tile", F.col("p.rep").alias("a"), F.col("p.n").alias("n_a"))
+    near = postings.join(pivots, "tile").where(f"rep <> a and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
     first = verified(near.select("a", F.col("rep").alias("b")).distinct(), "links-by-pivot")
     groups = saved(components(first), "groups-by-pivot").select(F.col("vertex").alias("rep"), "component")
     open_ = postings.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = open_.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
     mixed = mixed.select("tile", F.ceil(F.col("rows") / TILE_ROWS).cast("int").alias("parts"))
     # a large tile becomes blocks, and each pair of blocks a cell; sides 1 and 2 only meet each other
-    dealt = open_.join(mixed, "tile").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    marked = active.select("rep", F.size("shared").cast("long").alias("m"), "bits")
+    dealt = open_.join(mixed, "tile").join(marked, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     cells = dealt.select(F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "rep", "n", "m", "component", "bits", side.cast("int").alias("side"))
     pairs = cells.withColumn("bucket", F.pmod("cell", F.lit(4 * buckets))).groupBy("bucket").applyInArrow(_tile_pairs(percent), "a long, b long")
