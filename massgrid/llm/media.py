@@ -218,4 +218,4 @@ def members(shard: bytes) -> list[tuple[str, bytes]]:
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: media columns of every document."""
     out = media_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(";", F.format_string("%dx%dx%d", "width", "height", "bits"), "feature").alias("feature"), "shard", "offset")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(";", F.format_string("%dx%dx%d", "width", "height", "bits"), "feature").alias("feature"))
