@@ -11,7 +11,10 @@
    reach the threshold, unless both are in one component already. Bitmap signatures bound the overlap from above:
    a bit that is set on one side only stands for at least one shingle that is not shared. Pairs that remain get
    the exact intersection of sorted arrays. A tile of more than TILE_ROWS sets is split into blocks, and each pair
-   of blocks goes to a task of its own.
+   of blocks goes to a task of its own. Now the components are known.
+5. A link never leaves its component. So the join takes every component whole, each pair of its sets once: one of
+   more than TILE_ROWS sets or TILE_SHINGLES shingles is split into pairs of parts, and each of these cells counts
+   the exact overlap of all its pairs.
 
 Equal sets count once, so copies never make pairs. Shingles are held as 48-bit values, so a pair of sets of 500
 has a chance of 1e-9 to share a shingle by accident.
@@ -41,6 +44,10 @@ BLOCK_ROWS = 60_000  # a row of a block is a 16-bit number
 SIGNATURE_WORDS = 8
 #: Sets of a tile that one task compares; larger tiles are split.
 TILE_ROWS = 512
+#: Shingles, copies counted, of the sets of a part of a component.
+TILE_SHINGLES = 1 << 18
+#: Sets with a shingle in common that are counted pair by pair.
+RARE = 32
 LOW = U64(0xFFFF)
 
 
@@ -225,11 +232,87 @@ def _verify(percent: int):
     return run
 
 
-def similar_sets(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): a row (doc_id, n, rep) of every document, and links (a, b) between representatives.
+def _small_cells(row: np.ndarray, shingle: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, common): rows of one cell with shingles in common, for many small cells at once."""
+    order = np.lexsort((row, shingle, cell[row]))
+    row, shingle = row[order], shingle[order]
+    start = np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (cell[row][1:] != cell[row][:-1])]))
+    end = np.repeat(np.append(start[1:], len(row)), np.diff(np.append(start, len(row))))
+    at = np.arange(len(row))
+    x, y = np.repeat(row, end - at - 1), row[gather_ranges(at + 1, end - at - 1)]
+    pair, common = np.unique(x * len(cell) + y, return_counts=True)
+    return pair // len(cell), pair % len(cell), common
+
+
+def _large_cell(row: np.ndarray, shingle: np.ndarray, rows: int) -> np.ndarray:
+    """Shingles in common of all pairs of rows: rare shingles by their pairs, the others by a product of matrices."""
+    order = np.lexsort((row, shingle))
+    row, shingle = row[order], shingle[order]
+    start = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+    count = np.diff(np.append(start, len(row)))
+    common = np.zeros(rows * rows, np.int64)
+    rare = start[(count > 1) & (count <= RARE)]
+    for i in range(0, len(rare), 4096):
+        width = count[np.searchsorted(start, rare[i : i + 4096])]
+        at = gather_ranges(rare[i : i + 4096], width)
+        left = np.repeat(rare[i : i + 4096] + width, width) - at - 1
+        common += np.bincount(np.repeat(row[at], left) * rows + row[gather_ranges(at + 1, left)], minlength=rows * rows)
+    common = common.reshape(rows, rows)
+    often = start[count > RARE]
+    for i in range(0, len(often), 2048):  # counts below 2**24 are exact in single precision
+        width = count[np.searchsorted(start, often[i : i + 2048])]
+        held = np.zeros((rows, len(width)), np.float32)
+        held[row[gather_ranges(often[i : i + 2048], width)], np.repeat(np.arange(len(width)), width)] = 1
+        common += np.triu(held @ held.T, 1).astype(np.int64)
+    return common
+
+
+def _cell_links(percent: int, listed: bool):
+    def run(table: pa.Table) -> pa.Table:
+        """The links of a bucket of cells, from exact overlaps."""
+        table = table.combine_chunks()
+        cell, rep, n, side = (table[c].to_numpy() for c in ("cell", "rep", "n", "side"))
+        order = np.argsort(cell, kind="stable")
+        cell, rep, n, side = cell[order], rep[order], n[order], side[order]
+        lists = table["shared"].combine_chunks().take(pa.array(order))
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        start, stop = _runs(np.unique(cell, return_inverse=True)[1])
+        found, waiting, held = [(np.zeros(0, np.int64),) * 3], [], 0
+
+        def small() -> None:
+            rows = np.concatenate(waiting)
+            width = bounds[rows + 1] - bounds[rows]
+            found.append(_small_cells(np.repeat(rows, width), values[gather_ranges(bounds[rows], width)], cell))
+
+        for a, b in zip(start, stop, strict=True):
+            size = int(bounds[b] - bounds[a])
+            if b - a > RARE or size * (b - a) > 8 * TILE_SHINGLES:
+                common = _large_cell(np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1])), values[bounds[a] : bounds[b]], b - a)
+                x, y = np.nonzero(common)
+                found.append((a + x, a + y, common[x, y]))
+            else:
+                waiting.append(np.arange(a, b))
+                held += size * (b - a)
+                if held > 8 * TILE_SHINGLES:
+                    small()
+                    waiting, held = [], 0
+        if waiting:
+            small()
+        x, y, common = (np.concatenate(c) for c in zip(*found, strict=True))
+        keep = linked(common, n[x], n[y], percent) & (rep[x] != rep[y]) & ((side[x] == 0) | (side[x] != side[y]))
+        x, y, common = rep[x[keep]], rep[y[keep]], common[keep]
+        if listed:
+            return pa.table([np.minimum(x, y), np.maximum(x, y), common], names=["a", "b", "common"])
+        reps, count = np.unique(np.concatenate([x, y]), return_counts=True)
+        return pa.table([reps, count], names=["rep", "n_links"])
+
+    return run
 
-    rep is the least doc_id with the same set. The links connect exactly the representatives that the threshold
-    connects, directly or through others; links inside one component may be left out.
+
+def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, active, groups): (doc_id, n, rep) of every document, (rep, n, shared, ...) of the sets that may have
+    links, and (rep, component) of those that have one. rep is the least doc_id with the same set.
     """
     rows = text_rows(docs).where("doc_id is not null")
     buckets = bucket_count(docs, 256 << 10, 256)
@@ -263,14 +346,54 @@ def similar_sets(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
     cells = dealt.select(F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "rep", "n", "m", "component", "bits", side.cast("int").alias("side"))
     pairs = cells.withColumn("bucket", F.pmod("cell", F.lit(4 * buckets))).groupBy("bucket").applyInArrow(_tile_pairs(percent), "a long, b long")
     second = verified(pairs.distinct(), "links-by-tile")
-    return sets.select("doc_id", "digest", "n").join(reps, ["digest", "n"], "left").select("doc_id", "n", "rep"), first.union(second)
+    groups = saved(components(first.union(second)), "groups").withColumnRenamed("vertex", "rep")
+    return sets.select("doc_id", "digest", "n").join(reps, ["digest", "n"], "left").select("doc_id", "n", "rep"), active, groups
+
+
+def _links(active: DataFrame, groups: DataFrame, percent: int, listed: bool) -> DataFrame:
+    """All links of the components: pairs (a, b, common), or (rep, n_links), where n_links may come in parts."""
+    held = active.select("rep", F.size("shared").cast("long").alias("m")).join(groups, "rep").groupBy("component").agg(F.count("*").alias("rows"), F.sum("m").alias("m"))
+    large = held.select("component", F.ceil(F.greatest(F.col("rows") / TILE_ROWS, F.col("m") / TILE_SHINGLES)).cast("int").alias("parts")).where("parts > 1")
+    placed = groups.join(large, "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # as with tiles: pairs of parts, in which sides 1 and 2 only meet each other
+    dealt = active.select("rep", "n", "shared").join(placed, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    cell = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
+    cells = dealt.select(cell.alias("cell"), "parts", "rep", "n", side.cast("int").alias("side"), "shared")
+    bucket = F.when(F.col("parts") > 1, F.col("cell")).otherwise(F.pmod("cell", F.lit(bucket_count(active, 64 << 10, 256))))
+    return cells.withColumn("bucket", bucket).drop("parts").groupBy("bucket").applyInArrow(_cell_links(percent, listed), "a long, b long, common long" if listed else "rep long, n_links long")
+
+
+def similar_sets(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """(sets, links): a row (doc_id, n, rep) of every document, and every link (a, b, common), a < b, between representatives.
+
+    rep is the least doc_id with the same set; common is the number of shingles that both sets hold. A group of k
+    near copies has up to k (k - 1) / 2 links.
+    """
+    sets, active, groups = _grouped(docs, percent)
+    return sets, _links(active, groups, percent, True)
+
+
+def join(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every document; n_links counts the different sets linked with its own.
+
+    Every link is found and counted where it is found, so that a large group sends no pairs.
+    """
+    return _joined(docs, percent, True)
 
 
 def join_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    sets, links = similar_sets(docs, percent)
-    groups = components(links).withColumnRenamed("vertex", "rep")
-    linked_ = sets.join(groups, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    """(doc_id, n_shingles, component_id) of every document; enough links are followed to know the groups."""
+    return _joined(docs, percent, False)
+
+
+def _joined(docs: DataFrame, percent: int, counted: bool) -> DataFrame:
+    sets, active, groups = _grouped(docs, percent)
+    if counted:
+        counts = _links(active, groups, percent, False).groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+        groups = groups.join(saved(counts, "link-counts"), "rep", "left")
+    more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []
+    linked_ = sets.join(groups, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), *more)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +401,7 @@ def join_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), batch.column(0)], names=["doc_id", "n_shingles", "component_id"])
 
     unnamed = text_rows(docs).where("doc_id is null").mapInArrow(lean(sizes), "doc_id long, n_shingles long, component_id long")
-    return linked_.union(unnamed)
+    return linked_.union(unnamed.withColumn("n_links", F.lit(0).cast("long")) if counted else unnamed)
 
 
 def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -289,8 +412,8 @@ def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op2: groups of near-duplicate documents."""
-    return join_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """op2: groups of near-duplicate documents. All links are found and counted; the columns are those of the SQL."""
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_links")
 
 
 ORACLE = r"""

@@ -76,3 +76,27 @@ def test_null_ids_empty_table_and_representatives(spark, empty, table):
     docs = table(["a b c d e f", "a b c d e f", "other words of its own here", None])
     kept = ngram_join.representatives(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
+def all_links(rows):
+    """Every link between different sets, by least doc_ids, with the shingles in common."""
+    sets = {}
+    for key, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        sets.setdefault(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset(), key)
+    found = [(k, s) for s, k in sets.items() if s]
+    return sorted((*sorted((a, b)), len(s & t)) for i, (a, s) in enumerate(found) for b, t in found[i + 1 :] if 100 * len(s & t) >= 75 * len(s | t)), sets
+
+
+def test_every_link_is_found_and_counted(table, monkeypatch):
+    texts = near_copies(5, 3, 9) + near_copies(8, 2, 45)  # some groups take the way of large cells
+    texts += [texts[0], texts[0], None]
+    want, _ = all_links(enumerate(texts))
+    for rows in (512, 4):
+        monkeypatch.setattr(ngram_join, "TILE_ROWS", rows)
+        sets, links = ngram_join.similar_sets(table(texts))
+        assert sorted(map(tuple, links.collect())) == want
+        rep = {r.doc_id: r.rep for r in sets.collect()}
+        got = {r.doc_id: r.n_links for r in ngram_join.join(table(texts)).collect()}
+        assert got == {k: sum(rep[k] in link[:2] for link in want) for k in range(len(texts))}
+    assert len(want) > 500
