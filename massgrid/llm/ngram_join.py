@@ -101,7 +101,7 @@ def _shingle_blocks(bits: int):
                     shingles = [values[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
                     documents = keys[i:j].tobytes() + digest.tobytes() + sizes.astype(np.int64).tobytes()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.append(bucket[cuts], -1 - block % (1 << bits)), pa.int64()), pa.array(np.full(len(cuts) + 1, block), pa.int64()), pa.array([*shingles, None], pa.binary()), pa.array([None] * len(cuts) + [documents], pa.binary())],
+                        [pa.array(np.append(bucket[cuts], -1 - int(mix(np.array([block], U64))[0] >> U64(64 - bits))), pa.int64()), pa.array(np.full(len(cuts) + 1, block), pa.int64()), pa.array([*shingles, None], pa.binary()), pa.array([None] * len(cuts) + [documents], pa.binary())],
                         names=["bucket", "block", "shingles", "documents"],
                     )
                     block += 1

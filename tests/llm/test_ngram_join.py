@@ -100,3 +100,9 @@ def test_every_link_is_found_and_counted(table, monkeypatch):
         got = {r.doc_id: r.n_links for r in ngram_join.join(table(texts)).collect()}
         assert got == {k: sum(rep[k] in link[:2] for link in want) for k in range(len(texts))}
     assert len(want) > 500
+
+
+def test_documents_of_first_blocks_are_spread(table):
+    docs = table([f"{i} b c d e f g" for i in range(40)]).repartition(20).select("doc_id", "text")
+    rows = docs.mapInArrow(ngram_join._shingle_blocks(6), "bucket long, block long, shingles binary, documents binary")
+    assert rows.where("bucket < 0").select("bucket").distinct().count() > 5
