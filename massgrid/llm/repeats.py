@@ -11,8 +11,10 @@
 4. The covered intervals go back to all places of their segments by a join, and the texts are cut.
 
 An anchor with more than HOT contents is first split by the 361 bytes that up to 40 of its windows have in common.
-Segments of one anchor only match at equal places, so a group that is still larger than a bucket may be is compared
-place by place with window hashes instead. Texts are never held together; a bucket's bytes are bounded.
+Equal parts are counted before the shuffle: one that stands in several segments is covered as a whole, and only one
+copy goes on. Segments of one anchor only match at equal places, so where a split still leaves more than HOT different
+parts, their windows are counted by place and hash, without bytes. So no group has more than HOT strings of at most
+640 bytes, and texts are never held together.
 
 Cases: a null or empty text has nothing to remove, nor has one under 400 bytes; a repeated row removes both; rows
 with equal doc_ids but other texts are separate; long texts are taken in overlapping pieces; an empty table gives an
@@ -200,47 +202,62 @@ def intervals(marks: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return row[first], at[first] - offsets[row[first]], at[last] - offsets[row[first]] + LENGTH if len(at) else at
 
 
-CONTENTS = "bucket long, key long, anchor long, seg long, len long, shift long, at long, bytes binary"
+CONTENTS = "hot boolean, key long, anchor long, seg long, len long, shift long, at long, part long, bytes binary"
 
 
-def _cut(buckets: int):
-    names = ["bucket", "key", "anchor", "seg", "len", "shift", "at", "bytes"]
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the segments asked for; of hot anchors, by groups of windows under the hash of what these share."""
+    kinds = {"hot": pa.bool_(), "bytes": pa.binary()}
+    names = ["hot", "key", "anchor", "seg", "len", "shift", "at", "part", "bytes"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of the segments asked for; of hot anchors, by groups of windows under the hash of what these share."""
-        for batch in batches:
-            out: list[tuple] = []
-            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                raw = text.as_py().encode()
-                for want in wanted.as_py():
-                    start, size, at, anchor, seg = (want[x] for x in ("start", "len", "at", "anchor", "seg"))
-                    part = raw[start : start + size]
-                    if not want["hot"]:
-                        out.append((anchor % buckets, anchor, anchor, seg, size, 0, at, part))
-                        continue
-                    roll = Rolling(np.frombuffer(part, np.uint8), 17)
-                    begin = np.arange(size - LENGTH + 1)
-                    group = (begin - at) // GROUP
-                    for g in np.unique(group):
-                        a, b = int(begin[group == g][0]), int(begin[group == g][-1])
-                        core = int(roll.hash(np.array([at + g * GROUP + GROUP - 1]), np.array([at + g * GROUP + LENGTH]))[0])
-                        key = int(mix(np.array([core ^ (anchor & (2**64 - 1)), int(g) & 0xFFFF], U64)).view(np.int64).sum())
-                        out.append((key % buckets, key, anchor, seg, size, a, at - a, part[a : b + LENGTH]))
-                if sum(len(o[-1]) for o in out[-200:]) > 1 << 18 or len(out) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if x == "bytes" else pa.int64()) for c, x in zip(zip(*out, strict=True), names, strict=True)], names=names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if x == "bytes" else pa.int64()) for c, x in zip(zip(*out, strict=True), names, strict=True)], names=names)
-
-    return run
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(x, pa.int64())) for c, x in zip(zip(*out, strict=True), names, strict=True)], names=names)
+
+    for batch in batches:
+        out: list[tuple] = []
+        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+            raw = text.as_py().encode()
+            for want in wanted.as_py():
+                start, size, at, anchor, seg = (want[x] for x in ("start", "len", "at", "anchor", "seg"))
+                part = raw[start : start + size]
+                if not want["hot"]:
+                    out.append((False, anchor, anchor, seg, size, 0, at, seg, part))
+                    continue
+                roll = Rolling(np.frombuffer(part, np.uint8), 17)
+                begin = np.arange(size - LENGTH + 1)
+                group = (begin - at) // GROUP
+                for g in np.unique(group):
+                    a, b = int(begin[group == g][0]), int(begin[group == g][-1])
+                    core, whole = roll.hash(np.array([at + g * GROUP + GROUP - 1, a]), np.array([at + g * GROUP + LENGTH, b + LENGTH]))
+                    key = int(mix(np.array([int(core) ^ (anchor & (2**64 - 1)), int(g) & 0xFFFF], U64)).view(np.int64).sum())
+                    out.append((True, key, anchor, seg, size, a, at - a, int(whole.view(np.int64)), part[a : b + LENGTH]))
+            if sum(len(o[-1]) for o in out[-200:]) > 1 << 18 or len(out) > 2000:
+                yield packed(out)
+                out = []
+        if out:
+            yield packed(out)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of parts, by their place from the anchor and their hash."""
+    for batch in batches:
+        key, part, at = (batch.column(i).to_numpy() for i in range(3))
+        raw, offsets = text_bytes(batch.column(3))
+        count = np.diff(offsets) - LENGTH + 1
+        row = np.repeat(np.arange(len(count)), count)
+        start = gather_ranges(offsets[:-1], count)
+        begin = start - offsets[row]
+        window = Rolling(raw, 19).hash(start, start + LENGTH).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[row], part[row], begin, begin - at[row], window)], names=["key", "part", "s", "place", "window"])
 
 
 def _resolve(table: pa.Table) -> pa.Table:
     """What is covered in the segments of a bucket."""
     table = table.combine_chunks()
-    key, anchor, seg, size, shift, at = (table[c].to_numpy() for c in ("key", "anchor", "seg", "len", "shift", "at"))
-    order = np.lexsort((shift, size, seg, key))
-    same = np.concatenate([[False], (key[order][1:] == key[order][:-1]) & (seg[order][1:] == seg[order][:-1]) & (size[order][1:] == size[order][:-1]) & (shift[order][1:] == shift[order][:-1])])
+    key, anchor, seg, size, at = (table[c].to_numpy() for c in ("key", "anchor", "seg", "len", "at"))
+    hot = table["hot"].to_numpy()
+    order = np.lexsort((size, seg, key))
+    same = np.concatenate([[False], (key[order][1:] == key[order][:-1]) & (seg[order][1:] == seg[order][:-1]) & (size[order][1:] == size[order][:-1])])
     order = order[~same]
     group, count = np.unique(key[order], return_counts=True)
     order = order[np.repeat(count, count) > 1]
@@ -258,10 +275,21 @@ def _resolve(table: pa.Table) -> pa.Table:
         marks = long_matches(bytes_, inner) if len(bytes_) <= 2 * SORTED_BYTES else aligned_matches(bytes_, inner, at[order[begin:end]])
         row, a, b = intervals(marks, inner)
         row = order[begin + row]
-        found.append((anchor[row], seg[row], size[row], shift[row] + a, shift[row] + b))
+        found.append((hot[row], anchor[row], seg[row], size[row], a, b))
         begin = done
-    cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
-    return pa.table([pa.array(c) for c in cols], names=["anchor", "seg", "len", "s", "e"])
+    cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, bool), *[np.zeros(0, np.int64)] * 5]
+    return pa.table([pa.array(c) for c in cols], names=["hot", "anchor", "seg", "len", "s", "e"])
+
+
+def _hot_cover(sent: DataFrame, found: DataFrame, copies: DataFrame, many: DataFrame) -> DataFrame:
+    """(anchor, seg, len, s, e) of hot anchors, from what is covered in each part. Windows of one part overlap, so they cover one interval."""
+    windows = saved(many.select("key", "part", "at", "bytes").mapInArrow(lean(_windows), "key long, part long, s long, place long, window long"), "windows")
+    again = windows.groupBy("key", "place", "window").count().where("count > 1").drop("count")
+    spans = windows.join(again, ["key", "place", "window"]).select("key", "part", "s", (F.col("s") + LENGTH).alias("e"))
+    spans = spans.union(found.where("hot").select(F.col("anchor").alias("key"), F.col("seg").alias("part"), "s", "e"))
+    spans = spans.union(copies.where("n > 1").select("key", "part", F.lit(0).cast("long"), F.octet_length("bytes").cast("long")))
+    spans = spans.groupBy("key", "part").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return sent.where("hot").select("key", "part", "anchor", "seg", "len", "shift").join(spans, ["key", "part"]).select("anchor", "seg", "len", F.col("shift") + F.col("s"), F.col("shift") + F.col("e"))
 
 
 def covered(docs: DataFrame, carry: list[str], text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -276,11 +304,19 @@ def covered(docs: DataFrame, carry: list[str], text: str = "text", key: str = "d
     volume = wanted.agg(F.sum("len")).first()[0] or 0
     buckets = max(16, int(volume) // (256 << 10))
     asked = wanted.groupBy("k", "h").agg(F.collect_list(F.struct("start", "len", "at", "anchor", "seg", "hot")).alias("wanted"))
-    sent = rows.join(asked, ["k", "h"]).select("text", "wanted").mapInArrow(lean(_cut(buckets)), CONTENTS)
-    parts = sent.groupBy("bucket").applyInArrow(_resolve, "anchor long, seg long, len long, s long, e long")
+    sent = saved(rows.join(asked, ["k", "h"]).select("text", "wanted").mapInArrow(lean(_cut), CONTENTS), "parts")
+    copies = saved(sent.where("hot").groupBy("key", "part").agg(F.count("*").alias("n"), F.first("at").alias("at"), F.first("bytes").alias("bytes")), "hot-parts")
+    different = copies.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1")
+    large = F.broadcast(different.where(F.col("parts") > HOT).select("key"))  # a key for at least HOT parts
+    few = copies.join(large, "key", "left_anti").join(different, "key")
+    bucket = F.pmod("key", F.lit(buckets)).alias("bucket")
+    strings = sent.where("not hot").select(bucket, "hot", "key", "anchor", "seg", "len", "at", "bytes")
+    strings = strings.union(few.select(bucket + buckets, F.lit(True), "key", F.col("key"), "part", F.octet_length("bytes").cast("long"), "at", "bytes"))
+    found = saved(strings.groupBy("bucket").applyInArrow(_resolve, "hot boolean, anchor long, seg long, len long, s long, e long"), "found")
+    parts = found.where("not hot").drop("hot").union(_hot_cover(sent, found, copies, copies.join(large, "key", "left_semi")))
     whole = contents.where("n > 1").select("anchor", "seg", "len", F.lit(0).cast("long").alias("s"), F.col("len").alias("e"))
     cover = saved(whole.union(parts), "cover")
-    del sent, parts
+    del sent, strings, copies, different, large, few, found, parts
     released(docs.sparkSession)
     back = places.select("k", "h", "start", "anchor", "seg", "len").join(cover, ["anchor", "seg", "len"])
     spans = back.groupBy("k", "h").agg(F.collect_list(F.struct((F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))).alias("spans"))

@@ -79,3 +79,20 @@ def test_carried_columns_and_empty_table(table, empty):
     out = repeats.without_repeats(docs, ("score", "spans"), as_text=True).collect()
     assert {(r.doc_id, r.kept, r.carried.score, r.carried.spans) for r in out} == {(0, "", 0.5, "x"), (1, "", 0.5, "x")}
     assert repeats.without_repeats(empty).count() == 0
+
+
+def test_a_passage_in_many_documents_sends_few_copies(table, monkeypatch):
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = prose(900)
+    texts = [prose(rng.randint(30, 300)) + shared + prose(rng.randint(30, 300)) for _ in range(60)]
+    texts += [prose(50) + shared[a : a + 430] + prose(50) for a in range(0, 460, 23)]
+    monkeypatch.setattr(repeats, "HOT", 8)
+    resolve = repeats._resolve
+
+    def bounded(found):
+        assert max(Counter(found["key"].to_pylist()).values()) <= 8
+        return resolve(found)
+
+    monkeypatch.setattr(repeats, "_resolve", bounded)
+    check(repeats.without_repeats(table(texts)), texts)
