@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from massgrid.llm.common import lean
 
-#: Tags whose content is no text of the page.
-HIDDEN = "script|style|title|noscript|template|svg|iframe|math|object|canvas"
+#: Tags whose content is no text of the page. That of all others, drawings and formulas among them, is for the field to judge.
+HIDDEN = "script|style|title|noscript|template|iframe"
+#: Tags in which a self-closed tag of any name is empty.
+FOREIGN = ("svg", "math")
 #: Tags that end a block where they open or close.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split()
@@ -35,8 +37,10 @@ VOID = frozenset("hr br img input meta link area base col embed source track wbr
 #: Opening one of these closes an open one of the same list.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-z][a-z0-9-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[/!?]?[a-z][^<>]*>|<[!?][^>]*>""", re.S | re.I)
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({HIDDEN})(?=[\s/>])[^>]*+>|<(/?)([a-z][a-z0-9-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[/!?]?[a-z][^<>]*>|<[!?][^>]*>""", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in HIDDEN.split("|")}
+FOREIGN_ENDS = re.compile(rf"</(?:{'|'.join(FOREIGN)})(?=[\s/>])", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 Block = tuple[str, tuple[str, ...], int]  # text, features of the ancestors, characters in links
@@ -47,7 +51,8 @@ def leaf_blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked, link, at = 0, False, 0
+    linked, link, at, foreign = 0, False, 0, 0
+    endless: set[str] = set()  # hidden tags that nothing closes any more
 
     def flush() -> None:
         nonlocal linked
@@ -65,21 +70,37 @@ def leaf_blocks(page: str) -> list[Block]:
         if link:
             linked += len(text.strip())
 
-    for m in TOKEN.finditer(page):
+    def hidden_end(name: str, start: int, empty: bool) -> int:
+        """Where the content of a hidden tag that ends at `start` ends."""
+        if foreign and empty:
+            return start
+        end = None if name in endless else ENDS[name].search(page, start)
+        if end is None:
+            endless.add(name)
+        outer = FOREIGN_ENDS.search(page, start, end.start() if end else len(page)) if foreign else None
+        return outer.start() if outer else end.end() if end else start if empty else len(page)
+
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
+        if m[1]:
+            at = hidden_end(m[1].lower(), at, m[0].endswith("/>"))
+            continue
         tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
         if tag not in BLOCK_TAGS:
-            if tag == "a":
+            if tag in FOREIGN:
+                foreign = max(0, foreign - 1) if m[2] else foreign + (not m[0].endswith("/>"))
+            elif tag == "a":
                 link = not m[2]
             elif tag == "br" or tag == "img":
                 parts.append(" ")
             continue
         flush()
+        foreign = 0  # a block ends an unclosed drawing
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:

@@ -102,3 +102,15 @@ def test_long_page_and_unclosed_quotes():
     page = "<article>" + "<p>word " * 3000 + '<a href="x>' * 50 + "</article>"
     blocks = html_text.leaf_blocks(page)
     assert len(blocks) >= 2999
+
+
+def test_self_closed_and_custom_tags_hide_no_text():
+    read = lambda page: [b[0] for b in html_text.leaf_blocks(page)]
+    assert read('<article><p>One <svg class="i"/> two.</p><p>Three.</p></article>') == ["One two.", "Three."]
+    assert read("<p>a<math/>b</p><p>Let <math><mi>x</mi><mo> = </mo><mn>3</mn></math>.</p><p>c</p>") == ["ab", "Let x = 3.", "c"]
+    for name in ("object-card", "title-bar", "svg-icon", "template-view", "script-box"):
+        assert read(f"<{name}><p>In</p></{name}><p>After</p><{name}>Open") == ["In", "After", "Open"]
+    assert read("<object data=x><p>Fallback</p></object><canvas>Chart</canvas><iframe src=x /><p>After</p>") == ["Fallback", "Chart", "After"]
+    assert read("<p>A<svg><title/><style/><path d=''/></svg>B</p><p>C<svg><title>icon</svg>D</p><title>t</title><p>E") == ["AB", "CD", "E"]
+    assert read('<svg><p>A</p><script>x = "</svg>"</script>B') == ["A", "B"]
+    assert read('<p>A<script src="x" />var a = "<p>";</script >B</p><STYLE>p {}</style><noscript>n</noscript>C<template>t</template><script>x') == ["AB", "C"]
