@@ -132,7 +132,7 @@ def block_features(blocks: list[Block]) -> list[set[str]]:
         fs.add("words:" + ("1" if words == 1 else "few" if words < 6 else "some" if words < 20 else "many"))
         fs.add("links:" + ("none" if not share else "part" if share < 5 else "all"))
         fs.add("end:stop" if text[-1] in ".!?…»\"" else "end:open")
-        if "©" in text or "copyright" in text[:200].lower():
+        if "©" in text or "copyright" in text.lower():
             fs.add("copyright")
         if i == 0:
             fs.add("first")

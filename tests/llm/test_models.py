@@ -114,3 +114,8 @@ def test_self_closed_and_custom_tags_hide_no_text():
     assert read("<p>A<svg><title/><style/><path d=''/></svg>B</p><p>C<svg><title>icon</svg>D</p><title>t</title><p>E") == ["AB", "CD", "E"]
     assert read('<svg><p>A</p><script>x = "</svg>"</script>B') == ["A", "B"]
     assert read('<p>A<script src="x" />var a = "<p>";</script >B</p><STYLE>p {}</style><noscript>n</noscript>C<template>t</template><script>x') == ["AB", "C"]
+
+
+def test_a_late_copyright_notice_counts():
+    late, never = html_text.block_features([("word " * 90 + "Copyright 2020 me", (), 0), ("word " * 90, (), 0)])
+    assert "copyright" in late and "copyright" not in never
