@@ -25,7 +25,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 TRYPSIN = Protease("trypsin", 6, 50, 2)
-SEMI = Protease("semi-trypsin", 6, 10, 0)
+SEMI = Protease("semi-trypsin", 6, 50, 2)
 UNSPECIFIC = Protease("unspecific", 6, 7)
 #: Masses in Dalton of peptides that many of the derived proteins have.
 MASSES = [chem.to_int(m) for m in (641.276903295, 716.34531724, 745.397018485, 761.355547605, 799.346045535, 1153.547598965, 3233.40933428, 3745.68002995)]

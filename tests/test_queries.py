@@ -24,3 +24,10 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert all(isinstance(s, str) for s in __spark_entry__.oracle_sql().values())
+
+
+def test_semi_trypsin_has_all_lengths(spark):
+    """Least and greatest peptides of some proteins are longer than 10 residues, the former limit."""
+    rows = catalog.QUERIES["q_semi_trypsin"](spark, SMALL).collect()
+    assert max(len(s) for r in rows for s in (r["first"], r["last"])) > 10
+    assert sum(r.n for r in rows) == 1342068  # of DuckDB
