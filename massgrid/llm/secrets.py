@@ -6,7 +6,7 @@ that is calibrated on the samples, too. Both models together are one table of we
 size is fixed by the alphabet.
 
 A span is (kind, start, end) in code points, end exclusive. Base kinds are assign, access and hex; `random` spans
-are added where they touch no base span. Everything is narrow, inside the scan of the table.
+are added in what the base spans leave: runs, and of ordinary runs their parts between separators. Everything is narrow, inside the scan of the table.
 
 Cases: a null or empty text has no spans; kinds are matched independently and may overlap one another; an empty
 table gives an empty result; repeated rows are scanned each; other columns are ignored.
@@ -28,6 +28,9 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Parts of a run that are judged on their own where the whole run is ordinary.
+PART = r"[A-Za-z0-9]{20,}"
+SPANS = "array<struct<start:int,kind:int,end:int,s:string>>"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 #: Parts of ordinary identifiers, which the samples combine.
@@ -100,7 +103,6 @@ def located(text: Column, pattern: str, number: int, group: int = 0, least: int
 
     A match whose group is shorter than `least` takes up its text but is left out.
     """
-    kind = "array<struct<start:int,kind:int,end:int,s:string>>"
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
 
     def step(acc, x):
@@ -109,8 +111,8 @@ def located(text: Column, pattern: str, number: int, group: int = 0, least: int
         row = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["s"].alias("s")))
         return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["rows"], row)).otherwise(acc["rows"]).alias("rows"))
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("rows")), step, lambda acc: acc["rows"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind))
+    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("rows")), step, lambda acc: acc["rows"])
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
@@ -122,9 +124,24 @@ def _scanned(rows: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     text = F.col("text")
     rows = rows.select(*columns, located(text, ASSIGN, 0, 2, 8).alias("assign"), located(text, ACCESS, 1).alias("access"), located(text, HEX, 2).alias("hex"), located(text, RUN, 3).alias("runs"))
     rows = rows.select(*columns, F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "runs")
-    free = lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    random = lambda r: r["s"].rlike("[0-9]") & r["s"].rlike("[A-Za-z]") & free(r) & (model.score(r["s"]) > model.threshold)
-    return rows.select(*columns, "base", F.when(F.size("runs") > 0, F.filter("runs", random)).otherwise(F.col("runs")).alias("added"))
+    rows = rows.select(*columns, "base", F.when((F.size("base") > 0) & (F.size("runs") > 0), located(blanked(text, F.col("base")), RUN, 3)).otherwise(F.col("runs")).alias("runs"))
+    random = lambda r: r["s"].rlike("[A-Za-z]") & (model.score(r["s"]) > model.threshold)
+    moved = lambda p, by: F.struct((p["start"] + by).alias("start"), p["kind"].alias("kind"), (p["end"] + by).alias("end"), p["s"].alias("s"))
+    parts = lambda r: F.filter(F.transform(located(r["s"], PART, 3), lambda p: moved(p, r["start"])), random)
+    judged = lambda r: F.when(random(r), F.array(r)).when(r["s"].rlike("[+/_=-]"), parts(r)).otherwise(F.array().cast(SPANS))
+    return rows.select(*columns, "base", F.when(F.size("runs") > 0, F.flatten(F.transform("runs", judged))).otherwise(F.col("runs")).alias("added"))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of all spans. spans: by start."""
+
+    def step(acc, x):
+        gap = text.substr(acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))
 
 
 def spelled(spans: Column) -> Column:

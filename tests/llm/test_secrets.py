@@ -52,3 +52,11 @@ def test_random_runs_and_redaction(table, model):
 
 def test_empty_table(empty, model):
     assert secrets.scan(empty, model).count() == 0
+
+
+def test_random_parts_of_ordinary_runs(table, model):
+    key, tail, letters = "Zk93mXq81LpWv7Rt2YbN4cQs", "Qv8Zr2LmXw9KtY4bNc7Hd3Pj", "ZkQmXqVLpWvJRtYbNWcQsXzKgH"
+    path = "hostname/configuration/of/the/document/processing/service/region/update/list/"
+    texts = [path + key + "/items", "0123456789abcdef" * 2 + "-" + tail, f"a {letters} b", "-" * 40 + " " + "12345" * 6, path + "element"]
+    got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secrets.scan(table(texts), model).collect()}
+    assert got == {0: [(len(path), len(path) + 24)], 1: [(32, 57)], 2: [(2, 28)], 3: [], 4: []}
