@@ -1,16 +1,16 @@
-"""Suffix-array dedup: removes every byte that a repeated 400-byte string covers.
+"""Suffix-array dedup: removes every byte that a repeated string of `length` bytes covers; 400 unless told otherwise.
 
-1. Anchors. Every 400-byte window takes as its anchor the 160-byte string with the least hash in it, the leftmost of
-   equals. Equal windows have equal anchors at equal places in them, wherever they stand. The windows of a text that
+1. Anchors. Every window of that length takes as its anchor the string of two fifths of it (160 bytes) with the least
+   hash in it, the leftmost of equals. Equal windows have equal anchors at equal places in them, wherever they stand. The windows of a text that
    share an anchor follow one another; they are a segment, about 500 bytes long. Only hashes leave the text.
 2. A segment with equal content elsewhere is repeated as a whole. Anchors with one content need nothing more.
 3. For anchors with several contents, one text for each content sends the segment's bytes. Segments that share an
    anchor meet in one bucket, which sorts their suffixes and expands intervals of the Burrows-Wheeler transform
    breadth first: extending all intervals of length l by one symbol to the left yields the common prefixes of value
-   l, in increasing order. It stops at 400; boundaries without a value then separate suffixes that share 400 bytes.
+   l, in increasing order. It stops at the length; boundaries without a value then separate suffixes that share it.
 4. The covered intervals go back to all places of their segments by a join, and the texts are cut.
 
-An anchor with more than HOT contents is first split by the 361 bytes that up to 40 of its windows have in common.
+An anchor with more than HOT contents is first split by the 361 bytes (length - 39) that up to 40 of its windows share.
 Equal parts are counted before the shuffle: one that stands in several segments is covered as a whole, and only one
 copy goes on. Segments of one anchor only match at equal places, so where a split still leaves more than HOT different
 parts, their windows are counted by place and hash, without bytes. So no group has more than HOT strings of at most
@@ -35,7 +35,6 @@ from massgrid.llm.bytesops import U64, byte_table, gather_ranges, mix, powers, t
 from massgrid.llm.common import lean, released, saved
 
 LENGTH = 400
-ANCHOR = 160
 BLOCK_BYTES = 1 << 20
 LONG_TEXT = 4 << 20
 HOT = 1000
@@ -69,23 +68,27 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchor_width(length: int) -> int:
+    return 2 * length // 5
+
+
+def segments(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(row, start in the text, length, anchor's place in the segment, anchor hash, content hash) of all segments."""
     size = np.diff(offsets)
-    if not (size >= LENGTH).any():
+    if not (size >= length).any():
         z = np.zeros(0, np.int64)
         return z, z, z, z, z, z
-    roll = Rolling(raw)
-    at = np.arange(len(raw) - ANCHOR + 1)
-    grams = roll.hash(at, at + ANCHOR)
+    roll, width = Rolling(raw), anchor_width(length)
+    at = np.arange(len(raw) - width + 1)
+    grams = roll.hash(at, at + width)
     low = U64((1 << PLACE_BITS) - 1)
-    least = _sliding_min((grams & ~low) | at.astype(U64), LENGTH - ANCHOR + 1)
-    rows = np.flatnonzero(size >= LENGTH)
-    starts = gather_ranges(offsets[:-1][rows], size[rows] - LENGTH + 1)
+    least = _sliding_min((grams & ~low) | at.astype(U64), length - width + 1)
+    rows = np.flatnonzero(size >= length)
+    starts = gather_ranges(offsets[:-1][rows], size[rows] - length + 1)
     place = (least[starts] & low).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     last = np.append(first[1:], len(place)) - 1
-    begin, end, anchor = starts[first], starts[last] + LENGTH, place[first]
+    begin, end, anchor = starts[first], starts[last] + length, place[first]
     row = np.searchsorted(offsets, begin, side="right") - 1
     return row, begin - offsets[row], end - begin, anchor - begin, grams[anchor].view(np.int64), roll.hash(begin, end).view(np.int64)
 
@@ -93,38 +96,44 @@ def segments(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 PLACES = "k long, h long, start long, len long, at long, anchor long, seg long"
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments of all texts."""
-    names = ["k", "h", "start", "len", "at", "anchor", "seg"]
-    for batch in batches:
-        raw, offsets = text_bytes(batch.column(2))
-        k, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for i, j in blocks(offsets, BLOCK_BYTES):
-            lo, hi = int(offsets[i]), int(offsets[j])
-            pieces = [(0, lo, hi)] if hi - lo <= LONG_TEXT else [(s, lo + s, min(hi, lo + s + LONG_TEXT + LENGTH - 1)) for s in range(0, hi - lo - LENGTH + 1, LONG_TEXT)]
-            for shift, a, b in pieces:
-                inner = offsets[i : j + 1] - lo if len(pieces) == 1 and not shift else np.array([0, b - a])
-                row, start, *rest = segments(raw[a:b], inner)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[i + row], h[i + row], start + shift, *rest)], names=names)
+def _places(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The segments of all texts."""
+        names = ["k", "h", "start", "len", "at", "anchor", "seg"]
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(2))
+            k, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, j in blocks(offsets, BLOCK_BYTES):
+                lo, hi = int(offsets[i]), int(offsets[j])
+                pieces = [(0, lo, hi)] if hi - lo <= LONG_TEXT else [(s, lo + s, min(hi, lo + s + LONG_TEXT + length - 1)) for s in range(0, hi - lo - length + 1, LONG_TEXT)]
+                for shift, a, b in pieces:
+                    inner = offsets[i : j + 1] - lo if len(pieces) == 1 and not shift else np.array([0, b - a])
+                    row, start, *rest = segments(raw[a:b], inner, length)
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[i + row], h[i + row], start + shift, *rest)], names=names)
+
+    return run
 
 
 def suffix_order(symbols: np.ndarray, separators: int) -> np.ndarray:
     """Suffix array by prefix doubling. Symbols below `separators` are all different and smaller than the others."""
-    n = len(symbols)
-    rank, width = symbols.astype(np.int64), 1
-    top = int(rank.max()) + 1
+    n, bits = len(symbols), int(symbols.max() + 1).bit_length()
+    width = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(width):  # as many symbols as a key holds at once; 0 stands for none
+        key <<= bits
+        key[: max(0, n - k)] |= symbols[k:].astype(np.int64) + 1
     while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - width] = rank[width:] + 1
-        key = rank * (top + 1) + ahead
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get one rank, so their order is of no account
         fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = fresh
-        top, width = int(fresh[-1]) + 1, 2 * width
+        top = int(fresh[-1]) + 1
         if top == n:
             return order
+        ahead = np.zeros(n, np.int64)
+        ahead[: max(0, n - width)] = rank[width:] + 1
+        key, width = rank * (top + 1) + ahead, 2 * width
 
 
 def long_matches(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -143,7 +152,7 @@ def long_matches(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
     order = suffix_order(symbols, count)
     before = symbols[order - 1]
     before[before < count] = -1  # never extended beyond a string's start
-    by_symbol = np.argsort(before, kind="stable")
+    by_symbol = np.argsort((before + 1) * n + np.arange(n))  # stable
     follow = np.empty(n, np.int64)
     # suffixes that start with a string's own end come first; those with symbol c before them keep their order
     follow[by_symbol] = np.arange(n)
@@ -192,111 +201,120 @@ def aligned_matches(raw: np.ndarray, offsets: np.ndarray, at: np.ndarray, length
     return out
 
 
-def intervals(marks: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def intervals(marks: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of what the marked windows of each string cover; windows of different strings stay apart."""
     at = np.flatnonzero(marks)
     row = np.searchsorted(offsets, at, side="right") - 1
     new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])]) if len(at) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return row[first], at[first] - offsets[row[first]], at[last] - offsets[row[first]] + LENGTH if len(at) else at
+    return row[first], at[first] - offsets[row[first]], at[last] - offsets[row[first]] + length if len(at) else at
 
 
 CONTENTS = "hot boolean, key long, anchor long, seg long, len long, shift long, at long, part long, bytes binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the segments asked for; of hot anchors, by groups of windows under the hash of what these share."""
-    kinds = {"hot": pa.bool_(), "bytes": pa.binary()}
-    names = ["hot", "key", "anchor", "seg", "len", "shift", "at", "part", "bytes"]
-
-    def packed(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(x, pa.int64())) for c, x in zip(zip(*out, strict=True), names, strict=True)], names=names)
-
-    for batch in batches:
-        out: list[tuple] = []
-        for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-            raw = text.as_py().encode()
-            for want in wanted.as_py():
-                start, size, at, anchor, seg = (want[x] for x in ("start", "len", "at", "anchor", "seg"))
-                part = raw[start : start + size]
-                if not want["hot"]:
-                    out.append((False, anchor, anchor, seg, size, 0, at, seg, part))
-                    continue
-                roll = Rolling(np.frombuffer(part, np.uint8), 17)
-                begin = np.arange(size - LENGTH + 1)
-                group = (begin - at) // GROUP
-                for g in np.unique(group):
-                    a, b = int(begin[group == g][0]), int(begin[group == g][-1])
-                    core, whole = roll.hash(np.array([at + g * GROUP + GROUP - 1, a]), np.array([at + g * GROUP + LENGTH, b + LENGTH]))
-                    key = int(mix(np.array([int(core) ^ (anchor & (2**64 - 1)), int(g) & 0xFFFF], U64)).view(np.int64).sum())
-                    out.append((True, key, anchor, seg, size, a, at - a, int(whole.view(np.int64)), part[a : b + LENGTH]))
-            if sum(len(o[-1]) for o in out[-200:]) > 1 << 18 or len(out) > 2000:
+def _cut(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of the segments asked for; of hot anchors, by groups of windows under the hash of what these share."""
+        kinds = {"hot": pa.bool_(), "bytes": pa.binary()}
+        names = ["hot", "key", "anchor", "seg", "len", "shift", "at", "part", "bytes"]
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(x, pa.int64())) for c, x in zip(zip(*out, strict=True), names, strict=True)], names=names)
+
+        for batch in batches:
+            out: list[tuple] = []
+            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                raw = text.as_py().encode()
+                for want in wanted.as_py():
+                    start, size, at, anchor, seg = (want[x] for x in ("start", "len", "at", "anchor", "seg"))
+                    part = raw[start : start + size]
+                    if not want["hot"]:
+                        out.append((False, anchor, anchor, seg, size, 0, at, seg, part))
+                        continue
+                    roll = Rolling(np.frombuffer(part, np.uint8), 17)
+                    begin = np.arange(size - length + 1)
+                    group = (begin - at) // GROUP
+                    for g in np.unique(group):
+                        a, b = int(begin[group == g][0]), int(begin[group == g][-1])
+                        core, whole = roll.hash(np.array([at + g * GROUP + GROUP - 1, a]), np.array([at + g * GROUP + length, b + length]))
+                        key = int(mix(np.array([int(core) ^ (anchor & (2**64 - 1)), int(g) & 0xFFFF], U64)).view(np.int64).sum())
+                        out.append((True, key, anchor, seg, size, a, at - a, int(whole.view(np.int64)), part[a : b + length]))
+                if sum(len(o[-1]) for o in out[-200:]) > 1 << 18 or len(out) > 2000:
+                    yield packed(out)
+                    out = []
+            if out:
                 yield packed(out)
-                out = []
-        if out:
-            yield packed(out)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of parts, by their place from the anchor and their hash."""
-    for batch in batches:
-        key, part, at = (batch.column(i).to_numpy() for i in range(3))
-        raw, offsets = text_bytes(batch.column(3))
-        count = np.diff(offsets) - LENGTH + 1
-        row = np.repeat(np.arange(len(count)), count)
-        start = gather_ranges(offsets[:-1], count)
-        begin = start - offsets[row]
-        window = Rolling(raw, 19).hash(start, start + LENGTH).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[row], part[row], begin, begin - at[row], window)], names=["key", "part", "s", "place", "window"])
-
-
-def _resolve(table: pa.Table) -> pa.Table:
-    """What is covered in the segments of a bucket."""
-    table = table.combine_chunks()
-    key, anchor, seg, size, at = (table[c].to_numpy() for c in ("key", "anchor", "seg", "len", "at"))
-    hot = table["hot"].to_numpy()
-    order = np.lexsort((size, seg, key))
-    same = np.concatenate([[False], (key[order][1:] == key[order][:-1]) & (seg[order][1:] == seg[order][:-1]) & (size[order][1:] == size[order][:-1])])
-    order = order[~same]
-    group, count = np.unique(key[order], return_counts=True)
-    order = order[np.repeat(count, count) > 1]
-    parts = table["bytes"].take(pa.array(order)).combine_chunks()
-    raw, offsets = text_bytes(parts)
-    found = []
-    ends = np.flatnonzero(np.concatenate([key[order][1:] != key[order][:-1], [True]])) + 1 if len(order) else []
-    begin, done = 0, 0
-    for i, end in enumerate(ends):  # groups are put together up to SORTED_BYTES
-        done = end
-        more = ends[i + 1] if i + 1 < len(ends) else end
-        if i + 1 < len(ends) and offsets[more] - offsets[begin] <= SORTED_BYTES:
-            continue
-        inner, bytes_ = offsets[begin : end + 1] - offsets[begin], raw[offsets[begin] : offsets[end]]
-        marks = long_matches(bytes_, inner) if len(bytes_) <= 2 * SORTED_BYTES else aligned_matches(bytes_, inner, at[order[begin:end]])
-        row, a, b = intervals(marks, inner)
-        row = order[begin + row]
-        found.append((hot[row], anchor[row], seg[row], size[row], a, b))
-        begin = done
-    cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, bool), *[np.zeros(0, np.int64)] * 5]
-    return pa.table([pa.array(c) for c in cols], names=["hot", "anchor", "seg", "len", "s", "e"])
-
-
-def _hot_cover(sent: DataFrame, found: DataFrame, copies: DataFrame, many: DataFrame) -> DataFrame:
+
+    return run
+
+
+def _windows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of parts, by their place from the anchor and their hash."""
+        for batch in batches:
+            key, part, at = (batch.column(i).to_numpy() for i in range(3))
+            raw, offsets = text_bytes(batch.column(3))
+            count = np.diff(offsets) - length + 1
+            row = np.repeat(np.arange(len(count)), count)
+            start = gather_ranges(offsets[:-1], count)
+            begin = start - offsets[row]
+            window = Rolling(raw, 19).hash(start, start + length).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[row], part[row], begin, begin - at[row], window)], names=["key", "part", "s", "place", "window"])
+
+    return run
+
+
+def _resolve(length: int):
+    def run(table: pa.Table) -> pa.Table:
+        """What is covered in the segments of a bucket."""
+        table = table.combine_chunks()
+        key, anchor, seg, size, at = (table[c].to_numpy() for c in ("key", "anchor", "seg", "len", "at"))
+        hot = table["hot"].to_numpy()
+        order = np.lexsort((size, seg, key))
+        same = np.concatenate([[False], (key[order][1:] == key[order][:-1]) & (seg[order][1:] == seg[order][:-1]) & (size[order][1:] == size[order][:-1])])
+        order = order[~same]
+        group, count = np.unique(key[order], return_counts=True)
+        order = order[np.repeat(count, count) > 1]
+        parts = table["bytes"].take(pa.array(order)).combine_chunks()
+        raw, offsets = text_bytes(parts)
+        found = []
+        ends = np.flatnonzero(np.concatenate([key[order][1:] != key[order][:-1], [True]])) + 1 if len(order) else []
+        begin, done = 0, 0
+        for i, end in enumerate(ends):  # groups are put together up to SORTED_BYTES
+            done = end
+            more = ends[i + 1] if i + 1 < len(ends) else end
+            if i + 1 < len(ends) and offsets[more] - offsets[begin] <= SORTED_BYTES:
+                continue
+            inner, bytes_ = offsets[begin : end + 1] - offsets[begin], raw[offsets[begin] : offsets[end]]
+            marks = long_matches(bytes_, inner, length) if len(bytes_) <= 2 * SORTED_BYTES else aligned_matches(bytes_, inner, at[order[begin:end]], length)
+            row, a, b = intervals(marks, inner, length)
+            row = order[begin + row]
+            found.append((hot[row], anchor[row], seg[row], size[row], a, b))
+            begin = done
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, bool), *[np.zeros(0, np.int64)] * 5]
+        return pa.table([pa.array(c) for c in cols], names=["hot", "anchor", "seg", "len", "s", "e"])
+
+    return run
+
+
+def _hot_cover(sent: DataFrame, found: DataFrame, copies: DataFrame, many: DataFrame, length: int) -> DataFrame:
     """(anchor, seg, len, s, e) of hot anchors, from what is covered in each part. Windows of one part overlap, so they cover one interval."""
-    windows = saved(many.select("key", "part", "at", "bytes").mapInArrow(lean(_windows), "key long, part long, s long, place long, window long"), "windows")
+    windows = saved(many.select("key", "part", "at", "bytes").mapInArrow(lean(_windows(length)), "key long, part long, s long, place long, window long"), "windows")
     again = windows.groupBy("key", "place", "window").count().where("count > 1").drop("count")
-    spans = windows.join(again, ["key", "place", "window"]).select("key", "part", "s", (F.col("s") + LENGTH).alias("e"))
+    spans = windows.join(again, ["key", "place", "window"]).select("key", "part", "s", (F.col("s") + length).alias("e"))
     spans = spans.union(found.where("hot").select(F.col("anchor").alias("key"), F.col("seg").alias("part"), "s", "e"))
     spans = spans.union(copies.where("n > 1").select("key", "part", F.lit(0).cast("long"), F.octet_length("bytes").cast("long")))
     spans = spans.groupBy("key", "part").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     return sent.where("hot").select("key", "part", "anchor", "seg", "len", "shift").join(spans, ["key", "part"]).select("anchor", "seg", "len", F.col("shift") + F.col("s"), F.col("shift") + F.col("e"))
 
 
-def covered(docs: DataFrame, carry: list[str], text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def covered(docs: DataFrame, carry: list[str], length: int = LENGTH, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (doc_id, k, h, text, carried struct); spans (k, h, list of (s, e)), the covered intervals of a text in bytes."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("carried"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"), "text", "carried")
-    places = saved(rows.where(F.octet_length("text") >= LENGTH).select("k", "h", "text").mapInArrow(lean(_places), PLACES), "places")
+    places = saved(rows.where(F.octet_length("text") >= length).select("k", "h", "text").mapInArrow(lean(_places(length)), PLACES), "places")
     contents = places.groupBy("anchor", "seg", "len").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("h").alias("h"), F.first("start").alias("start"), F.first("at").alias("at"))
     contents = saved(contents, "contents")
     several = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumn("hot", F.col("kinds") > HOT)
@@ -304,7 +322,7 @@ def covered(docs: DataFrame, carry: list[str], text: str = "text", key: str = "d
     volume = wanted.agg(F.sum("len")).first()[0] or 0
     buckets = max(16, int(volume) // (256 << 10))
     asked = wanted.groupBy("k", "h").agg(F.collect_list(F.struct("start", "len", "at", "anchor", "seg", "hot")).alias("wanted"))
-    sent = saved(rows.join(asked, ["k", "h"]).select("text", "wanted").mapInArrow(lean(_cut), CONTENTS), "parts")
+    sent = saved(rows.join(asked, ["k", "h"]).select("text", "wanted").mapInArrow(lean(_cut(length)), CONTENTS), "parts")
     copies = saved(sent.where("hot").groupBy("key", "part").agg(F.count("*").alias("n"), F.first("at").alias("at"), F.first("bytes").alias("bytes")), "hot-parts")
     different = copies.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1")
     large = F.broadcast(different.where(F.col("parts") > HOT).select("key"))  # a key for at least HOT parts
@@ -312,8 +330,8 @@ def covered(docs: DataFrame, carry: list[str], text: str = "text", key: str = "d
     bucket = F.pmod("key", F.lit(buckets)).alias("bucket")
     strings = sent.where("not hot").select(bucket, "hot", "key", "anchor", "seg", "len", "at", "bytes")
     strings = strings.union(few.select(bucket + buckets, F.lit(True), "key", F.col("key"), "part", F.octet_length("bytes").cast("long"), "at", "bytes"))
-    found = saved(strings.groupBy("bucket").applyInArrow(_resolve, "hot boolean, anchor long, seg long, len long, s long, e long"), "found")
-    parts = found.where("not hot").drop("hot").union(_hot_cover(sent, found, copies, copies.join(large, "key", "left_semi")))
+    found = saved(strings.groupBy("bucket").applyInArrow(_resolve(length), "hot boolean, anchor long, seg long, len long, s long, e long"), "found")
+    parts = found.where("not hot").drop("hot").union(_hot_cover(sent, found, copies, copies.join(large, "key", "left_semi"), length))
     whole = contents.where("n > 1").select("anchor", "seg", "len", F.lit(0).cast("long").alias("s"), F.col("len").alias("e"))
     cover = saved(whole.union(parts), "cover")
     del sent, strings, copies, different, large, few, found, parts
@@ -334,13 +352,27 @@ def merged(pairs: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def whole_characters(raw: bytes, cut: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The cuts without characters of which a byte stays."""
+    inner = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    out = []
+    for s, e in cut:
+        while inner(s):
+            s += 1
+        while inner(e):
+            e -= 1
+        if s < e:
+            out.append((s, e))
+    return out
+
+
+def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<s, e>>, kept binary, carried struct) of every document.
 
-    carry: more columns to keep in the struct. as_text: kept is a string, without characters of which only some
-    bytes are kept.
+    carry: more columns to keep in the struct. as_text: kept is a string, and spans end at characters: one that is
+    covered in part stays. length: the least length of a repeated string in bytes.
     """
-    rows, spans = covered(docs, list(carry))
+    rows, spans = covered(docs, list(carry), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,12 +380,13 @@ def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = text.encode()
                 cut = merged(found or [])
+                cut = whole_characters(raw, cut) if as_text else cut
                 at, parts = 0, []
                 for s, e in cut:
                     parts.append(raw[at:s])
                     at = e
                 left = b"".join([*parts, raw[at:]])
-                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                kept.append(left.decode() if as_text else left)
                 sizes.append(len(raw))
                 runs.append([{"s": s, "e": e} for s, e in cut])
             kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))

@@ -1,12 +1,13 @@
 """Each query over the small tables, against its SQL where it has one; and the pipeline's stages."""
 
+import numpy as np
 import pytest
 from helpers import SMALL, same_rows
 
 import corpus_pipeline
 from massgrid.llm import queries, secrets, toxicity
 from test_ngram_join import brute as groups
-from test_repeats import brute as cut
+from test_repeats import covered
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -37,8 +38,9 @@ def test_pipeline(spark, tmp_path):
     before, after = kept["repeats"]
     rows = sorted((r.doc_id, r.text) for r in before.collect())
     left = {r.doc_id: r.text for r in after.collect()}
-    for (k, _), (n, gone, _, _) in zip(rows, cut([t for _, t in rows])):
-        assert n - gone - 12 <= len(left[k].encode()) <= n - gone  # parts of characters go
+    for (k, text), gone in zip(rows, covered([t for _, t in rows], corpus_pipeline.PASSAGE)):
+        ends = np.cumsum([0, *(len(c.encode()) for c in text)])
+        assert left[k] == "".join(c for c, a, b in zip(text, ends, ends[1:]) if not gone[a:b].all())
     before, after = kept["secrets"]
     again = secrets.scan(after, secrets.Model.trained(secrets.samples(spark)))
     assert after.count() == before.count() and again.where("size(base) > 0").count() == 0

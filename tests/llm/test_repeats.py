@@ -9,16 +9,23 @@ from massgrid.llm import repeats
 from massgrid.llm.bytesops import text_bytes
 
 
-def brute(texts, length=400):
-    """(bytes, removed, runs, digest of the rest) of each text, from a count of all windows."""
+def covered(texts, length):
+    """Which bytes of each text a repeated window covers, from a count of all windows."""
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
-    out = []
-    for r in raws:
-        gone = np.zeros(len(r), bool)
+    out = [np.zeros(len(r), bool) for r in raws]
+    for r, gone in zip(raws, out):
         for i in range(len(r) - length + 1):
             if seen[r[i : i + length]] > 1:
                 gone[i : i + length] = True
+    return out
+
+
+def brute(texts, length=400):
+    """(bytes, removed, runs, digest of the rest) of each text."""
+    out = []
+    for t, gone in zip(texts, covered(texts, length)):
+        r = (t or "").encode()
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         rest = bytes(b for b, g in zip(r, gone) if not g)
         out.append((len(r), int(gone.sum()), runs, hashlib.sha256(rest).hexdigest()))
@@ -44,11 +51,11 @@ def passages(seed=4):
     return texts + [texts[0], texts[0], shared[3], "ab" * 500, prose(399), shared[1][:399]]
 
 
-def check(frame, texts):
+def check(frame, texts, length=400):
     got = {}
     for r in frame.collect():
         got[r.doc_id] = (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest())
-    assert [got[i] for i in range(len(texts))] == brute(texts)
+    assert [got[i] for i in range(len(texts))] == brute(texts, length)
 
 
 def test_against_all_windows(table, odd_texts):
@@ -56,6 +63,30 @@ def test_against_all_windows(table, odd_texts):
     check(repeats.without_repeats(table(texts)), texts)
 
 
+def test_shorter_repeats(table, odd_texts, monkeypatch):
+    texts = passages(6) + odd_texts
+    check(repeats.without_repeats(table(texts), length=200), texts, 200)
+    monkeypatch.setattr(repeats, "HOT", 2)
+    check(repeats.without_repeats(table(texts), length=90), texts, 90)
+
+
+def test_text_is_cut_at_characters(table):
+    """The passage is preceded and followed by characters that share a byte: these stay whole."""
+    core = "".join(random.Random(1).choice("abcdefgh") for _ in range(500))
+    texts = ["x\u00e9" + core + "\u00e9y", "z\u0129" + core + "\u00e8w", "\u00e9" * 300 + "q"]
+    out = {r.doc_id: r.kept for r in repeats.without_repeats(table(texts), as_text=True).collect()}
+    assert out == {0: "x\u00e9\u00e9y", 1: "z\u0129\u00e8w", 2: "q"}
+    assert repeats.whole_characters("a\u20acb".encode(), [(0, 2), (2, 5)]) == [(0, 1), (4, 5)]
+
+
+def test_suffix_order():
+    rng = random.Random(3)
+    for _ in range(60):
+        parts = [[rng.randint(0, 3) for _ in range(rng.randint(0, 30))] for _ in range(rng.randint(1, 6))]
+        symbols = np.array([x for i, p in enumerate(parts) for x in [*(c + len(parts) for c in p), i]])
+        assert repeats.suffix_order(symbols, len(parts)).tolist() == sorted(range(len(symbols)), key=lambda i: symbols[i:].tolist())
+
+
 def test_hot_anchors_and_long_texts(table, monkeypatch):
     texts = passages(5)
     monkeypatch.setattr(repeats, "HOT", 2)
@@ -90,9 +121,12 @@ def test_a_passage_in_many_documents_sends_few_copies(table, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", 8)
     resolve = repeats._resolve
 
-    def bounded(found):
-        assert max(Counter(found["key"].to_pylist()).values()) <= 8
-        return resolve(found)
+    def bounded(length):
+        def run(found):
+            assert max(Counter(found["key"].to_pylist()).values()) <= 8
+            return resolve(length)(found)
+
+        return run
 
     monkeypatch.setattr(repeats, "_resolve", bounded)
     check(repeats.without_repeats(table(texts)), texts)
