@@ -366,11 +366,12 @@ def whole_characters(raw: bytes, cut: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False, length: int = LENGTH, words: int = 0) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<s, e>>, kept binary, carried struct) of every document.
 
     carry: more columns to keep in the struct. as_text: kept is a string, and spans end at characters: one that is
-    covered in part stays. length: the least length of a repeated string in bytes.
+    covered in part stays. length: the least length of a repeated string in bytes. words: covered runs of at most
+    so many words (white space apart, parts counted) stay, unless they have LENGTH bytes.
     """
     rows, spans = covered(docs, list(carry), length)
 
@@ -380,6 +381,7 @@ def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = text.encode()
                 cut = merged(found or [])
+                cut = [(s, e) for s, e in cut if e - s >= LENGTH or len(raw[s:e].split()) > words] if words else cut
                 cut = whole_characters(raw, cut) if as_text else cut
                 at, parts = 0, []
                 for s, e in cut:
@@ -397,6 +399,6 @@ def without_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: what repeated 400-byte strings leave of every document."""
+    """op7: what repeated 400-byte strings leave of every document. kept_text shows a character cut in half as U+FFFD."""
     out = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))

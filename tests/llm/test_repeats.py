@@ -79,6 +79,15 @@ def test_text_is_cut_at_characters(table):
     assert repeats.whole_characters("a\u20acb".encode(), [(0, 2), (2, 5)]) == [(0, 1), (4, 5)]
 
 
+def test_short_runs_stay_unless_they_have_many_words(table):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    few, many, long = (" ".join(word(n) for _ in range(k)) for n, k in ((8, 30), (4, 60), (600, 1)))
+    texts = [f"{word(9)} {few} {word(30)}|{many}|{word(30)}{long}{word(20)}" for _ in range(2)]
+    for r in repeats.without_repeats(table(texts), as_text=True, length=200, words=50).collect():
+        assert few in r.kept and many not in r.kept and long not in r.kept and r.n_bytes - len(r.kept) <= 60 * 5 + 600 + 4
+
+
 def test_suffix_order():
     rng = random.Random(3)
     for _ in range(60):
