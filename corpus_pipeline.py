@@ -4,7 +4,8 @@
    or higher go.
 2. near-duplicates: of each group whose word shingles overlap by 75 % or more, directly or through others, the
    document with the smallest doc_id stays.
-3. repeats: characters that repeated strings of PASSAGE bytes cover are cut from the texts; documents stay.
+3. repeats: characters that repeated strings of PASSAGE bytes cover are cut from the texts, where such a run has over
+   WORDS words or 400 bytes; documents stay.
 4. secrets: spans of secrets are replaced by a mark; documents stay.
 5. packing: the texts become token sequences of at most 4096 ids.
 
@@ -26,8 +27,9 @@ from massgrid.llm import ngram_join, packing, repeats, secrets, toxicity
 from massgrid.llm.common import saved
 
 TOKENIZER = "word_bpe_49k.json"
-#: Bytes of the shortest repeat that is cut: a passage of over 50 words, at four bytes for a short word and its space.
+#: Bytes of the shortest repeat that is looked for: over 50 words, at four bytes for a short word and its space.
 PASSAGE = 200
+WORDS = 50
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = repeats.without_repeats(docs, tuple(others), as_text=True, length=PASSAGE)
+    kept = repeats.without_repeats(docs, tuple(others), as_text=True, length=PASSAGE, words=WORDS)
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
     return kept.select(*(new.get(c, F.col(f"carried.`{c}`")) for c in docs.columns))
 
