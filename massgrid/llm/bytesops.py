@@ -6,6 +6,8 @@ end in a single uint8 array plus the offsets of the texts. Nulls are empty texts
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -94,10 +96,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-#: Bytes are processed in slices of this size, so that temporaries stay in cache.
-SLICE = 1 << 19
-
-
 #: Separators for words without punctuation: every ASCII character that is no letter or digit.
 PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
@@ -125,23 +123,34 @@ def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> t
     return start, end, np.searchsorted(start, offsets)
 
 
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 64
+
+
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, lower: bool = True) -> np.ndarray:
-    """64-bit hash of every word: random value per byte, polynomial in its place in the word, then mixed."""
-    out = np.empty(len(start), U64)
-    table = byte_table(seed)
-    if lower:
-        table = table[_LOWER]
-    i, m = 0, len(start)
-    while i < m:
-        base = int(start[i])
-        j = max(i + 1, int(np.searchsorted(end, base + SLICE, side="right")))
-        stop = int(end[j - 1])
-        up, down = powers(stop - base + 1)
-        total = np.zeros(stop - base + 1, U64)
-        np.cumsum(table[raw[base:stop]] * up[: stop - base], out=total[1:])
-        s, e = start[i:j] - base, end[i:j] - base
-        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
-        i = j
+    """64-bit hash of every word: its bytes, eight at a time, each time mixed; different words of up to 8 bytes and one length differ.
+
+    No polynomial, whose value two unlike words of two letters can share whatever the base.
+    """
+    size = end - start
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = _LOWER[raw] if lower else raw
+    eight = np.ndarray((len(raw) + 1,), np.dtype("<u8"), buffer=padded, strides=(1,))  # the eight bytes from any place
+    out = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(seed))
+    at, left = np.flatnonzero(size <= LONG_WORD), size
+    places = start
+    k = 0
+    while True:
+        at = at[left[at] > 8 * k]
+        if not len(at):
+            break
+        rest = np.minimum(left[at] - 8 * k, 8).astype(U64)
+        chunk = eight[places[at] + 8 * k] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * rest))
+        out[at] = mix(out[at] ^ chunk)
+        k += 1
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]], digest_size=8, key=key).digest(), "little")
     return out
 
 

@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
 
-from massgrid.llm import bpe
+from massgrid.llm import bpe, chunks
 from massgrid.llm.bytesops import text_bytes
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -45,3 +46,32 @@ def test_tables(table, empty, odd_texts, library):
         assert bytes(r.decoded) == (odd_texts[r.doc_id] or "").encode()
     assert len(out) == len(odd_texts)
     assert bpe.decode(bpe.encode(empty, PATH, P.PATTERN), PATH).count() == 0
+
+
+def thue_morse(n, letters="ab"):
+    """Equal under any polynomial modulo 2**64 to the same with letters exchanged, from 1024 letters on."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_unlike_pieces_never_share_ids(vocabulary, library, n):
+    for letters in ("ab", "ba", "xy", "yx"):  # one after another, as blocks of one worker
+        text = thue_morse(n, letters)
+        ids, _ = vocabulary.encode(*text_bytes(pa.array([text])))
+        assert b"".join(vocabulary.tokens[i] for i in ids) == text.encode()
+        assert ids.tolist() == library.encode_ordinary(text)
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    """With one hash for all pieces every piece still gets its own ids."""
+    monkeypatch.setattr(chunks, "word_hashes", lambda raw, start, end, *_, **__: np.zeros(len(start), np.uint64))
+
+    def encode(pieces):
+        lists = [list(p.as_py()) for p in pieces]
+        return np.array([i for x in lists for i in x], np.int32), np.cumsum([0, *map(len, lists)])
+
+    known = chunks.ChunkIds(encode)
+    for pieces in ([b"abc", b"xyz", b""], [b"xyz", b"ab", b"abc"], [b"q" * 1000, b"abc", b"x"], [b"q" * 1000, b"ab"]):
+        ids, ends = known.lookup(pa.array(pieces, pa.binary()))
+        assert [bytes(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])] == pieces
+    assert len(known.bytes) < 100

@@ -1,7 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from massgrid.llm import ngram_join
+from massgrid.llm.bytesops import text_bytes, word_hashes
 
 
 def brute(rows):
@@ -106,3 +110,21 @@ def test_documents_of_first_blocks_are_spread(table):
     docs = table([f"{i} b c d e f g" for i in range(40)]).repartition(20).select("doc_id", "text")
     rows = docs.mapInArrow(ngram_join._shingle_blocks(6), "bucket long, block long, shingles binary, documents binary")
     assert rows.where("bucket < 0").select("bucket").distinct().count() > 5
+
+
+def test_unlike_words_never_link(table):
+    """Words that polynomials modulo 2**64 cannot tell apart, and words that differ in one byte anywhere."""
+    from test_bpe import thue_morse
+
+    words = [thue_morse(2048, x) for x in ("ab", "ba")] + [("x" * 70)[:i] + "y" + ("x" * 70)[i:] for i in range(0, 71, 10)] + ["x" * n for n in range(1, 20)]
+    out = ngram_join.join(table(words)).collect()
+    assert all(r.n_shingles == 1 and r.component_id == r.doc_id and r.n_links == 0 for r in out)
+
+
+def test_word_hashes():
+    rng = np.random.default_rng(4)
+    parts = {bytes(rng.integers(97, 100, rng.integers(1, 90)).astype(np.uint8)) for _ in range(4000)}
+    raw, offsets = text_bytes(pa.array(sorted(parts), pa.binary()))
+    h = word_hashes(raw, offsets[:-1], offsets[1:], 3)
+    assert len(np.unique(h)) == len(parts)
+    assert word_hashes(np.append(np.uint8(7), raw), offsets[:-1] + 1, offsets[1:] + 1, 3).tolist() == h.tolist()
