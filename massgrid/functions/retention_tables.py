@@ -1,158 +1,99 @@
-"""Fixed values of the published retention model, stated as they are; results must equal them.
+"""Fixed values of the published retention model (Krokhin et al., Mol Cell Proteomics 2004;3(9):908-19, version 3).
 
-Weights: Krokhin et al., Mol Cell Proteomics 2004;3(9):908-19, version 3 of the calculator.
+Residues in alphabetical order; a residue that a mapping does not name has its default.
 """
 
-# One line a parameter, residues in the order of RESIDUES.
+from __future__ import annotations
+
+from itertools import product
+
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
-WEIGHTS = """
-middle 1.10 0.45 0.15 0.95 10.90 -0.35 -1.45 8.00 -2.05 9.30 6.20 -0.85 2.10 -0.40 -1.40 -0.15 0.65 5.00 12.25 4.85
-first 0.35 0.90 0.50 1.00 7.50 0.20 -0.10 5.20 -0.60 5.55 4.40 0.20 2.10 -0.70 0.50 0.80 0.80 2.90 11.10 3.70
-second 0.50 0.20 0.40 0.00 9.50 0.15 -0.20 6.60 -1.50 7.40 5.70 -0.20 2.10 -0.20 -1.10 -0.10 0.60 3.40 11.80 4.50
-last 0.80 -0.80 -0.50 0.00 10.50 -0.90 -1.30 8.40 -1.90 9.60 5.80 -1.20 0.20 -0.90 -1.30 -0.80 0.40 5.00 11.00 4.00
-last_but_one -0.10 -0.50 -0.50 -0.10 10.30 -0.70 -1.70 7.70 -1.45 9.30 6.00 -1.10 2.10 -1.10 -1.10 -1.20 0.00 4.20 12.10 4.40
-short_middle 0.80 0.50 0.30 0.50 11.10 0.00 -1.00 7.70 -0.20 9.20 6.20 -0.85 3.00 -0.40 -0.20 -0.50 0.60 5.10 12.40 5.10
-short_first -0.30 0.40 0.30 0.10 8.10 0.00 0.10 5.00 -1.40 6.00 5.00 0.20 1.00 -0.80 0.50 0.40 0.80 2.70 11.60 4.20
-short_second 0.10 0.00 0.70 0.00 9.50 0.10 -0.20 6.80 -1.30 7.90 5.70 -0.20 1.50 -0.20 -1.10 0.10 0.40 3.40 11.80 4.50
-short_last 0.80 -0.80 -0.50 0.00 10.50 -0.90 -1.30 8.40 -2.20 9.60 5.80 -1.20 0.20 -0.90 -1.20 -0.80 0.40 5.00 11.00 4.00
-short_last_but_one -0.50 -0.50 -0.50 -0.10 10.30 -0.70 -1.70 7.70 -1.45 8.70 6.00 -1.10 2.10 -1.10 -1.10 -1.20 0.00 4.20 12.10 4.40
-near_cut 0.00 0.00 0.00 0.00 -0.10 0.00 0.00 0.15 0.00 0.30 0.00 0.00 0.00 0.00 0.00 0.00 0.00 -0.30 0.15 -0.20
-mass 71.0370 103.0090 115.0270 129.0430 147.0638 57.0210 137.0590 113.0840 128.0950 113.0840 131.0400 114.0430 97.0530 128.0590 156.1010 87.0320 101.0480 99.0680 186.0790 163.0630
-pk_c 3.55 3.55 4.55 4.75 3.55 3.55 3.55 3.55 3.55 3.55 3.55 3.55 3.55 3.55 3.55 3.55 3.55 3.55 3.55 3.55
-pk_n 7.59 7.50 7.50 7.70 7.50 7.50 7.50 7.50 7.50 7.50 7.00 7.50 8.36 7.50 7.50 6.93 6.82 7.44 7.50 7.50
-pk_side 0.00 0.00 4.05 4.45 0.00 0.00 5.98 0.00 10.00 0.00 0.00 0.00 0.00 0.00 12.00 0.00 0.00 0.00 0.00 10.00
-helix_base 1.0 0.0 0.0 0.0 0.5 0.0 0.0 3.5 0.0 1.6 1.8 0.0 0.0 0.0 0.0 0.0 0.0 1.4 1.6 0.2
-helix_connect 1.2 1.0 1.1 1.1 1.0 0.3 0.6 1.4 1.0 1.6 1.0 0.4 0.3 1.0 1.0 1.0 1.0 1.2 1.0 1.0
-"""
 
-# Score, then the runs of hydrophobic residues (5 strong, 1 weak, 0 other) that have it.
-CLUSTERS = """
-0.3 0110
-0.4 0150 0510
-1.3 0550
-0.5 01110
-0.7 01150 01510
-2.1 01550
-0.7 05110
-2.1 05150 05510
-2.8 05550
-0.7 011110
-0.9 011150 011510
-2.2 011550
-0.9 015110
-2.2 015150
-0.9 015510
-3.0 015550
-0.9 051110
-2.2 051150 051510
-3.0 051550
-2.2 055110
-3.0 055150 055510
-3.5 055550
-0.9 0111110
-1.0 0111150 0111510
-2.3 0111550
-1.0 0115110
-2.3 0115150 0115510
-3.1 0115550
-1.0 0151110
-2.3 0151150 0151510
-3.1 0151550
-2.3 0155110
-3.1 0155150 0155510
-3.6 0155550
-1.0 0511110
-2.3 0511150 0511510
-3.1 0511550
-3.6 0515110
-2.3 0515150
-3.1 0515510
-3.6 0515550
-2.3 0551110
-3.1 0551150 0551510
-3.6 0551550
-3.1 0555110
-3.6 0555150 0555510
-4.0 0555550
-1.1 01111110
-1.7 01111150 01111510
-2.5 01111550
-1.7 01115110
-2.5 01115150 01115510
-3.3 01115550
-1.7 01151110
-2.5 01151150 01151510
-3.3 01151550
-2.5 01155110
-3.3 01155150 01155510
-3.7 01155550
-1.7 01511110
-2.5 01511150 01511510
-3.3 01511550
-2.5 01515110
-3.3 01515150 01515510
-3.7 01515550
-2.5 01551110
-3.3 01551150 01551510
-3.7 01551550
-3.3 01555110
-3.7 01555150 01555510
-4.1 01555550
-1.7 05111110
-2.5 05111150 05111510
-3.3 05111550
-2.5 05115110
-3.3 05115150 05115510
-3.7 05115550
-2.5 05151110
-3.3 05151150 05151510
-3.7 05151550
-3.3 05155110
-3.7 05155150 05155510
-4.1 05155550
-2.5 05511110
-3.3 05511150 05511510
-3.7 05511550
-3.3 05515110
-3.7 05515150 05515510
-4.1 05515550
-3.3 05551110
-3.7 05551150 05551510
-4.1 05551550
-3.7 05555110
-4.1 05555150 05555510
-4.5 05555550
-"""
+# Retention weights of a residue inside a peptide, and at its first, second, last and last but one place.
+INNER = {"A": 1.10, "C": 0.45, "D": 0.15, "E": 0.95, "F": 10.90, "G": -0.35, "H": -1.45, "I": 8.00, "K": -2.05, "L": 9.30, "M": 6.20, "N": -0.85, "P": 2.10, "Q": -0.40, "R": -1.40, "S": -0.15, "T": 0.65, "V": 5.00, "W": 12.25, "Y": 4.85}
+FIRST = {"A": 0.35, "C": 0.90, "D": 0.50, "E": 1.00, "F": 7.50, "G": 0.20, "H": -0.10, "I": 5.20, "K": -0.60, "L": 5.55, "M": 4.40, "N": 0.20, "P": 2.10, "Q": -0.70, "R": 0.50, "S": 0.80, "T": 0.80, "V": 2.90, "W": 11.10, "Y": 3.70}
+SECOND = {"A": 0.50, "C": 0.20, "D": 0.40, "E": 0.00, "F": 9.50, "G": 0.15, "H": -0.20, "I": 6.60, "K": -1.50, "L": 7.40, "M": 5.70, "N": -0.20, "P": 2.10, "Q": -0.20, "R": -1.10, "S": -0.10, "T": 0.60, "V": 3.40, "W": 11.80, "Y": 4.50}
+LAST = {"A": 0.80, "C": -0.80, "D": -0.50, "E": 0.00, "F": 10.50, "G": -0.90, "H": -1.30, "I": 8.40, "K": -1.90, "L": 9.60, "M": 5.80, "N": -1.20, "P": 0.20, "Q": -0.90, "R": -1.30, "S": -0.80, "T": 0.40, "V": 5.00, "W": 11.00, "Y": 4.00}
+LAST_BUT_ONE = {"A": -0.10, "C": -0.50, "D": -0.50, "E": -0.10, "F": 10.30, "G": -0.70, "H": -1.70, "I": 7.70, "K": -1.45, "L": 9.30, "M": 6.00, "N": -1.10, "P": 2.10, "Q": -1.10, "R": -1.10, "S": -1.20, "T": 0.00, "V": 4.20, "W": 12.10, "Y": 4.40}
 
-# Score, then the patterns of 4 coded residues that have it.
-TURNS_4 = """
-0.8 XXUX XZOX XUXX
-0.7 XXOX XOXX XZUX XXOZ ZXOX XOZZ ZOXX ZOZX ZUXX
-0.5 ZXUX XOZX XZOZ XUZX
-0.2 ZZOX ZXOZ ZOXZ XOXZ ZZUZ XUXZ ZUXZ XZUZ XUZZ ZXUZ ZOZZ ZZOZ ZZUX ZUZX XXUZ ZUZZ
-"""
+# The same in peptides under 10 residues, where they differ.
+SHORT_INNER = INNER | {"A": 0.80, "C": 0.50, "D": 0.30, "E": 0.50, "F": 11.10, "G": 0.00, "H": -1.00, "I": 7.70, "K": -0.20, "L": 9.20, "P": 3.00, "R": -0.20, "S": -0.50, "T": 0.60, "V": 5.10, "W": 12.40, "Y": 5.10}
+SHORT_FIRST = FIRST | {"A": -0.30, "C": 0.40, "D": 0.30, "E": 0.10, "F": 8.10, "G": 0.00, "H": 0.10, "I": 5.00, "K": -1.40, "L": 6.00, "M": 5.00, "P": 1.00, "Q": -0.80, "S": 0.40, "V": 2.70, "W": 11.60, "Y": 4.20}
+SHORT_SECOND = SECOND | {"A": 0.10, "C": 0.00, "D": 0.70, "G": 0.10, "I": 6.80, "K": -1.30, "L": 7.90, "P": 1.50, "S": 0.10, "T": 0.40}
+SHORT_LAST = LAST | {"K": -2.20, "R": -1.20}
+SHORT_LAST_BUT_ONE = LAST_BUT_ONE | {"A": -0.50, "L": 8.70}
 
-# Score, then the patterns of 5 coded residues that have it.
-TURNS_5 = """
-3.75 XXOXX XXOXZ XXOZX XZOXX ZXOXX
-2.7 XXOZZ XZOXZ XZOZX ZXOXZ ZXOZX ZZOXX
-1.3 ZXOZZ XZOZZ ZZOXZ ZZOZX ZZOZZ
-3.75 XXUXX XXUXZ XXUZX XZUXX ZXUXX
-1.1 XXUZZ XZUXZ XZUZX ZXUZX ZXUXZ ZZUXX
-1.3 XZUZZ ZXUZZ ZZUXZ ZZUZX ZZUZZ
-1.25 XXOOX ZXOOX XZOOX XOOXX XOOXZ XOOZX XXOOZ ZXOOZ XZOOZ ZZOOX ZZOOZ ZOOXX ZOOXZ ZOOZX XOOZZ ZOOZZ XXOUX ZXOUX XXUOX ZXUOX XOUXX XOUXZ XUOXX XUOXZ
-0.75 XXOUZ ZXOUZ XZOUX XZOUZ ZZOUX ZZOUZ XXUOZ ZXUOZ XZUOX XZUOZ ZZUOX ZZUOZ ZOUXX ZOUXZ XOUZX ZOUZX XOUZZ ZOUZZ ZUOXX ZUOXZ XUOZX ZUOZX XUOZZ ZUOZZ
-1.25 XUUXX XXUUX
-0.6 XXUUZ ZXUUX ZXUUZ XZUUX XZUUZ ZZUUX ZZUUZ ZUUXX XUUXZ ZUUXZ XUUZX ZUUZX XUUZZ ZUUZZ
-"""
+# What a neighbour of a cut site takes off; default 0.
+NEAR_CUT = {"F": -0.10, "I": 0.15, "L": 0.30, "V": -0.30, "W": 0.15, "Y": -0.20}
 
-# Score, then the patterns of 6 coded residues that have it.
-TURNS_6 = """
-3.0 XXOOXX XXOOXZ ZXOOXX ZXOOXZ XXOUXX XXOUXZ XXUOXX XXUOXZ ZXUOXX ZXOUXX
-1.6 XXOOZX XXOOZZ XZOOXX XZOOXZ XZOOZX XZOOZZ ZXOOZX ZXOOZZ ZZOOXX ZZOOXZ ZXOUXZ XZUOXX ZXUOXZ
-1.5 ZZOOZX ZZOOZZ XXOUZX XXOUZZ XZOUXX XZOUXZ ZXOUZX ZXOUZZ ZZOUXX ZZOUXZ XXUOZX XXUOZZ XZUOXZ ZXUOZX ZXUOZZ ZZUOXX ZZUOXZ
-1.25 ZZUOZX ZZUOZZ ZZOUZX ZZOUZZ XZOUZX XZOUZZ XZUOZX XZUOZZ XXUUXX XXUUXZ ZXUUXX XXUUZX XXUUZZ XZUUXX XZUUXZ
-0.75 XZUUZX XZUUZZ
-1.25 ZXUUXZ ZXUUZX ZXUUZZ ZZUUXX ZZUUXZ
-0.75 ZZUUZX ZZUUZZ
-"""
+# Masses of the isoelectric correction. That of F is not the residue's mass.
+MASS = {"A": 71.0370, "C": 103.0090, "D": 115.0270, "E": 129.0430, "F": 147.0638, "G": 57.0210, "H": 137.0590, "I": 113.0840, "K": 128.0950, "L": 113.0840, "M": 131.0400, "N": 114.0430, "P": 97.0530, "Q": 128.0590, "R": 156.1010, "S": 87.0320, "T": 101.0480, "V": 99.0680, "W": 186.0790, "Y": 163.0630}
+
+# pK of the first and last residue's ends, with their defaults, and of side chains.
+PK_FIRST, PK_FIRST_ELSE = {"D": 4.55, "E": 4.75}, 3.55
+PK_LAST, PK_LAST_ELSE = {"A": 7.59, "E": 7.70, "M": 7.00, "P": 8.36, "S": 6.93, "T": 6.82, "V": 7.44}, 7.50
+PK_GAINS = {"H": 5.98, "K": 10.00, "R": 12.00}
+PK_LOSSES = {"D": 4.05, "E": 4.45, "Y": 10.00}
+
+# Weight of a residue in a long helix, and factor of its neighbours; default 1.
+HELIX = {"A": 1.0, "F": 0.5, "I": 3.5, "L": 1.6, "M": 1.8, "V": 1.4, "W": 1.6, "Y": 0.2}
+BESIDE_HELIX = {"A": 1.2, "D": 1.1, "E": 1.1, "G": 0.3, "H": 0.6, "I": 1.4, "L": 1.6, "N": 0.4, "P": 0.3, "V": 1.2}
+
+# Score of a run of 2 to 6 hydrophobic residues, by its length and the number of strong ones in it.
+CLUSTERS = {
+    2: (0.3, 0.4, 1.3),
+    3: (0.5, 0.7, 2.1, 2.8),
+    4: (0.7, 0.9, 2.2, 3.0, 3.5),
+    5: (0.9, 1.0, 2.3, 3.1, 3.6, 4.0),
+    6: (1.1, 1.7, 2.5, 3.3, 3.7, 4.1, 4.5),
+}
+# Runs (S strong, w weak) that the published list scores otherwise.
+ODD_CLUSTERS = {"SwSwS": 2.3, "SwSww": 3.6, "wSSw": 0.9}
+
+# Short turns of four, three hydrophobic residues (X strong, Z weak) around a polar one (O acid, U other).
+TURNS_OF_4 = {
+    "XOXX": 0.7, "XOXZ": 0.2, "XOZX": 0.5, "XOZZ": 0.7, "XUXX": 0.8, "XUXZ": 0.2, "XUZX": 0.5, "XUZZ": 0.2,
+    "XXOX": 0.7, "XXOZ": 0.7, "XXUX": 0.8, "XXUZ": 0.2, "XZOX": 0.8, "XZOZ": 0.5, "XZUX": 0.7, "XZUZ": 0.2,
+    "ZOXX": 0.7, "ZOXZ": 0.2, "ZOZX": 0.7, "ZOZZ": 0.2, "ZUXX": 0.7, "ZUXZ": 0.2, "ZUZX": 0.2, "ZUZZ": 0.2,
+    "ZXOX": 0.7, "ZXOZ": 0.2, "ZXUX": 0.5, "ZXUZ": 0.2, "ZZOX": 0.2, "ZZOZ": 0.2, "ZZUX": 0.2, "ZZUZ": 0.2,
+}
+
+
+def _turn_of_5(left: str, polar: str, right: str) -> float:
+    """One polar residue in the middle: by the number of strong ones. Two side by side: by the strong ones next to them."""
+    around = left + right
+    if len(polar) == 1:
+        strong = around.count("X")
+        return 3.75 if strong > 2 else {"O": 2.7, "U": 1.1}[polar] if strong == 2 else 1.3
+    if polar == "OO":
+        return 1.25
+    if polar == "UU":
+        return 1.25 if "Z" not in around else 0.6
+    return 1.25 if left[-1] + right[0] == "XX" else 0.75
+
+
+def _turn_of_6(left: str, polar: str, right: str) -> float:
+    """Two polar residues between two and two hydrophobic ones."""
+    beside = left[-1] + right[0]
+    if polar == "UU":
+        return 1.25 if "X" in beside else 0.75
+    if polar == "OO":
+        return 3.0 if beside == "XX" else 1.5 if left + right[0] == "ZZZ" else 1.6
+    if left + right in ("ZXXZ", "XZXX") and (polar == "UO" or beside == "XX"):
+        return 1.6
+    return 3.0 if beside == "XX" else 1.5 if "X" in beside else 1.25
+
+
+def _turns() -> dict[str, float]:
+    hydrophobic = lambda n: ["".join(p) for p in product("XZ", repeat=n)]
+    pairs = ["".join(p) for p in product("OU", repeat=2)]
+    out = dict(TURNS_OF_4)
+    for polar, left, right in ((p, a, b) for p in "OU" for a in hydrophobic(2) for b in hydrophobic(2)):
+        out[left + polar + right] = _turn_of_5(left, polar, right)
+    for polar, left, right in ((p, a, b) for p in pairs for m, n in ((1, 2), (2, 1), (2, 2)) for a in hydrophobic(m) for b in hydrophobic(n)):
+        rule = _turn_of_6 if len(left + right) == 4 else _turn_of_5
+        out[left + polar + right] = rule(left, polar, right)
+    return out
+
+
+TURNS = _turns()

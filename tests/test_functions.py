@@ -3,7 +3,8 @@ import random
 import pytest
 
 from massgrid.functions import chemistry as chem
-from massgrid.functions import codecs
+from massgrid.functions import codecs, hydrophobicity
+from massgrid.functions import retention_tables as tables
 from massgrid.functions.hydrophobicity import score
 from massgrid.functions.proforma import delta_text, expand
 from massgrid.plans.ptm import BOND_C, BOND_N, STATIC, TERMINUS_C, TERMINUS_N, VARIABLE, Condition, Plan, Ptm, PtmSet, conditions, mass_bounds, merged_windows
@@ -44,8 +45,70 @@ def test_codecs():
     assert codecs.to_unsigned(codecs.to_signed(7)) == 7 and codecs.to_signed(0) < codecs.to_signed(1)
 
 
-#: Published scores.
-SCORES = {"A": 0.0, "AAAA": 0.8168572447196794, "ACDE": 0.4487883690977925}
+
+# Published test sequences and their scores.
+SCORES = {
+    "A": 0,
+    "AA": 0,
+    "AAA": 0,
+    "AAAA": 0.8168572447196794,
+    "ACDE": 0.4487883690977925,
+    "WFIL": 34.42608528803379,
+    "KRHK": 1.8329999999999997,
+    "AAAAA": 1.3166397265478236,
+    "AAAAAA": 1.9721127478392972,
+    "AAAAAAA": 3.2637859860276164,
+    "AAAAAAAA": 4.246475677881995,
+    "AAAAAAAAA": 5.0017278816802255,
+    "AAAAAAAAAA": 7.973553649754347,
+    "ACDEFGHIKL": 24.170996006259134,
+    "MNPQRSTVWY": 23.7086,
+    "PEPTIDESEQ": 12.290167623790023,
+    "SAMPLEPEPTIDE": 28.562999848538123,
+    "GLYCINERICHGGG": 24.961824999999997,
+    "PEPTIDESEQK": 11.303263091739549,
+    "PEPTIDESEQR": 11.943060655671015,
+    "PEPTIDESEQH": 11.938109641121251,
+    "PEPKTIDESEQ": 10.249113163465555,
+    "PEPRTIDESEQ": 10.942525704414477,
+    "PEPHTIDESEQ": 10.884267764143639,
+    "KPEPTIDESEQ": 12.77907299132314,
+    "RPEPTIDESEQ": 13.9441305581841,
+    "HPEPTIDESEQ": 13.30810408119215,
+    "LLLLLLLLLLLL": 79.7113621670493,
+    "LIWLIWLIWLIW": 84.16656463696798,
+    "AMYVAMYVAMYV": 39.5556304198108,
+    "PPAAAAAAAAAA": 13.18863872329183,
+    "PPPAAAAAAAAA": 10.941671619754398,
+    "PPPPAAAAAAAA": 10.438081290571837,
+    "AAPPAAAAAAAA": 10.755683913057029,
+    "AAAAAAAAAAAAAAAAAAAAAAAA": 24.125487660176162,
+    "ACDEFGHIKLMNPQRSTVWYACDEFGHIKLMNPQRSTVWY": 46.28918181818182,
+    "FFFFFFFFFFFFFFFFFFFF": 126.73135000000005,
+    "WWWWWWWWWWWWWWWWWWWW": 146.156,
+    "DDDDDDDDDDDDDDDDDDDD": 1.2793991989312616,
+    "KKKKKKKKKKKKKKKKKKKK": -38.25,
+    "FFFFFFFFFFDDDDDDDDDD": 68.61080862358062,
+    "FFFFFWWWWWLLLLLIIIII": 123.87066000000002,
+    "KRHKRHKRHKRH": -9.174999999999999,
+    "DEDEDEDEDEDE": 5.335148203297889,
+    "KRHDEYKRHDEY": 4.93125,
+    "LEALKAEIRALEALKAEIRA": 43.71470125000001,
+    "AKAEIRALEALKAEIRALEA": 44.26494875,
+    "EEAAKKLLEEAAKKLLEEAA": 37.82605333578412,
+    "AAAAAAADAAA": 11.143847248824894,
+    "AAAAAAAEAAA": 11.791264553019078,
+    "AAAAAAADPGA": 8.247745772922174,
+    "AAAAAAADXXA": 4.497642833664811,
+    "PEPTIDEAAADII": 33.65696490251762,
+    "acdefghiklmnpqrstvwy": 0,
+    "AC-DE*FG HI1KL": 24.170996006259134,
+    "peptideSEQUENCE123": 1.173136635195106,
+    "PEPTBIDEXSEQZ": 12.290167623790023,
+    "SAMPLERPEPTIDEK": 26.422504864946223,
+    "MASSSPECTROMETRY": 17.979999999999993,
+    "HYDROPHOBICPEPTIDE": 23.623080625604818,
+}
 
 
 def test_scores():
@@ -54,6 +117,17 @@ def test_scores():
     assert score(None) == score("acde") == 0.0
 
 
+def test_turns_and_clusters_are_made_by_rule():
+    """Values of the published lists, some of each kind."""
+    assert len(tables.TURNS) == 192
+    # Turns and runs of the published lists.
+    assert {t: tables.TURNS[t] for t in ("XXOXX", "ZZOZZ", "XXUZZ", "XOUZX", "ZUUZZ", "XXOOXZ", "XZUOXX", "ZZUOZZ", "XZUUZX", "ZXUUXZ")} == {
+        "XXOXX": 3.75, "ZZOZZ": 1.3, "XXUZZ": 1.1, "XOUZX": 0.75, "ZUUZZ": 0.6, "XXOOXZ": 3.0, "XZUOXX": 1.6, "ZZUOZZ": 1.25, "XZUUZX": 0.75, "ZXUUXZ": 1.25,
+    }
+    assert hydrophobicity._clusters("GAAGLLGALLAG") == 0.4 * (0.3 + 1.3 + 0.9)
+    assert hydrophobicity._clusters("AAGAAG") == 0.4 * 0.3
+
+
 def test_conditions():
     mass = 839403366202
     found = conditions(PtmSet([C, M, FIRST, LAST_K, Ptm.of("a", "X", 10.0, VARIABLE, TERMINUS_N), Ptm.of("b", "X", 40.3, VARIABLE, TERMINUS_C)]), mass, 6 * chem.MASS["G"], mass, 2, first_only=True)
