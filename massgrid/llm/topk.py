@@ -1,17 +1,23 @@
-"""Exact top-k inner products: norm-sorted blocks, SVD-rotated partial sums and Cauchy-Schwarz residual bounds.
-
-Vectors become integers, floor(256 * x), and are dealt into blocks of about BLOCK rows. Every block of queries
-meets every block of candidates once, as one row of a join on both block numbers, so work is spread evenly and
-no task holds more than two blocks. Within such a row the candidates stand by descending length and both sides
-are rotated by the right singular vectors of the candidates. Tile by tile, the inner product over the leading
-rotated components plus the product of the residual lengths bounds the score; candidates below a query's k-th
-best score so far are pruned, and where even the product of the lengths is below it for every query the block is
-done. What remains gets the exact integer product. The k best of each block meet in one aggregation by query.
+"""Exact top-k inner products: vectors by descending length, SVD-rotated partial sums and Cauchy-Schwarz residual bounds.
+
+1. Vectors become integers, floor(256 * x), and are dealt into bands by length, the longest first, and each band into
+   blocks of about BLOCK rows. Within a block they stand by descending length.
+2. Every query meets the first block, the longest vectors. Its k-th best score there is its floor.
+3. A block of queries then meets the blocks of those bands whose greatest length, times the length of any of the
+   queries, reaches that query's floor; the bands beyond are skipped whole. The floors travel with the queries.
+4. Where two blocks meet, both sides are rotated by the right singular vectors of a sample of the vectors. Tile by tile,
+   the inner product over the leading components plus the product of the lengths of the rests bounds the score; the
+   bound is taken after two, four, five, six and seven eighths of the components, and pairs below the query's floor,
+   which rises with what is found, go. Only pairs that are left get the exact integer product.
+5. The k best of all meetings are taken by query.
+
+The sample for the rotation has about SAMPLE vectors, chosen by a hash of the id; it changes how much is pruned, never a
+result. The driver gets that sample and a row for each of at most BANDS bands.
 
 Cases: null vectors, those that hold a null or non-finite component, and rows without an id take no part; equal
 scores go to the smaller id; queries with fewer candidates return all; vectors of unequal length count as padded
 with zeros; rows that repeat a query's id make one query (the least vector) and are no candidates of it; an empty
-table gives an empty result. Scores must fit 64 bits.
+table gives an empty result; other columns are ignored, whatever their names. Scores must fit 64 bits.
 """
 
 from __future__ import annotations
@@ -24,11 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from massgrid.llm.bytesops import gather_ranges
 from massgrid.llm.common import saved
 
 BLOCK = 2048
+BANDS = 512
 TILE = 256
+SAMPLE = 4096
+#: Eighths of the components after which the bound is taken: for whole tiles, then pair by pair.
+TILE_EIGHTHS, PAIR_EIGHTHS = (2, 4), (5, 6, 7)
 LEAST = np.iinfo(np.int64).min
+LAST_ID = np.iinfo(np.int64).max
 
 
 def integer_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -38,85 +50,177 @@ def integer_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     return rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(~bad).select(F.col(key).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * 256).cast("long")).alias("q"))
 
 
-def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows padded to `width`, in the smallest integers that hold them."""
     column = lists.combine_chunks()
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     sizes = np.diff(np.asarray(column.offsets, np.int64))
-    out = np.zeros((len(column), max(1, int(sizes.max(initial=0)))), np.int64)
-    out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().to_numpy()
-    return out
+    out = np.zeros((len(column), width), np.int64)
+    out[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy()
+    top = int(np.abs(out).max(initial=0))
+    return out.astype(np.int16 if top < 1 << 15 else np.int32 if top < 1 << 31 else np.int64)
 
 
-def _block(name: str):
+def _packed(width: int, floors: bool):
     def run(table: pa.Table) -> pa.Table:
-        """The rows of a block by descending length, as one row."""
-        ids, q = table["vec_id"].to_numpy(), _matrix(table["q"])
-        order = np.lexsort((ids, -(q.astype(float) ** 2).sum(1)))
-        return pa.table([pa.array([table[name][0].as_py()], pa.int64()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([q[order].tobytes()], pa.binary())], names=["block", "ids", "q"])
+        """The rows of a block by descending length, as one row. need: a vector under this length is below all floors."""
+        ids, q = table["vec_id"].to_numpy(), _matrix(table["q"], width)
+        length = np.sqrt((q.astype(float) ** 2).sum(1))
+        order = np.lexsort((ids, -length))
+        columns = [pa.array([table["block"][0].as_py()], pa.int64()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([q[order].tobytes()], pa.binary())]
+        if floors:
+            floor = table["floor"].fill_null(LEAST).to_numpy()
+            need = np.where(floor > 0, floor / np.maximum(length, 1e-9), -np.inf).min()
+            columns += [pa.array([floor[order].tobytes()], pa.binary()), pa.array([need], pa.float64())]
+        return pa.table(columns, names=["block", "ids", "q", "floor", "need"][: len(columns)])
 
     return run
 
 
-def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of each query's k best candidates; LEAST where there are fewer. vectors: by descending length."""
-    d = max(queries.shape[1], vectors.shape[1])
-    queries, vectors = (np.pad(x, ((0, 0), (0, d - x.shape[1]))) for x in (queries, vectors))
-    fq, fv = queries.astype(float), vectors.astype(float)
-    _, _, axes = np.linalg.svd(fv.T @ fv)
-    rq, rv = fq @ axes.T, fv @ axes.T
-    lead = max(1, d // 4)
-    rest_q, rest_v = (np.sqrt((x[:, lead:] ** 2).sum(1)) for x in (rq, rv))
-    len_q, len_v = (np.sqrt((x**2).sum(1)) for x in (fq, fv))
-    slack = 1e-9 * len_q * len_v.max(initial=0) + 1e-6  # the rotation is rounded, the scores are not
-    whole = np.abs(fq).max(initial=0) * np.abs(fv).max(initial=0) * d < 2**52
-    top, who = np.full((len(queries), k), LEAST), np.full((len(queries), k), np.iinfo(np.int64).max)
-    for i in range(0, len(vectors), TILE):
-        tile = slice(i, i + TILE)
-        floor = np.where(top[:, -1] == LEAST, -np.inf, top[:, -1].astype(float)) - slack
-        if (len_q * len_v[i] < floor).all():
-            break
-        live = np.flatnonzero(len_q * len_v[i] >= floor)
-        bound = rq[live, :lead] @ rv[tile, :lead].T + rest_q[live, None] * rest_v[tile]
-        keep = (bound >= floor[live, None]) & (query_ids[live, None] != ids[tile])
-        some = keep.any(1)
-        live, keep = live[some], keep[some]
-        if not len(live):
-            continue
-        exact = (fq[live] @ fv[tile].T).astype(np.int64) if whole else queries[live] @ vectors[tile].T
-        scores = np.concatenate([top[live], np.where(keep, exact, LEAST)], 1)
-        names = np.concatenate([who[live], np.where(keep, ids[tile], np.iinfo(np.int64).max)], 1)
-        # -1 - score instead of -score, which has no value for LEAST
-        order = np.lexsort((names, -1 - scores), axis=1)[:, :k]
-        top[live], who[live] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
-    return top, who
+def rotation(sample: np.ndarray) -> np.ndarray:
+    """Right singular vectors of the sample by descending singular value, as columns."""
+    return np.linalg.svd(sample.T @ sample)[0]
+
+
+class Found:
+    """The k best of each query so far."""
+
+    def __init__(self, queries: int, k: int, floor: np.ndarray):
+        self.k, self.known = k, floor
+        self.top, self.who = np.full((queries, k), LEAST), np.full((queries, k), LAST_ID)
 
+    def floor(self) -> np.ndarray:
+        """A score below it is among no query's k best."""
+        return np.maximum(self.known, self.top[:, -1])
 
-def _search(k: int):
+    def add(self, query: np.ndarray, score: np.ndarray, name: np.ndarray) -> None:
+        rows = np.unique(query)
+        have = np.repeat(rows, self.k)
+        q, s, n = np.concatenate([have, query]), np.concatenate([self.top[rows].ravel(), score]), np.concatenate([self.who[rows].ravel(), name])
+        order = np.lexsort((n, -1 - s, q))  # -1 - s instead of -s, which has no value for LEAST
+        _, start, count = np.unique(q[order], return_index=True, return_counts=True)
+        best = order[gather_ranges(start, np.minimum(count, self.k))].reshape(len(rows), self.k)
+        self.top[rows], self.who[rows] = s[best], n[best]
+
+
+def best_of_block(query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, ids: np.ndarray, vectors: np.ndarray, axes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(scores, ids) of each query's k best candidates not below its floor, LEAST where there are fewer; and how many products were exact.
+
+    vectors: by descending length.
+    """
+    d = queries.shape[1]
+    rq, rv = queries @ axes, vectors @ axes
+    cuts = [max(1, d * e // 8) for e in (*TILE_EIGHTHS, *PAIR_EIGHTHS)]
+    rest_q, rest_v = ([np.sqrt((x[:, c:] ** 2).sum(1)) for c in cuts] for x in (rq, rv))
+    len_q, len_v = (np.sqrt((x**2).sum(1)) for x in (rq, rv))
+    slack = 1e-9 * len_q * len_v.max(initial=0) + 1e-6  # the rotation is rounded, the scores are not
+    found, products = Found(len(queries), k, floor), 0
+    i, end, tile = 0, 0, 4 * k
+    while end < len(vectors):  # tiles grow, so that floors come early
+        i, end, tile = end, end + tile, min(TILE, 2 * tile)
+        least = found.floor().astype(float) - slack
+        live = np.flatnonzero(len_q * len_v[i] >= least)
+        if not len(live):
+            break  # nor do the shorter vectors reach a floor
+        keep = query_ids[live, None] != ids[None, i:end]
+        partial, done = np.zeros(keep.shape), 0
+        for c, a, b in zip(cuts, rest_q, rest_v):  # noqa: B905 - the tile's cuts only
+            if c == cuts[len(TILE_EIGHTHS)]:
+                break
+            partial += rq[live, done:c] @ rv[i:end, done:c].T
+            keep &= partial + a[live, None] * b[None, i:end] >= least[live, None]
+            done = c
+        x, y = np.nonzero(keep)
+        part, x, y = partial[x, y], live[x], y + i
+        for c, a, b in list(zip(cuts, rest_q, rest_v, strict=True))[len(TILE_EIGHTHS) :]:
+            part = part + np.einsum("ij,ij->i", rq[x, done:c], rv[y, done:c])
+            near = part + a[x] * b[y] >= least[x]
+            part, x, y, done = part[near], x[near], y[near], c
+        if len(x):
+            products += len(x)
+            score = np.einsum("ij,ij->i", queries[x].astype(np.int64), vectors[y].astype(np.int64))
+            good = score >= found.floor()[x]
+            found.add(x[good], score[good], ids[y[good]])
+    return found.top, found.who, products
+
+
+MEETING = "query_id long, vec_id long, score long"
+
+
+def _search(k: int, axes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(data: bytes, n: int) -> np.ndarray:
+            size = len(data) // max(1, n * len(axes))
+            return np.frombuffer(data, {2: np.int16, 4: np.int32, 8: np.int64}[size]).reshape(n, -1)
+
         for batch in batches:
-            for qi, q, ci, c in zip(*(batch.column(n).to_pylist() for n in ("query_ids", "query_q", "ids", "q")), strict=True):
-                query_ids, ids = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
-                top, who = best_of_block(query_ids, np.frombuffer(q, np.int64).reshape(len(query_ids), -1), ids, np.frombuffer(c, np.int64).reshape(len(ids), -1), k)
+            for qi, q, floor, ci, c in zip(*(batch.column(n) for n in ("query_ids", "query_q", "floor", "ids", "q")), strict=True):
+                query_ids, ids = np.frombuffer(qi.as_py(), np.int64), np.frombuffer(ci.as_py(), np.int64)
+                top, who, _ = best_of_block(query_ids, rows(q.as_py(), len(query_ids)), np.frombuffer(floor.as_py(), np.int64), ids, rows(c.as_py(), len(ids)), axes, k)
                 at = np.nonzero(top != LEAST)
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[at[0]]), pa.array(who[at]), pa.array(top[at])], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _per_row(values: list, at: F.Column) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, values)), at)
+
+
+def bands_of(vectors: DataFrame, rows: int) -> tuple[DataFrame, list[float], list[int]]:
+    """(vectors with their block, greatest length of each band, last block of each band); bands by descending length."""
+    wanted = max(1, min(BANDS, math.ceil(rows / BLOCK)))
+    cuts = sorted(set(vectors.approxQuantile("length", [i / wanted for i in range(1, wanted)], 0.1 / wanted)), reverse=True) if wanted > 1 else []
+    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("length"))) if cuts else F.lit(0)
+    banded = vectors.withColumn("band", above)
+    held = sorted(banded.groupBy("band").agg(F.count("*").alias("n"), F.max("length").alias("top")).collect())  # a row for each band
+    place = {r.band: i for i, r in enumerate(held)}
+    parts = [math.ceil(r.n / BLOCK) for r in held]
+    last = np.cumsum(parts).tolist()
+    number = _per_row([place.get(b, 0) + 1 for b in range(max(place) + 1)], F.col("band") + 1)
+    own = F.pmod(F.xxhash64("vec_id", F.to_json("q")), _per_row(parts, F.col("number")))
+    block = own + _per_row([0, *last[:-1]], F.col("number"))
+    return banded.withColumn("number", number).withColumn("block", block.cast("long")), [r.top for r in held], last
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score); both inputs as integer_vectors returns them."""
-    vectors = saved(candidates, "vectors")
+    spark = candidates.sparkSession
+    length = F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    vectors = saved(candidates.withColumn("length", length), "vectors")
     asked = saved(queries.groupBy("vec_id").agg(F.min("q").alias("q")), "queries")
-    n_c, n_q = (max(1, math.ceil(x.count() / BLOCK)) for x in (vectors, asked))
-
-    def dealt(rows: DataFrame, n: int) -> DataFrame:
-        return rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.to_json("q")), F.lit(n))).groupBy("block").applyInArrow(_block("block"), "block long, ids binary, q binary")
-
-    left = dealt(vectors, n_c).select(F.col("block").alias("c_block"), "ids", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("q_block"))
-    right = dealt(asked, n_q).select(F.col("block").alias("q_block"), F.col("ids").alias("query_ids"), F.col("q").alias("query_q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))).alias("c_block"))
-    found = left.join(right, ["c_block", "q_block"]).select("query_ids", "query_q", "ids", "q").mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    n, width = vectors.agg(F.count("*"), F.max(F.size("q"))).first()
+    n_q, width_q = asked.agg(F.count("*"), F.max(F.size("q"))).first()
+    if not n or not n_q:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width = max(1, width, width_q)
+    share = min(1 << 20, (SAMPLE << 20) // n + 1)
+    sample = vectors.where(F.pmod(F.xxhash64(F.lit("axes"), "vec_id"), F.lit(1 << 20)) < share).select("q").toArrow()
+    axes = rotation(_matrix(sample["q"], width).astype(float))
+
+    banded, tops, last = bands_of(vectors, n)
+    blocks = saved(banded.select("block", "vec_id", "q").groupBy("block").applyInArrow(_packed(width, False), "block long, ids binary, q binary"), "blocks")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        dealt_ = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(math.ceil(n_q / BLOCK))))
+        packed = dealt_.groupBy("block").applyInArrow(_packed(width, True), "block long, ids binary, q binary, floor binary, need double")
+        return packed.select(F.col("ids").alias("query_ids"), F.col("q").alias("query_q"), "floor", "need")
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.join(blocks, "block").select("query_ids", "query_q", "floor", "ids", "q").mapInArrow(_search(k, axes), MEETING)
+
+    first = saved(_best(met(dealt(asked.withColumn("floor", F.lit(None).cast("long"))).withColumn("block", F.lit(0).cast("long"))), k), "first-block")
+    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    with_floors = saved(dealt(asked.join(floors, "vec_id", "left")), "query-blocks")
+    reached = F.size(F.filter(F.array(*map(F.lit, tops)), lambda t: t * (1 + 1e-9) + 1e-6 >= F.col("need")))
+    wanted = F.when(reached > 0, _per_row(last, F.greatest(reached, F.lit(1)))).otherwise(0).cast("long") - 1
+    rest = with_floors.withColumn("wanted", wanted).where("wanted >= 1").withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("wanted")))) if last[-1] > 1 else with_floors.where("false").withColumn("block", F.lit(1).cast("long"))
+    return _best(first.drop("rank").union(met(rest)), k)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
