@@ -9,11 +9,13 @@ A span is (kind, start, end) in code points, end exclusive. Base kinds are assig
 are added in what the base spans leave: runs, and of ordinary runs their parts between separators. Everything is narrow, inside the scan of the table.
 
 Cases: a null or empty text has no spans; kinds are matched independently and may overlap one another; an empty
-table gives an empty result; repeated rows are scanned each; other columns are ignored.
+table gives an empty result; repeated rows are scanned each; other columns are ignored. Long texts are scanned whole, and
+the time grows in proportion to the text, whether it is one run or holds many.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,8 @@ PARTS = (
     "update upload user util value vector version view width window word write zone the of and ing tion er en le la de ou in on re an es"
 ).split()
 SAMPLES = 6000
+#: Values that are folded at once, and characters of a text that are counted at once.
+STRIDE, CHUNK = 128, 1024
 
 
 def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
@@ -84,10 +88,10 @@ class Model:
     def score(self, s: Column) -> Column:
         """Mean log-likelihood ratio by character pair; above 0 the string is likelier to be random."""
         table = F.split(F.lit(",".join(map(str, self.weights))), ",").cast("array<double>")  # folded to a constant
-        place = lambda i: F.instr(F.lit(ALPHABET), s.substr(i, F.lit(1)))
-        steps = F.sequence(F.lit(1), F.length(s) - 1)
-        total = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.element_at(table, (place(i) - 1) * len(ALPHABET) + place(i + 1)))
-        return total / (F.length(s) - 1)
+        places = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))  # a substr by place would count from the start each time
+        start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))
+        step = lambda acc, p: F.struct(p.alias("last"), F.when(acc["last"] > 0, acc["sum"] + F.element_at(table, (acc["last"] - 1) * len(ALPHABET) + p)).otherwise(acc["sum"]).alias("sum"))
+        return F.aggregate(places, start, step, lambda acc: acc["sum"]) / (F.length(s) - 1)
 
     @classmethod
     def trained(cls, labelled: DataFrame, false_alarms: float = 0.002) -> Model:
@@ -98,21 +102,62 @@ class Model:
         return model
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once; lambdas compute what they capture again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For every place, and the one after the last, what the values before it combine to, 0 being the start.
+
+    In two levels, blocks of STRIDE values and their totals, so the time grows in proportion to the values.
+    """
+    zero = F.lit(0)
+    fold = lambda x, start, n: F.aggregate(F.slice(x, start, n), zero, combine)
+    totals = lambda v: F.transform(F.sequence(zero, F.floor(F.size(v) / STRIDE).cast("int")), lambda b: fold(v, b * STRIDE + 1, F.lit(STRIDE)))
+    ahead = lambda t: F.aggregate(t, F.array(zero), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+    place = lambda v, h: F.transform(F.sequence(zero, F.size(v)), lambda i: let(F.floor(i / STRIDE).cast("int"), lambda b: combine(h[b], fold(v, b * STRIDE + 1, i % STRIDE))))
+    return let(values, lambda v: let(ahead(totals(v)), lambda h: place(v, h)))
+
+
 def located(text: Column, pattern: str, number: int, group: int = 0, least: int = 1) -> Column:
     """(start, kind, end, s) of every match, leftmost first and non-overlapping: the lengths of what lies between the matches give the places.
 
     A match whose group is shorter than `least` takes up its text but is left out.
     """
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
+    sizes = lambda p: F.transform(p, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["s"]), F.lit(0)))
+
+    def span(x: Column, before: Column) -> Column:
+        start = before + F.length(x["gap"])
+        row = F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.length(x["s"])).alias("end"), x["s"].alias("s"))
+        return F.when(F.length(x["g"]) >= least, row)  # after the last gap comes no match
+
+    spans = let(pieces, lambda p: let(running(sizes(p), lambda a, b: a + b), lambda before: F.filter(F.transform(p, lambda x, i: span(x, before[i])), lambda x: x.isNotNull())))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS))
+
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["s"]), F.lit(0))  # after the last gap comes no match
-        row = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["s"].alias("s")))
-        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["rows"], row)).otherwise(acc["rows"]).alias("rows"))
+def rewritten(text: Column, spans: Column, place: Callable[[Column, Column], Column]) -> Column:
+    """The text with every span replaced by place(span, where the spans before it end). spans: by start; they may overlap.
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("rows")), step, lambda acc: acc["rows"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
+    The text is cut up once, so that no piece of it is counted out from its start.
+    """
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def cut(c: Column, start: Column, n: Column) -> Column:
+        first = F.floor(start / CHUNK).cast("int")
+        return F.when(n > 0, F.array_join(F.slice(c, first + 1, F.floor((start + n - 1) / CHUNK).cast("int") - first + 1), "").substr(start % CHUNK + 1, n)).otherwise("")
+
+    def piece(c: Column, x: Column, at: Column) -> Column:
+        return F.concat(cut(c, at, x["start"] - at), place(x, at))
+
+    def joined(c: Column, x: Column, ends: Column) -> Column:
+        last = F.element_at(ends, -1)
+        return F.concat(F.array_join(F.transform(x, lambda x, i: piece(c, x, ends[i])), ""), cut(c, last, F.length(text) - last))
+
+    ends = lambda x: running(F.transform(x, lambda y: y["end"]), lambda a, b: F.greatest(a, b))
+    done = let(chunks, lambda c: let(spans, lambda x: let(ends(x), lambda e: joined(c, x, e))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
@@ -134,14 +179,7 @@ def _scanned(rows: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 
 def blanked(text: Column, spans: Column) -> Column:
     """The text with spaces in place of all spans. spans: by start."""
-
-    def step(acc, x):
-        gap = text.substr(acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], acc["at"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))
+    return rewritten(text, spans, lambda x, at: F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], at), F.lit(0))))
 
 
 def spelled(spans: Column) -> Column:
@@ -152,13 +190,7 @@ def spelled(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span, or group of overlapping spans, replaced by the mark. spans: by start."""
-
-    def step(acc, x):
-        gap = text.substr(acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))).otherwise(text)
+    return rewritten(text, spans, lambda x, at: F.when(x["start"] < at, F.lit("")).otherwise(F.lit(mark)))
 
 
 def cleaned(docs: DataFrame, model: Model) -> DataFrame:

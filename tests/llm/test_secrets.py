@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +62,61 @@ def test_random_parts_of_ordinary_runs(table, model):
     texts = [path + key + "/items", "0123456789abcdef" * 2 + "-" + tail, f"a {letters} b", "-" * 40 + " " + "12345" * 6, path + "element"]
     got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secrets.scan(table(texts), model).collect()}
     assert got == {0: [(len(path), len(path) + 24)], 1: [(32, 57)], 2: [(2, 28)], 3: [], 4: []}
+
+
+def added(text, spans, model):
+    """Random spans by plain Python: runs of what the base spans leave, and parts of ordinary runs."""
+    blank = list(text)
+    for start, _, end in spans:
+        blank[start:end] = " " * (end - start)
+    size, sign = len(secrets.ALPHABET), secrets.ALPHABET.index
+
+    def random(s):
+        ratio = sum(model.weights[sign(a) * size + sign(b)] for a, b in zip(s, s[1:])) / (len(s) - 1)
+        return re.search("[A-Za-z]", s) is not None and ratio > model.threshold
+
+    out = []
+    for run in re.finditer(secrets.RUN, "".join(blank), re.A):
+        if random(run[0]):
+            out.append((run.start(), run.end()))
+        elif re.search("[+/_=-]", run[0]):
+            out += [(run.start() + p.start(), run.start() + p.end()) for p in re.finditer(secrets.PART, run[0], re.A) if random(p[0])]
+    return out
+
+
+def redacted(text, spans):
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def test_against_plain_python(table, odd_texts, model):
+    rng = random.Random(5)
+    signs = "abcdefABCDEF0123456789+/_=- é😀\"':"
+    pieces = ["token=", "password: ", "AKIA", "secret='", "hostname/of/the/service/region/update/list", "fooBarBazManagerFactoryIndex", " ", "\n"]
+
+    def piece():
+        return rng.choice(pieces) if rng.random() < 0.4 else "".join(rng.choices(signs if rng.random() < 0.5 else "0123456789abcdef", k=rng.randint(1, 60)))
+
+    texts = TEXTS + odd_texts + ["".join(piece() for _ in range(rng.randint(1, 120))) for _ in range(150)] + ["x " * 1100 + "ab" * 300 + " token=abcdefghij " * 200]
+    docs = table(texts)
+    clean = {r.doc_id: r.text for r in secrets.cleaned(docs, model).collect()}
+    for r in secrets.scan(docs, model).collect():
+        text = texts[r.doc_id] or ""
+        want = added(text, base(text), model)
+        assert [(s.start, s.end) for s in r.added] == want
+        assert (clean[r.doc_id] or "") == redacted(text, [(a, b) for a, _, b in base(text)] + want)
+
+
+def test_long_texts(table, model):
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = ["".join(rng.choices(letters, k=1_000_000)), " ".join("".join(rng.choices(letters, k=22)) for _ in range(30_000)), "0123456789abcdef0123456789abcdef " * 20_000]
+    start = time.monotonic()
+    rows = sorted((r.doc_id, len(r.base), len(r.added)) for r in secrets.scan(table(texts), model).collect())
+    assert [r[:2] for r in rows] == [(0, 0), (1, 0), (2, 20_000)] and rows[0][2] == 1 and rows[1][2] > 29_000
+    assert {r.doc_id: r.text for r in secrets.cleaned(table(texts), model).collect()}[2] == "[SECRET] " * 20_000
+    assert time.monotonic() - start < 60
