@@ -7,7 +7,7 @@ likelihood of labelled pages, which `labelled_pages` composes from a seed, and p
 model is a few hundred weights, so the broadcast is bounded. Each page is handled on its own.
 
 Cases: null or empty html gives an empty text; unclosed and stray tags, comments and quotes are tolerated; long pages
-are taken whole; repeated rows are extracted each; an empty table gives an empty result; other columns are ignored.
+are taken whole, in time that grows with their length; repeated rows are extracted each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +38,32 @@ VOID = frozenset("hr br img input meta link area base col embed source track wbr
 #: Opening one of these closes an open one of the same list.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({HIDDEN})(?=[\s/>])[^>]*+>|<(/?)([a-z][a-z0-9-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[/!?]?[a-z][^<>]*>|<[!?][^>]*>""", re.S | re.I)
+#: What a tag holds: no < but in quotes that close soon; so a page is never read again from each unclosed tag.
+INSIDE = r"""(?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|"[^"]{0,2000}+"|'[^']{0,2000}+'){0,400}+"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({HIDDEN})(?=[\s/>]){INSIDE}>|<(/?)([a-z][a-z0-9-]*)({INSIDE})>|<[/!?]?[a-z][^<>]*>|<[!?][^<>]*>""", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in HIDDEN.split("|")}
 FOREIGN_ENDS = re.compile(rf"</(?:{'|'.join(FOREIGN)})(?=[\s/>])", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
-Block = tuple[str, tuple[str, ...], int]  # text, features of the ancestors, characters in links
+#: Character references with more digits than any character has, and zeros ahead.
+ZEROS, NO_CHARACTER = re.compile(r"&#0{7,}"), re.compile(r"&#0*[1-9][0-9]{7,};?")
 
+Block = tuple[str, frozenset[str], int]  # text, features of the ancestors, characters in links
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The non-empty blocks of a page in order."""
+
+def unescaped(text: str) -> str:
+    return html.unescape(NO_CHARACTER.sub("\ufffd", ZEROS.sub("&#0", text))) if "&" in text else text
+
+
+def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """The non-empty blocks of a page in order. known: the features that matter, if not all do.
+
+    Time grows in proportion to the page, however its tags are broken, and to the number of known features.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, frozenset[str]]] = []  # open tags, with the features of all up to them
+    depth: Counter[str] = Counter()
     parts: list[str] = []
     linked, link, at, foreign = 0, False, 0, 0
     endless: set[str] = set()  # hidden tags that nothing closes any more
@@ -59,13 +73,18 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((text, tuple(f for _, fs in stack for f in fs) + (f"in:{stack[-1][0]}" if stack else "in:none",), min(linked, len(text))))
+                out.append((text, (stack[-1][1] if stack else frozenset()) | {f"in:{stack[-1][0]}" if stack else "in:none"}, min(linked, len(text))))
             parts.clear()
         linked = 0
 
+    def pop() -> str:
+        tag = stack.pop()[0]
+        depth[tag] -= 1
+        return tag
+
     def add(text: str) -> None:
         nonlocal linked
-        text = html.unescape(text) if "&" in text else text
+        text = unescaped(text)
         parts.append(text)
         if link:
             linked += len(text.strip())
@@ -102,20 +121,21 @@ def leaf_blocks(page: str) -> list[Block]:
         flush()
         foreign = 0  # a block ends an unclosed drawing
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            while depth[tag] and pop() != tag:
+                pass
             link = False
         elif tag not in VOID:
             closed = CLOSES.get(tag, {"p"} if tag not in ("button", "label") else frozenset())
             while stack and stack[-1][0] in closed:
-                stack.pop()
+                pop()
             features = [f"tag:{tag}"]
             if m[4]:
                 for values in NAMES.findall(m[4]):
                     features += [f"name:{w.lower()}" for w in WORD.findall("".join(values))]
-            stack.append((tag, tuple(features)))
+            above = stack[-1][1] if stack else frozenset()
+            own = {f for f in features if f not in above and (known is None or f in known)}
+            stack.append((tag, above | own if own else above))
+            depth[tag] += 1
     if at < len(page):
         add(page[at:])
     flush()
@@ -296,7 +316,7 @@ class Field:
 
 def main_text(page: str, field: Field) -> str:
     """Blocks of the main text, one on a line."""
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, field.weights)
     return "\n".join(b[0] for b, label in zip(blocks, field.decode(block_features(blocks)), strict=True) if label) if blocks else ""
 
 

@@ -7,8 +7,8 @@ key, so keys never collide. A radix index narrows a search down to a few neighbo
 cross-entropy by character wins; a text whose lowest cross-entropy is above the quantile that was calibrated on
 labelled documents outside the counts is marked as rejected.
 
-The models are fitted on a bounded sample of labelled rows: `max_rows` a language in expectation, chosen by a hash
-of the doc_id among those whose crc32(doc_id as text) mod 5 is not 0. They are broadcast; the sample bounds them.
+The models are fitted on a bounded sample of labelled rows: `max_rows` or `max_bytes` a language in expectation, of
+`max_langs` languages at most, chosen by a hash of the doc_id among those whose crc32(doc_id as text) mod 5 is not 0. They are broadcast; the sample bounds them.
 
 Cases: a null text, or one without a letter, is `und` with score 0; long texts are scored whole, in blocks; without
 any labelled row all are `und`; ties go to the first language by name; other columns are ignored.
@@ -194,15 +194,19 @@ def fit(texts: pa.Array, langs: list[str], quantile: float = 0.999) -> Models |
     return models
 
 
-def train(docs: DataFrame, max_rows: int = 300) -> Models | None:
-    """Learned from about max_rows documents of each language that are not held out."""
+def train(docs: DataFrame, max_rows: int = 300, max_bytes: int = 1 << 24, max_langs: int = 256) -> Models | None:
+    """Learned from about max_rows documents, or max_bytes of text, of each language that are not held out.
+
+    Where there are more than max_langs different values in lang, those of most documents are learned.
+    """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
-    if not counts:
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("double")).alias("bytes"))
+    most = sizes.orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not most:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, max_rows / n) * (1 << 20)))])
+    share = F.create_map(*[F.lit(x) for r in most for x in (r.lang, int(min(1.0, max_rows / r.n, max_bytes / max(1.0, r.bytes)) * (1 << 20)))])
     sample = known.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")))
-    table = sample.select("doc_id", "text", "lang").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # max_rows bounds what is collected
+    table = sample.select("doc_id", "text", "lang").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # bounded by the parameters
     return fit(table["text"], table["lang"].to_pylist())
 
 

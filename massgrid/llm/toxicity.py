@@ -4,11 +4,13 @@ Features of a text are its lower-case words, pairs of neighbours and pairs with
 2**BITS places; each counts once in a text. Per-coordinate learning rates and the L1 term leave few weights other than zero, and
 only these are broadcast: at most 2**BITS, whatever the size of the corpus.
 
-The classifier is fitted on a bounded sample of labelled rows: `max_rows` in expectation, chosen by a hash of the
+The classifier is fitted on a bounded sample of labelled rows: `max_rows` or `max_bytes` in expectation, chosen by a hash of the
 doc_id among those whose crc32(doc_id as text) mod 5 is not 0. Everything else covers all rows and is narrow.
 
 Cases: a null or empty text has no features and gets the base rate's score; rows with a null label or doc_id are
-not learned from; without any labelled row all scores are 0; repeated labels count each; other columns are ignored.
+not learned from; without any labelled row all scores are 0; repeated labels count each; an empty table gives an empty
+result; very long texts are scored whole, and a sample with such gets fewer rows; ties in the order of learning go by
+doc_id and label; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from massgrid.llm.bpe import blocks
 from massgrid.llm.bytesops import PUNCTUATION, U64, mix, text_bytes, word_hashes, words
-from massgrid.llm.common import lean, text_rows
+from massgrid.llm.common import lean, saved, text_rows
 
 BITS = 20
 BLOCK_BYTES = 4 << 20
@@ -90,13 +92,15 @@ def _fit(passes: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, passes: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(places, weights), learned from at most about max_rows labelled documents that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, passes: int = 4, max_bytes: int = 1 << 28) -> tuple[np.ndarray, np.ndarray]:
+    """(places, weights), learned from about max_rows labelled documents, or max_bytes of text, that are not held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    share = min(1.0, max_rows / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = text_rows(docs).join(F.broadcast(sample), "doc_id")  # max_rows bounds what is broadcast
-    rows = texts.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_fit(passes), "place long, weight double").collect()
+    drawn = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20))
+    limit = int(min(1.0, max_rows / max(1, known.count())) * (1 << 20))
+    sample = known.where(drawn < limit)
+    texts = saved(text_rows(docs).join(F.broadcast(sample), "doc_id"), "labelled")  # max_rows bounds what is broadcast
+    size = texts.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0.0
+    rows = texts.where(drawn < int(limit * min(1.0, max_bytes / max(1.0, size)))).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_fit(passes), "place long, weight double").collect()
     return np.array([r.place for r in rows], np.int64), np.array([r.weight for r in rows], float)
 
 

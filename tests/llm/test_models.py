@@ -1,11 +1,20 @@
 """Toxicity, language and HTML: held-out accuracy, and the odd cases."""
 
+import itertools
+import math
 import random
+import time
 import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
 
 from pyspark.sql import functions as F
 
 from massgrid.llm import html_text, langid, toxicity
+from massgrid.llm.bytesops import text_bytes
 
 WORDS = "the of and to in that with for on by this from they which".split()
 BAD = "vileword nastyterm".split()
@@ -60,9 +69,89 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in langid.identify(docs, langid.train(docs.where("false"))).collect()} == {"und"}
 
 
-def test_chances_sum_to_one():
-    import numpy as np
+def test_learning_by_the_plain_formula():
+    """Every step of the classifier against the published per-coordinate update."""
+    rng = np.random.default_rng(1)
+    model, z, n = toxicity.Ftrl(0.5, 1.0, 0.3, 0.7), {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= 0.3:
+            return 0.0
+        return -(z[i] - math.copysign(0.3, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.5 + 0.7)
+
+    for _ in range(300):
+        at, label = np.unique(rng.integers(0, 20, 5)), int(rng.integers(0, 2))
+        w = {int(i): weight(int(i)) for i in at}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i, x in w.items():
+            sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / 0.5
+            z[i], n[i] = z.get(i, 0.0) + g - sigma * x, n.get(i, 0.0) + g * g
+        model.learn(at, label)
+    assert np.allclose(model.weights(np.arange(20)), [weight(i) for i in range(20)])
+
+
+def test_bounded_samples(spark):
+    docs, labels = corpus(spark, 400)
+    assert len(toxicity.train(docs, labels, max_bytes=2000)[0]) < len(toxicity.train(docs, labels)[0])
+    rows = [(i, "abc def " * 20, f"l{i % 40:02d}" if i % 2 else "zz") for i in range(900)]
+    models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=20, max_bytes=2000, max_langs=5)
+    assert len(models.names) <= 5 and "zz" in models.names
+
+
+def test_cross_entropy_by_dictionaries():
+    """Interpolated Kneser-Ney from dictionaries of strings, for two languages and texts with unseen letters."""
+    corpora = {"aa": ["kato miru senka", "toka mika"], "bb": ["schung verhau", "einver hauung sch"]}
+    texts = ["kato schung", "mika", "zzz senka vq", "h"]
+    padded = lambda t: "   " + t
+
+    def model(lines, size):
+        top = Counter(padded(t)[i : i + 4] for t in lines for i in range(len(t)))
+        counts = {4: top}
+        for k in (3, 2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        discount = {}
+        for k, c in counts.items():
+            ones, twos = (sum(v == x for v in c.values()) for x in (1, 2))
+            discount[k] = ones / (ones + 2 * twos) if ones and twos else 0.5
 
+        def chance(g):
+            k = len(g)
+            if not k:
+                return 1 / size
+            after = [v for h, v in counts[k].items() if h[:-1] == g[:-1]]
+            if not after:
+                return chance(g[1:])
+            return max(counts[k][g] - discount[k], 0) / sum(after) + discount[k] * len(after) / sum(after) * chance(g[1:])
+
+        return chance
+
+    grams = lambda lines: langid.grams(*langid.symbols(*text_bytes(pa.array(lines))))
+    models = langid.Models(sorted(corpora), [langid.Counts(grams(corpora[k])) for k in sorted(corpora)])
+    size = 2 + len({c for lines in corpora.values() for t in lines for c in t})
+    entropy, n = models.cross_entropy(*text_bytes(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert n[i] == len(t)
+        for j, name in enumerate(sorted(corpora)):
+            chance = model(corpora[name], size)
+            want = -sum(math.log(chance(padded(t)[k : k + 4])) for k in range(len(t))) / len(t)
+            assert abs(entropy[i, j] - want) < 1e-5
+
+
+def test_viterbi_against_all_labellings():
+    rng = random.Random(2)
+    for _ in range(200):
+        field = html_text.Field({f: rng.uniform(-2, 2) for f in "abcd"}, np.array([[rng.uniform(-1, 1) for _ in range(2)] for _ in range(2)]))
+        features = [set(rng.sample("abcdef", rng.randint(0, 4))) for _ in range(rng.randint(1, 9))]
+
+        def value(labels):
+            own = sum(field.weights.get(f, 0.0) for fs, x in zip(features, labels) if x for f in fs)
+            return own + sum(field.steps[a, b] for a, b in zip(labels, labels[1:]))
+
+        best = max(value(labels) for labels in itertools.product((0, 1), repeat=len(features)))
+        assert abs(value(field.decode(features)) - best) < 1e-9
+
+
+def test_chances_sum_to_one():
     text = "abracadabra abra cadabra"
     s = np.array([ord(c) for c in text], np.uint16)
     c = langid.Counts(langid.grams(s, np.array([0, len(s)])))
@@ -104,6 +193,52 @@ def test_long_page_and_unclosed_quotes():
     assert len(blocks) >= 2999
 
 
+BROKEN = ["<script ", "<a ", '<a "', "<!", "<", "<p class='<b>' ", "<div>x", '<x "<a\' \'" ', "<svg><title>", "&#9", "<p <"]
+
+
+@pytest.mark.parametrize("unit", BROKEN)
+def test_broken_pages_take_time_in_proportion(unit):
+    start = time.monotonic()
+    html_text.leaf_blocks(unit * (2_000_000 // len(unit)), {"tag:div"})
+    assert time.monotonic() - start < 10
+
+
+def test_deep_pages():
+    start = time.monotonic()
+    assert html_text.leaf_blocks("<div>" * 200_000 + "</p>" * 200_000 + "x" + "</div>" * 200_000)[0][0] == "x"
+    assert time.monotonic() - start < 10
+
+
+def test_references_beyond_all_characters():
+    read = lambda page: html_text.leaf_blocks(page)[0][0]
+    assert read("<p>a&#65;b&#" + "9" * 6000 + ";c&#" + "0" * 6000 + "66;d&#x43;</p>") == "aAb\ufffdcBdC"
+
+
+def test_quotes_may_hold_signs():
+    read = lambda page: [b[0] for b in html_text.leaf_blocks(page)]
+    assert read('<p title="a > b">One</p><p data-x="<b>bold</b>" class=\'<\'>Two</p><p>3 < 4 <b>and</b> 5 > 4</p>') == ["One", "Two", "3 < 4 and 5 > 4"]
+
+
+#: Layouts that no composed page has: tables as columns, a blog theme, documentation, a news page with definition lists.
+UNSEEN = [
+    ('<table><tr><td class="leftmenu"><a href=1>Start</a><br><a href=2>News</a></td><td class="maintext"><h1>Harbour reopens</h1><p>The harbour opened again on Monday after a long winter.</p><p>Ships may enter from the north.</p></td></tr></table><div id="footer">Copyright 2011</div>', "Harbour reopens\nThe harbour opened again on Monday after a long winter.\nShips may enter from the north."),
+    ('<header class="site-header"><a href="/">My blog</a></header><div class="hentry"><h2 class="entry-title">A walk</h2><div class="entry-content"><p>We went up the hill before breakfast.</p><blockquote><p>It was cold.</p></blockquote><ol><li>Bread.</li><li>Cheese.</li></ol></div></div><div id="respond" class="comment-respond"><form><label>Name</label></form></div>', "A walk\nWe went up the hill before breakfast.\nIt was cold.\nBread.\nCheese."),
+    ('<nav class="toc"><ol><li><a href=#a>Install</a><li><a href=#b>Use</a></ol></nav><main><section><h1>Manual</h1><p>Install it first, then read on.</p><pre>run it</pre><h2>Options</h2><p>There are two options, and both are explained below.</p></section></main><footer><p>Made by us</p></footer>', "Manual\nInstall it first, then read on.\nrun it\nOptions\nThere are two options, and both are explained below."),
+    ('<div class="consent">We value your privacy. <button>Accept</button></div><article><h1>Prices rise</h1><figure><img><figcaption>A market in spring.</figcaption></figure><p>Prices rose again in May, the office said.</p><dl><dt>Bread</dt><dd>Up by two in a hundred.</dd></dl></article><aside class="related"><h3>More</h3><ul><li><a href=1>Rents fall</a></li></ul></aside>', "Prices rise\nA market in spring.\nPrices rose again in May, the office said.\nBread\nUp by two in a hundred."),
+]
+
+
+def test_unseen_layouts():
+    """Share of blocks that are judged alike on layouts the field was not trained on."""
+    field = html_text.Field.trained(html_text.labelled_pages(400))
+    wrong = total = 0
+    for page, want in UNSEEN:
+        got, blocks = html_text.main_text(page, field).split("\n"), [b[0] for b in html_text.leaf_blocks(page)]
+        wrong += len(set(got) ^ set(want.split("\n")))
+        total += len(blocks)
+    assert wrong <= 0.1 * total
+
+
 def test_self_closed_and_custom_tags_hide_no_text():
     read = lambda page: [b[0] for b in html_text.leaf_blocks(page)]
     assert read('<article><p>One <svg class="i"/> two.</p><p>Three.</p></article>') == ["One two.", "Three."]
