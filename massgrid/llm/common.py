@@ -29,7 +29,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     The cluster names it in spark.checkpoint.dir. Only where that is unset, as in tests on one
     machine, a temporary folder of this process takes its place.
     """
-    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY) or _own_folder()
+    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
+    base = base or _own_folder()
     return f"{base.rstrip('/')}/massgrid/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -40,13 +43,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate files wherever it is stored."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def text_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, text) only, so that further columns with any names never collide; a null text is empty."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

@@ -6,12 +6,12 @@ smallest: moving a window from h to h + s changes the sum by 2 * (count[h + s] -
 up by 1 - 2 * count[h], opening a new one by 2 * count[s] + 1.
 
 Every task packs its own rows, so nothing is shuffled and the same input split gives the same windows
-when a lost task runs again. When a task ends, or has more than `max_open` open windows, their pieces are
-cut further: the emptiest windows fill up the fullest, and the one left over is split at powers of two.
-So a sequence is either full or a power of two long, and there is no padding at all.
+when a lost task runs again. Beyond `max_open` open windows, which bound the memory, each new one completes another:
+the fullest window takes pieces, cut where need be, from the emptiest. When a task ends all are completed so, and what
+is left over is split at powers of two. So a sequence is either full or a power of two long, and there is no padding.
 
 Cases: a null or empty text is the end id alone; a text longer than a window takes several; repeated rows
-are packed each; an empty table gives an empty result; other columns are ignored.
+are packed each; of levels with equal sums the lowest is taken; a null doc_id is packed under null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,39 +61,47 @@ class Levels:
         if cost[level] > 2 * self.count[size] + 1:
             level, pieces = 0, [rest]
         else:
-            self.count[level] -= 1
-            pieces = [*self.open[level].pop(), rest]
+            pieces = [*self._taken(level), rest]
         if level + size == self.window:
             yield pieces
             return
-        self.count[level + size] += 1
-        self.open.setdefault(level + size, []).append(pieces)
-        if self.count.sum() > self.max_open:
-            yield from self.close()
-
-    def close(self) -> Iterator[list[Piece]]:
-        """Cut the open windows' pieces so that all are full, but a rest of windows at powers of two."""
-        windows = [w for level in sorted(self.open, reverse=True) for w in self.open[level]]
-        self.open.clear()
-        self.count[:] = 0
-        i, j = 0, len(windows) - 1
-        while i < j:
-            need = self.window - sum(len(p[3]) for p in windows[i])
-            while need and i < j:
-                doc, start, total, ids = windows[j].pop()
+        self._put(pieces, level + size)
+        while self.count.sum() > self.max_open:
+            yield from self._completed()
+
+    def _put(self, pieces: list[Piece], level: int) -> None:
+        self.count[level] += 1
+        self.open.setdefault(level, []).append(pieces)
+
+    def _taken(self, level: int) -> list[Piece]:
+        self.count[level] -= 1
+        return self.open[level].pop()
+
+    def _completed(self) -> Iterator[list[Piece]]:
+        """Fill up the fullest open window from the emptiest ones, whose pieces are cut."""
+        level = int(np.flatnonzero(self.count)[-1])
+        window, need = self._taken(level), self.window - level
+        while need and self.count.any():
+            level = int(np.flatnonzero(self.count)[0])
+            other = self._taken(level)
+            while need and other:
+                doc, start, total, ids = other.pop()
                 take = min(need, len(ids))
-                windows[i].append((doc, start + len(ids) - take, total, ids[len(ids) - take :]))
+                window.append((doc, start + len(ids) - take, total, ids[len(ids) - take :]))
                 if take < len(ids):
-                    windows[j].append((doc, start, total, ids[: len(ids) - take]))
-                need -= take
-                if not windows[j]:
-                    j -= 1
-            if need:
-                break
-            yield windows[i]
-            i += 1
-        if i == j and windows and windows[i]:
-            yield from self._powers(windows[i])
+                    other.append((doc, start, total, ids[: len(ids) - take]))
+                need, level = need - take, level - take
+            if other:
+                self._put(other, level)
+        if need:
+            yield from self._powers(window)
+        else:
+            yield window
+
+    def close(self) -> Iterator[list[Piece]]:
+        """Complete all open windows; what no full window holds is split at powers of two."""
+        while self.count.any():
+            yield from self._completed()
 
     def _powers(self, pieces: list[Piece]) -> Iterator[list[Piece]]:
         left = sum(len(p[3]) for p in pieces)

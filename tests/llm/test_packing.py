@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -42,6 +42,35 @@ def test_least_sum_of_squares():
     assert [len(w) for w in levels.add((0, 0, 4, np.zeros(4, np.uint32)))] == [2]  # filling up 6 takes a square away
 
 
+def test_choice_of_level_by_the_plain_sum():
+    """Each document goes where the sum of squared counts of open windows gets smallest, by trying every level."""
+    rng = random.Random(4)
+    levels, counts = packing.Levels(window=12), Counter()
+    for _ in range(400):
+        size = rng.randint(1, 11)
+
+        def after(level):
+            trial = Counter(counts)
+            trial[level] -= 1 if level else 0
+            trial[level + size] += 1 if level + size < 12 else 0
+            return sum(v * v for v in trial.values()), trial
+
+        sums = {level: after(level)[0] for level in [0, *(x for x, n in counts.items() if n > 0 and x + size <= 12)]}
+        list(levels.add((0, 0, size, np.zeros(size, np.uint32))))
+        now = Counter({int(i): int(levels.count[i]) for i in np.flatnonzero(levels.count)})
+        assert sum(v * v for v in now.values()) == min(sums.values())
+        counts = now
+
+
+def test_one_window_is_completed_beyond_the_limit():
+    rng = random.Random(6)
+    levels = packing.Levels(max_open=8)
+    for d in range(500):
+        before = int(levels.count.sum())
+        done = list(levels.add((d, 0, 900, np.zeros(900 + rng.randint(0, 9), np.uint32))))
+        assert len(done) <= 2 and before - 2 <= levels.count.sum() <= 8
+
+
 def test_tables(table, empty, odd_texts):
     tokenizer = Tokenizer.from_file(PATH)
     rows = packing.pack(table(odd_texts), PATH).withColumn("crc", F.crc32("ids")).collect()
