@@ -2,13 +2,14 @@
 
 1. Blocks of documents become sorted sets of 64-bit shingle hashes. Every block sends each hash bucket one
    packed array, which drops shingles that stand in one set only (they are in no intersection) and sends the
-   others back to their blocks with their frequency.
+   others back to their blocks with their frequency. Shingles that are common in a sample stay with their blocks.
 2. A set's prefix is its `n - ceil(0.75 n) + 1` rarest shingles; two linked sets share a shingle of their
    prefixes. Shingles of one set come first, so most sets have no prefix left that could meet another, and
    end here. A prefix shingle makes a tile: the sets that hold it there.
-3. First every set of a tile is held against the tile's least set. The verified links give components.
-4. Then the tiles are taken whole: sets sorted by size, each against the band of following sizes that can still
-   reach the threshold, unless both are in one component already. Bitmap signatures bound the overlap from above:
+3. First every set of a tile is held against the tile's least set, by bitmap and then exactly. The verified links give
+   components.
+4. Then the tiles are taken whole, band of sizes by band: sets sorted by size, each against the following sizes that can
+   still reach the threshold, unless both are in one component already. Bitmap signatures bound the overlap from above:
    a bit that is set on one side only stands for at least one shingle that is not shared. Pairs that remain get
    the exact intersection of sorted arrays. A tile of more than TILE_ROWS sets is split into blocks, and each pair
    of blocks goes to a task of its own. Now the components are known.
@@ -21,16 +22,19 @@ has a chance of 1e-9 to share a shingle by accident.
 
 Cases: a null or empty text has no shingles and is linked with nothing; fewer than five words make one shingle;
 a null doc_id is linked with nothing and has a null component; rows that share a doc_id count as one document;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; very long texts are taken whole, a text of over BLOCK_BYTES as a block of its own;
+of equal sets the least doc_id stands for all; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +46,8 @@ from massgrid.llm.graph import components
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 60_000  # a row of a block is a 16-bit number
 SIGNATURE_WORDS = 8
+#: Documents of the sample that tells common shingles, how many of them hold such, the most shingles kept, the least frequency they get.
+SAMPLE_ROWS, COMMON_IN, MOST_COMMON, COMMON = 2000, 10, 1 << 16, 1 << 30
 #: Sets of a tile that one task compares; larger tiles are split.
 TILE_ROWS = 512
 #: Shingles, copies counted, of the sets of a part of a component.
@@ -56,6 +62,11 @@ def required(n, percent: int = 75):
     return (percent * n + 99) // 100
 
 
+def size_band(n, percent: int = 75):
+    """A band of sizes; two sets that can link are in one band or in neighbouring ones. A band is a little wider than their ratio, so rounding parts none."""
+    return F.floor(F.log(n) / math.log(100.0001 / percent)).cast("int")
+
+
 def linked(common, n_left, n_right, percent: int = 75):
     return 100 * common >= percent * (n_left + n_right - common)
 
@@ -84,8 +95,37 @@ def _block_sets(keys: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple
     return sizes, digest, chosen, values
 
 
-def _shingle_blocks(bits: int):
-    """Blocks of documents: one row for each bucket of shingles, and one with the block's documents."""
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, frequencies): those that COMMON_IN documents of a sample hold, at most MOST_COMMON.
+
+    They are not sent to be counted, as one would bring a row of every document that holds it to one task. A frequency
+    only orders a set's shingles, so an estimate that all tasks share serves as well.
+    """
+    share = min(1 << 20, (SAMPLE_ROWS << 20) // max(1, rows.count()) + 1)
+    sample = rows.where(F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(1 << 20)) < share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(1))
+            for lo, hi in blocks(offsets, BLOCK_BYTES):
+                sets, _ = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                yield pa.RecordBatch.from_arrays([pa.array((sets >> U64(16)).view(np.int64))], names=["shingle"])
+
+    counts = sample.mapInArrow(lean(run), "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON_IN)
+    found = counts.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toArrow().sort_by("shingle")
+    return found["shingle"].to_numpy().astype(U64), (found["count"].to_numpy() + COMMON).astype(np.uint32)
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Place of the shingle of each packed value among the known ones, or -1."""
+    if not len(known):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(known, values >> U64(16)), len(known) - 1)
+    return np.where(known[at] == values >> U64(16), at, -1)
+
+
+def _shingle_blocks(bits: int, common: Broadcast):
+    """Blocks of documents: one row for each bucket of shingles, and one with the block's documents and common shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -96,12 +136,14 @@ def _shingle_blocks(bits: int):
                 for i in range(lo, hi, BLOCK_ROWS):
                     j = min(hi, i + BLOCK_ROWS)
                     sizes, digest, _, values = _block_sets(keys[i:j], raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    often = _among(values, common.value[0]) >= 0
+                    values, held = values[~often], values[often]
                     bucket = (values >> U64(64 - bits)).astype(np.int64)
                     cuts, ends = _runs(bucket)
                     shingles = [values[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
                     documents = keys[i:j].tobytes() + digest.tobytes() + sizes.astype(np.int64).tobytes()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.append(bucket[cuts], -1 - int(mix(np.array([block], U64))[0] >> U64(64 - bits))), pa.int64()), pa.array(np.full(len(cuts) + 1, block), pa.int64()), pa.array([*shingles, None], pa.binary()), pa.array([None] * len(cuts) + [documents], pa.binary())],
+                        [pa.array(np.append(bucket[cuts], -1 - int(mix(np.array([block], U64))[0] >> U64(64 - bits))), pa.int64()), pa.array(np.full(len(cuts) + 1, block), pa.int64()), pa.array([*shingles, held.tobytes()], pa.binary()), pa.array([None] * len(cuts) + [documents], pa.binary())],
                         names=["bucket", "block", "shingles", "documents"],
                     )
                     block += 1
@@ -109,30 +151,35 @@ def _shingle_blocks(bits: int):
     return run
 
 
-def _frequent(table: pa.Table) -> pa.Table:
-    """The shingles of a bucket that more than one set holds, by block, with their frequency."""
-    schema = pa.schema([("block", pa.int64()), ("shingles", pa.binary()), ("frequency", pa.binary()), ("documents", pa.binary())])
-    table = table.combine_chunks()
-    if table.num_rows and table["bucket"][0].as_py() < 0:
-        return pa.table([table["block"], pa.nulls(table.num_rows, pa.binary()), pa.nulls(table.num_rows, pa.binary()), table["documents"]], schema=schema)
-    parts = [np.frombuffer(x.as_buffer(), U64) for c in table["shingles"].chunks for x in c]
-    values = np.concatenate(parts)
-    block = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    order = np.argsort(values >> U64(16), kind="stable")
-    key = values[order] >> U64(16)
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.diff(np.append(start, len(key)))
-    count = np.repeat(count, count)
-    order, count = order[count > 1], count[count > 1]
-    by_block = np.argsort(block[order], kind="stable")
-    order, count = order[by_block], count[by_block].astype(np.uint32)
-    of = block[order]
-    cuts, ends = _runs(of)
-    names = table["block"].to_numpy()
-    values = values[order]
-    return pa.table(
-        [pa.array(names[of[cuts]]), pa.array([values[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([count[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.nulls(len(cuts), pa.binary())], schema=schema
-    )
+def _frequent(common: Broadcast):
+    def run(table: pa.Table) -> pa.Table:
+        """The shingles of a bucket that more than one set holds, by block, with their frequency."""
+        schema = pa.schema([("block", pa.int64()), ("shingles", pa.binary()), ("frequency", pa.binary()), ("documents", pa.binary())])
+        table = table.combine_chunks()
+        if table.num_rows and table["bucket"][0].as_py() < 0:
+            known, frequency = common.value
+            held = [frequency[_among(np.frombuffer(x, U64), known)].tobytes() for x in table["shingles"].to_pylist()]
+            return pa.table([table["block"], table["shingles"], pa.array(held, pa.binary()), table["documents"]], schema=schema)
+        parts = [np.frombuffer(x.as_buffer(), U64) for c in table["shingles"].chunks for x in c]
+        values = np.concatenate(parts)
+        block = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        order = np.argsort(values >> U64(16), kind="stable")
+        key = values[order] >> U64(16)
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(start, len(key)))
+        count = np.repeat(count, count)
+        order, count = order[count > 1], count[count > 1]
+        by_block = np.argsort(block[order], kind="stable")
+        order, count = order[by_block], count[by_block].astype(np.uint32)
+        of = block[order]
+        cuts, ends = _runs(of)
+        names = table["block"].to_numpy()
+        values = values[order]
+        return pa.table(
+            [pa.array(names[of[cuts]]), pa.array([values[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([count[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.nulls(len(cuts), pa.binary())], schema=schema
+        )
+
+    return run
 
 
 def signature(shingles: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
@@ -189,10 +236,9 @@ def _tile_pairs(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Pairs of a bucket of tiles, or of two blocks of a large tile, that the sizes and bitmaps do not rule out."""
         table = table.combine_chunks()
-        tile, rep, n, m, component, side = (table[c].to_numpy() for c in ("cell", "rep", "n", "m", "component", "side"))
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), U64).reshape(-1, SIGNATURE_WORDS)
-        order = np.lexsort((n, tile))
-        tile, rep, n, m, component, side, bits = tile[order], rep[order], n[order], m[order], component[order], side[order], bits[order]
+        order = np.lexsort((table["n"].to_numpy(), table["cell"].to_numpy()))
+        tile, rep, n, m, component, side, low = (table[c].to_numpy()[order] for c in ("cell", "rep", "n", "m", "component", "side", "low"))
+        bits = _bitmaps(table["bits"])[order]
         _, start = np.unique(tile, return_index=True)
         stop = np.append(start[1:], len(tile))
         last = np.empty(len(tile), np.int64)
@@ -206,7 +252,7 @@ def _tile_pairs(percent: int):
             j = max(i + 1, int(np.searchsorted(total, total[i] + 200_000, side="right")) - 1)
             x = np.repeat(left[i:j], width[i:j])
             y = gather_ranges(left[i:j] + 1, width[i:j])
-            keep = (component[x] != component[y]) & (rep[x] != rep[y]) & ((side[x] == 0) | (side[x] != side[y]))
+            keep = (component[x] != component[y]) & (rep[x] != rep[y]) & ((side[x] == 0) | (side[x] != side[y])) & ~(low[x] & low[y])
             x, y = x[keep], y[keep]
             keep = linked(_bound(m[x], m[y], bits[x], bits[y]), n[x], n[y], percent)
             x, y = x[keep], y[keep]
@@ -218,14 +264,20 @@ def _tile_pairs(percent: int):
     return run
 
 
+def _bitmaps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), U64).reshape(-1, SIGNATURE_WORDS)
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Exact overlap of sorted arrays."""
+        """Exact overlap of the sorted arrays of pairs whose bitmaps leave room for a link."""
         for batch in batches:
-            n_a, n_b = (batch.column(batch.schema.names.index(c)).to_numpy() for c in ("n_a", "n_b"))
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            x, y = batch.column("shared_a"), batch.column("shared_b")
+            bound = _bound(*(pc.list_value_length(c).to_numpy().astype(np.int64) for c in (x, y)), *(_bitmaps(batch.column(c)) for c in ("bits_a", "bits_b")))
             common = np.zeros(batch.num_rows, np.int64)
-            for k, (x, y) in enumerate(zip(batch.column(batch.schema.names.index("shared_a")), batch.column(batch.schema.names.index("shared_b")), strict=True)):
-                common[k] = len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
+            for k in np.flatnonzero(linked(bound, n_a, n_b, percent)).tolist():
+                common[k] = len(np.intersect1d(x[k].values.to_numpy(), y[k].values.to_numpy(), assume_unique=True))
             keep = pa.array(linked(common, n_a, n_b, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
 
@@ -316,8 +368,9 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
     """
     rows = text_rows(docs).where("doc_id is not null")
     buckets = bucket_count(docs, 256 << 10, 256)
-    blocks_ = rows.mapInArrow(lean(_shingle_blocks(buckets.bit_length() - 1)), "bucket long, block long, shingles binary, documents binary")
-    frequent = blocks_.groupBy("bucket").applyInArrow(_frequent, "block long, shingles binary, frequency binary, documents binary")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))  # at most MOST_COMMON shingles
+    blocks_ = rows.mapInArrow(lean(_shingle_blocks(buckets.bit_length() - 1, common)), "bucket long, block long, shingles binary, documents binary")
+    frequent = blocks_.groupBy("bucket").applyInArrow(_frequent(common), "block long, shingles binary, frequency binary, documents binary")
     sets = saved(frequent.groupBy("block").applyInArrow(_prefixes(percent), SETS), "sets")
     del blocks_, frequent
     released(docs.sparkSession)  # the shuffles so far hold all shingles, those to come only shared ones
@@ -327,23 +380,25 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
     postings = active.select("rep", "n", F.explode("prefix").alias("tile"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        left = active.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
-        right = active.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
-        joined = pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "shared_a", "shared_b")
+        side = lambda x: active.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"shared_{x}"), F.col("bits").alias(f"bits_{x}"))
+        joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "shared_a", "shared_b", "bits_a", "bits_b")
         return saved(joined.mapInArrow(lean(_verify(percent)), "a long, b long"), name)
 
     pivots = postings.groupBy("tile").agg(F.min(F.struct("rep", "n")).alias("p"), F.max("rep").alias("top")).where("p.rep < top").select("tile", F.col("p.rep").alias("a"), F.col("p.n").alias("n_a"))
     near = postings.join(pivots, "tile").where(f"rep <> a and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
     first = verified(near.select("a", F.col("rep").alias("b")).distinct(), "links-by-pivot")
     groups = saved(components(first), "groups-by-pivot").select(F.col("vertex").alias("rep"), "component")
-    open_ = postings.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = open_.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+    # sets that can link are in one band of sizes or in neighbours: a set meets its own band's and the next greater one's
+    own = size_band(F.col("n"), percent)
+    banded = postings.select("rep", "n", F.inline(F.array(*(F.struct(F.xxhash64("tile", own + k).alias("tile"), F.lit(k == 1).alias("low")) for k in (0, 1)))))
+    open_ = banded.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = open_.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows"), F.bool_and("low").alias("low")).where("lo < hi and not low")
     mixed = mixed.select("tile", F.ceil(F.col("rows") / TILE_ROWS).cast("int").alias("parts"))
     # a large tile becomes blocks, and each pair of blocks a cell; sides 1 and 2 only meet each other
     marked = active.select("rep", F.size("shared").cast("long").alias("m"), "bits")
     dealt = open_.join(mixed, "tile").join(marked, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    cells = dealt.select(F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "rep", "n", "m", "component", "bits", side.cast("int").alias("side"))
+    cells = dealt.select(F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "rep", "n", "m", "component", "bits", "low", side.cast("int").alias("side"))
     pairs = cells.withColumn("bucket", F.pmod("cell", F.lit(4 * buckets))).groupBy("bucket").applyInArrow(_tile_pairs(percent), "a long, b long")
     second = verified(pairs.distinct(), "links-by-tile")
     groups = saved(components(first.union(second)), "groups").withColumnRenamed("vertex", "rep")

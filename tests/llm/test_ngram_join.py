@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from massgrid.llm import ngram_join
 from massgrid.llm.bytesops import text_bytes, word_hashes
@@ -106,9 +107,10 @@ def test_every_link_is_found_and_counted(table, monkeypatch):
     assert len(want) > 500
 
 
-def test_documents_of_first_blocks_are_spread(table):
+def test_documents_of_first_blocks_are_spread(spark, table):
+    none = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.uint32)))
     docs = table([f"{i} b c d e f g" for i in range(40)]).repartition(20).select("doc_id", "text")
-    rows = docs.mapInArrow(ngram_join._shingle_blocks(6), "bucket long, block long, shingles binary, documents binary")
+    rows = docs.mapInArrow(ngram_join._shingle_blocks(6, none), "bucket long, block long, shingles binary, documents binary")
     assert rows.where("bucket < 0").select("bucket").distinct().count() > 5
 
 
@@ -121,6 +123,27 @@ def test_unlike_words_never_link(table):
     assert all(r.n_shingles == 1 and r.component_id == r.doc_id and r.n_links == 0 for r in out)
 
 
+def test_sizes_that_can_link_are_in_neighbouring_bands(spark):
+    rows = spark.range(1, 5000).select("id", ngram_join.size_band(F.col("id")).alias("band")).collect()
+    band = {r.id: r.band for r in rows}
+    for n in range(1, 5000):
+        assert band[n] - band[ngram_join.required(n)] in (0, 1)
+
+
+def test_common_shingles_stay_with_their_blocks(table, monkeypatch):
+    """A passage in every document: its shingles are known as common, and no task gets them all."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage = [word() for _ in range(30)]
+    texts = [" ".join([*passage, *(word() for _ in range(rng.choice([0, 3, 8, 40])))]) for _ in range(300)]
+    monkeypatch.setattr(ngram_join, "SAMPLE_ROWS", 200)
+    docs = table(texts)
+    shingles, frequency = ngram_join.common_shingles(docs.select("doc_id", "text"))
+    assert len(shingles) == 26 and (frequency > ngram_join.COMMON).all()
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs).collect()}
+    assert got == {k: c for k, _, c in brute(list(enumerate(texts)))}
+
+
 def test_word_hashes():
     rng = np.random.default_rng(4)
     parts = {bytes(rng.integers(97, 100, rng.integers(1, 90)).astype(np.uint8)) for _ in range(4000)}
