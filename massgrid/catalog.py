@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massgrid import views
+from massgrid.engine import Engine
 from massgrid.functions import chemistry as chem
-from massgrid.functions.codecs import decode_ids, encode_ids
+from massgrid.functions.codecs import compact_size, decode_ids, decode_sequence, encode_ids, encode_sequence
 from massgrid.functions.display import protein_text, taxon_text
 from massgrid.functions.hydrophobicity import hydrophobicity
 from massgrid.operators import build, search, targets, taxonomy
 from massgrid.operators.digest import Protease, digest, fragments, missed_cleavages
-from massgrid.plans.ptm import BOND_C, BOND_N, STATIC, TERMINUS_C, TERMINUS_N, VARIABLE, Plan, Ptm
-from massgrid.sources import files
+from massgrid.plans.ptm import ANYWHERE, BOND_C, BOND_N, STATIC, TERMINUS_C, TERMINUS_N, VARIABLE, Plan, Ptm
+from massgrid.sources import files, store, uniprot
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,6 +66,11 @@ def digested(spark: SparkSession, sf_dir: str, protease: Protease = TRYPSIN) ->
     return digest(views.proteins(spark, sf_dir), protease)
 
 
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """The engine over the derived tables; its peptides are the plan that makes them."""
+    return Engine(spark, views.proteins(spark, sf_dir), peptide_table(spark, sf_dir), views.taxa(spark, sf_dir), views.ranks(spark), TRYPSIN)
+
+
 def peptide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.aggregate(digested(spark, sf_dir).drop("genes", "accession"))
 
@@ -84,6 +90,11 @@ def _(spark, sf_dir):
     return digested(spark, sf_dir).select("protein_id", "sequence", "mass")
 
 
+def plain_sql(mass: str) -> str:
+    """A scaled mass in Dalton without trailing zeros."""
+    return f"regexp_replace(cast({mass} // 1000000000 as varchar) || '.' || lpad(cast({mass} % 1000000000 as varchar), 9, '0'), '[.]?0+$', '')"
+
+
 PER_PROTEIN = "select protein_id, count(*) as n, cast(sum(mass) as decimal(38, 0)) as total, min(sequence) as first, max(sequence) as last from digest group by protein_id"
 
 
@@ -142,9 +153,16 @@ def _(spark, sf_dir):
     return chem.amino_acids(spark).orderBy("code")
 
 
-@query("q_compact_size", f"with {views.PROTEINS_SQL} select id, cast((16 + 5 * length(sequence) + 7) // 8 as bigint) as bytes from proteins")
+@query("q_compact_size", f"{BASE} select distinct sequence, sequence as back, cast((6 + 5 * length(sequence) + 7) // 8 as bigint) as bytes, cast(length(sequence) // 4 as int) as first from digest")
 def _(spark, sf_dir):
-    return views.proteins(spark, sf_dir).select("id", F.expr("(16 + 5 * cast(length(sequence) as bigint) + 7) div 8").alias("bytes"))
+    """Every peptide through the packed encoding and back, the bytes it took and the first byte, which begins with the length."""
+
+    def run(frames):
+        for f in frames:
+            data = [encode_sequence(x) for x in f["sequence"]]
+            yield f.assign(back=[decode_sequence(d) for d in data], bytes=[compact_size(len(x)) for x in f["sequence"]], first=[d[0] >> 4 for d in data])
+
+    return digested(spark, sf_dir).select("sequence").distinct().mapInPandas(run, "sequence string, back string, bytes long, first int")
 
 
 @query("q_protein_id_codec")
@@ -196,9 +214,28 @@ def _(spark, sf_dir):
     return ranges(spark, sf_dir)
 
 
-@query("q_range_tiling_check", f"{BASE}, {RANGES} select partition, lo, hi, before from (select *, lag(hi) over (order by lo, hi) as before from ranges) where before >= lo")
+#: Ranges with faults: every third reaches into the one before it, and every seventh is missing.
+FAULTY = "select partition, case when partition % 3 = 1 then lo - 5000000000 else lo end as lo, hi, n from ranges where partition % 7 <> 3"
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("partition") % 3 == 1, F.col("lo") - 5_000_000_000).otherwise(F.col("lo"))
+    return ranges(spark, sf_dir).withColumn("lo", moved).where("partition % 7 <> 3")
+
+
+@query("q_range_tiling_check", f"{BASE}, {RANGES}, faulty as ({FAULTY}) select partition, lo, hi, before from (select *, lag(hi) over (order by lo, hi) as before from faulty) where before >= lo")
+def _(spark, sf_dir):
+    return build.tiling_faults(faulty(spark, sf_dir))
+
+
+@query("q_unassigned_masses", f"{BASE}, {RANGES}, faulty as ({FAULTY}) select mass, n as peptides from counted c where not exists (select 1 from faulty f where c.mass between f.lo and f.hi)")
+def _(spark, sf_dir):
+    return build.unassigned(digested(spark, sf_dir).select("mass", "sequence").distinct(), faulty(spark, sf_dir))
+
+
+@query("q_pairs_per_protein", f"{BASE}, borne as (select distinct mass, protein_id from digest) select (select count(*) from proteins) as proteins, (select count(*) from borne) as pairs, (select count(*) from borne) / (select count(*) from proteins) as mean")
 def _(spark, sf_dir):
-    return build.tiling_faults(ranges(spark, sf_dir))
+    return build.pairs_per_protein(digested(spark, sf_dir), views.proteins(spark, sf_dir))
 
 
 @query("q_partition_lookup", f"{BASE}, {RANGES} select mass, partition from (select distinct mass from digest) join ranges on mass between lo and hi")
@@ -255,9 +292,15 @@ def _(spark, sf_dir):
     return taxonomy.by_id(views.taxa(spark, sf_dir), views.ranks(spark), 1003)
 
 
-@query("q_taxonomy_search", f"{TREE} {RANKED} where scientific_name ilike '%an%'")
+@query("q_taxonomy_search", f"{TREE} {RANKED} where scientific_name ilike '%nation_1%' or scientific_name ilike '%merica%'")
+def _(spark, sf_dir):
+    taxa, ranks = views.taxa(spark, sf_dir), views.ranks(spark)
+    return taxonomy.search(taxa, ranks, "nation_1").union(taxonomy.search(taxa, ranks, "merica"))
+
+
+@query("q_taxonomy_by_name", f"{TREE} {RANKED} where scientific_name = 'NATION_7'")
 def _(spark, sf_dir):
-    return taxonomy.search(views.taxa(spark, sf_dir), views.ranks(spark), "an")
+    return taxonomy.by_name(views.taxa(spark, sf_dir), views.ranks(spark), "NATION_7")
 
 
 def below_sql(roots: str) -> str:
@@ -296,12 +339,22 @@ def _(spark, sf_dir):
 
 @query("q_protein_by_accession", f"with {views.PROTEINS_SQL} {SHALLOW} where accession = 'D42'")
 def _(spark, sf_dir):
-    return shallow(views.proteins(spark, sf_dir).where(F.col("accession") == "d42".upper()))
+    return shallow(engine(spark, sf_dir).protein("d42"))
 
 
 @query("q_protein_by_gene", f"with {views.PROTEINS_SQL} {SHALLOW} where list_contains(genes, 'src7')")
 def _(spark, sf_dir):
-    return shallow(views.proteins(spark, sf_dir).where(F.array_contains("genes", "src7")))
+    return shallow(engine(spark, sf_dir).protein_by_gene("src7"))
+
+
+@query("q_protein_range", f"with {views.PROTEINS_SQL} {SHALLOW} where id >= 100 and id < 140")
+def _(spark, sf_dir):
+    return shallow(engine(spark, sf_dir).protein_range(100, 140))
+
+
+@query("q_protein_bytes", f"with {views.PROTEINS_SQL} select id, cast(9 + (16 + 5 * length(sequence) + 7) // 8 + strlen(accession) + coalesce(list_sum(list_transform(genes, lambda g: strlen(g))), 0) as bigint) as bytes from proteins")
+def _(spark, sf_dir):
+    return views.proteins(spark, sf_dir).select("id", build.protein_bytes().alias("bytes"))
 
 
 @query("q_protein_search", f"with {views.PROTEINS_SQL} {SHALLOW} where accession ilike '%d12%' or {GENES} ilike '%d12%' or accession ilike '%SRC1 %' or {GENES} ilike '%SRC1 %'")
@@ -335,9 +388,26 @@ def _(spark, sf_dir):
 
 @query("q_peptide_exists", f"{BASE} select s as sequence, s in (select sequence from digest) as found from (values ('THANEA'), ('WWWWWWK')) as t(s)")
 def _(spark, sf_dir):
-    asked = spark.createDataFrame([(s, chem.mass_of(s)) for s in ("THANEA", "WWWWWWK")], "sequence string, mass long")
-    have = digested(spark, sf_dir).where(F.col("mass").isin([chem.mass_of("THANEA"), chem.mass_of("WWWWWWK")])).select("sequence", "mass", F.lit(True).alias("found")).distinct()
-    return asked.join(have, ["sequence", "mass"], "left").select("sequence", F.coalesce("found", F.lit(False)).alias("found"))
+    e = engine(spark, sf_dir)
+    return spark.createDataFrame([(x, e.peptide_exists(x)) for x in ("THANEA", "WWWWWWK")], "sequence string, found boolean")
+
+
+DIGESTS = "cast(len(peptides) as bigint) as n, cast(list_sum(list_transform(peptides, lambda x: x.mass)) as decimal(38, 0)) as total, peptides[1].sequence as first"
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    total = F.aggregate("peptides", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x["mass"]).cast("decimal(38,0)"))
+    return rows.select("accession", F.size("peptides").cast("long").alias("n"), F.when(F.size("peptides") > 0, total).alias("total"), F.get("peptides", 0)["sequence"].alias("first"))
+
+
+@query("q_protein_full", f"{PEPTIDES}, own as (select list(struct_pack(mass := p.mass, sequence := p.sequence) order by p.mass, p.sequence) as peptides from peptides p where sequence in (select sequence from digest where accession = 'D42')) select 'D42' as accession, {DIGESTS} from own")
+def _(spark, sf_dir):
+    return digests(engine(spark, sf_dir).protein_full("D42"))
+
+
+@query("q_protein_search_digests", f"{BASE}, lists as (select accession, list(struct_pack(mass := mass, sequence := sequence) order by mass, sequence) as peptides from digest group by accession) select p.accession, coalesce(n, 0) as n, total, first from proteins p left join (select accession, {DIGESTS} from lists) using (accession) where p.accession ilike '%d12%' or {GENES} ilike '%d12%'")
+def _(spark, sf_dir):
+    return digests(engine(spark, sf_dir).search_proteins_digested("d12"))
 
 
 # --- mass searches --------------------------------------------------------------------------------------------------
@@ -349,31 +419,71 @@ def hits(spark: SparkSession, sf_dir: str, plan: Plan) -> DataFrame:
     return found.groupBy("cond_id", "query_mass", "mass", "sequence").agg(F.countDistinct("protein_id").alias("n_proteins"))
 
 
-def hits_sql(plan: Plan) -> str:
-    return f"{BASE}, hits as ({plan.sql()}) select cond_id, query_mass, mass, sequence, count(distinct protein_id) as n_proteins from hits group by all"
-
-
-SEARCHES = {
-    "q_search_plain": Plan.of(MASSES[-1:], (), PPM),
-    "q_search_static": Plan.of([m + CARBAMIDOMETHYL.delta for m in MASSES], [CARBAMIDOMETHYL], (100, 100)),
-    "q_search_variable": Plan.of(MASSES[4:6], [CARBAMIDOMETHYL, OXIDATION], PPM),
-    "q_search_terminal": Plan.of(MASSES[:6], [PYRO_GLU, METHYL_K], PPM),
-    "q_search_bonds": Plan.of([MASSES[0] + ACETYL.delta, MASSES[5] + AMIDE.delta], [ACETYL, AMIDE], PPM),
-    "q_search_batch": Plan.of([chem.to_int(600.3 + 1.0005 * k) for k in range(500)], [OXIDATION], PPM, 1),
+def conditions_sql(masses: list[int], ptms: list[Ptm], ppm: tuple[int, int], most: int = 2, shortest: int = 6) -> str:
+    """CTE conds (cond_id, query_mass, mass, lo, hi, fixed, free, starts, ends): every combination of numbers of modifications,
+    made in SQL; for one modification of each role at most. A number above 0 must leave the mass of the shortest peptide.
+    """
+    role = {(p.kind if p.position == ANYWHERE else p.position): p for p in ptms}
+    delta = lambda r: role[r].delta if r in role else 0
+    counts = lambda r, top: f"range(0, {top + 1 if r in role else 1})"
+    least = shortest * chem.MASS["G"]
+    static = f"len(range(0, 1 + (q - {least}) // {delta(STATIC)}))" if STATIC in role else "1"
+    return f"""asked as (select unnest(range(0, {len(masses)})) as k, unnest({masses!r}) as q),
+flags as (
+  select *, q - fixed * {delta(STATIC)} - free * {delta(VARIABLE)} as middle, unnest({counts(TERMINUS_N, 1)}) as nt from (
+    select *, unnest({counts(VARIABLE, most)}) as free from (select k, q, unnest(range(0, {static})) as fixed from asked))),
+ends as (
+  select *, unnest({counts(BOND_C, 1)}) as cb from (select *, unnest({counts(BOND_N, 1)}) as nb from (select *, unnest({counts(TERMINUS_C, 1)}) as ct from flags where free = 0 or middle >= {least}))),
+conds as (
+  select *, mass - mass // 1000000 * {ppm[0]} as lo, mass + mass // 1000000 * {ppm[1]} as hi from (
+    select cast(row_number() over (order by k, cb, nb, ct, nt, fixed, free) - 1 as int) as cond_id, cast(q as bigint) as query_mass,
+      cast(middle - nt * {delta(TERMINUS_N)} - ct * {delta(TERMINUS_C)} - nb * {delta(BOND_N)} - cb * {delta(BOND_C)} as bigint) as mass, fixed, free, nt = 1 as starts, ct = 1 as ends from ends))"""
+
+
+def tests_sql(ptms: list[Ptm]) -> str:
+    """What a peptide x must have for a condition c."""
+    role = {(p.kind if p.position == ANYWHERE else p.position): p.residue for p in ptms}
+    number = lambda r: f"length(x.sequence) - length(replace(x.sequence, '{r}', ''))"
+    tests = ["x.mass between c.lo and c.hi"]
+    tests += [f"{number(role[STATIC])} = c.fixed"] if STATIC in role else []
+    needed = [(role[r], n) for r, n in ((VARIABLE, "c.free"), (TERMINUS_N, "cast(c.starts as int)"), (TERMINUS_C, "cast(c.ends as int)")) if r in role]
+    tests += [f"{number(r)} >= {' + '.join(n for x, n in needed if x == r)}" for r in dict.fromkeys(r for r, _ in needed)]
+    tests += [f"(not c.starts or x.sequence[1] = '{role[TERMINUS_N]}')"] if TERMINUS_N in role else []
+    tests += [f"(not c.ends or x.sequence[-1] = '{role[TERMINUS_C]}')"] if TERMINUS_C in role else []
+    return " and ".join(tests)
+
+
+#: Masses, modifications, tolerance and most variable modifications of each search.
+ASKED = {
+    "q_search_plain": (MASSES[-1:], [], PPM, 2),
+    "q_search_static": ([m + CARBAMIDOMETHYL.delta for m in MASSES], [CARBAMIDOMETHYL], (100, 100), 2),
+    "q_search_variable": (MASSES[4:6], [CARBAMIDOMETHYL, OXIDATION], PPM, 2),
+    "q_search_terminal": (MASSES[:6], [PYRO_GLU, METHYL_K], PPM, 2),
+    "q_search_bonds": ([MASSES[0] + ACETYL.delta, MASSES[5] + AMIDE.delta], [ACETYL, AMIDE], PPM, 2),
+    "q_search_batch": ([chem.to_int(600.3 + 1.0005 * k) for k in range(500)], [OXIDATION], PPM, 1),
 }
-for _name, _plan in SEARCHES.items():
-    QUERIES[_name] = lambda spark, sf_dir, plan=_plan: hits(spark, sf_dir, plan)
-    ORACLES[_name] = hits_sql(_plan)
+SEARCHES = {name: Plan.of(*asked) for name, asked in ASKED.items()}
+for _name, (_masses, _ptms, _ppm, _most) in ASKED.items():
+    QUERIES[_name] = lambda spark, sf_dir, plan=SEARCHES[_name]: hits(spark, sf_dir, plan).drop("cond_id")
+    ORACLES[_name] = f"{BASE}, {conditions_sql(_masses, _ptms, _ppm, _most)} select query_mass, x.mass, sequence, count(distinct protein_id) as n_proteins from digest x join conds c on {tests_sql(_ptms)} group by cond_id, query_mass, x.mass, sequence"
 
 
-@query("q_ptm_conditions", "select * from (values " + ", ".join(f"(cast({i} as int), cast({c.mass} as bigint), '{c.signature().replace(chr(39), chr(39) * 2)}')" for i, c in enumerate(SEARCHES["q_search_variable"].conditions)) + ") as t(cond_id, mass, signature)")
+@query("q_ptm_conditions", f"with {conditions_sql(*ASKED['q_search_variable'])} select cond_id, mass, 'occurrences of ''C'' == ' || fixed || case when free > 0 then ', occurrences of ''M'' >= ' || free else '' end as signature from conds")
 def _(spark, sf_dir):
     return SEARCHES["q_search_variable"].frame(spark).select("cond_id", "mass", "signature")
 
 
-@query("q_condition_count", "select cast(m as bigint) as query_mass, cast(n as bigint) as n from (values " + ", ".join(f"({m}, {SEARCHES['q_search_batch'].query_mass.count(m)})" for m in dict.fromkeys(SEARCHES["q_search_batch"].query_mass)) + ") as t(m, n)")
+@query("q_terminal_conditions", f"with {conditions_sql(*ASKED['q_search_terminal'])} select query_mass, mass, starts, ends from conds")
+def _(spark, sf_dir):
+    rows = SEARCHES["q_search_terminal"].frame(spark)
+    return rows.select("query_mass", "mass", F.col("starts").isNotNull().alias("starts"), F.col("ends").isNotNull().alias("ends"))
+
+
+@query("q_condition_count", f"with {conditions_sql(*ASKED['q_search_batch'])} select query_mass, count(*) as n from conds group by query_mass")
 def _(spark, sf_dir):
-    return SEARCHES["q_search_batch"].frame(spark).groupBy("query_mass").agg(F.count("*").alias("n"))
+    e = Engine(spark, None, None, None, None, TRYPSIN)
+    masses = ASKED["q_search_batch"][0]
+    return spark.createDataFrame([(m, e.condition_count(chem.to_float(m), [OXIDATION], 1)) for m in masses], "query_mass long, n long")
 
 
 SHOWN = f"mass, sequence, {joined_sql('protein_ids')}"
@@ -397,8 +507,7 @@ def _(spark, sf_dir):
 
 @query("q_search_taxonomy", f"{PEPTIDES}, {views.TAXA_SQL}, below as (select id from taxa where id = 101 union select t.id from taxa t join below b on t.parent_id = b.id) select {SHOWN} from peptides where ({WIDE_SQL}) and list_has_any(list_concat(unique_taxonomy_ids, non_unique_taxonomy_ids), (select list(cast(id as int)) from below where id >= 1000))")
 def _(spark, sf_dir):
-    ids = [r.id for r in taxonomy.species(views.taxa(spark, sf_dir), views.ranks(spark), [101]).select("id").collect()]  # one subtree's species
-    return filtered(spark, sf_dir, taxa=ids)
+    return filtered(spark, sf_dir, taxa=taxonomy.species(views.taxa(spark, sf_dir), views.ranks(spark), [101]))
 
 
 ONE, TWO = (Plan.of(MASSES[:6], [OXIDATION], (2000, 2000), n) for n in (1, 2))
@@ -463,6 +572,38 @@ def _(spark, sf_dir):
     return out.select("protein", "sequence", "charge", F.floor(F.col("mz") * 1e5).cast("long").alias("mz5"))
 
 
+MARK = f"[+{OXIDATION.delta / chem.SCALE:.6f}]"
+SRM = f"""{PEPTIDES}, u as (select mass, sequence, unnest(protein_ids) as id from peptides where len(list_intersect(unique_taxonomy_ids, {[*SPECIES]})) = 1),
+  shapes as (
+    select sequence, sequence as proforma, mass from u union
+    select sequence, substr(sequence, 1, i) || '{MARK}' || substr(sequence, i + 1), mass + {OXIDATION.delta} from (select sequence, mass, unnest(list_filter(range(1, length(sequence) + 1), lambda i: sequence[i] = 'M')) as i from u)),
+  rows as (select accession || ' (' || array_to_string(genes, ', ') || ')' as protein, u.sequence, s.proforma, s.mass, charge from u join proteins using (id) join shapes s on s.sequence = u.sequence, (select unnest([2, 3]) as charge))"""
+
+
+def srm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return targets.targets(peptide_table(spark, sf_dir), views.proteins(spark, sf_dir), spark.createDataFrame([(i,) for i in SPECIES], "id int"), "2-3", [OXIDATION], 1)
+
+
+@query("q_srm_targets_ptm", f"{SRM} select protein, sequence, proforma, charge, cast(floor({MZ} * 1e5) as bigint) as mz5 from rows")
+def _(spark, sf_dir):
+    return srm(spark, sf_dir).select("protein", "sequence", "proforma", "charge", F.floor(F.col("mz") * 1e5).cast("long").alias("mz5"))
+
+
+def layout_sql(layout: str, **known: str) -> str:
+    return f"{SRM} select {', '.join(known.get(c, chr(39) * 2) + f' as {chr(34)}{c}{chr(34)}' for c in files.LAYOUTS[layout] if c != 'Mass [m/z]')} from rows"
+
+
+@query("q_targets_thermo", layout_sql("thermo", **{"Compound": "proforma", "Species": "'Five species'", "CS [z]": "cast(charge as varchar)", "NCE": "'27.0'", "Accession": "protein"}))
+def _(spark, sf_dir):
+    """Masses are left out here, as engines write decimals differently; q_srm_targets_ptm compares them."""
+    return files.targets_tsv(srm(spark, sf_dir), "thermo", "Five species", 27.0).drop("Mass [m/z]")
+
+
+@query("q_targets_bruker", layout_sql("bruker", **{"Charge": "cast(charge as varchar)", "CE [eV]": "'27.0'", "External ID": "proforma", "Description": "'Species: Five species'", "Accession": "protein"}))
+def _(spark, sf_dir):
+    return files.targets_tsv(srm(spark, sf_dir), "bruker", "Five species", 27.0).drop("Mass [m/z]")
+
+
 @query("q_fasta", f"{forms_sql(ONE, 1)}, d as (select distinct proforma, form_mass from forms) select '>mdb|' || cast(row_number() over (order by form_mass, proforma) - 1 as varchar) || chr(10) || proforma as value from d")
 def _(spark, sf_dir):
     return files.fasta(forms(spark, sf_dir, ONE, True), with_mass=False)
@@ -470,12 +611,141 @@ def _(spark, sf_dir):
 
 @query(
     "q_tsv",
-    f"""{PEPTIDES} select sequence, array_to_string(list_sort(list_transform(protein_ids, lambda i: 'D' || i)), ',') as proteins, is_swiss_prot, is_trembl, {joined_sql('unique_taxonomy_ids')}, {joined_sql('non_unique_taxonomy_ids')} from peptides""",
+    f"""{PEPTIDES} select {plain_sql('mass')} as mass, sequence, array_to_string(list_sort(list_transform(protein_ids, lambda i: 'D' || i)), ',') as proteins, is_swiss_prot, is_trembl, {joined_sql('unique_taxonomy_ids')}, {joined_sql('non_unique_taxonomy_ids')} from peptides""",
 )
 def _(spark, sf_dir):
-    return files.peptides_tsv(peptide_table(spark, sf_dir), views.proteins(spark, sf_dir)).drop("mass")
+    return files.peptides_tsv(peptide_table(spark, sf_dir), views.proteins(spark, sf_dir))
+
+
+@query("q_fasta_mass", f"{forms_sql(ONE, 1)}, d as (select distinct proforma, form_mass from forms) select '>mdb|' || cast(row_number() over (order by form_mass, proforma) - 1 as varchar) || '|' || {plain_sql('form_mass')} || chr(10) || proforma as value from d")
+def _(spark, sf_dir):
+    return files.fasta(forms(spark, sf_dir, ONE, True))
+
+
+@query("q_text", f"{forms_sql(ONE, 1)}, d as (select distinct proforma from forms) select '' as value union all select proforma from d")
+def _(spark, sf_dir):
+    return files.text_lines(forms(spark, sf_dir, ONE, True))
+
+
+JSON = """'{"mass":' || mass || ',"sequence":"' || sequence || '","protein_ids":[' || array_to_string(cast(protein_ids as varchar[]), ',') || '],"is_swiss_prot":' || is_swiss_prot || '}'"""
+
+
+@query("q_json", f"{PEPTIDES} select {JSON} as value from peptides")
+def _(spark, sf_dir):
+    return files.json_lines(peptide_table(spark, sf_dir).select("mass", "sequence", "protein_ids", "is_swiss_prot"))
 
 
 @query("q_page", f"{BASE} select distinct mass, sequence from digest order by mass, sequence limit 50 offset 100")
 def _(spark, sf_dir):
     return search.page(digested(spark, sf_dir).select("mass", "sequence").distinct(), 2, 50, "mass", "sequence")
+
+
+# --- sources and stored builds --------------------------------------------------------------------------------------
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value) a UniProt record of each protein of 20 residues or more, with an isoform that lacks 3 to 5 and has WW for 8."""
+    p = views.proteins(spark, sf_dir).where("length(sequence) >= 20")
+    lines = [
+        F.format_string("ID   %s_TEST                 %s;         %d AA.", "accession", F.when(F.col("is_reviewed"), "Reviewed").otherwise("Unreviewed"), F.length("sequence")),
+        F.format_string("AC   %s; Z%d;", "accession", "id"),
+        F.format_string("GN   Name=%s {ECO:1, ECO:2}; Synonyms=%s;", F.coalesce(F.get("genes", 0), F.lit("a")), F.coalesce(F.get("genes", 1), F.lit("b"))),
+        F.format_string("OX   NCBI_TaxID=%d {ECO:1};", "taxonomy_id"),
+        F.lit("CC   -!- ALTERNATIVE PRODUCTS:\nCC       Event=Alternative splicing; Named isoforms=3;\nCC       Name=1;"),
+        F.format_string("CC         IsoId=%s-1; Sequence=Displayed;\nCC       Name=2;\nCC         IsoId=%s-2, %s-9; Sequence=VSP_1, VSP_2;\nCC       Name=3;\nCC         IsoId=%s-3; Sequence=External;", *["accession"] * 4),
+        F.lit('FT   VAR_SEQ         3..5\nFT                   /note="Missing (in isoform\nFT                   2)"\nFT                   /id="VSP_1"'),
+        F.format_string('FT   VAR_SEQ         8\nFT                   /note="%s -> W W (in isoform 2)"\nFT                   /id="VSP_2"', F.substring("sequence", 8, 1)),
+        F.format_string("SQ   SEQUENCE   %d AA;", F.length("sequence")),
+        F.concat(F.lit("     "), F.regexp_replace(F.regexp_replace("sequence", "(.{60})(?=.)", "$1\n     "), "([A-Z]{10})(?=[A-Z])", "$1 ")),
+    ]
+    return p.select(F.concat_ws("\n", *lines).alias("value"))
+
+
+ISOFORMS = f"""with {views.PROTEINS_SQL}, long as (select * from proteins where length(sequence) >= 20), variants as (
+  select accession, sequence, taxonomy_id, is_reviewed, genes from long union all
+  select accession || '-2', substr(sequence, 1, 2) || substr(sequence, 6, 2) || 'WW' || substr(sequence, 9), taxonomy_id, is_reviewed, genes from long)"""
+LOADED = "accession, sequence, taxonomy_id, is_reviewed, coalesce(genes[1], 'a') || ' ' || coalesce(genes[2], 'b') as genes"
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as compressed text files, scanned and parsed again."""
+    path = files.scratch(spark, "records")
+    records(spark, sf_dir).write.option("lineSep", uniprot.RECORD_END).option("compression", "gzip").text(path)
+    return uniprot.proteins(uniprot.scan(spark, path))
+
+
+@query("q_uniprot_load", f"{ISOFORMS} select {LOADED} from variants")
+def _(spark, sf_dir):
+    return loaded(spark, sf_dir).select("accession", "sequence", "taxonomy_id", "is_reviewed", F.array_join("genes", " ").alias("genes"))
+
+
+@query("q_uniprot_ids", f"{ISOFORMS} select row_number() over (order by encode(accession)) - 1 + {uniprot.FIRST_ID} as id, accession from variants")
+def _(spark, sf_dir):
+    return uniprot.loaded(loaded(spark, sf_dir)).select("id", "accession")
+
+
+@query("q_uniprot_rewritten", f"with {views.PROTEINS_SQL} select accession, true as same from proteins where length(sequence) >= 20")
+def _(spark, sf_dir):
+    """Records through the parser and the writer and back."""
+
+    def run(frames):
+        for f in frames:
+            parsed = [uniprot.fields(r) for r in f["value"]]
+            same = [uniprot.write(x).removesuffix("\n//") == r and uniprot.from_bytes((r + uniprot.RECORD_END).encode()) == x for x, r in zip(parsed, f["value"], strict=True)]
+            yield f.assign(accession=[uniprot.accession(x["AC"]) for x in parsed], same=same)[["accession", "same"]]
+
+    return records(spark, sf_dir).mapInPandas(run, "accession string, same boolean")
+
+
+@query("q_taxonomy_dump", f"{TREE} {RANKED}")
+def _(spark, sf_dir):
+    """The tree as a dump's files, read again; synonyms in it are left out."""
+    ranked, path = taxonomy.ranked(views.taxa(spark, sf_dir), views.ranks(spark)), files.scratch(spark, "dump")
+    end = lambda *fields: F.concat(F.concat_ws("\t|\t", *(f.cast("string") for f in fields)), F.lit("\t|")).alias("value")
+    ranked.select(end(F.col("id"), F.col("parent_id"), F.col("rank"))).write.text(f"{path}/nodes")
+    names = ranked.select(end(F.col("id"), F.col("scientific_name"), F.lit(""), F.lit("scientific name")))
+    names.union(ranked.select(end(F.col("id"), F.lit("other"), F.lit(""), F.lit("synonym")))).write.text(f"{path}/names")
+    taxa, ranks = files.read_taxonomy(spark, f"{path}/nodes", f"{path}/names")
+    back = taxonomy.ranked(taxa, ranks)  # ranks get numbers of their own
+    return back.drop("rank_id").join(F.broadcast(views.ranks(spark).select(F.col("id").alias("rank_id"), F.col("name").alias("rank"))), "rank").select("id", "parent_id", "scientific_name", "rank_id", "rank")
+
+
+@query("q_masses_file", f"{BASE} select distinct mass // 1000 as mass from digest")
+def _(spark, sf_dir):
+    """Masses as text in Dalton, read again, in millionths of a Dalton."""
+    path = files.scratch(spark, "masses")
+    masses = digested(spark, sf_dir).select("mass").distinct()
+    masses.select(F.format_string("%d.%09d5", F.expr("mass div 1000000000"), F.expr("mass % 1000000000")).alias("value")).write.text(path)
+    return files.read_masses(spark, path).select(F.expr("mass div 1000").alias("mass")).distinct()
+
+
+STORED = Protease("trypsin", 6, 50, 0)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Engine:
+    """A whole build on disk, opened again."""
+    path = files.scratch(spark, "build")
+    return Engine.stored(path, views.proteins(spark, sf_dir), views.taxa(spark, sf_dir), views.ranks(spark), STORED)
+
+
+@query("q_build_stored", f"{views.digest_sql(STORED)},\n{views.PEPTIDES_SQL} select {SHOWN}, is_swiss_prot from peptides")
+def _(spark, sf_dir):
+    return stored(spark, sf_dir).peptides.select("mass", "sequence", joined("protein_ids"), "is_swiss_prot")
+
+
+@query(
+    "q_build_stats",
+    f"""{views.digest_sql(STORED)},\n{views.PEPTIDES_SQL} select 'proteins' as key, (select count(*) from proteins) as value union all select 'peptides', (select count(*) from peptides) union all select 'masses', (select count(distinct mass) from peptides)
+    union all select 'protein_bytes', (select cast(sum(9 + (16 + 5 * length(sequence) + 7) // 8 + strlen(accession) + coalesce(list_sum(list_transform(genes, lambda g: strlen(g))), 0)) as bigint) from proteins)
+    union all select 'peptide_bytes', (select cast(sum(16 + (5 * length(sequence) + 6 + 7) // 8 + 26 + 4 * (len(protein_ids) + len(unique_taxonomy_ids) + len(non_unique_taxonomy_ids)) + 1) as bigint) from peptides)""",
+)
+def _(spark, sf_dir):
+    return spark.createDataFrame(sorted(store.read_stats(spark, stored(spark, sf_dir).path).items()), "key string, value long")
+
+
+@query("q_build_faults", f"{views.digest_sql(STORED)},\n{views.PEPTIDES_SQL} select 'associations' as kind, (select count(*) from (select unnest(protein_ids) as id from peptides) where id % 10 = 3) as n union all select 'orphans', 0 union all select 'overlaps', 0 union all select 'unassigned', 0")
+def _(spark, sf_dir):
+    """Every tenth protein is taken out of an opened build: its peptides' associations are missing."""
+    e = stored(spark, sf_dir)
+    e.proteins = e.proteins.where("id % 10 <> 3")
+    return spark.createDataFrame([(k, v.count()) for k, v in sorted(e.faults().items())], "kind string, n long")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massgrid.functions.chemistry import amino_acids, mass_of
+from massgrid.functions.display import search_payload
 from massgrid.functions.hydrophobicity import score
 from massgrid.operators import build, search, targets, taxonomy
 from massgrid.operators.digest import Protease, digest
 from massgrid.plans.ptm import Plan, Ptm
-from massgrid.sources.files import mass_from
+from massgrid.sources import store
+from massgrid.sources.files import fasta, mass_from, orphans, write_text
 
 
 @dataclass
@@ -25,6 +28,7 @@ class Engine:
     taxa: DataFrame
     ranks: DataFrame
     protease: Protease = Protease()
+    path: str | None = None
 
     @classmethod
     def built(cls, spark: SparkSession, proteins: DataFrame, taxa: DataFrame, ranks: DataFrame, protease: Protease = Protease(), path: str | None = None) -> Engine:
@@ -35,6 +39,36 @@ class Engine:
             table = spark.read.parquet(path)
         return cls(spark, proteins, table, taxa, ranks, protease)
 
+    @classmethod
+    def stored(cls, path: str, proteins: DataFrame, taxa: DataFrame, ranks: DataFrame, protease: Protease = Protease(), comment: str = "") -> Engine:
+        """Make a whole build under a path, and open it."""
+        store.write(path, proteins, taxa, ranks, protease, comment)
+        return cls.opened(proteins.sparkSession, path)
+
+    @classmethod
+    def opened(cls, spark: SparkSession, path: str) -> Engine:
+        """A stored build."""
+        tables, config = store.read(spark, path)
+        return cls(spark, tables["proteins"], tables["peptides"], tables["taxa"], tables["ranks"], config["protease"], path)
+
+    def configuration(self) -> dict:
+        """Version, comment, protease and mass ranges of a stored build."""
+        if self.path is None:
+            raise ValueError("this build is not stored")
+        return store.read(self.spark, self.path)[1]
+
+    def faults(self) -> dict[str, DataFrame]:
+        """What is wrong with a build, by kind; all are empty if it is sound: ranges that overlap, masses that no range
+        holds, protein ids without a protein, taxa without a parent.
+        """
+        ranges = self.spark.createDataFrame([(i, *r) for i, r in enumerate(self.configuration()["partitions"])], "partition long, lo long, hi long, n long")
+        return {
+            "overlaps": build.tiling_faults(ranges),
+            "unassigned": build.unassigned(self.peptides, ranges),
+            "associations": store.missing_associations(self.proteins, self.peptides),
+            "orphans": orphans(self.taxa),
+        }
+
     def peptide(self, sequence: str) -> DataFrame:
         """The peptide, and its proteins as a list of structs."""
         found = search.lookup(self.peptides, sequence, mass_of(sequence))
@@ -49,9 +83,29 @@ class Engine:
         many = masses if isinstance(masses, list) else [masses]
         plan = Plan.of([mass_from(m) for m in many], ptms, ppm, most_variable, self.protease.shortest)
         if taxa is not None and expand_taxa:
-            taxa = [r.id for r in taxonomy.species(self.taxa, self.ranks, taxa).select("id").collect()]
+            taxa = taxonomy.species(self.taxa, self.ranks, taxa)
         return search.search(self.peptides, plan, taxa, is_reviewed, resolve, distinct)
 
+    def search_url(self, payload: str) -> DataFrame:
+        """A search whose arguments stand in a URL: mass or masses, modifications, tolerances, taxa, review status."""
+        asked = search_payload(payload)
+        ptms = [Ptm.of(p["name"], p["amino_acid"], p["mass_delta"], p["mod_type"], p["position"]) for p in asked.get("modifications", ())]
+        ppm = (asked.get("lower_mass_tolerance_ppm", 10), asked.get("upper_mass_tolerance_ppm", 10))
+        return self.search(asked["mass"], ptms, ppm, asked.get("max_variable_modifications", 3), asked.get("taxonomy_ids"), asked.get("is_reviewed"), asked.get("resolve_modifications", True))
+
+    def search_to_fasta(self, path: str, masses, with_mass: bool = True, **how) -> None:
+        """The search's peptidoforms as FASTA text files under a path."""
+        write_text(fasta(self.search(masses, **how), with_mass), path)
+
+    def search_performance(self, masses: list, **how) -> DataFrame:
+        """(masses, peptidoforms, seconds, longest): one search after another, and their totals."""
+        found, took = 0, []
+        for mass in masses:
+            start = time.perf_counter()
+            found += self.search(mass, **how).count()
+            took.append(time.perf_counter() - start)
+        return self.spark.createDataFrame([(len(masses), found, sum(took), max(took, default=0.0))], "masses long, peptidoforms long, seconds double, longest double")
+
     def condition_count(self, mass: float, ptms: list[Ptm], most_variable: int = 3) -> int:
         return len(Plan.of([mass_from(mass)], ptms, most_variable=most_variable, shortest=self.protease.shortest).conditions)
 
@@ -63,12 +117,28 @@ class Engine:
         own = digest(self.protein(accession).select("id", "sequence"), self.protease).select("mass", "sequence")
         return self.peptides.join(own, ["mass", "sequence"], "left_semi").orderBy("mass", "sequence")
 
+    def protein_full(self, accession: str) -> DataFrame:
+        """The protein with the records of all its peptides, by mass, as a list of structs; an empty list if it has none."""
+        mine = self.protein_peptides(accession).agg(F.array_sort(F.collect_list(F.struct("mass", "sequence", "protein_ids", "unique_taxonomy_ids", "non_unique_taxonomy_ids", "is_swiss_prot", "is_trembl"))).alias("peptides"))
+        return self.protein(accession).crossJoin(mine)  # one row each
+
+    def protein_range(self, start: int, end: int) -> DataFrame:
+        """Proteins with start <= id < end."""
+        return self.proteins.where((F.col("id") >= start) & (F.col("id") < end))
+
     def protein_by_gene(self, gene: str) -> DataFrame:
         return self.proteins.where(F.array_contains("genes", gene))
 
     def search_proteins(self, *terms: str) -> DataFrame:
         return search.find_proteins(self.proteins, *terms)
 
+    def search_proteins_digested(self, *terms: str) -> DataFrame:
+        """The proteins found, reviewed ones first, each with its distinct peptides by mass."""
+        found = self.search_proteins(*terms)
+        made = digest(found.select("id", "sequence"), self.protease).groupBy("protein_id").agg(F.array_sort(F.collect_list(F.struct("mass", "sequence"))).alias("peptides"))
+        listed = found.join(made.withColumnRenamed("protein_id", "id"), "id", "left").withColumn("peptides", F.coalesce("peptides", F.array().cast("array<struct<mass:long,sequence:string>>")))
+        return listed.orderBy(F.desc("is_reviewed"), "accession")
+
     def resolve_protein_ids(self, ids: DataFrame) -> DataFrame:
         return search.resolve(ids, self.proteins, "id", "accession")
 
@@ -93,12 +163,15 @@ class Engine:
     def srm_prm_targets(self, accessions: list[str], taxa: list[int], charges: str = "2-3", ptms: list[Ptm] | None = None, most_variable: int = 2) -> DataFrame:
         """Targets of the given proteins that are unique in the species below the taxa."""
         own = self.proteins.where(F.col("accession").isin([a.upper() for a in accessions]))
-        species = [r.id for r in taxonomy.species(self.taxa, self.ranks, taxa).select("id").collect()]
+        species = taxonomy.species(self.taxa, self.ranks, taxa)
         mine = self.peptides.join(digest(own.select("id", "sequence"), self.protease).select("mass", "sequence").distinct(), ["mass", "sequence"], "left_semi")
         return targets.targets(mine, own, species, charges, ptms, most_variable)
 
     def stats(self) -> DataFrame:
         return build.stats(self.proteins, self.peptides)
 
+    def taxonomy_by_name(self, name: str) -> DataFrame:
+        return taxonomy.by_name(self.taxa, self.ranks, name)
+
     def partition_ranges(self) -> DataFrame:
         return build.partition_ranges(self.peptides)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massgrid.functions.chemistry import residue_counts
@@ -15,18 +15,24 @@ STRIPE = 150_000
 def aggregate(digested: DataFrame, proteins: bool = True, taxa: bool = True) -> DataFrame:
     """(mass, sequence, protein_ids, unique_taxonomy_ids, non_unique_taxonomy_ids, is_swiss_prot, is_trembl).
 
-    A taxon is unique to a peptide if just one of its proteins bears it. Two levels, so that map sides combine; the
-    second level runs on the partitioning of the first. proteins/taxa=False leave the lists empty.
+    A taxon is unique to a peptide if just one of its proteins bears it. One shuffle: the map sides collect each peptide's
+    (taxon, protein) pairs, and the lists are made of the sorted pairs. proteins/taxa=False leave the lists empty.
     """
-    by_taxon = digested.groupBy("mass", "sequence", "taxonomy_id").agg(F.collect_set("protein_id").alias("ids"), F.bool_or("is_reviewed").alias("reviewed"), F.bool_or(~F.col("is_reviewed")).alias("other"))
+    pairs = digested.groupBy("mass", "sequence").agg(F.sort_array(F.collect_set(F.struct("taxonomy_id", "protein_id"))).alias("pairs"), F.bool_or("is_reviewed").alias("is_swiss_prot"), F.bool_or(~F.col("is_reviewed")).alias("is_trembl"))
     empty = F.array().cast("array<int>")
-    taxon = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("taxonomy_id")))) if taxa else F.first(empty)
-    return by_taxon.groupBy("mass", "sequence").agg(
-        (F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))) if proteins else F.first(F.array().cast("array<long>"))).alias("protein_ids"),
-        taxon(F.size("ids") == 1).alias("unique_taxonomy_ids"),
-        taxon(F.size("ids") > 1).alias("non_unique_taxonomy_ids"),
-        F.bool_or("reviewed").alias("is_swiss_prot"),
-        F.bool_or("other").alias("is_trembl"),
+    same = lambda t, at, x: F.coalesce(F.get(t, at) == x, F.lit(False))
+    # pairs are sorted by taxon, so a taxon of one protein differs from its neighbours, and others are told by their second place
+    alone = lambda t: F.filter(t, lambda x, i: ~same(t, i - 1, x) & ~same(t, i + 1, x))
+    shared = lambda t: F.filter(t, lambda x, i: same(t, i - 1, x) & ~same(t, i - 2, x))
+    of = lambda body: F.transform(F.array("pairs.taxonomy_id"), body)[0] if taxa else empty  # noqa: E731 - the list is made once, not for each of its places
+    return pairs.select(
+        "mass",
+        "sequence",
+        (F.sort_array(F.array_distinct("pairs.protein_id")) if proteins else F.array().cast("array<long>")).alias("protein_ids"),
+        of(alone).alias("unique_taxonomy_ids"),
+        of(shared).alias("non_unique_taxonomy_ids"),
+        "is_swiss_prot",
+        "is_trembl",
     )
 
 
@@ -41,6 +47,24 @@ def write_peptides(table: DataFrame, path: str, partitions: int | None = None) -
     ranged.sortWithinPartitions("mass", "sequence").write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", STRIPE).parquet(path)
 
 
+def protein_bytes(sequence: str = "sequence", accession: str = "accession", genes: str = "genes") -> Column:
+    """Estimated bytes of a protein row: id, taxon and flag, packed sequence, accession and genes."""
+    packed = F.floor((F.lit(16) + 5 * F.length(sequence) + 7) / 8)
+    return (F.lit(4 + 4 + 1) + packed + F.octet_length(accession) + F.coalesce(F.aggregate(genes, F.lit(0), lambda n, g: n + F.octet_length(g)), F.lit(0))).cast("long")
+
+
+def pairs_per_protein(digested: DataFrame, proteins: DataFrame) -> DataFrame:
+    """(proteins, pairs, mean): different (mass, protein) pairs, and how many a protein has; counted, not sampled."""
+    pairs = digested.groupBy("protein_id").agg(F.countDistinct("mass").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+    return pairs.crossJoin(proteins.agg(F.count("*").alias("proteins"))).select("proteins", "pairs", (F.col("pairs") / F.greatest("proteins", F.lit(1))).alias("mean"))
+
+
+def unassigned(table: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(mass, peptides) of masses that no range holds; a sound tiling has none."""
+    masses = table.groupBy("mass").agg(F.count("*").alias("peptides"))
+    return masses.join(partitions_of(masses.select("mass"), ranges).select("mass"), "mass", "left_anti")
+
+
 def mass_index(digested: DataFrame) -> DataFrame:
     """(mass, protein_ids): sorted distinct proteins of every mass."""
     return digested.groupBy("mass").agg(F.sort_array(F.collect_set("protein_id")).alias("protein_ids"))

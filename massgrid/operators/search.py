@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from massgrid.functions.proforma import expand
 from massgrid.plans.ptm import Plan
 
-#: Width of a bucket, 1 Dalton: wider than any window, so a condition meets two buckets at most.
+#: Width of a bucket, 1 Dalton. A window meets all buckets that it touches, two as a rule.
 BUCKET = 1_000_000_000
 #: Up to so many conditions become one predicate, which reaches the scan; beyond it they become a joined table.
 MOST_LITERAL = 24
@@ -34,6 +34,14 @@ def in_one_taxon(ids: list[int]) -> Column:
     return F.size(F.array_intersect(F.col("unique_taxonomy_ids"), F.array(*(F.lit(i) for i in ids)).cast("array<int>"))) == 1
 
 
+def of_taxa(peptides: DataFrame, taxa: DataFrame, unique: bool = False) -> DataFrame:
+    """Peptides of a protein of one of the taxa (id); unique: unique in exactly one of them. By joins, for any number of taxa."""
+    bearers = F.col("unique_taxonomy_ids") if unique else F.concat("unique_taxonomy_ids", "non_unique_taxonomy_ids")
+    borne = peptides.select("mass", "sequence", F.explode(bearers).alias("id")).join(taxa.select(F.col("id").cast("int").alias("id")).distinct(), "id", "left_semi")
+    hits = borne.groupBy("mass", "sequence").agg(F.count("*").alias("n"))
+    return peptides.join(hits.where("n = 1") if unique else hits, ["mass", "sequence"], "left_semi")
+
+
 def every(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
@@ -106,10 +114,14 @@ def peptidoforms(matched: DataFrame, plan: Plan, distinct: bool = True) -> DataF
     return out.dropDuplicates(["proforma"]) if distinct else out
 
 
-def search(peptides: DataFrame, plan: Plan, taxa: list[int] | None = None, is_reviewed: bool | None = None, resolve: bool = True, distinct: bool = True) -> DataFrame:
+def search(peptides: DataFrame, plan: Plan, taxa: list[int] | DataFrame | None = None, is_reviewed: bool | None = None, resolve: bool = True, distinct: bool = True) -> DataFrame:
     """The search: conditions, taxa and review status, then peptidoforms, or each peptide once if resolve is off."""
     rows = peptides.where(reviewed(is_reviewed)) if is_reviewed is not None else peptides
-    rows = rows.where(in_taxa(taxa)) if taxa is not None else rows
+    if isinstance(taxa, DataFrame):
+        # the windows of a short plan first: only what they leave is joined with the taxa
+        rows = of_taxa(rows.where(windows(plan)) if len(plan.conditions) <= MOST_LITERAL else rows, taxa)
+    elif taxa is not None:
+        rows = rows.where(in_taxa(taxa))
     found = match(rows, plan)
     return peptidoforms(found, plan, distinct) if resolve else found.dropDuplicates(["mass", "sequence"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from massgrid.functions.chemistry import dalton_to_mz, float_mass, mass_of
 from massgrid.functions.hydrophobicity import hydrophobicity
 from massgrid.functions.proforma import expand
-from massgrid.operators.search import in_one_taxon
+from massgrid.operators.search import in_one_taxon, of_taxa
 from massgrid.plans.ptm import Ptm, PtmSet, conditions, mass_bounds
 
 
@@ -59,9 +59,10 @@ def forms_of(ptms: list[Ptm], most_variable: int):
     return F.pandas_udf(run, "array<struct<proforma:string,mass:long>>")
 
 
-def targets(peptides: DataFrame, proteins: DataFrame, species: list[int], spec: str = "2-3", ptms: list[Ptm] | None = None, most_variable: int = 2) -> DataFrame:
+def targets(peptides: DataFrame, proteins: DataFrame, species: list[int] | DataFrame, spec: str = "2-3", ptms: list[Ptm] | None = None, most_variable: int = 2) -> DataFrame:
     """(protein, sequence, proforma, charge, mz, hydrophobicity) for each protein, peptide, peptidoform and charge."""
-    unique = peptides.where(in_one_taxon(species)).select("sequence", "mass", F.explode("protein_ids").alias("id"))
+    own = of_taxa(peptides, species, unique=True) if isinstance(species, DataFrame) else peptides.where(in_one_taxon(species))
+    unique = own.select("sequence", "mass", F.explode("protein_ids").alias("id"))
     rows = unique.join(proteins.select("id", label().alias("protein")), "id")
     if ptms:
         rows = rows.select("protein", "sequence", F.explode(forms_of(ptms, most_variable)("sequence")).alias("form")).select("protein", "sequence", "form.proforma", "form.mass")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,11 +71,24 @@ def read_config(text: str) -> dict:
     return found | {"protease": Protease(**found["protease"]), "partitions": [tuple(r) for r in found["partitions"]]}
 
 
-def numbered(rows: DataFrame, *order: str, start: int = 0) -> DataFrame:
-    """Adds n: consecutive numbers in the order. Rows are sorted over all tasks; only row counts of tasks meet."""
-    from pyspark import StorageLevel
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the store that all nodes share, which spark.checkpoint.dir names; on one machine a temporary folder will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="massgrid-")
+    return f"{base.rstrip('/')}/massgrid/{name}-{uuid.uuid4().hex[:12]}"
+
 
-    tagged = rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("_at")).persist(StorageLevel.MEMORY_AND_DISK)
+def numbered(rows: DataFrame, *order: str, start: int = 0) -> DataFrame:
+    """Adds n: consecutive numbers in the order. The sorted rows are written once and numbered as they stand there, so a
+    lost executor changes no number; only the row counts of tasks go to the driver.
+    """
+    path = scratch(rows.sparkSession, "sorted")
+    tagged = rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("_at"))
+    tagged.write.parquet(path)
+    tagged = rows.sparkSession.read.schema(tagged.schema).parquet(path)
     counts = sorted((r["_part"], r["count"]) for r in tagged.groupBy("_part").count().collect())
     before, ahead = start, {}
     for part, n in counts:
@@ -128,9 +143,10 @@ def write_text(rows: DataFrame, path: str) -> None:
     rows.select("value").write.mode("overwrite").text(path)
 
 
-def text_lines(forms: DataFrame, sequence: str = "proforma") -> DataFrame:
-    """Plain text: one form on a line."""
-    return forms.select(F.col(sequence).alias("value"))
+def text_lines(forms: DataFrame, sequence: str = "proforma", mass: str = "form_mass") -> DataFrame:
+    """Plain text: an empty line, then one form on a line, by mass."""
+    first = forms.sparkSession.range(1).select(F.lit("").alias("value"), F.lit(-1).cast("long").alias("m"))
+    return first.union(forms.select(sequence, mass)).orderBy("m", "value").select("value")
 
 
 def mobility_request(sequences: list[str], charges: list[int], name: str = "0") -> dict:

@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massgrid.operators.build import protein_bytes
+from massgrid.sources.files import numbered
+
 RECORD_END = "\n//\n"
 #: Line codes of a record, in the order in which they are written.
 CODES = "ID AC DT DE GN OS OG OC OX OH RN RP RC RX RG RA RT RL CC DR PE KW FT SQ".split()
@@ -236,3 +239,17 @@ def proteins(records: DataFrame, strict: bool = True) -> DataFrame:
 def with_ids(rows: DataFrame) -> DataFrame:
     """Adds id: unique and increasing in the order of reading, without a shuffle; the numbers may have gaps."""
     return rows.select(F.monotonically_increasing_id().alias("id"), *rows.columns)
+
+
+#: The least id of a table that is numbered without gaps.
+FIRST_ID = -(1 << 31)
+
+
+def loaded(rows: DataFrame, start: int = FIRST_ID) -> DataFrame:
+    """Adds id: consecutive numbers by accession, so that the same proteins get the same ids however they were read."""
+    return numbered(rows, "accession", "sequence", start=start).withColumnRenamed("n", "id").select("id", *rows.columns)
+
+
+def load_counts(rows: DataFrame) -> DataFrame:
+    """(proteins, bytes) of a load."""
+    return rows.agg(F.count("*").alias("proteins"), F.coalesce(F.sum(protein_bytes()), F.lit(0)).alias("bytes"))

@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from massgrid.operators.search import search
 from massgrid.plans.ptm import Plan, Ptm
+from massgrid.sources.files import numbered
+
+#: Masses that the driver plans at once.
+PLANNED = 2000
 
 
 def search_stream(masses: DataFrame, peptides: DataFrame, path: str, checkpoint: str, ptms: list[Ptm] = (), ppm: tuple[int, int] = (10, 10), most_variable: int = 2) -> StreamingQuery:
     """Writes the peptidoforms of every arriving mass (column `mass`) to Parquet under `path`, by batch.
 
-    A batch that runs again after a failure overwrites its own folder, so each mass is answered once. The masses of
-    one micro-batch go to the driver, which plans them; limit the source's batches accordingly.
+    A batch that runs again after a failure overwrites its own folder, so each mass is answered once. The different
+    masses of a batch are planned on the driver PLANNED at a time, each lot in a folder of its own.
     """
 
     def answer(batch: DataFrame, number: int) -> None:
-        asked = [r.mass for r in batch.select("mass").distinct().collect()]
-        if asked:
-            search(peptides, Plan.of(asked, ptms, ppm, most_variable)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        asked = numbered(batch.select("mass").distinct(), "mass")
+        for lot in range(-(-asked.count() // PLANNED)):
+            masses = [r.mass for r in asked.where(F.floor(F.col("n") / PLANNED) == lot).select("mass").collect()]  # at most PLANNED
+            search(peptides, Plan.of(masses, ptms, ppm, most_variable)).write.mode("overwrite").parquet(f"{path}/batch={number}/lot={lot}")
 
     return masses.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """The engine's tables, derived from the driver's tables by expressions that DuckDB has, too.
 
-Proteins are whole documents: their ASCII letters in upper case, but those that are no residue.
+Proteins are whole documents: their ASCII letters in upper case, but O and U, of which prose is full and which stand for
+rare residues. So B, J, X and Z remain, and peptides that hold one are dropped by a digest.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("accession"),
-        F.regexp_replace(letters, f"[^{CANONICAL}]", "").alias("sequence"),
+        F.translate(letters, "OU", "").alias("sequence"),
         (F.lit(1000) + F.col("doc_id") % 25).cast("int").alias("taxonomy_id"),
         (F.col("doc_id") % 3 == 0).alias("is_reviewed"),
         F.array("source", "lang").alias("genes"),
@@ -46,9 +47,9 @@ def ranks(spark: SparkSession) -> DataFrame:
 
 # --- the same in DuckDB's SQL -------------------------------------------------------------------------------------
 
-PROTEINS_SQL = f"""proteins as (
+PROTEINS_SQL = """proteins as (
   select doc_id as id, 'D' || doc_id as accession,
-    regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[^{CANONICAL}]', '', 'g') as sequence,
+    regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[OU]', '', 'g') as sequence,
     cast(1000 + doc_id % 25 as int) as taxonomy_id, doc_id % 3 = 0 as is_reviewed, [source, lang] as genes from documents)"""
 
 TAXA_SQL = """taxa as (
@@ -86,7 +87,7 @@ def digest_sql(protease: Protease) -> str:
     else:
         ctes = [FRAGMENTS_SQL, pairs, f"pieces as (select distinct e.id, substr(sequence, a + 1, size) as peptide from pairs e join proteins using (id) where size between {low} and {high})"]
     last = f"""digest as (
-  select p.id as protein_id, peptide as sequence, {mass_sql("peptide")} as mass, taxonomy_id, is_reviewed, genes, accession from pieces join proteins p using (id))"""
+  select p.id as protein_id, peptide as sequence, {mass_sql("peptide")} as mass, taxonomy_id, is_reviewed, genes, accession from pieces join proteins p using (id) where not regexp_matches(peptide, '[^{CANONICAL}]'))"""
     return "with recursive " + ",\n".join([PROTEINS_SQL, *ctes, last])
 
 
