@@ -2,7 +2,7 @@
 
 Each row's payload is zero-padded to a positive multiple of 64 bytes and stored losslessly as the
 samples of an 8-bit grey PNG that is 64 pixels wide. Members are named by the SHA-256 of the stored
-form, and a task stores equal payloads once. A row then only carries (digest, shard, offset, length);
+form, and a task stores equal payloads once; two tasks may both store one, as no payload is sent between them. A row then only carries (digest, shard, offset, length);
 header-only range reads fill the metadata columns, and whole reads the payload's features.
 
 Everything is narrow: no payload is ever shuffled. Each task writes its own shards, whose names hold
@@ -11,7 +11,9 @@ and only the index of the attempt that commits is used. Shards are written and r
 pyarrow.fs by URI, so the store may be local, HDFS or an object store.
 
 Cases: a null text is an empty payload, stored as 64 zero bytes; an empty table gives an empty
-result; equal texts give equal values; other columns of the input are ignored.
+result; equal texts give equal values, whatever task stores them; rows that share a doc_id are stored each; a null doc_id
+stays null; a very long text is one object, held whole by its task; other columns of the input are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

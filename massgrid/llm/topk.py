@@ -37,8 +37,8 @@ BLOCK = 2048
 BANDS = 512
 TILE = 256
 SAMPLE = 4096
-#: Eighths of the components after which the bound is taken: for whole tiles, then pair by pair.
-TILE_EIGHTHS, PAIR_EIGHTHS = (2, 4), (5, 6, 7)
+#: Eighths of the components after which the bound is taken, and the share of a tile's pairs under which they go on one by one.
+EIGHTHS, FEW = (2, 4, 5, 6, 7), 1 / 32
 LEAST = np.iinfo(np.int64).min
 LAST_ID = np.iinfo(np.int64).max
 
@@ -110,7 +110,7 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray,
     """
     d = queries.shape[1]
     rq, rv = queries @ axes, vectors @ axes
-    cuts = [max(1, d * e // 8) for e in (*TILE_EIGHTHS, *PAIR_EIGHTHS)]
+    cuts = [max(1, d * e // 8) for e in EIGHTHS]
     rest_q, rest_v = ([np.sqrt((x[:, c:] ** 2).sum(1)) for c in cuts] for x in (rq, rv))
     len_q, len_v = (np.sqrt((x**2).sum(1)) for x in (rq, rv))
     slack = 1e-9 * len_q * len_v.max(initial=0) + 1e-6  # the rotation is rounded, the scores are not
@@ -124,15 +124,17 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray,
             break  # nor do the shorter vectors reach a floor
         keep = query_ids[live, None] != ids[None, i:end]
         partial, done = np.zeros(keep.shape), 0
-        for c, a, b in zip(cuts, rest_q, rest_v):  # noqa: B905 - the tile's cuts only
-            if c == cuts[len(TILE_EIGHTHS)]:
-                break
+        steps = list(zip(cuts, rest_q, rest_v, strict=True))
+        while steps:
+            c, a, b = steps.pop(0)
             partial += rq[live, done:c] @ rv[i:end, done:c].T
             keep &= partial + a[live, None] * b[None, i:end] >= least[live, None]
             done = c
+            if keep.mean() < FEW:
+                break
         x, y = np.nonzero(keep)
         part, x, y = partial[x, y], live[x], y + i
-        for c, a, b in list(zip(cuts, rest_q, rest_v, strict=True))[len(TILE_EIGHTHS) :]:
+        for c, a, b in steps:
             part = part + np.einsum("ij,ij->i", rq[x, done:c], rv[y, done:c])
             near = part + a[x] * b[y] >= least[x]
             part, x, y, done = part[near], x[near], y[near], c

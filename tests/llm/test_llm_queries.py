@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from helpers import SMALL, same_rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from massgrid.llm import queries, secrets, toxicity
@@ -51,3 +52,35 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
     assert after.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").isEmpty()
     assert corpus_pipeline.run(spark, SMALL).count() == after.count()
+
+
+def through(spark, docs, tmp_path):
+    """The kept rows after each stage, with the labels of the small tables."""
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        out[name] = docs
+    return out
+
+
+def test_pipeline_of_nothing(spark, empty, tmp_path):
+    for name, docs in through(spark, empty, tmp_path).items():
+        assert docs.isEmpty()
+        assert name == "packing" or docs.columns == empty.columns
+
+
+def test_pipeline_of_odd_rows(spark, table, odd_texts, tmp_path):
+    """Null and empty texts, repeated rows, a null doc_id, and columns that the stages name themselves."""
+    docs = table([*odd_texts, "password = hunter2hunter2 " + "word " * 8, ""])
+    nameless = docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long"))
+    docs = docs.union(docs.where("doc_id = 6")).union(nameless)
+    stages = through(spark, docs, tmp_path)
+    assert stages["secrets"].columns == docs.columns
+    kept = {(r.doc_id, r.text) for r in stages["near-duplicates"].collect()}
+    assert {k for k, _ in kept} == {0, 1, 2, 3, 4, 6, 7, 8, 10, 11, 12, None}  # 5 repeats 4, and 9 nearly does
+    left = {r.doc_id: r for r in stages["secrets"].collect()}
+    assert left[11].text.startswith("[SECRET] word") and left[11].n_chars == len(left[11].text) and left[4].k == 1
+    assert left[0].text in (None, "") and left[12].text == ""
+    ids = {r.doc_id: 0 for r in stages["packing"].collect()}
+    assert set(ids) == set(left)
