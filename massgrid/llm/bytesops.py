@@ -49,6 +49,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+def forget_powers() -> None:
+    """Free what powers() keeps; workers live on after a task."""
+    _POWERS.clear()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; offsets start at 0, a null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -11,10 +11,12 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
-
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massgrid.llm import bytesops
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -36,13 +38,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/massgrid/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession, name)}.parquet"
+def saved(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    folder: a shared folder of tables that are removed together.
+    """
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}.parquet" if folder else f"{shared_folder(df.sparkSession, name)}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(folder: str) -> None:
+    """Delete a folder of tables that no result reads any more, wherever it is stored."""
+    store, path = pafs.FileSystem.from_uri(folder)
+    if store.get_file_info(path).type != pafs.FileType.NotFound:
+        store.delete_dir(path)
+
+
 def text_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, text) only, so that further columns with any names never collide; a null text is empty."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -76,6 +88,7 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
             yield out
             if i % 8 == 7:
                 trimmed()
+        bytesops.forget_powers()
         trimmed()
 
     return wrapped

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from massgrid.llm.bpe import blocks
 from massgrid.llm.bytesops import U64, gather_ranges, list_array, mix, shingle_sets, text_bytes
-from massgrid.llm.common import bucket_count, lean, released, saved, text_rows
+from massgrid.llm.common import bucket_count, lean, released, removed, saved, shared_folder, text_rows
 from massgrid.llm.graph import components
 
 BLOCK_BYTES = 4 << 20
@@ -362,7 +362,7 @@ def _cell_links(percent: int, listed: bool):
     return run
 
 
-def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, percent: int, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, active, groups): (doc_id, n, rep) of every document, (rep, n, shared, ...) of the sets that may have
     links, and (rep, component) of those that have one. rep is the least doc_id with the same set.
     """
@@ -371,23 +371,23 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows))  # at most MOST_COMMON shingles
     blocks_ = rows.mapInArrow(lean(_shingle_blocks(buckets.bit_length() - 1, common)), "bucket long, block long, shingles binary, documents binary")
     frequent = blocks_.groupBy("bucket").applyInArrow(_frequent(common), "block long, shingles binary, frequency binary, documents binary")
-    sets = saved(frequent.groupBy("block").applyInArrow(_prefixes(percent), SETS), "sets")
+    sets = saved(frequent.groupBy("block").applyInArrow(_prefixes(percent), SETS), "sets", folder)
     del blocks_, frequent
     released(docs.sparkSession)  # the shuffles so far hold all shingles, those to come only shared ones
     reps = sets.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
     active = sets.where("prefix is not null").join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    active = saved(active.select(F.col("doc_id").alias("rep"), "n", "shared", "prefix", "bits"), "active-sets")
+    active = saved(active.select(F.col("doc_id").alias("rep"), "n", "shared", "prefix", "bits"), "active-sets", folder)
     postings = active.select("rep", "n", F.explode("prefix").alias("tile"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         side = lambda x: active.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"shared_{x}"), F.col("bits").alias(f"bits_{x}"))
         joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "shared_a", "shared_b", "bits_a", "bits_b")
-        return saved(joined.mapInArrow(lean(_verify(percent)), "a long, b long"), name)
+        return saved(joined.mapInArrow(lean(_verify(percent)), "a long, b long"), name, folder)
 
     pivots = postings.groupBy("tile").agg(F.min(F.struct("rep", "n")).alias("p"), F.max("rep").alias("top")).where("p.rep < top").select("tile", F.col("p.rep").alias("a"), F.col("p.n").alias("n_a"))
     near = postings.join(pivots, "tile").where(f"rep <> a and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
     first = verified(near.select("a", F.col("rep").alias("b")).distinct(), "links-by-pivot")
-    groups = saved(components(first), "groups-by-pivot").select(F.col("vertex").alias("rep"), "component")
+    groups = saved(components(first, folder), "groups-by-pivot", folder).select(F.col("vertex").alias("rep"), "component")
     # sets that can link are in one band of sizes or in neighbours: a set meets its own band's and the next greater one's
     own = size_band(F.col("n"), percent)
     banded = postings.select("rep", "n", F.inline(F.array(*(F.struct(F.xxhash64("tile", own + k).alias("tile"), F.lit(k == 1).alias("low")) for k in (0, 1)))))
@@ -401,7 +401,7 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataF
     cells = dealt.select(F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "rep", "n", "m", "component", "bits", "low", side.cast("int").alias("side"))
     pairs = cells.withColumn("bucket", F.pmod("cell", F.lit(4 * buckets))).groupBy("bucket").applyInArrow(_tile_pairs(percent), "a long, b long")
     second = verified(pairs.distinct(), "links-by-tile")
-    groups = saved(components(first.union(second)), "groups").withColumnRenamed("vertex", "rep")
+    groups = saved(components(first.union(second), folder), "groups", folder).withColumnRenamed("vertex", "rep")
     return sets.select("doc_id", "digest", "n").join(reps, ["digest", "n"], "left").select("doc_id", "n", "rep"), active, groups
 
 
@@ -437,13 +437,16 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     return _joined(docs, percent, True)
 
 
-def join_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; enough links are followed to know the groups."""
-    return _joined(docs, percent, False)
+def join_groups(docs: DataFrame, percent: int = 75, folder: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; enough links are followed to know the groups.
 
+    folder: a shared folder for the tables that the result reads; the caller may remove it when it has the result.
+    """
+    return _joined(docs, percent, False, folder)
 
-def _joined(docs: DataFrame, percent: int, counted: bool) -> DataFrame:
-    sets, active, groups = _grouped(docs, percent)
+
+def _joined(docs: DataFrame, percent: int, counted: bool, folder: str | None = None) -> DataFrame:
+    sets, active, groups = _grouped(docs, percent, folder)
     if counted:
         counts = _links(active, groups, percent, False).groupBy("rep").agg(F.sum("n_links").alias("n_links"))
         groups = groups.join(saved(counts, "link-counts"), "rep", "left")
@@ -461,7 +464,9 @@ def _joined(docs: DataFrame, percent: int, counted: bool) -> DataFrame:
 
 def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows, with all their columns, but those of documents in a group with a smaller doc_id."""
-    others = saved(join_groups(docs, percent).where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    folder = shared_folder(docs.sparkSession, "near-copies-work")
+    others = saved(join_groups(docs, percent, folder).where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    removed(folder)
     released(docs.sparkSession)
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from massgrid.llm.bpe import blocks
 from massgrid.llm.bytesops import U64, byte_table, gather_ranges, mix, powers, text_bytes
-from massgrid.llm.common import lean, released, saved
+from massgrid.llm.common import lean, released, removed, saved, shared_folder
 
 LENGTH = 400
 BLOCK_BYTES = 1 << 20
@@ -299,9 +299,9 @@ def _resolve(length: int):
     return run
 
 
-def _hot_cover(sent: DataFrame, found: DataFrame, copies: DataFrame, many: DataFrame, length: int) -> DataFrame:
+def _hot_cover(sent: DataFrame, found: DataFrame, copies: DataFrame, many: DataFrame, length: int, folder: str) -> DataFrame:
     """(anchor, seg, len, s, e) of hot anchors, from what is covered in each part. Windows of one part overlap, so they cover one interval."""
-    windows = saved(many.select("key", "part", "at", "bytes").mapInArrow(lean(_windows(length)), "key long, part long, s long, place long, window long"), "windows")
+    windows = saved(many.select("key", "part", "at", "bytes").mapInArrow(lean(_windows(length)), "key long, part long, s long, place long, window long"), "windows", folder)
     again = windows.groupBy("key", "place", "window").count().where("count > 1").drop("count")
     spans = windows.join(again, ["key", "place", "window"]).select("key", "part", "s", (F.col("s") + length).alias("e"))
     spans = spans.union(found.where("hot").select(F.col("anchor").alias("key"), F.col("seg").alias("part"), "s", "e"))
@@ -314,30 +314,35 @@ def covered(docs: DataFrame, carry: list[str], length: int = LENGTH, text: str =
     """(rows, spans): rows (doc_id, k, h, text, carried struct); spans (k, h, list of (s, e)), the covered intervals of a text in bytes."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("carried"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"), "text", "carried")
-    places = saved(rows.where(F.octet_length("text") >= length).select("k", "h", "text").mapInArrow(lean(_places(length)), PLACES), "places")
+    folder = shared_folder(docs.sparkSession, "repeats-work")  # for what only the spans are made of
+    places = saved(rows.where(F.octet_length("text") >= length).select("k", "h", "text").mapInArrow(lean(_places(length)), PLACES), "places", folder)
     contents = places.groupBy("anchor", "seg", "len").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("h").alias("h"), F.first("start").alias("start"), F.first("at").alias("at"))
-    contents = saved(contents, "contents")
+    contents = saved(contents, "contents", folder)
+    released(docs.sparkSession)
     several = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").withColumn("hot", F.col("kinds") > HOT)
     wanted = contents.join(several, "anchor")
     volume = wanted.agg(F.sum("len")).first()[0] or 0
     buckets = max(16, int(volume) // (256 << 10))
     asked = wanted.groupBy("k", "h").agg(F.collect_list(F.struct("start", "len", "at", "anchor", "seg", "hot")).alias("wanted"))
-    sent = saved(rows.join(asked, ["k", "h"]).select("text", "wanted").mapInArrow(lean(_cut(length)), CONTENTS), "parts")
-    copies = saved(sent.where("hot").groupBy("key", "part").agg(F.count("*").alias("n"), F.first("at").alias("at"), F.first("bytes").alias("bytes")), "hot-parts")
+    sent = saved(rows.join(asked, ["k", "h"]).select("text", "wanted").mapInArrow(lean(_cut(length)), CONTENTS), "parts", folder)
+    copies = saved(sent.where("hot").groupBy("key", "part").agg(F.count("*").alias("n"), F.first("at").alias("at"), F.first("bytes").alias("bytes")), "hot-parts", folder)
     different = copies.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1")
     large = F.broadcast(different.where(F.col("parts") > HOT).select("key"))  # a key for at least HOT parts
     few = copies.join(large, "key", "left_anti").join(different, "key")
     bucket = F.pmod("key", F.lit(buckets)).alias("bucket")
     strings = sent.where("not hot").select(bucket, "hot", "key", "anchor", "seg", "len", "at", "bytes")
     strings = strings.union(few.select(bucket + buckets, F.lit(True), "key", F.col("key"), "part", F.octet_length("bytes").cast("long"), "at", "bytes"))
-    found = saved(strings.groupBy("bucket").applyInArrow(_resolve(length), "hot boolean, anchor long, seg long, len long, s long, e long"), "found")
-    parts = found.where("not hot").drop("hot").union(_hot_cover(sent, found, copies, copies.join(large, "key", "left_semi"), length))
+    found = saved(strings.groupBy("bucket").applyInArrow(_resolve(length), "hot boolean, anchor long, seg long, len long, s long, e long"), "found", folder)
+    parts = found.where("not hot").drop("hot").union(_hot_cover(sent, found, copies, copies.join(large, "key", "left_semi"), length, folder))
     whole = contents.where("n > 1").select("anchor", "seg", "len", F.lit(0).cast("long").alias("s"), F.col("len").alias("e"))
-    cover = saved(whole.union(parts), "cover")
-    del sent, strings, copies, different, large, few, found, parts
+    cover = saved(whole.union(parts), "cover", folder)
+    del contents, wanted, whole, asked, sent, strings, copies, different, large, few, found, parts
     released(docs.sparkSession)
     back = places.select("k", "h", "start", "anchor", "seg", "len").join(cover, ["anchor", "seg", "len"])
-    spans = back.groupBy("k", "h").agg(F.collect_list(F.struct((F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))).alias("spans"))
+    spans = saved(back.groupBy("k", "h").agg(F.collect_list(F.struct((F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))).alias("spans")), "spans")
+    removed(folder)
+    del places, cover, back
+    released(docs.sparkSession)
     return rows, spans
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from massgrid.llm.bpe import blocks
 from massgrid.llm.bytesops import PUNCTUATION, U64, mix, text_bytes, word_hashes, words
-from massgrid.llm.common import lean, saved, text_rows
+from massgrid.llm.common import lean, removed, saved, shared_folder, text_rows
 
 BITS = 20
 BLOCK_BYTES = 4 << 20
@@ -98,9 +98,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, passes: int
     drawn = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20))
     limit = int(min(1.0, max_rows / max(1, known.count())) * (1 << 20))
     sample = known.where(drawn < limit)
-    texts = saved(text_rows(docs).join(F.broadcast(sample), "doc_id"), "labelled")  # max_rows bounds what is broadcast
+    folder = shared_folder(docs.sparkSession, "labelled")
+    texts = saved(text_rows(docs).join(F.broadcast(sample), "doc_id"), "texts", folder)  # max_rows bounds what is broadcast
     size = texts.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0.0
     rows = texts.where(drawn < int(limit * min(1.0, max_bytes / max(1.0, size)))).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_fit(passes), "place long, weight double").collect()
+    removed(folder)
     return np.array([r.place for r in rows], np.int64), np.array([r.weight for r in rows], float)
 
 
