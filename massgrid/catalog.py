@@ -19,6 +19,7 @@ from massgrid.functions.hydrophobicity import hydrophobicity
 from massgrid.operators import build, search, targets, taxonomy
 from massgrid.operators.digest import Protease, digest, fragments, missed_cleavages
 from massgrid.plans.ptm import ANYWHERE, BOND_C, BOND_N, STATIC, TERMINUS_C, TERMINUS_N, VARIABLE, Plan, Ptm
+from massgrid.shared import scratch, written
 from massgrid.sources import files, store, uniprot
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,7 +241,8 @@ def _(spark, sf_dir):
 
 @query("q_partition_lookup", f"{BASE}, {RANGES} select mass, partition from (select distinct mass from digest) join ranges on mass between lo and hi")
 def _(spark, sf_dir):
-    return build.partitions_of(digested(spark, sf_dir).select("mass").distinct(), ranges(spark, sf_dir)).select("mass", "partition")
+    counts = written(build.mass_counts(digested(spark, sf_dir).select("mass", "sequence").distinct()), "mass-counts")
+    return build.partitions_of(counts.select("mass"), build.tiled(counts, 5000)).select("mass", "partition")
 
 
 @query("q_stats", f"{BASE} select 'proteins' as key, (select count(*) from proteins) as value union all select 'peptides', count(distinct sequence) from digest union all select 'masses', count(distinct mass) from digest")
@@ -669,7 +671,7 @@ LOADED = "accession, sequence, taxonomy_id, is_reviewed, coalesce(genes[1], 'a')
 
 def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as compressed text files, scanned and parsed again."""
-    path = files.scratch(spark, "records")
+    path = scratch(spark, "records")
     records(spark, sf_dir).write.option("lineSep", uniprot.RECORD_END).option("compression", "gzip").text(path)
     return uniprot.proteins(uniprot.scan(spark, path))
 
@@ -700,7 +702,7 @@ def _(spark, sf_dir):
 @query("q_taxonomy_dump", f"{TREE} {RANKED}")
 def _(spark, sf_dir):
     """The tree as a dump's files, read again; synonyms in it are left out."""
-    ranked, path = taxonomy.ranked(views.taxa(spark, sf_dir), views.ranks(spark)), files.scratch(spark, "dump")
+    ranked, path = taxonomy.ranked(views.taxa(spark, sf_dir), views.ranks(spark)), scratch(spark, "dump")
     end = lambda *fields: F.concat(F.concat_ws("\t|\t", *(f.cast("string") for f in fields)), F.lit("\t|")).alias("value")
     ranked.select(end(F.col("id"), F.col("parent_id"), F.col("rank"))).write.text(f"{path}/nodes")
     names = ranked.select(end(F.col("id"), F.col("scientific_name"), F.lit(""), F.lit("scientific name")))
@@ -713,7 +715,7 @@ def _(spark, sf_dir):
 @query("q_masses_file", f"{BASE} select distinct mass // 1000 as mass from digest")
 def _(spark, sf_dir):
     """Masses as text in Dalton, read again, in millionths of a Dalton."""
-    path = files.scratch(spark, "masses")
+    path = scratch(spark, "masses")
     masses = digested(spark, sf_dir).select("mass").distinct()
     masses.select(F.format_string("%d.%09d5", F.expr("mass div 1000000000"), F.expr("mass % 1000000000")).alias("value")).write.text(path)
     return files.read_masses(spark, path).select(F.expr("mass div 1000").alias("mass")).distinct()
@@ -724,7 +726,7 @@ STORED = Protease("trypsin", 6, 50, 0)
 
 def stored(spark: SparkSession, sf_dir: str) -> Engine:
     """A whole build on disk, opened again."""
-    path = files.scratch(spark, "build")
+    path = scratch(spark, "build")
     return Engine.stored(path, views.proteins(spark, sf_dir), views.taxa(spark, sf_dir), views.ranks(spark), STORED)
 
 

@@ -1,4 +1,4 @@
-"""From proteins to the peptide table: one shuffle on the sequence, then a layout sorted by mass."""
+"""From proteins to the peptide table: one shuffle on mass and sequence, then a layout sorted by mass."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from massgrid.functions.chemistry import residue_counts
 from massgrid.operators.digest import Protease, digest
+from massgrid.shared import written
 
 #: Rows of one file, and so of one mass range: a search reads the footers' minima and maxima and few files.
 STRIPE = 150_000
@@ -70,19 +71,29 @@ def mass_index(digested: DataFrame) -> DataFrame:
     return digested.groupBy("mass").agg(F.sort_array(F.collect_set("protein_id")).alias("protein_ids"))
 
 
+def mass_counts(table: DataFrame) -> DataFrame:
+    """(mass, n): how many peptides have a mass."""
+    return table.groupBy("mass").agg(F.count("*").alias("n"))
+
+
 def partition_ranges(table: DataFrame, rows: int = STRIPE) -> DataFrame:
-    """(partition, lo, hi, n): consecutive mass ranges of about `rows` peptides each; all of one mass share a range.
+    """(partition, lo, hi, n): consecutive mass ranges of about `rows` peptides each; all of one mass share a range."""
+    return tiled(written(mass_counts(table), "mass-counts"), rows)
+
+
+def tiled(counts: DataFrame, rows: int = STRIPE) -> DataFrame:
+    """The same from counted masses, which are read twice.
 
-    Masses are counted first, and running counts are taken in two levels, inside a bucket of masses and over buckets,
-    so no task sorts more than one bucket's masses.
+    Running counts are taken in two levels, inside a bucket of masses and over buckets, so no task sorts more than one
+    bucket's masses.
     """
-    counts = table.groupBy("mass").agg(F.count("*").alias("n")).withColumn("bucket", F.expr("mass div 100000000000"))
+    counts = counts.withColumn("bucket", F.expr("mass div 100000000000"))
     buckets = counts.groupBy("bucket").agg(F.sum("n").alias("total"))
     ahead = buckets.select("bucket", (F.sum("total").over(Window.orderBy("bucket")) - F.col("total")).alias("before"))  # a row for each 100 Dalton
     inside = Window.partitionBy("bucket").orderBy("mass").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("before")
-    tiled = counts.join(ahead, "bucket").withColumn("partition", F.floor(start / rows).cast("long"))
-    return tiled.groupBy("partition").agg(F.min("mass").alias("lo"), F.max("mass").alias("hi"), F.sum("n").alias("n"))
+    placed = counts.join(ahead, "bucket").withColumn("partition", F.floor(start / rows).cast("long"))
+    return placed.groupBy("partition").agg(F.min("mass").alias("lo"), F.max("mass").alias("hi"), F.sum("n").alias("n"))
 
 
 def tiling_faults(ranges: DataFrame) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from massgrid.functions.chemistry import PROTON, float_mass, to_int
 from massgrid.operators.digest import Protease
 from massgrid.plans.ptm import Ptm
+from massgrid.shared import written
 
 CONFIG_VERSION = 2
 #: Fixed value: the first field of FASTA headers.
@@ -71,24 +70,12 @@ def read_config(text: str) -> dict:
     return found | {"protease": Protease(**found["protease"]), "partitions": [tuple(r) for r in found["partitions"]]}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the store that all nodes share, which spark.checkpoint.dir names; on one machine a temporary folder will do."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="massgrid-")
-    return f"{base.rstrip('/')}/massgrid/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def numbered(rows: DataFrame, *order: str, start: int = 0) -> DataFrame:
     """Adds n: consecutive numbers in the order. The sorted rows are written once and numbered as they stand there, so a
     lost executor changes no number; only the row counts of tasks go to the driver.
     """
-    path = scratch(rows.sparkSession, "sorted")
     tagged = rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("_at"))
-    tagged.write.parquet(path)
-    tagged = rows.sparkSession.read.schema(tagged.schema).parquet(path)
+    tagged = written(tagged, "sorted")
     counts = sorted((r["_part"], r["count"]) for r in tagged.groupBy("_part").count().collect())
     before, ahead = start, {}
     for part, n in counts:

@@ -4,7 +4,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def same_rows(frame, con, sql):
-    """Rows of a query and of its SQL, columns by name, in any order."""
+    """Rows of a query and of its SQL, columns by name, in any order; returns their number."""
     import decimal
 
     cols = sorted(frame.columns)
@@ -16,3 +16,4 @@ def same_rows(frame, con, sql):
     got = sorted(plain(tuple(r)) for r in frame.select(*cols).collect())
     want = sorted(plain(tuple(r[i] for i in at)) for r in result.fetchall())
     assert got == want
+    return len(got)

@@ -1,3 +1,7 @@
+import base64
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +10,7 @@ from massgrid.functions.chemistry import mass_of, peptide_mass, to_float
 from massgrid.operators import build, search, targets
 from massgrid.operators.digest import Protease, digest
 from massgrid.plans.ptm import STATIC, VARIABLE, Plan, Ptm
-from massgrid.sources import files, uniprot
+from massgrid.sources import files, store, uniprot
 
 # Fixed value: the sequence of human leptin.
 LEPTIN = "MHWGTLCGFLWLWPYLFYVQAVPIQKVQDDTKTLIKTIVTRINDISHTQSVSSKQKVTGLDFIPGLHPILTLSKMDQTLAVYQQILTSMPSRNVIQISNDLENLRDLLHVLAFSKSCHLPWASGLETLDSLGGVLEASGYSTEVVALSRLQGSLQDMLWQLDLSPGC"
@@ -205,3 +209,79 @@ def test_stream_of_masses(engine, spark, tmp_path):
     found = spark.read.parquet(out)
     assert {r.mass for r in found.collect()} == set(wanted)
     assert engine.peptides.select(peptide_text().alias("t")).first().t.count("\n") == 6
+
+
+def test_stored_build(engine, spark, proteins, tmp_path):
+    path = str(tmp_path / "build")
+    made = Engine.stored(path, proteins, engine.taxa, engine.ranks, SHORT, "all of it")
+    again = Engine.opened(spark, path)
+    for e in (made, again):
+        assert e.protease == SHORT and e.configuration()["comment"] == "all of it"
+        assert sorted(map(str, e.peptides.collect())) == sorted(map(str, engine.peptides.collect()))
+        assert e.proteins.count() == 5 and e.taxonomy_by_name("Homo one").first().id == 2000
+    ranges = again.configuration()["partitions"]
+    assert sum(n for _, _, n in ranges) == engine.peptides.count()
+    assert all(rows.isEmpty() for rows in again.faults().values())
+    stats = store.read_stats(spark, path)
+    assert stats["proteins"] == 5 and stats["peptides"] == engine.peptides.count() and stats["protein_bytes"] == proteins.agg(F.sum(build.protein_bytes())).first()[0]
+    store.write_stats(spark.createDataFrame([("peptides", 1), ("more", 2)], "key string, value long"), path)
+    assert store.read_stats(spark, path) == stats | {"peptides": 1, "more": 2}
+    store.append_proteins(spark.createDataFrame([(9, "N", "AAAAAAAK", 2001, False, ["g"])], proteins.schema), path)
+    assert Engine.opened(spark, path).protein_range(3, 10).select("id").orderBy("id").collect() == [(3,), (4,), (5,), (9,)]
+    broken = Engine.opened(spark, path)
+    broken.proteins = broken.proteins.where("id <> 1")
+    broken.taxa = broken.taxa.where("id <> 10")
+    assert {k for k, rows in broken.faults().items() if not rows.isEmpty()} == {"associations", "orphans"}
+    with pytest.raises(ValueError):
+        engine.configuration()
+
+
+def test_more_calls(engine, spark, proteins, tmp_path):
+    full = engine.protein_full("a1").first()
+    assert [p.sequence for p in full.peptides] == [r.sequence for r in engine.protein_peptides("A1").collect()] and full.peptides
+    assert engine.protein_full("E").first().peptides == []
+    rows = engine.search_proteins_digested("lep").collect()
+    assert [r.accession for r in rows] == ["A1", "A2"] and [p.mass for p in rows[0].peptides] == [p.mass for p in full.peptides]
+    peptide = full.peptides[0]
+    asked = {"mass": to_float(peptide.mass) + 1e-9, "modifications": [{"name": "m", "amino_acid": "M", "mass_delta": 15.994915, "mod_type": "Variable", "position": "Anywhere"}], "lower_mass_tolerance_ppm": 5, "upper_mass_tolerance_ppm": 5, "taxonomy_ids": [10], "is_reviewed": True}
+    payload = base64.urlsafe_b64encode(json.dumps(asked).encode()).decode().rstrip("=")
+    assert peptide.sequence in {r.proforma for r in engine.search_url(payload).collect()}
+    assert engine.search_url(base64.b64encode(json.dumps(asked | {"taxonomy_ids": [2002]}).encode()).decode()).isEmpty()
+    engine.search_to_fasta(str(tmp_path / "f"), [asked["mass"]], ppm=(5, 5))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "f")).collect()]
+    assert lines[0].startswith(">mdb|0|") and peptide.sequence in lines
+    took = engine.search_performance([asked["mass"], 1.0], ppm=(5, 5)).first()
+    assert took.masses == 2 and took.peptidoforms == (len(lines) // 2) and took.seconds >= took.longest > 0
+    forms = spark.createDataFrame([("B", 2), ("A", 2), ("C", 1)], "proforma string, form_mass long")
+    assert [r.value for r in files.text_lines(forms).collect()] == ["", "C", "A", "B"]
+
+
+def test_many_taxa_by_joins(engine, spark):
+    for wanted in ([2000], [2001], [2000, 2001], [7], []):
+        taxa = spark.createDataFrame([(i,) for i in wanted], "id int")
+        one, any_ = search.of_taxa(engine.peptides, taxa, unique=True), search.of_taxa(engine.peptides, taxa)
+        assert sorted(one.select("sequence").collect()) == sorted(engine.peptides.where(search.in_one_taxon(wanted)).select("sequence").collect())
+        assert sorted(any_.select("sequence").collect()) == sorted(engine.peptides.where(search.in_taxa(wanted)).select("sequence").collect())
+
+
+def test_loaded_ids(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(RECORD + RECORD.replace("P99999", "A11111"))
+    rows = uniprot.proteins(uniprot.scan(spark, str(tmp_path / "a.txt")))
+    assert [(r.id - uniprot.FIRST_ID, r.accession) for r in uniprot.loaded(rows).orderBy("id").collect()] == [(0, "A11111"), (1, "A11111-2"), (2, "P99999"), (3, "P99999-2")]
+    counts = uniprot.load_counts(rows).first()
+    assert counts.proteins == 4 and counts.bytes == rows.agg(F.sum(build.protein_bytes())).first()[0]
+
+
+def test_one_shuffle_for_the_peptide_table(proteins):
+    plan = build.aggregate(digest(proteins.drop("accession", "genes"), SHORT))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_long_proteins(spark):
+    """Places in several chunks, and a peptide that comes in two of them."""
+    rng = random.Random(2)
+    long = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(700))
+    long += long[100:120]
+    got = digest(spark.createDataFrame([(1, long), (2, "AAAAA")], "id long, sequence string"), Protease("unspecific", 6, 9)).collect()
+    want = {long[i : i + n] for n in range(6, 10) for i in range(len(long) - n + 1)}
+    assert sorted(r.sequence for r in got) == sorted(want) and all(r.mass == mass_of(r.sequence) for r in got)

@@ -9,7 +9,8 @@ from massgrid import catalog
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_sql(spark, duck, name):
-    same_rows(catalog.QUERIES[name](spark, SMALL), duck, catalog.ORACLES[name])
+    # a query that nothing answers on either side would compare nothing
+    assert same_rows(catalog.QUERIES[name](spark, SMALL), duck, catalog.ORACLES[name])
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
@@ -31,9 +32,3 @@ def test_semi_trypsin_has_all_lengths(spark, duck):
     rows = catalog.QUERIES["q_semi_trypsin"](spark, SMALL).collect()
     assert max(len(s) for r in rows for s in (r["first"], r["last"])) > 10
     assert sum(r.n for r in rows) == duck.execute(f"select sum(n) from ({catalog.ORACLES['q_semi_trypsin']})").fetchone()[0]
-
-
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
-def test_sql_has_rows(duck, name):
-    """A query that nothing answers on either side would compare nothing."""
-    assert duck.execute(f"select count(*) from ({catalog.ORACLES[name]})").fetchone()[0] > 0
