@@ -7,6 +7,7 @@ import gc
 import tempfile
 import time
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -49,10 +50,13 @@ def saved(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
 
 
 def removed(folder: str) -> None:
-    """Delete a folder of tables that no result reads any more, wherever it is stored."""
-    store, path = pafs.FileSystem.from_uri(folder)
-    if store.get_file_info(path).type != pafs.FileType.NotFound:
-        store.delete_dir(path)
+    """Delete a folder of tables that no result reads any more. Where pyarrow cannot reach the store they stay, with a warning."""
+    try:
+        store, path = pafs.FileSystem.from_uri(folder)
+        if store.get_file_info(path).type != pafs.FileType.NotFound:
+            store.delete_dir(path)
+    except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        warnings.warn(f"{folder} stays: {e}", stacklevel=2)
 
 
 def text_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
