@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and their SQL where SQL can express them."""
 
-from massgrid.llm import bpe, html_text, langid, media, ngram_join, packing, repeats, secrets, topk, toxicity
+from massgrid.llm import bpe, conversations, divergence, html_text, langid, line_dedup, media, ngram_join, packing, repeats, secrets, topk, toxicity
 
 QUERIES = {
     "op1_media_columns": media.query,
@@ -13,9 +13,14 @@ QUERIES = {
     "op8_language_id": langid.query,
     "op9_exact_top_k": topk.query,
     "op10_packing": packing.query,
+    "op11_line_dedup": line_dedup.query,
+    "op12_conversation_repair": conversations.query,
+    "op13_source_divergence": divergence.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": ngram_join.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
+    "op11_line_dedup": line_dedup.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
