@@ -17,7 +17,7 @@ from massgrid.functions.codecs import compact_size, decode_ids, decode_sequence,
 from massgrid.functions.display import protein_text, taxon_text
 from massgrid.functions.hydrophobicity import hydrophobicity
 from massgrid.operators import build, search, targets, taxonomy
-from massgrid.operators.digest import Protease, digest, fragments, missed_cleavages
+from massgrid.operators.digest import Protease, digest, digest_masses, fragments, missed_cleavages
 from massgrid.plans.ptm import ANYWHERE, BOND_C, BOND_N, STATIC, TERMINUS_C, TERMINUS_N, VARIABLE, Plan, Ptm
 from massgrid.shared import scratch, written
 from massgrid.sources import files, store, uniprot
@@ -28,7 +28,7 @@ ORACLES: dict[str, str] = {}
 
 TRYPSIN = Protease("trypsin", 6, 50, 2)
 SEMI = Protease("semi-trypsin", 6, 50, 2)
-UNSPECIFIC = Protease("unspecific", 6, 7)
+UNSPECIFIC = Protease("unspecific", 6, 50)
 #: Masses in Dalton of peptides that many of the derived proteins have.
 MASSES = [chem.to_int(m) for m in (641.276903295, 716.34531724, 745.397018485, 761.355547605, 799.346045535, 1153.547598965, 3233.40933428, 3745.68002995)]
 PPM = (20, 20)
@@ -108,9 +108,14 @@ def _(spark, sf_dir):
     return per_protein(digested(spark, sf_dir, SEMI))
 
 
-@query("q_unspecific", f"{views.digest_sql(UNSPECIFIC)} {PER_PROTEIN}")
+#: Numbers that all peptides of a protein add to: how many, their masses and lengths, and their ends.
+ENDS = "cast(sum(mass % 1000003 * ascii(substr(sequence, 1, 1)) + ascii(substr(sequence, length(sequence), 1))) as bigint) as ends"
+
+
+@query("q_unspecific", f"{views.digest_sql(UNSPECIFIC)} select protein_id, count(*) as n, cast(sum(mass) as bigint) as total, min(mass) as lightest, max(mass) as heaviest, cast(sum(length(sequence)) as bigint) as residues, {ENDS} from digest group by protein_id")
 def _(spark, sf_dir):
-    return per_protein(digested(spark, sf_dir, UNSPECIFIC))
+    rows = digested(spark, sf_dir, UNSPECIFIC)
+    return rows.groupBy("protein_id").agg(F.count("*").alias("n"), F.sum("mass").alias("total"), F.min("mass").alias("lightest"), F.max("mass").alias("heaviest"), F.sum(F.length("sequence")).alias("residues"), F.expr(ENDS))
 
 
 @query("q_missed_cleavages", f"{BASE}, inner_sites as (select sequence, cast(len(list_filter(range(1, length(sequence) + 1), lambda i: sequence[i] in ('K', 'R') and sequence[i + 1] <> 'P')) as bigint) as missed from (select distinct sequence from digest)) select missed, count(*) as n from inner_sites group by missed")
@@ -198,7 +203,12 @@ def _(spark, sf_dir):
 
 @query("q_mass_index", f"{BASE}, ids as (select mass, list_sort(list(distinct protein_id)) as protein_ids from digest group by mass) select mass, {joined_sql('protein_ids')} from ids")
 def _(spark, sf_dir):
-    return build.mass_index(digested(spark, sf_dir)).select("mass", joined("protein_ids"))
+    return build.mass_index(digest_masses(views.proteins(spark, sf_dir), TRYPSIN)).select("mass", joined("protein_ids"))
+
+
+@query("q_semi_masses", f"{views.digest_sql(SEMI)} select mass, count(distinct protein_id) as proteins from digest group by mass")
+def _(spark, sf_dir):
+    return digest_masses(views.proteins(spark, sf_dir), SEMI).groupBy("mass").agg(F.count("*").alias("proteins"))
 
 
 RANGES = """counted as (select mass, count(distinct sequence) as n from digest group by mass),

@@ -67,7 +67,7 @@ def unassigned(table: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def mass_index(digested: DataFrame) -> DataFrame:
-    """(mass, protein_ids): sorted distinct proteins of every mass."""
+    """(mass, protein_ids): sorted distinct proteins of every mass; a digest of masses alone will do."""
     return digested.groupBy("mass").agg(F.sort_array(F.collect_set("protein_id")).alias("protein_ids"))
 
 

@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massgrid.functions.chemistry import CANONICAL, peptide_mass
+from massgrid.operators import places
 
 #: Cut sites, by the name of the rule: a zero-width pattern, and a pattern that counts them.
 RULES = {"trypsin": (r"(?<=[KR])(?!P)", r"[KR](?!P)"), "unspecific": (r"(?!^)", r".")}
 LONGEST = 50
-#: Start places of an unspecific digest that are held in one row.
-CHUNK = 256
 
 
 @dataclass(frozen=True)
@@ -60,35 +59,15 @@ def missed_cleavages(sequence: Column, protease: Protease) -> Column:
     return F.regexp_count(sequence, F.lit(RULES[protease.rule][1])).cast("long")
 
 
-def _chunks(sequence: Column, shortest: int, longest: int) -> Column:
-    """Stretches that overlap, so that each substring starts within the first CHUNK places of one of them."""
-    last = F.floor((F.length(sequence) - shortest) / CHUNK).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda b: sequence.substr(b * CHUNK + 1, F.lit(CHUNK + longest - 1)))
-    return F.when(F.length(sequence) >= shortest, cut).otherwise(F.array().cast("array<string>"))
-
-
-def _substrings(chunk: Column, shortest: int, longest: int) -> Column:
-    """All substrings of the given lengths that start within the first CHUNK places; in a chunk a place is soon counted out."""
-    starts = F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.length(chunk) - (shortest - 1)))
-    sized = lambda s: F.transform(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length(chunk) - s + 1)), lambda n: chunk.substr(s, n))
-    return F.flatten(F.transform(starts, sized))
-
-
-def _windows(parts: Column, protease: Protease, capped: bool) -> Column:
-    """Runs of 1 to missed + 1 fragments from each fragment on; capped: no longer than a peptide may be."""
+def _windows(parts: Column, protease: Protease) -> Column:
+    """Runs of 1 to missed + 1 fragments from each fragment on, of allowed lengths."""
     n = F.size(parts)
     runs = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(protease.most_missed + 1), n - i + 1)), lambda w: F.array_join(F.slice(parts, i, w), ""))
     all_ = F.flatten(F.transform(F.sequence(F.lit(1), n), runs))
-    good = lambda s: (F.length(s) >= protease.shortest) & ((F.length(s) <= protease.longest) if capped else F.lit(True))
+    good = lambda s: F.length(s).between(protease.shortest, protease.longest)
     return F.when(n > 0, F.filter(all_, good)).otherwise(F.array().cast("array<string>"))
 
 
-def _free_ends(window: Column, protease: Protease) -> Column:
-    """Prefixes and suffixes of a window, of allowed lengths."""
-    sizes = F.sequence(F.lit(protease.shortest), F.least(F.lit(protease.longest), F.length(window)))
-    return F.concat(F.transform(sizes, lambda n: window.substr(F.lit(1), n)), F.transform(sizes, lambda n: window.substr(F.length(window) - n + 1, n)))
-
-
 def known(sequence: Column, protease: Protease) -> Column:
     """Only canonical residues; X as well where unknown ones are kept."""
     return ~sequence.rlike(f"[^{CANONICAL}{'X' if protease.keep_unknown else ''}]")
@@ -97,20 +76,22 @@ def known(sequence: Column, protease: Protease) -> Column:
 def digest(proteins: DataFrame, protease: Protease = Protease(), masses: tuple[int, int] | None = None) -> DataFrame:
     """A row (protein_id, sequence, mass, and what the protein has besides) for each distinct peptide of each protein.
 
-    Specific digests are narrow. An unspecific one makes all substrings of a protein, chunk by chunk, so that no row holds
-    them together, and takes the distinct ones by a shuffle.
+    All are narrow. Digests by cut sites alone are one split and slices of its pieces; those with free ends go by places.
     """
-    kept = [c for c in proteins.columns if c not in ("id", "sequence")]
-    rows = proteins.where(F.col("sequence") != "")
-    if protease.rule == "unspecific":
-        chunks = rows.select("id", *kept, F.explode(_chunks(F.col("sequence"), protease.shortest, protease.longest)).alias("_chunk"))
-        made = F.array_distinct(_substrings(F.col("_chunk"), protease.shortest, protease.longest))
-        found = chunks.select(F.col("id").alias("protein_id"), F.explode(made).alias("sequence"), *kept).where(known(F.col("sequence"), protease)).distinct()
+    if protease.semi or protease.rule == "unspecific":
+        out = places.peptides(proteins, protease)
     else:
+        kept = [c for c in proteins.columns if c not in ("id", "sequence")]
         # the fragments are made once, before they are sliced
-        rows, parts = rows.withColumn("_parts", fragments(F.col("sequence"), protease)), F.col("_parts")
-        made = _windows(parts, protease, True) if not protease.semi else F.flatten(F.transform(_windows(parts, protease, False), lambda w: _free_ends(w, protease)))
-        found = rows.select(F.col("id").alias("protein_id"), F.explode(F.array_distinct(made)).alias("sequence"), *kept).where(known(F.col("sequence"), protease))
-    # a generator of one row: later tests of the mass cannot be pushed below it, where each would compute it again
-    out = found.select("protein_id", F.inline(F.array(F.struct("sequence", peptide_mass(F.col("sequence")).alias("mass")))), *kept)
+        rows = proteins.where(F.col("sequence") != "").withColumn("_parts", fragments(F.col("sequence"), protease))
+        made = F.array_distinct(_windows(F.col("_parts"), protease))
+        found = rows.select(F.col("id").alias("protein_id"), F.explode(made).alias("sequence"), *kept).where(known(F.col("sequence"), protease))
+        # a generator of one row: later tests of the mass cannot be pushed below it, where each would compute it again
+        out = found.select("protein_id", F.inline(F.array(F.struct("sequence", peptide_mass(F.col("sequence")).alias("mass")))), *kept)
+    return out.where(F.col("mass").between(*masses)) if masses else out
+
+
+def digest_masses(proteins: DataFrame, protease: Protease = Protease(), masses: tuple[int, int] | None = None) -> DataFrame:
+    """(protein_id, mass): the distinct masses of each protein's peptides; no peptide is made."""
+    out = places.masses(proteins, protease)
     return out.where(F.col("mass").between(*masses)) if masses else out

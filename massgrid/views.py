@@ -78,7 +78,9 @@ def digest_sql(protease: Protease) -> str:
   select x.id, x.a, y.p - x.a as size from cuts x, (select unnest(range(0, {protease.most_missed + 1})) as j) s
   join cuts y on y.id = x.id and y.k = x.k + s.j)"""
     if protease.rule == "unspecific":
-        ctes = [f"pieces as (select distinct id, substr(sequence, s, w) as peptide from (select id, sequence, s, unnest(range({low}, least({high}, length(sequence) - s + 1) + 1)) as w from (select id, sequence, unnest(range(1, length(sequence) - {low} + 2)) as s from proteins)))"]
+        # stretches from each place up to the first unknown residue, and what they begin with
+        stretches = f"stretches as (select id, regexp_extract(substr(sequence, s, {high}), '^[{CANONICAL}]*') as stretch from (select id, sequence, unnest(range(1, length(sequence) - {low} + 2)) as s from proteins))"
+        ctes = [stretches, f"pieces as (select distinct id, left(stretch, w) as peptide from (select id, stretch, unnest(range({low}, length(stretch) + 1)) as w from stretches where length(stretch) >= {low}))"]
     elif protease.semi:
         ends = f"""ends as (
   select id, a, w from (select id, a, size, unnest(range({low}, least({high}, size) + 1)) as w from pairs where size >= {low}) union
@@ -86,6 +88,8 @@ def digest_sql(protease: Protease) -> str:
         ctes = [FRAGMENTS_SQL, pairs, ends, "pieces as (select distinct e.id, substr(sequence, a + 1, w) as peptide from ends e join proteins using (id))"]
     else:
         ctes = [FRAGMENTS_SQL, pairs, f"pieces as (select distinct e.id, substr(sequence, a + 1, size) as peptide from pairs e join proteins using (id) where size between {low} and {high})"]
+    if protease.rule == "unspecific":  # very many, so without what their proteins have besides
+        return "with recursive " + ",\n".join([PROTEINS_SQL, *ctes, f"digest as (select id as protein_id, peptide as sequence, {mass_sql('peptide')} as mass from pieces)"])
     last = f"""digest as (
   select p.id as protein_id, peptide as sequence, {mass_sql("peptide")} as mass, taxonomy_id, is_reviewed, genes, accession from pieces join proteins p using (id) where not regexp_matches(peptide, '[^{CANONICAL}]'))"""
     return "with recursive " + ",\n".join([PROTEINS_SQL, *ctes, last])
