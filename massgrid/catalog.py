@@ -6,6 +6,7 @@ Queries run over whole tables. Lists leave as sorted, comma-joined text, and cou
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -734,10 +735,49 @@ def _(spark, sf_dir):
 STORED = Protease("trypsin", 6, 50, 0)
 
 
-def stored(spark: SparkSession, sf_dir: str) -> Engine:
-    """A whole build on disk, opened again."""
+@cache
+def _stored_at(_session: int, sf_dir: str) -> str:
+    spark = SparkSession.getActiveSession()
     path = scratch(spark, "build")
-    return Engine.stored(path, views.proteins(spark, sf_dir), views.taxa(spark, sf_dir), views.ranks(spark), STORED)
+    # small ranges and blocks, so that small tables have many
+    store.write(path, views.proteins(spark, sf_dir), views.taxa(spark, sf_dir), views.ranks(spark), STORED, range_rows=1000, block_rows=50)
+    return path
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Engine:
+    """A whole build on disk, opened again; made once a session."""
+    return Engine.opened(spark, _stored_at(id(spark), sf_dir))
+
+
+#: 500 masses, four Dalton apart.
+FAR_APART = [chem.to_int(650.3 + 4.002 * k) for k in range(500)]
+STORED_PEPTIDES = f"{views.digest_sql(STORED)},\n{views.PEPTIDES_SQL}"
+FAR_SQL = f"{conditions_sql(FAR_APART, [OXIDATION], PPM, 1)}, found as (select distinct x.* from peptides x join conds c on {tests_sql([OXIDATION])})"
+BELOW_SQL = f"{views.TAXA_SQL}, below as (select id from taxa where id = 101 union select t.id from taxa t join below b on t.parent_id = b.id)"
+
+
+@query("q_search_stored", f"{STORED_PEPTIDES}, {FAR_SQL} select {SHOWN} from found")
+def _(spark, sf_dir):
+    """500 masses in a stored build: only the mass ranges that their windows meet are read."""
+    return stored(spark, sf_dir).search_plan(Plan.of(FAR_APART, [OXIDATION], PPM, 1), resolve=False).select("mass", "sequence", joined("protein_ids"))
+
+
+@query("q_search_stored_taxa", f"{STORED_PEPTIDES}, {FAR_SQL}, {BELOW_SQL} select {SHOWN} from found where list_has_any(list_concat(unique_taxonomy_ids, non_unique_taxonomy_ids), (select list(cast(id as int)) from below where id >= 1000))")
+def _(spark, sf_dir):
+    """The same in the species below a taxon: a range of the stored tree, then a bitmap."""
+    e = stored(spark, sf_dir)
+    return e.search_plan(Plan.of(FAR_APART, [OXIDATION], PPM, 1), e.sub_species(101), resolve=False).select("mass", "sequence", joined("protein_ids"))
+
+
+@query("q_protein_search_stored", ORACLES["q_protein_search"])
+def _(spark, sf_dir):
+    """By trigrams of the stored names; only blocks of proteins with a candidate are read."""
+    return shallow(stored(spark, sf_dir).search_proteins("d12", "SRC1 "))
+
+
+@query("q_taxa_nested", f"{TREE}, paths as (select id, [id] as path from taxa where id = parent_id union all select t.id, list_append(p.path, t.id) from taxa t join paths p on t.parent_id = p.id where t.id <> t.parent_id), walk as (select id, path, row_number() over (order by path) - 1 as first from paths) select w.id, w.first, w.first + (select count(*) from paths p where list_contains(p.path, w.id)) - 1 as last from walk w")
+def _(spark, sf_dir):
+    return taxonomy.nested(views.taxa(spark, sf_dir)).select("id", "first", "last")
 
 
 @query("q_build_stored", f"{views.digest_sql(STORED)},\n{views.PEPTIDES_SQL} select {SHOWN}, is_swiss_prot from peptides")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from massgrid.functions.chemistry import amino_acids, mass_of
 from massgrid.functions.display import search_payload
 from massgrid.functions.hydrophobicity import score
-from massgrid.operators import build, search, targets, taxonomy
+from massgrid.operators import build, layout, search, targets, taxonomy
 from massgrid.operators.digest import Protease, digest
 from massgrid.plans.ptm import Plan, Ptm
 from massgrid.sources import store
@@ -20,7 +20,10 @@ from massgrid.sources.files import fasta, mass_from, orphans, write_text
 
 @dataclass
 class Engine:
-    """Tables of one build. peptides may be the stored table or the plan that makes it."""
+    """Tables of one build. peptides may be the stored table or the plan that makes it.
+
+    A stored build also has its peptides by mass range, its proteins by block, and the tables that prune them.
+    """
 
     spark: SparkSession
     proteins: DataFrame
@@ -29,6 +32,10 @@ class Engine:
     ranks: DataFrame
     protease: Protease = Protease()
     path: str | None = None
+    ranged: DataFrame | None = None
+    blocked: DataFrame | None = None
+    ranges: DataFrame | None = None
+    grams: DataFrame | None = None
 
     @classmethod
     def built(cls, spark: SparkSession, proteins: DataFrame, taxa: DataFrame, ranks: DataFrame, protease: Protease = Protease(), path: str | None = None) -> Engine:
@@ -40,16 +47,17 @@ class Engine:
         return cls(spark, proteins, table, taxa, ranks, protease)
 
     @classmethod
-    def stored(cls, path: str, proteins: DataFrame, taxa: DataFrame, ranks: DataFrame, protease: Protease = Protease(), comment: str = "") -> Engine:
+    def stored(cls, path: str, proteins: DataFrame, taxa: DataFrame, ranks: DataFrame, protease: Protease = Protease(), comment: str = "", range_rows: int = store.RANGE_ROWS, block_rows: int = layout.BLOCK) -> Engine:
         """Make a whole build under a path, and open it."""
-        store.write(path, proteins, taxa, ranks, protease, comment)
+        store.write(path, proteins, taxa, ranks, protease, comment, range_rows, block_rows)
         return cls.opened(proteins.sparkSession, path)
 
     @classmethod
     def opened(cls, spark: SparkSession, path: str) -> Engine:
         """A stored build."""
         tables, config = store.read(spark, path)
-        return cls(spark, tables["proteins"], tables["peptides"], tables["taxa"], tables["ranks"], config["protease"], path)
+        proteins, peptides = tables["proteins"].drop("block"), tables["peptides"].drop("partition")
+        return cls(spark, proteins, peptides, tables["taxa"], tables["ranks"], config["protease"], path, tables["peptides"], tables["proteins"], tables["ranges"], tables["grams"])
 
     def configuration(self) -> dict:
         """Version, comment, protease and mass ranges of a stored build."""
@@ -84,7 +92,11 @@ class Engine:
         plan = Plan.of([mass_from(m) for m in many], ptms, ppm, most_variable, self.protease.shortest)
         if taxa is not None and expand_taxa:
             taxa = taxonomy.species(self.taxa, self.ranks, taxa)
-        return search.search(self.peptides, plan, taxa, is_reviewed, resolve, distinct)
+        return self.search_plan(plan, taxa, is_reviewed, resolve, distinct)
+
+    def search_plan(self, plan: Plan, taxa: DataFrame | list[int] | None = None, is_reviewed: bool | None = None, resolve: bool = True, distinct: bool = True) -> DataFrame:
+        """The same for a plan; a stored build reads only the mass ranges that its windows and the taxa need."""
+        return search.search(self.peptides if self.ranged is None else self.ranged, plan, taxa, is_reviewed, resolve, distinct, self.ranges)
 
     def search_url(self, payload: str) -> DataFrame:
         """A search whose arguments stand in a URL: mass or masses, modifications, tolerances, taxa, review status."""
@@ -130,7 +142,10 @@ class Engine:
         return self.proteins.where(F.array_contains("genes", gene))
 
     def search_proteins(self, *terms: str) -> DataFrame:
-        return search.find_proteins(self.proteins, *terms)
+        """Proteins by part of an accession or gene; a stored build looks them up by trigrams."""
+        if self.grams is None:
+            return search.find_proteins(self.proteins, *terms)
+        return layout.find_indexed(self.blocked, self.grams, *terms).select(*self.proteins.columns)
 
     def search_proteins_digested(self, *terms: str) -> DataFrame:
         """The proteins found, reviewed ones first, each with its distinct peptides by mass."""

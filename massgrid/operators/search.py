@@ -114,15 +114,26 @@ def peptidoforms(matched: DataFrame, plan: Plan, distinct: bool = True) -> DataF
     return out.dropDuplicates(["proforma"]) if distinct else out
 
 
-def search(peptides: DataFrame, plan: Plan, taxa: list[int] | DataFrame | None = None, is_reviewed: bool | None = None, resolve: bool = True, distinct: bool = True) -> DataFrame:
-    """The search: conditions, taxa and review status, then peptidoforms, or each peptide once if resolve is off."""
-    rows = peptides.where(reviewed(is_reviewed)) if is_reviewed is not None else peptides
-    if isinstance(taxa, DataFrame):
-        # the windows of a short plan first: only what they leave is joined with the taxa
-        rows = of_taxa(rows.where(windows(plan)) if len(plan.conditions) <= MOST_LITERAL else rows, taxa)
-    elif taxa is not None:
+def search(peptides: DataFrame, plan: Plan, taxa: list[int] | DataFrame | None = None, is_reviewed: bool | None = None, resolve: bool = True, distinct: bool = True, ranges: DataFrame | None = None) -> DataFrame:
+    """The search: conditions, taxa and review status, then peptidoforms, or each peptide once if resolve is off.
+
+    ranges: of peptides that are stored by mass ranges, so that only those that the windows and taxa need are read.
+    Taxa in a table become a bitmap and a filter; only if their numbers are too great for one are they joined, and then
+    with what the conditions leave.
+    """
+    from massgrid.operators import layout  # which imports this module
+
+    bitmap = layout.bitmap_of(taxa) if isinstance(taxa, DataFrame) else None
+    rows = layout.pruned(peptides, plan, ranges, bitmap).drop("partition") if ranges is not None else peptides
+    rows = rows.where(reviewed(is_reviewed)) if is_reviewed is not None else rows
+    if bitmap is not None:
+        rows = layout.of_bitmap(rows, bitmap)
+    elif isinstance(taxa, list):
         rows = rows.where(in_taxa(taxa))
     found = match(rows, plan)
+    if isinstance(taxa, DataFrame) and bitmap is None:
+        kept = of_taxa(found.dropDuplicates(["mass", "sequence"]), taxa).select("mass", "sequence")
+        found = found.join(kept, ["mass", "sequence"], "left_semi")
     return peptidoforms(found, plan, distinct) if resolve else found.dropDuplicates(["mass", "sequence"])
 
 
@@ -137,13 +148,17 @@ def proteins_of(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
     return links.join(proteins.drop("sequence"), "id")
 
 
-def find_proteins(proteins: DataFrame, *terms: str, least: int = 3) -> DataFrame:
-    """Accession or a gene contains one of the terms, in any case; reviewed ones first."""
+def names_match(terms: tuple[str, ...], least: int = 3) -> Column:
+    """Accession or a gene contains one of the terms, in any case."""
     if not terms or any(len(t.encode()) < least for t in terms):
         raise ValueError(f"search terms need {least} bytes or more")
     genes = F.array_join("genes", " ")
-    hit = reduce(lambda a, b: a | b, (F.col("accession").ilike(f"%{t}%") | genes.ilike(f"%{t}%") for t in terms))
-    return proteins.where(hit).orderBy(F.desc("is_reviewed"), "accession")
+    return reduce(lambda a, b: a | b, (F.col("accession").ilike(f"%{t}%") | genes.ilike(f"%{t}%") for t in terms))
+
+
+def find_proteins(proteins: DataFrame, *terms: str, least: int = 3) -> DataFrame:
+    """Proteins whose accession or a gene contains one of the terms, in any case; reviewed ones first. Reads all."""
+    return proteins.where(names_match(terms, least)).orderBy(F.desc("is_reviewed"), "accession")
 
 
 def resolve(ids: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massgrid.functions.chemistry import PROTON, float_mass, to_int
@@ -72,17 +72,13 @@ def read_config(text: str) -> dict:
 
 def numbered(rows: DataFrame, *order: str, start: int = 0) -> DataFrame:
     """Adds n: consecutive numbers in the order. The sorted rows are written once and numbered as they stand there, so a
-    lost executor changes no number; only the row counts of tasks go to the driver.
+    lost executor changes no number.
     """
     tagged = rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("_at"))
     tagged = written(tagged, "sorted")
-    counts = sorted((r["_part"], r["count"]) for r in tagged.groupBy("_part").count().collect())
-    before, ahead = start, {}
-    for part, n in counts:
-        ahead[part] = before
-        before += n
-    offsets = F.create_map(*(F.lit(x) for pair in ahead.items() for x in pair)) if ahead else F.create_map(F.lit(0), F.lit(start))
-    return tagged.withColumn("n", (F.element_at(offsets, F.col("_part")) + F.col("_at")).cast("long")).drop("_part", "_at")
+    counts = tagged.groupBy("_part").agg(F.count("*").alias("_rows"))
+    ahead = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows") + start).alias("_before"))  # a row for each task of the sort
+    return tagged.join(F.broadcast(ahead), "_part").withColumn("n", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def fasta(forms: DataFrame, with_mass: bool = True, sequence: str = "proforma", mass: str = "form_mass") -> DataFrame:
