@@ -155,9 +155,20 @@ def _(spark, sf_dir):
     return digested(spark, sf_dir).select("mass").distinct().select("mass", lo.alias("lo"), hi.alias("hi"))
 
 
-@query("q_amino_acids", "select * from (values " + ", ".join(f"('{c}', cast({m} as bigint), {str(c in chem.CANONICAL).lower()}, '{chem.RESIDUE_NAMES[c]}')" for c, m in sorted(chem.MASS.items())) + ") as t(code, mono_mass, is_canonical, name)")
+#: Atoms of C, H, N, O, S and Se in each residue, from which the SQL takes the masses.
+ATOMS = "A 3 5 1 1 0 0, C 3 5 1 1 1 0, D 4 5 1 3 0 0, E 5 7 1 3 0 0, F 9 9 1 1 0 0, G 2 3 1 1 0 0, H 6 7 3 1 0 0, I 6 11 1 1 0 0, K 6 12 2 1 0 0, L 6 11 1 1 0 0, M 5 9 1 1 1 0, N 4 6 2 2 0 0, O 12 19 3 2 0 0, P 5 7 1 1 0 0, Q 5 8 2 2 0 0, R 6 12 4 1 0 0, S 3 5 1 2 0 0, T 4 7 1 2 0 0, U 3 5 1 1 0 1, V 5 9 1 1 0 0, W 11 10 2 1 0 0, X 0 0 0 0 0 0, Y 9 9 1 2 0 0"
+RESIDUES_SQL = f"""with {views.PROTEINS_SQL}, atoms as (select string_split(unnest(string_split('{ATOMS}', ', ')), ' ') as a),
+  masses as (select a[1] as code, cast(floor(cast(a[2]::int * 12 + a[3]::int * 1.007825035 + a[4]::int * 14.003074 + a[5]::int * 15.99491463 + a[6]::int * 31.9720707 + a[7]::int * 79.9165196 as double) * 1e9) as bigint) as mono_mass from atoms),
+  letters as (select c, count(*) as n from (select unnest(string_split(sequence, '')) as c from proteins) group by c)
+select code, mono_mass, code not in ('O', 'U', 'X') as is_canonical, coalesce(n, 0) as n from masses left join letters on c = code"""
+
+
+@query("q_amino_acids", RESIDUES_SQL)
 def _(spark, sf_dir):
-    return chem.amino_acids(spark).orderBy("code")
+    """Each amino acid with how often the proteins have it."""
+    counts = views.proteins(spark, sf_dir).agg(*(F.coalesce(F.sum(chem.count_of(F.col("sequence"), c)), F.lit(0)).alias(c) for c in chem.MASS))
+    found = counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("code"), F.col(c).alias("n")) for c in chem.MASS))).alias("x")).select("x.*")
+    return chem.amino_acids(spark).join(found, "code").select("code", "mono_mass", "is_canonical", "n")
 
 
 @query("q_compact_size", f"{BASE} select distinct sequence, sequence as back, cast((6 + 5 * length(sequence) + 7) // 8 as bigint) as bytes, cast(length(sequence) // 4 as int) as first from digest")
@@ -481,22 +492,38 @@ for _name, (_masses, _ptms, _ppm, _most) in ASKED.items():
     ORACLES[_name] = f"{BASE}, {conditions_sql(_masses, _ptms, _ppm, _most)} select query_mass, x.mass, sequence, count(distinct protein_id) as n_proteins from digest x join conds c on {tests_sql(_ptms)} group by cond_id, query_mass, x.mass, sequence"
 
 
-@query("q_ptm_conditions", f"with {conditions_sql(*ASKED['q_search_variable'])} select cond_id, mass, 'occurrences of ''C'' == ' || fixed || case when free > 0 then ', occurrences of ''M'' >= ' || free else '' end as signature from conds")
+def met(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The conditions of a search, with the number of peptides that meet each, none included."""
+    plan = SEARCHES[name]
+    found = search.match(digested(spark, sf_dir).select("sequence", "mass"), plan).groupBy("cond_id").agg(F.count_distinct("sequence").alias("n"))
+    return plan.frame(spark).join(found, "cond_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def met_sql(name: str) -> str:
+    return f"{BASE}, {conditions_sql(*ASKED[name])}, counted as (select cond_id, count(distinct sequence) as n from digest x join conds c on {tests_sql(ASKED[name][1])} group by cond_id), met as (select c.*, coalesce(n, 0) as n from conds c left join counted using (cond_id))"
+
+
+@query("q_ptm_conditions", f"{met_sql('q_search_variable')} select mass, 'occurrences of ''C'' == ' || fixed || case when free > 0 then ', occurrences of ''M'' >= ' || free else '' end as signature, n from met")
 def _(spark, sf_dir):
-    return SEARCHES["q_search_variable"].frame(spark).select("cond_id", "mass", "signature")
+    return met(spark, sf_dir, "q_search_variable").select("mass", "signature", "n")
 
 
-@query("q_terminal_conditions", f"with {conditions_sql(*ASKED['q_search_terminal'])} select query_mass, mass, starts, ends from conds")
+@query("q_terminal_conditions", f"{met_sql('q_search_terminal')} select query_mass, mass, starts, ends, n from met")
 def _(spark, sf_dir):
-    rows = SEARCHES["q_search_terminal"].frame(spark)
-    return rows.select("query_mass", "mass", F.col("starts").isNotNull().alias("starts"), F.col("ends").isNotNull().alias("ends"))
+    rows = met(spark, sf_dir, "q_search_terminal")
+    return rows.select("query_mass", "mass", F.col("starts").isNotNull().alias("starts"), F.col("ends").isNotNull().alias("ends"), "n")
+
+
+#: Whole Daltons at which there are peptides, up to 3000.
+DALTONS = "select distinct mass div 1000000000 * 1000000000 as q from digest where mass < 3000000000000"
+DALTONS_SQL = conditions_sql([0], [CARBAMIDOMETHYL, OXIDATION], PPM, 2).replace("asked as (select unnest(range(0, 1)) as k, unnest([0]) as q)", f"asked as (select row_number() over (order by q) as k, q from ({DALTONS.replace(' div ', ' // ')}))")
 
 
-@query("q_condition_count", f"with {conditions_sql(*ASKED['q_search_batch'])} select query_mass, count(*) as n from conds group by query_mass")
+@query("q_condition_count", f"{BASE}, {DALTONS_SQL} select query_mass, count(*) as n from conds group by query_mass")
 def _(spark, sf_dir):
-    e = Engine(spark, None, None, None, None, TRYPSIN)
-    masses = ASKED["q_search_batch"][0]
-    return spark.createDataFrame([(m, e.condition_count(chem.to_float(m), [OXIDATION], 1)) for m in masses], "query_mass long, n long")
+    """How many conditions a search for each Dalton with peptides has; planned on the executors."""
+    masses = digest_masses(views.proteins(spark, sf_dir), TRYPSIN).selectExpr("mass div 1000000000 * 1000000000 as query_mass").where("query_mass < 3000000000000").distinct()
+    return search.condition_counts(masses, [CARBAMIDOMETHYL, OXIDATION], 2, TRYPSIN.shortest)
 
 
 SHOWN = f"mass, sequence, {joined_sql('protein_ids')}"
@@ -560,6 +587,12 @@ def _(spark, sf_dir):
     return forms(spark, sf_dir, TWO, False).select("query_mass", "sequence", "proforma", "form_mass")
 
 
+@query("q_search_totals", f"{forms_sql(TWO, 2)}, asked as (select cast(unnest({list(dict.fromkeys(TWO.query_mass))}) as bigint) as query_mass) select query_mass, count(proforma) as peptidoforms from asked left join forms using (query_mass) group by query_mass")
+def _(spark, sf_dir):
+    """How many peptidoforms each mass has, without making them."""
+    return search.totals(digested(spark, sf_dir).select("sequence", "mass").distinct(), TWO)
+
+
 @query("q_distinct_peptidoforms", f"{forms_sql(TWO, 2)} select distinct sequence, proforma, form_mass from forms")
 def _(spark, sf_dir):
     return forms(spark, sf_dir, TWO, True).select("sequence", "proforma", "form_mass")
@@ -570,9 +603,17 @@ def _(spark, sf_dir):
 SPECIES = [1000, 1001, 1002, 1003, 1004]
 
 
-@query("q_charges", "select cast(spec as varchar) as spec, cast(charge as int) as charge from (values ('2', 2), ('2,4,3,2', 2), ('2,4,3,2', 3), ('2,4,3,2', 4), ('2-4', 2), ('2-4', 3), ('2-4', 4)) as t(spec, charge)")
+SPECS = ("2", "2,4,3,2", "2-4", "1-3")
+CHARGES_SQL = f"""specs as (select unnest({list(SPECS)!r}) as spec), listed as (
+  select distinct spec, unnest(case when contains(spec, '-') then range(split_part(spec, '-', 1)::int, split_part(spec, '-', 2)::int + 1) else list_transform(string_split(spec, ','), lambda x: x::bigint) end) as charge from specs)"""
+
+
+@query("q_charges", f"{BASE}, {CHARGES_SQL} select spec, cast(charge as int) as charge, count(*) as n from listed, (select distinct mass from digest) where {MZ} between 400 and 1600 group by spec, charge")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(s, c) for s in ("2", "2,4,3,2", "2-4") for c in targets.charges(s)], "spec string, charge int")
+    """How many masses can be seen at each charge that a text asks for, in an instrument's range."""
+    asked = F.array(*(F.struct(F.lit(s).alias("spec"), F.lit(c).alias("charge")) for s in SPECS for c in targets.charges(s)))
+    rows = digest_masses(views.proteins(spark, sf_dir), TRYPSIN).select("mass").distinct().select("mass", F.explode(asked).alias("x")).select("mass", "x.spec", "x.charge")
+    return rows.where(chem.dalton_to_mz(chem.float_mass(F.col("mass")), F.col("charge")).between(400, 1600)).groupBy("spec", "charge").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -692,6 +733,16 @@ def _(spark, sf_dir):
     return loaded(spark, sf_dir).select("accession", "sequence", "taxonomy_id", "is_reviewed", F.array_join("genes", " ").alias("genes"))
 
 
+@query("q_uniprot_indexed", f"with {views.PROTEINS_SQL} select accession, sequence, is_reviewed from proteins where length(sequence) >= 20")
+def _(spark, sf_dir):
+    """Records written as plain text, indexed by their places, and each fetched by its range of bytes."""
+    path = scratch(spark, "plain-records")
+    records(spark, sf_dir).write.option("lineSep", uniprot.RECORD_END).text(path)
+    rows = uniprot.read_records(uniprot.record_index(spark, path))
+    body = F.regexp_extract("value", r"(?s)\nSQ [^\n]*\n(.*)\n//\n$", 1)
+    return rows.select("accession", F.regexp_replace(body, r"\s", "").alias("sequence"), F.col("value").contains(" Reviewed;").alias("is_reviewed"))
+
+
 @query("q_uniprot_ids", f"{ISOFORMS} select row_number() over (order by encode(accession)) - 1 + {uniprot.FIRST_ID} as id, accession from variants")
 def _(spark, sf_dir):
     return uniprot.loaded(loaded(spark, sf_dir)).select("id", "accession")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massgrid.functions.proforma import expand
-from massgrid.plans.ptm import Plan
+from massgrid.plans.ptm import Plan, Ptm
 
 #: Width of a bucket, 1 Dalton. A window meets all buckets that it touches, two as a rule.
 BUCKET = 1_000_000_000
@@ -95,6 +95,41 @@ def match(peptides: DataFrame, plan: Plan) -> DataFrame:
     return joined.select(*(F.col(f"p.{c}") for c in peptides.columns), "c.cond_id", "c.query_mass")
 
 
+def condition_counts(masses: DataFrame, ptms: list[Ptm], most_variable: int = 2, shortest: int = 6) -> DataFrame:
+    """(query_mass, n): how many conditions each mass has. Planned in the tasks, so any number of masses will do."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["n"] = [len(Plan.of([m], ptms, most_variable=most_variable, shortest=shortest).conditions) for m in frame["query_mass"]]
+            yield frame
+
+    return masses.select("query_mass").mapInPandas(run, "query_mass long, n long")
+
+
+def form_counts(matched: DataFrame, plan: Plan) -> DataFrame:
+    """Adds n_forms: how many peptidoforms a matched row has under its condition, without making one of them.
+
+    Modifications of a residue choose among its free places, those that no modification of an end takes: a product of
+    binomials. Conditions of one mass give different forms unless two roles of the plan's modifications agree in residue
+    and delta; see forms_overlap.
+    """
+    table = matched.sparkSession.createDataFrame([(i, c.n_terminal and c.n_terminal.residue, c.c_terminal and c.c_terminal.residue, c.choices()) for i, c in enumerate(plan.conditions)], "cond_id int, _n string, _c string, _choices array<struct<residue:string,n:int,before:int>>")
+    both = matched.join(table, "cond_id")  # Spark broadcasts the conditions or not by their size
+    room = lambda x: _count(x["residue"]) - F.coalesce((F.col("_n") == x["residue"]).cast("int"), F.lit(0)) - F.coalesce((F.col("_c") == x["residue"]).cast("int"), F.lit(0)) - x["before"]
+    binomial = lambda m, n: F.aggregate(F.sequence(F.lit(1), n), F.lit(1).cast("long"), lambda a, i: F.call_function("div", a * (m - n + i), i))
+    return both.withColumn("n_forms", F.aggregate("_choices", F.lit(1).cast("long"), lambda a, x: a * binomial(room(x), x["n"]))).drop("_n", "_c", "_choices")
+
+
+def totals(peptides: DataFrame, plan: Plan) -> DataFrame:
+    """(query_mass, peptidoforms) of all masses of a plan, those without any included: one job, and no form is made."""
+    if plan.forms_overlap():
+        counts = peptidoforms(match(peptides, plan), plan, distinct=False).dropDuplicates(["query_mass", "proforma"]).groupBy("query_mass").agg(F.count("*").alias("peptidoforms"))
+    else:
+        counts = form_counts(match(peptides, plan), plan).groupBy("query_mass").agg(F.sum("n_forms").alias("peptidoforms"))
+    asked = peptides.sparkSession.createDataFrame([(m,) for m in dict.fromkeys(plan.query_mass)], "query_mass long")
+    return asked.join(counts, "query_mass", "left").select("query_mass", F.coalesce("peptidoforms", F.lit(0)).alias("peptidoforms"))
+
+
 FORM = "proforma string, form_mass long"
 
 

@@ -6,14 +6,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massgrid.functions.chemistry import dalton_to_mz, float_mass, mass_of
+from massgrid.functions.chemistry import HEAVIEST, dalton_to_mz, float_mass, mass_of
 from massgrid.functions.hydrophobicity import hydrophobicity
 from massgrid.functions.proforma import expand
+from massgrid.operators import layout
 from massgrid.operators.search import in_one_taxon, of_taxa
 from massgrid.plans.ptm import Ptm, PtmSet, conditions, mass_bounds
 
 
-
 def charges(spec: str) -> list[int]:
     """"2", "2,3" or "2-4": sorted and distinct, each within 0 and 255."""
     spec = spec.strip()
@@ -40,17 +40,26 @@ def label(accession: str = "accession", genes: str = "genes"):
 
 
 def forms_of(ptms: list[Ptm], most_variable: int):
-    """pandas UDF: (proforma, mass) of a sequence, modified in every allowed way, and plain."""
+    """pandas UDF: (proforma, mass) of a sequence, modified in every allowed way, and plain.
+
+    Which conditions a sequence meets depends on its ends and on how many modified residues it has, up to what a condition
+    can ask for; they are enumerated once for each such key, not for each sequence.
+    """
     roles = PtmSet(ptms)
+    fixed = sorted(p.residue for p in roles.static)
+    free = sorted({p.residue for p in [*roles.variable, *roles.n_terminal, *roles.c_terminal]})
+
+    top = HEAVIEST + sum(abs(p.delta) for p in ptms) * 50
+    known: dict[tuple, list] = {}
 
     def one(sequence: str) -> list[dict]:
-        mass = mass_of(sequence)
-        out = {sequence: mass}
+        out = {sequence: mass_of(sequence)}
         if roles:
-            top = mass + sum(abs(p.delta) for p in ptms) * len(sequence)
-            for c in conditions(roles, top, *mass_bounds(top, roles, 1), most_variable):
-                if c.matches(sequence):
-                    out.update(expand(sequence, c))
+            key = tuple(sequence.count(r) for r in fixed), tuple(min(sequence.count(r), most_variable + 2) for r in free), sequence[0] + sequence[-1]
+            if key not in known:
+                known[key] = [c for c in conditions(roles, top, *mass_bounds(top, roles, 1), most_variable) if c.matches(sequence)]
+            for c in known[key]:
+                out.update(expand(sequence, c))
         return [{"proforma": text, "mass": m} for text, m in sorted(out.items())]
 
     def run(sequences: pd.Series) -> pd.Series:
@@ -61,12 +70,13 @@ def forms_of(ptms: list[Ptm], most_variable: int):
 
 def targets(peptides: DataFrame, proteins: DataFrame, species: list[int] | DataFrame, spec: str = "2-3", ptms: list[Ptm] | None = None, most_variable: int = 2) -> DataFrame:
     """(protein, sequence, proforma, charge, mz, hydrophobicity) for each protein, peptide, peptidoform and charge."""
-    own = of_taxa(peptides, species, unique=True) if isinstance(species, DataFrame) else peptides.where(in_one_taxon(species))
-    unique = own.select("sequence", "mass", F.explode("protein_ids").alias("id"))
-    rows = unique.join(proteins.select("id", label().alias("protein")), "id")
-    if ptms:
-        rows = rows.select("protein", "sequence", F.explode(forms_of(ptms, most_variable)("sequence")).alias("form")).select("protein", "sequence", "form.proforma", "form.mass")
+    bitmap = layout.bitmap_of(species) if isinstance(species, DataFrame) else None
+    if bitmap is not None:
+        own = layout.of_bitmap(peptides, bitmap, unique=True)
     else:
-        rows = rows.select("protein", "sequence", F.col("sequence").alias("proforma"), "mass")
-    rows = rows.withColumn("charge", F.explode(F.array(*(F.lit(c) for c in charges(spec)))))
+        own = of_taxa(peptides, species, unique=True) if isinstance(species, DataFrame) else peptides.where(in_one_taxon(species))
+    # forms are made once for a peptide, before it is repeated for its proteins
+    forms = forms_of(ptms, most_variable)("sequence") if ptms else F.array(F.struct(F.col("sequence").alias("proforma"), F.col("mass").alias("mass")))
+    made = own.select("sequence", "protein_ids", F.explode(forms).alias("form")).select("sequence", "form.proforma", "form.mass", F.explode("protein_ids").alias("id"))
+    rows = made.join(proteins.select("id", label().alias("protein")), "id").withColumn("charge", F.explode(F.array(*(F.lit(c) for c in charges(spec)))))
     return rows.select("protein", "sequence", "proforma", "charge", dalton_to_mz(float_mass(F.col("mass")), F.col("charge")).alias("mz"), hydrophobicity("sequence").alias("hydrophobicity"))

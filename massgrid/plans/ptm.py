@@ -89,6 +89,14 @@ class Condition:
         ends = [p for p in (self.n_terminal, self.c_terminal) if p]
         return dict(sorted(Counter(p.residue for p in [*self.variable, *ends]).items()))
 
+    def choices(self) -> list[tuple[str, int, int]]:
+        """(residue, n, before): n equal modifications choose among a residue's places, of which `before` are taken."""
+        out, before = [], Counter()
+        for (residue, _), n in sorted(Counter((p.residue, p.delta) for p in self.variable).items()):
+            out.append((residue, n, before[residue]))
+            before[residue] += n
+        return out
+
     def signature(self) -> str:
         """The condition as text, in the order in which it is tested."""
         parts = [f"occurrences of '{r}' == {n}" for r, n in self.exact().items()]
@@ -192,6 +200,11 @@ class Plan:
     def window(self, c: Condition) -> tuple[int, int]:
         return ppm_bounds(c.mass, *self.ppm)
 
+    def forms_overlap(self) -> bool:
+        """Whether a modification of an end is also a variable one, so that two conditions can write one peptidoform alike."""
+        key = lambda ps: {(p.residue, p.delta) for p in ps if p}
+        return bool(key(p for c in self.conditions for p in c.variable) & key(p for c in self.conditions for p in (c.n_terminal, c.c_terminal)))
+
     SCHEMA = "cond_id int, query_mass long, mass long, lo long, hi long, signature string, exact map<string,int>, least map<string,int>, starts string, ends string"
 
     def frame(self, spark: SparkSession) -> DataFrame:

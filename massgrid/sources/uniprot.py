@@ -11,15 +11,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massgrid.operators.build import protein_bytes
+from massgrid.shared import written
 from massgrid.sources.files import numbered
 
 RECORD_END = "\n//\n"
 #: Line codes of a record, in the order in which they are written.
 CODES = "ID AC DT DE GN OS OG OC OX OH RN RP RC RX RG RA RT RL CC DR PE KW FT SQ".split()
+#: Bytes of a file whose records one task fetches.
+INDEX_STRETCH = 64 << 20
 SKIPPED = ("Displayed", "External", "Not described")
 
 
@@ -29,9 +33,56 @@ class RecordError(ValueError):
 
 def scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(value) a row for each record, without its end line. A last record without an end line is dropped."""
-    rows = spark.read.text(path, lineSep=RECORD_END)
-    # a whole record has a sequence header; what follows the last end mark is blank or cut off
-    return rows.select(F.regexp_replace("value", r"^(?:\s*\n)+", "").alias("value")).where(F.col("value").rlike(r"(?s)^ID .*\nSQ ") & ~F.col("value").rlike(r"\n//\s*$") | F.col("value").rlike(r"(?s)^ID .*\n//\s*$"))
+    rows = spark.read.text(path, lineSep=RECORD_END).where(_whole("value") != "none")
+    return rows.select(F.regexp_replace("value", r"^(?:\s*\n)+", "").alias("value"))
+
+
+def _whole(value: str) -> F.Column:
+    """How a piece between end marks ends: "cut" at its end mark, "own" with an end line that no break follows, "none" if it is no whole record.
+
+    A whole record has a sequence header; what follows the last end mark is blank or cut off.
+    """
+    body = F.regexp_replace(value, r"^(?:\s*\n)+", "")
+    return F.when(body.rlike(r"(?s)^ID .*\n//\s*$"), "own").when(body.rlike(r"(?s)^ID .*\nSQ "), "cut").otherwise("none")
+
+
+def record_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(accession, file, start, size): where the bytes of each record lie in plain text files, its end line included.
+
+    Files are read in splits by many tasks. A record's place is the sum of the bytes before it: those of its split, in the
+    order in which they were read, and those of the splits before in its file. Records are not parsed.
+    """
+    rows = spark.read.text(path, lineSep=RECORD_END).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    sizes = rows.select("file", "split", "at", F.octet_length("value").cast("long").alias("body"), F.octet_length(F.regexp_extract("value", r"^(?:\s*\n)*", 0)).alias("blank"), F.regexp_extract("value", r"(?m)^AC   ([^;\n]*);", 1).alias("accession"), _whole("value").alias("whole"))
+    sizes = written(sizes.withColumn("bytes", F.col("body") + len(RECORD_END)), "record-sizes")
+    splits = sizes.groupBy("file", "split").agg(F.sum("bytes").alias("total"))  # a row for each split
+    ahead = splits.select("file", "split", (F.sum("total").over(Window.partitionBy("file").orderBy("split")) - F.col("total")).alias("before"))
+    inside = F.sum("bytes").over(Window.partitionBy("file", "split").orderBy("at")) - F.col("bytes")
+    placed = sizes.withColumn("inside", inside).join(ahead, ["file", "split"])
+    ended = F.when(F.col("whole") == "cut", len(RECORD_END)).otherwise(0)  # the other kind has its end line within
+    return placed.where(F.col("whole") != "none").select(F.trim("accession").alias("accession"), "file", (F.col("before") + F.col("inside") + F.col("blank")).alias("start"), (F.col("body") - F.col("blank") + ended).alias("size"))
+
+
+def read_records(index: DataFrame) -> DataFrame:
+    """(accession, value, bytes) of the records of an index, each fetched by its range of bytes; nothing else is read.
+
+    Ranges of a file are fetched in order. Files must be in a store that pyarrow can open.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened: dict[str, object] = {}
+        for frame in frames:
+            values = []
+            for file, start, size in zip(frame["file"], frame["start"], frame["size"], strict=True):
+                if file not in opened:
+                    for old in opened.values():
+                        old.close()
+                    store, path = pafs.FileSystem.from_uri(file)
+                    opened = {file: store.open_input_file(path)}
+                values.append(opened[file].read_at(size, start).decode("utf-8", "replace"))
+            yield pd.DataFrame({"accession": frame["accession"], "value": values, "bytes": frame["size"]})
+
+    return index.repartition("file", F.floor(F.col("start") / INDEX_STRETCH)).sortWithinPartitions("file", "start").mapInPandas(run, "accession string, value string, bytes long")
 
 
 def fields(record: str) -> dict[str, str]:
