@@ -22,6 +22,7 @@ from massgrid.operators.digest import Protease, digest, digest_masses, fragments
 from massgrid.plans.ptm import ANYWHERE, BOND_C, BOND_N, STATIC, TERMINUS_C, TERMINUS_N, VARIABLE, Plan, Ptm
 from massgrid.shared import scratch, written
 from massgrid.sources import files, store, uniprot
+from massgrid.streaming.searches import search_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -587,6 +588,30 @@ def _(spark, sf_dir):
     return forms(spark, sf_dir, TWO, False).select("query_mass", "sequence", "proforma", "form_mass")
 
 
+#: Masses of events, many of them alike or so close that their windows overlap.
+EVENT_MASS = "650300000000 + event_id % 1000 * 1000500000 + user_id % 3 * 1000"
+EVENTS_SQL = conditions_sql([0], [OXIDATION], PPM, 1).replace("asked as (select unnest(range(0, 1)) as k, unnest([0]) as q)", f"asked as (select row_number() over (order by q) as k, q from (select distinct {EVENT_MASS} as q from events))")
+ONE_MARK = f"[+{OXIDATION.delta / chem.SCALE:.6f}]"
+
+
+@query(
+    "q_search_stream",
+    f"""{BASE}, {EVENTS_SQL}, found as (select distinct x.mass, sequence, free from digest x join conds c on {tests_sql([OXIDATION])})
+select mass, sequence, sequence as proforma, mass as form_mass from found where free = 0 union all
+select mass, sequence, substr(sequence, 1, i) || '{ONE_MARK}' || substr(sequence, i + 1), mass + {OXIDATION.delta} from (select *, unnest(list_filter(range(1, length(sequence) + 1), lambda i: sequence[i] = 'M')) as i from found where free = 1)""",
+)
+def _(spark, sf_dir):
+    """Masses of all events as a stream in several batches with a restart between them: each form is answered once."""
+    base, answers = scratch(spark, "stream"), scratch(spark, "answers")
+    stored = written(digested(spark, sf_dir).select("mass", "sequence").distinct(), "peptides")
+    masses = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{EVENT_MASS} as mass")
+    for half in (0, 1):
+        masses.where(F.col("event_id") % 2 == half).select("mass").repartition(2).write.mode("append").parquet(f"{base}/masses")
+        arriving = spark.readStream.schema("mass long").option("maxFilesPerTrigger", 1).parquet(f"{base}/masses")
+        search_stream(arriving, stored, answers, f"{base}/marks", [OXIDATION], PPM, 1).awaitTermination()
+    return spark.read.schema("mass long, sequence string, proforma string, form_mass long").parquet(answers)
+
+
 @query("q_search_totals", f"{forms_sql(TWO, 2)}, asked as (select cast(unnest({list(dict.fromkeys(TWO.query_mass))}) as bigint) as query_mass) select query_mass, count(proforma) as peptidoforms from asked left join forms using (query_mass) group by query_mass")
 def _(spark, sf_dir):
     """How many peptidoforms each mass has, without making them."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massgrid.functions.proforma import expand
-from massgrid.plans.ptm import Plan, Ptm
+from massgrid.plans.ptm import ANYWHERE, BOND_C, BOND_N, STATIC, TERMINUS_C, TERMINUS_N, Condition, Plan, Ptm
 
 #: Width of a bucket, 1 Dalton. A window meets all buckets that it touches, two as a rule.
 BUCKET = 1_000_000_000
@@ -79,7 +79,13 @@ def match(peptides: DataFrame, plan: Plan) -> DataFrame:
         masses = F.array(*(F.lit(m) for m in plan.query_mass)).cast("array<long>")
         found = peptides.where(windows(plan)).withColumn("cond_id", F.explode(hits))
         return found.withColumn("query_mass", F.element_at(masses, F.col("cond_id") + 1))
-    table = plan.frame(spark).withColumn("bucket", F.explode(F.sequence(F.expr(f"lo div {BUCKET}"), F.expr(f"hi div {BUCKET}"))))
+    # the planner bounds the conditions (MOST_CONDITIONS a mass); Spark broadcasts them or not by their size
+    return joined(peptides, plan.frame(spark), ["cond_id", "query_mass"])
+
+
+def joined(peptides: DataFrame, table: DataFrame, named: list[str]) -> DataFrame:
+    """Rows of peptides with the named columns of each condition of a table that they meet: equal buckets, then the tests."""
+    table = table.withColumn("bucket", F.explode(F.sequence(F.expr(f"lo div {BUCKET}"), F.expr(f"hi div {BUCKET}"))))
     ready = peptides.withColumn("bucket", F.expr(f"mass div {BUCKET}"))
     tests = every(
         [
@@ -90,9 +96,61 @@ def match(peptides: DataFrame, plan: Plan) -> DataFrame:
             F.col("c.ends").isNull() | F.expr("endswith(p.sequence, c.ends)"),
         ]
     )
-    # the planner bounds the conditions (MOST_CONDITIONS a mass); Spark broadcasts them or not by their size
-    joined = ready.alias("p").join(table.alias("c"), (F.col("p.bucket") == F.col("c.bucket")) & tests)
-    return joined.select(*(F.col(f"p.{c}") for c in peptides.columns), "c.cond_id", "c.query_mass")
+    both = table.alias("c").join(ready.alias("p"), (F.col("p.bucket") == F.col("c.bucket")) & tests)
+    return both.select(*(F.col(f"p.{c}") for c in peptides.columns), *(f"c.{c}" for c in named))
+
+
+PLANNED = "query_mass long, lo long, hi long, exact map<string,int>, least map<string,int>, starts string, ends string, uses array<int>"
+
+
+def planned(masses: DataFrame, ptms: list[Ptm], ppm: tuple[int, int] = (10, 10), most_variable: int = 2, shortest: int = 6) -> DataFrame:
+    """The conditions of masses (column mass) that stand in a table or arrive as a stream, made in the tasks.
+
+    `uses` numbers the modifications of a condition, from which it is put together again where its forms are made.
+    """
+    ptms = list(ptms)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for mass in frame["mass"]:
+                plan = Plan.of([mass], ptms, ppm, most_variable, shortest)
+                for c in plan.conditions:
+                    uses = [ptms.index(p) for p in (*c.static, *c.variable, c.n_terminal, c.c_terminal, c.n_bond, c.c_bond) if p]
+                    rows.append((mass, *plan.window(c), c.exact(), c.least(), c.n_terminal and c.n_terminal.residue, c.c_terminal and c.c_terminal.residue, uses))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in PLANNED.split(", ")])
+
+    return masses.select(F.col("mass").cast("long").alias("mass")).where("mass is not null").mapInPandas(run, PLANNED)
+
+
+def forms_by_use(matched: DataFrame, ptms: list[Ptm]) -> DataFrame:
+    """(mass, sequence, proforma, form_mass): every placement of the modifications that `uses` numbers."""
+    ptms = list(ptms)
+    places = ("n_terminal", "c_terminal", "n_bond", "c_bond")
+
+    def condition(uses) -> Condition:
+        own = [ptms[i] for i in uses]
+        free = [p for p in own if p.position == ANYWHERE]
+        ends = {place: p for place, at in zip(places, (TERMINUS_N, TERMINUS_C, BOND_N, BOND_C)) for p in own if p.position == at}
+        return Condition(0, tuple(p for p in free if p.kind == STATIC), tuple(p for p in free if p.kind != STATIC), **ends)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(q, s, text, m) for q, s, uses in zip(frame["mass"], frame["sequence"], frame["uses"], strict=True) for text, m in expand(s, condition(uses))]
+            yield pd.DataFrame(rows, columns=["mass", "sequence", "proforma", "form_mass"])
+
+    return matched.select("mass", "sequence", "uses").mapInPandas(run, "mass long, sequence string, proforma string, form_mass long")
+
+
+def search_table(masses: DataFrame, peptides: DataFrame, ptms: list[Ptm] = (), ppm: tuple[int, int] = (10, 10), most_variable: int = 2, shortest: int = 6) -> DataFrame:
+    """Each different peptidoform of all masses of a table or stream once; nothing is planned on the driver.
+
+    Forms are told apart by 128 bits of their text. In a stream these are the state, so a form that an earlier batch, even
+    one before a restart, has answered does not come again; the state grows with the forms that were answered.
+    """
+    found = forms_by_use(joined(peptides.select("mass", "sequence"), planned(masses, ptms, ppm, most_variable, shortest), ["uses"]), ptms)
+    keyed = found.select("mass", "sequence", "proforma", "form_mass", F.xxhash64("proforma").alias("_a"), F.xxhash64(F.lit("second"), "proforma").alias("_b"))
+    return keyed.dropDuplicates(["_a", "_b"]).drop("_a", "_b")
 
 
 def condition_counts(masses: DataFrame, ptms: list[Ptm], most_variable: int = 2, shortest: int = 6) -> DataFrame:

@@ -1,30 +1,19 @@
-"""Searches whose masses arrive as a stream: each micro-batch is one join with the stored peptides."""
+"""Searches whose masses arrive as a stream: planned in the tasks, joined with the stored peptides, each form answered once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from massgrid.operators.search import search
-from massgrid.plans.ptm import Plan, Ptm
-from massgrid.sources.files import numbered
-
-#: Masses that the driver plans at once.
-PLANNED = 2000
+from massgrid.operators.search import search_table
+from massgrid.plans.ptm import Ptm
 
 
 def search_stream(masses: DataFrame, peptides: DataFrame, path: str, checkpoint: str, ptms: list[Ptm] = (), ppm: tuple[int, int] = (10, 10), most_variable: int = 2) -> StreamingQuery:
-    """Writes the peptidoforms of every arriving mass (column `mass`) to Parquet under `path`, by batch.
+    """Writes the peptidoforms of the arriving masses (column `mass`) to Parquet under `path`.
 
-    A batch that runs again after a failure overwrites its own folder, so each mass is answered once. The different
-    masses of a batch are planned on the driver PLANNED at a time, each lot in a folder of its own.
+    A peptidoform is written once, however many masses, batches and restarts find it: the checkpoint holds what was
+    answered, and the file sink takes each batch as a whole or not at all. Each batch scans the peptides once.
     """
-
-    def answer(batch: DataFrame, number: int) -> None:
-        asked = numbered(batch.select("mass").distinct(), "mass")
-        for lot in range(-(-asked.count() // PLANNED)):
-            masses = [r.mass for r in asked.where(F.floor(F.col("n") / PLANNED) == lot).select("mass").collect()]  # at most PLANNED
-            search(peptides, Plan.of(masses, ptms, ppm, most_variable)).write.mode("overwrite").parquet(f"{path}/batch={number}/lot={lot}")
-
-    return masses.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    found = search_table(masses, peptides, ptms, ppm, most_variable)
+    return found.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -93,3 +93,31 @@ def test_queries_read_tables(spark):
     """The plan of every query has a scan of a file, given or derived."""
     for name in ("q_amino_acids", "q_charges", "q_ptm_conditions", "q_terminal_conditions", "q_condition_count"):
         assert "FileScan" in catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", SETS)
+def test_a_table_of_masses_is_answered_as_a_plan_is(spark, name):
+    """Conditions made in the tasks and put together again give the forms of conditions planned on the driver."""
+    rows, ptms = peptides(3), SETS[name]
+    table = spark.createDataFrame(rows, "sequence string, mass long")
+    masses = sorted({m + d for _, m in rows[::20] for d in (0, ptms[0].delta)})
+    want = {(r.proforma, r.form_mass) for r in search.search(table, Plan.of(masses, ptms, (20, 20), 2)).collect()}
+    asked = spark.createDataFrame([(m,) for m in [*masses, *masses, None]], "mass long")
+    got = [(r.proforma, r.form_mass) for r in search.search_table(asked, table, ptms, (20, 20)).collect()]
+    assert set(got) == want and len(got) == len(want) > 10
+
+
+def test_answers_are_remembered_over_batches_and_restarts(spark, tmp_path):
+    from massgrid.streaming.searches import search_stream
+
+    rows, ptms = peptides(4), SETS["bonds"]
+    table = spark.createDataFrame(rows, "sequence string, mass long")
+    masses = [m for _, m in rows[:60]]
+    source, out, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    for part in (masses[:30], masses[20:50], masses[:10], masses[40:]):
+        spark.createDataFrame([(m,) for m in part], "mass long").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("mass long").parquet(source)
+        search_stream(stream, table, out, marks, ptms, (20, 20)).awaitTermination()
+    got = [r.proforma for r in spark.read.parquet(out).collect()]
+    want = {r.proforma for r in search.search(table, Plan.of(masses, ptms, (20, 20), 2)).collect()}
+    assert set(got) == want and len(got) == len(want)
