@@ -262,6 +262,15 @@ def _(spark, sf_dir):
     return build.pairs_per_protein(digested(spark, sf_dir), views.proteins(spark, sf_dir))
 
 
+@query("q_pairs_estimated", f"{BASE} select (select count(*) from proteins) as proteins, (select count(*) from (select distinct mass, protein_id from digest)) as pairs, true as near")
+def _(spark, sf_dir):
+    """The number of pairs, counted, and whether the estimate from a sample is within 5 % of it."""
+    proteins = views.proteins(spark, sf_dir)
+    counted = build.pairs_per_protein(digest_masses(proteins, TRYPSIN), proteins).select("proteins", "pairs")
+    guess = build.estimated_pairs(proteins, TRYPSIN).select(F.col("pairs").alias("guess"))
+    return counted.crossJoin(guess).select("proteins", "pairs", (F.abs(F.col("guess") - F.col("pairs")) <= 0.05 * F.col("pairs")).alias("near"))  # one row each
+
+
 @query("q_partition_lookup", f"{BASE}, {RANGES} select mass, partition from (select distinct mass from digest) join ranges on mass between lo and hi")
 def _(spark, sf_dir):
     counts = written(build.mass_counts(digested(spark, sf_dir).select("mass", "sequence").distinct()), "mass-counts")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massgrid.functions.chemistry import residue_counts
-from massgrid.operators.digest import Protease, digest
+from massgrid.operators.digest import Protease, digest, digest_masses
 from massgrid.shared import written
 
 #: Rows of one file, and so of one mass range: a search reads the footers' minima and maxima and few files.
@@ -60,6 +60,30 @@ def pairs_per_protein(digested: DataFrame, proteins: DataFrame) -> DataFrame:
     return pairs.crossJoin(proteins.agg(F.count("*").alias("proteins"))).select("proteins", "pairs", (F.col("pairs") / F.greatest("proteins", F.lit(1))).alias("mean"))
 
 
+def estimated_pairs(proteins: DataFrame, protease: Protease = Protease(), error: float = 0.05, first: int = 256, z: float = 1.96) -> DataFrame:
+    """(proteins, sampled, mean, low, high, pairs): how many different masses a protein has, from a sample.
+
+    Proteins are drawn by a hash of their id, about `first` of them, and four times as many each time until the interval
+    (95 % at z = 1.96) is within `error` of the mean, or all are drawn and the mean is exact. Each sample holds the one
+    before it. Only the proteins drawn are digested, for their masses alone; a protein without peptides counts as 0.
+    """
+    spark, total = proteins.sparkSession, proteins.count()
+    share = 1
+    while total // share > first:
+        share *= 4
+    while True:
+        drawn = proteins.select("id", "sequence").where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else proteins.select("id", "sequence")
+        counts = digest_masses(drawn, protease).groupBy("protein_id").agg(F.count("*").alias("n"))
+        every = drawn.select("id").join(counts, F.col("id") == F.col("protein_id"), "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+        x = every.agg(F.count("*").alias("n"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_samp("n"), F.lit(0.0)).alias("deviation")).first()
+        # less what a sample of all has no error of
+        half = 0.0 if share == 1 else z * x.deviation * ((1 - x.n / total) / max(x.n, 1)) ** 0.5
+        if share == 1 or x.n > 1 and half <= error * x.mean:
+            row = (total, x.n, x.mean, x.mean - half, x.mean + half, round(x.mean * total))
+            return spark.createDataFrame([row], "proteins long, sampled long, mean double, low double, high double, pairs long")
+        share //= 4
+
+
 def unassigned(table: DataFrame, ranges: DataFrame) -> DataFrame:
     """(mass, peptides) of masses that no range holds; a sound tiling has none."""
     masses = table.groupBy("mass").agg(F.count("*").alias("peptides"))

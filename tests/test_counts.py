@@ -121,3 +121,19 @@ def test_answers_are_remembered_over_batches_and_restarts(spark, tmp_path):
     got = [r.proforma for r in spark.read.parquet(out).collect()]
     want = {r.proforma for r in search.search(table, Plan.of(masses, ptms, (20, 20), 2)).collect()}
     assert set(got) == want and len(got) == len(want)
+
+
+def test_pairs_are_estimated_from_a_sample(spark):
+    """Few of many proteins are digested, the interval is as narrow as asked for, and the truth is near; few proteins are counted."""
+    from massgrid.operators.build import estimated_pairs
+    from massgrid.operators.digest import Protease, digest_masses
+
+    rng, p = random.Random(8), Protease("trypsin", 6, 50, 1)
+    rows = [(i, "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=rng.randint(30, 300)))) for i in range(6000)]
+    proteins = spark.createDataFrame([*rows, (6000, ""), (6001, None)], "id long, sequence string").repartition(8)
+    got, exact = estimated_pairs(proteins, p).first(), digest_masses(proteins, p).count()
+    assert got.proteins == 6002 and 256 <= got.sampled < 3000
+    assert got.high - got.mean <= 0.05 * got.mean and abs(got.pairs - exact) <= 0.08 * exact
+    few = estimated_pairs(proteins.where("id % 50 = 1"), p).first()
+    assert few.sampled == few.proteins == 121 and few.low == few.mean == few.high
+    assert estimated_pairs(proteins.where("id < 0"), p).first().pairs == 0
