@@ -6,7 +6,6 @@ Queries run over whole tables. Lists leave as sorted, comma-joined text, and cou
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -820,18 +819,18 @@ def _(spark, sf_dir):
 STORED = Protease("trypsin", 6, 50, 0)
 
 
-@cache
-def _stored_at(_session: int, sf_dir: str) -> str:
-    spark = SparkSession.getActiveSession()
-    path = scratch(spark, "build")
-    # small ranges and blocks, so that small tables have many
-    store.write(path, views.proteins(spark, sf_dir), views.taxa(spark, sf_dir), views.ranks(spark), STORED, range_rows=1000, block_rows=50)
-    return path
+_BUILDS: dict[tuple[str, str], str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str) -> Engine:
-    """A whole build on disk, opened again; made once a session."""
-    return Engine.opened(spark, _stored_at(id(spark), sf_dir))
+    """A whole build on disk, opened again; made once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILDS:
+        path = scratch(spark, "build")
+        # small ranges and blocks, so that small tables have many
+        store.write(path, views.proteins(spark, sf_dir), views.taxa(spark, sf_dir), views.ranks(spark), STORED, range_rows=1000, block_rows=50)
+        _BUILDS[key] = path
+    return Engine.opened(spark, _BUILDS[key])
 
 
 #: 500 masses, four Dalton apart.
