@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from massgrid.llm.common import lean
 
 #: Tags whose content is no text of the page. That of all others, drawings and formulas among them, is for the field to judge.
-HIDDEN = "script|style|title|noscript|template|iframe"
+HIDDEN = "script style title noscript template iframe"
 #: Tags in which a self-closed tag of any name is empty.
 FOREIGN = ("svg", "math")
 #: Tags that end a block where they open or close.
@@ -38,11 +38,13 @@ VOID = frozenset("hr br img input meta link area base col embed source track wbr
 #: Opening one of these closes an open one of the same list.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-#: What a tag holds: no < but in quotes that close soon; so a page is never read again from each unclosed tag.
-INSIDE = r"""(?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|"[^"]{0,2000}+"|'[^']{0,2000}+'){0,400}+"""
-TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({HIDDEN})(?=[\s/>]){INSIDE}>|<(/?)([a-z][a-z0-9-]*)({INSIDE})>|<[/!?]?[a-z][^<>]*>|<[!?][^<>]*>""", re.S | re.I)
+OPEN = re.compile(r"<!--|<(/?)([a-z][a-z0-9-]*)|<[!?]", re.I)
+#: What follows a tag's name up to its end, a <, or a = with a quote, which alone opens a value.
+UNQUOTED = re.compile(r"""[^<>=]*+(?:=(?!\s*+["'])[^<>=]*+)*+""")
+QUOTE = re.compile(r"""=\s*+(["'])""")
+DECLARED = re.compile(r"[^<>]*+>")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in HIDDEN.split("|")}
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in HIDDEN.split()}
 FOREIGN_ENDS = re.compile(rf"</(?:{'|'.join(FOREIGN)})(?=[\s/>])", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -56,6 +58,34 @@ def unescaped(text: str) -> str:
     return html.unescape(NO_CHARACTER.sub("\ufffd", ZEROS.sub("&#0", text))) if "&" in text else text
 
 
+class Tags:
+    """Ends of the tags of a page.
+
+    A value in quotes may hold anything, at any length; a quote that nothing closes is a character like others. A <
+    outside quotes shows that there is no tag. Places that led to one are kept, and each quoted value is read
+    once for every kind of end, so the time grows with the page however its tags are broken.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.dead: set[int] = set()  # places after a value from which no end is reached
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose name ends at `at`; -1 if it is none."""
+        seen = []
+        while at not in self.dead:
+            seen.append(at)
+            at = UNQUOTED.match(self.page, at).end()
+            if self.page[at : at + 1] == ">":
+                return at + 1
+            if (m := QUOTE.match(self.page, at)) is None:
+                break
+            at = self.page.index(m[1], m.end()) + 1 if m.end() <= self.last[m[1]] else m.end()
+        self.dead.update(seen)
+        return -1
+
+
 def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
     """The non-empty blocks of a page in order. known: the features that matter, if not all do.
 
@@ -99,28 +129,39 @@ def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
         outer = FOREIGN_ENDS.search(page, start, end.start() if end else len(page)) if foreign else None
         return outer.start() if outer else end.end() if end else start if empty else len(page)
 
-    while m := TOKEN.search(page, at):
+    tags, look = Tags(page), 0
+    while m := OPEN.search(page, look):
+        look = m.end()
+        if m[2]:
+            end = tags.end(look)
+        elif m[0] == "<!--":
+            end = page.find("-->", look) + 3
+            end = end if end > 2 else len(page)
+        else:
+            end = declared.end() if (declared := DECLARED.match(page, look)) else -1
+        if end < 0:
+            continue
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            at = hidden_end(m[1].lower(), at, m[0].endswith("/>"))
+        inside, at, look = page[m.end() : end - 1], end, end
+        tag = m[2]
+        if not tag:
             continue
-        tag = m[3]
-        if tag is None:
+        tag, closing, empty = tag.lower(), bool(m[1]), inside.endswith("/")
+        if tag in ENDS and not closing and (not inside or inside[0] == "/" or inside[0].isspace()):
+            at = look = hidden_end(tag, at, empty)
             continue
-        tag = tag.lower()
         if tag not in BLOCK_TAGS:
             if tag in FOREIGN:
-                foreign = max(0, foreign - 1) if m[2] else foreign + (not m[0].endswith("/>"))
+                foreign = max(0, foreign - 1) if closing else foreign + (not empty)
             elif tag == "a":
-                link = not m[2]
+                link = not closing
             elif tag == "br" or tag == "img":
                 parts.append(" ")
             continue
         flush()
         foreign = 0  # a block ends an unclosed drawing
-        if m[2]:
+        if closing:
             while depth[tag] and pop() != tag:
                 pass
             link = False
@@ -129,8 +170,8 @@ def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
             while stack and stack[-1][0] in closed:
                 pop()
             features = [f"tag:{tag}"]
-            if m[4]:
-                for values in NAMES.findall(m[4]):
+            if inside:
+                for values in NAMES.findall(inside):
                     features += [f"name:{w.lower()}" for w in WORD.findall("".join(values))]
             above = stack[-1][1] if stack else frozenset()
             own = {f for f in features if f not in above and (known is None or f in known)}
@@ -163,6 +204,8 @@ def block_features(blocks: list[Block]) -> list[set[str]]:
 
 
 MARK = "\ue000"
+#: Composed pages that the query's field learns from.
+TRAINING_PAGES = 1000
 _OTHER = {
     "nav": "nav navbar navigation menu topmenu breadcrumb breadcrumbs pagination toc".split(),
     "header": "header masthead site banner branding logo top topbar".split(),
@@ -201,23 +244,30 @@ def labelled_pages(n: int, seed: int = 20) -> list[str]:
         if kind == "comments":
             return box(kind, f"<h3>{sentence(1, 3, '')}</h3>" + "".join(f'<div class="comment"><p>{sentence(4, 40)}</p></div>' for _ in range(rng.randint(1, 5))))
         if kind == "footer":
-            return box(kind, rng.choice(("&copy; ", "Copyright ", "")) + sentence(2, 12) + (links() if rng.random() < 0.3 else ""))
+            line = rng.choice(("&copy; ", "Copyright ", "")) + sentence(1, 12, rng.choice((".", "")))
+            if rng.random() < 0.2:
+                return f'<p class="{rng.choice(_OTHER[kind])}">{line}</p>'
+            return box(kind, rng.choice((line, f"<p>{line}</p>")) + (links() if rng.random() < 0.3 else ""))
         if kind == "aside":
-            return box(kind, f"<h3>{sentence(1, 4, '')}</h3>" + rng.choice((links(), f"<p>{sentence(4, 25)}</p>")))
+            tag = rng.choice(("h3", "h3", "h2", "h4"))
+            return box(kind, f"<{tag}>{sentence(1, 4, '')}</{tag}>" + rng.choice((links(), f"<p>{sentence(4, 25)}</p>", f'<a href="#">{word()}</a> <a href="#">{word()}</a>')))
         if kind == "header":
             return box(kind, rng.choice((f"<h1>{sentence(1, 4, '')}</h1>", f"<p>{sentence(2, 8)}</p>", f"<div>{word()}</div>")))
-        return box(kind, rng.choice((f"<p>{sentence(3, 30)}</p>", sentence(3, 20), f'<a href="#">{sentence(2, 6, "")}</a>')))
+        return box(kind, rng.choice((f"<p>{sentence(3, 30)}</p>", sentence(3, 20), f'<a href="#">{sentence(2, 6, "")}</a>', *([links()] if kind == "share" else []))))
 
     def body() -> str:
         out = [f"<h1>{MARK}{sentence(2, 14, rng.choice(('', '.')))}</h1>"] if rng.random() < 0.9 else []
         for _ in range(rng.randint(1, 12)):
             draw = rng.random()
             if draw < 0.1:
-                out.append(f"<h2>{MARK}{sentence(1, 6, '')}</h2>")
+                tag = rng.choice(("h2", "h2", "h3", "h4"))
+                out.append(f"<{tag}>{MARK}{sentence(1, 6, '')}</{tag}>")
             elif draw < 0.17:
                 out.append("<ul>" + "".join(f"<li>{MARK}{sentence(1, 14, rng.choice(('', '.')))}</li>" for _ in range(3)) + "</ul>")
             elif draw < 0.22:
                 out.append(f"<blockquote>{MARK}{sentence(4, 30)}</blockquote>")
+            elif draw < 0.24:
+                out.append(rng.choice((f"<pre>{MARK}{sentence(1, 12, '')}</pre>", f"<dl><dt>{MARK}{word()}</dt><dd>{MARK}{sentence(2, 14)}</dd></dl>")))
             elif draw < 0.27:
                 out.append(f"<table><tr><td>{MARK}{word()}</td><td>{MARK}{word()}</td></tr></table>")
             elif draw < 0.34:
@@ -228,6 +278,9 @@ def labelled_pages(n: int, seed: int = 20) -> list[str]:
                 out.append(f"<p>{MARK}{sentence(1, rng.choice((2, 9, 90)), rng.choice(('.', '.', '')))}</p>")
             if rng.random() < 0.06:
                 out.append(other(rng.choice(("ad", "share", "aside", "notice"))))
+            elif rng.random() < 0.05:  # comments without a box around them
+                name = rng.choice(("comment", "comment-body", "reply", "response", "user comment"))
+                out += [f'<div class="{name}"><p>{sentence(4, 40)}</p></div>' for _ in range(rng.randint(1, 3))]
         return "".join(out)
 
     def page() -> str:
@@ -235,7 +288,7 @@ def labelled_pages(n: int, seed: int = 20) -> list[str]:
         before = [other(k) for k in rng.sample(kinds, rng.randint(0, 4))]
         after = [other(k) for k in rng.sample(["aside", "comments", "footer", "ad", "share", "form", "nav", "notice"], rng.randint(0, 5))]
         tag = rng.choice(("article", "article", "article", "main", "div", "section"))
-        name = rng.choice((' class="content"', ' id="article"', ' class="post entry"', ' class="story text"', ' class="article-body"')) if tag in ("div", "section") or rng.random() < 0.2 else ""
+        name = rng.choice((' class="content"', ' id="article"', ' class="post entry"', ' class="story text"', ' class="article-body"', ' role="main"', ' id="main"', "", "")) if tag in ("div", "section") or rng.random() < 0.2 else ""
         inner = body() + (other("comments") if rng.random() < 0.12 else "") + (other("share") if rng.random() < 0.08 else "")
         wrap = rng.choice(("{}", "{}", '<div class="page">{}</div>', "<main>{}</main>"))
         return f"<html><body>{''.join(before)}{wrap.format(f'<{tag}{name}>{inner}</{tag}>')}{''.join(after)}</body></html>"
@@ -250,7 +303,7 @@ class Field:
         self.weights, self.steps = weights, steps
 
     @classmethod
-    def trained(cls, pages: list[str], rounds: int = 250, rate: float = 0.15, decay: float = 0.002) -> Field:
+    def trained(cls, pages: list[str], rounds: int = 250, rate: float = 0.15, decay: float = 0.0003) -> Field:
         found = []
         for page in pages:
             blocks = leaf_blocks(page)
@@ -335,5 +388,5 @@ def extract(pages: DataFrame, field: Field) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: main text of every page."""
-    out = extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), Field.trained(labelled_pages(400)))
+    out = extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), Field.trained(labelled_pages(TRAINING_PAGES)))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
