@@ -14,14 +14,18 @@
    the exact intersection of sorted arrays. A tile of more than TILE_ROWS sets is split into blocks, and each pair
    of blocks goes to a task of its own. Now the components are known.
 5. A link never leaves its component. So the join takes every component whole, each pair of its sets once: one of
-   more than TILE_ROWS sets or TILE_SHINGLES shingles is split into pairs of parts, and each of these cells counts
-   the exact overlap of all its pairs.
+   more than TILE_ROWS sets or TILE_SHINGLES shingles is split into pairs of parts. Each of these cells goes by sizes
+   and bitmaps as the tiles do, and counts the exact overlap of the pairs that remain.
+6. What is known of a set goes back to its documents by one join. Sets with more than one in 4,096 documents as copies
+   are at most 4,096, so they are broadcast, and no task gets all copies of one.
 
 Equal sets count once, so copies never make pairs. Shingles are held as 48-bit values, so a pair of sets of 500
 has a chance of 1e-9 to share a shingle by accident.
 
 Cases: a null or empty text has no shingles and is linked with nothing; fewer than five words make one shingle;
-a null doc_id is linked with nothing and has a null component; rows that share a doc_id count as one document;
+a null doc_id is linked with nothing and has a null component; rows that share a doc_id count as one document
+in components; repeated ones have no more links than one, and other texts of one doc_id are sets of their own, whose links
+are counted under it together;
 an empty table gives an empty result; very long texts are taken whole, a text of over BLOCK_BYTES as a block of its own;
 of equal sets the least doc_id stands for all; other columns are ignored, whatever their names.
 """
@@ -52,8 +56,8 @@ SAMPLE_ROWS, COMMON_IN, MOST_COMMON, COMMON = 2000, 10, 1 << 16, 1 << 30
 TILE_ROWS = 512
 #: Shingles, copies counted, of the sets of a part of a component.
 TILE_SHINGLES = 1 << 18
-#: Sets with a shingle in common that are counted pair by pair.
-RARE = 32
+#: A set with more than one in so many documents as copies is hot; there are no more such sets than this number.
+HOT_PARTS = 4096
 LOW = U64(0xFFFF)
 
 
@@ -232,32 +236,35 @@ def _bound(m_left: np.ndarray, m_right: np.ndarray, left: np.ndarray, right: np.
     return np.minimum(m_left - np.bitwise_count(left & ~right).sum(1), m_right - np.bitwise_count(right & ~left).sum(1))
 
 
+def _pairs_by_size(cell: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y), x < y: the pairs of each cell whose sizes can link, some 200,000 at a time. Rows are sorted by cell and size."""
+    _, start = np.unique(cell, return_index=True)
+    last = np.empty(len(cell), np.int64)
+    for a, b in zip(start, np.append(start[1:], len(cell)), strict=True):  # sizes up to 100/75 of a set's own are its band
+        last[a:b] = a + np.searchsorted(n[a:b], n[a:b] * 100 // percent, side="right")
+    left = np.arange(len(cell))
+    width = last - left - 1
+    total = np.concatenate([[0], np.cumsum(width)])
+    i = 0
+    while i < len(left):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + 200_000, side="right")) - 1)
+        yield np.repeat(left[i:j], width[i:j]), gather_ranges(left[i:j] + 1, width[i:j])
+        i = j
+
+
 def _tile_pairs(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Pairs of a bucket of tiles, or of two blocks of a large tile, that the sizes and bitmaps do not rule out."""
         table = table.combine_chunks()
         order = np.lexsort((table["n"].to_numpy(), table["cell"].to_numpy()))
         tile, rep, n, m, component, side, low = (table[c].to_numpy()[order] for c in ("cell", "rep", "n", "m", "component", "side", "low"))
-        bits = _bitmaps(table["bits"])[order]
-        _, start = np.unique(tile, return_index=True)
-        stop = np.append(start[1:], len(tile))
-        last = np.empty(len(tile), np.int64)
-        for a, b in zip(start, stop, strict=True):  # sizes up to 100/75 of a set's own are its band
-            last[a:b] = a + np.searchsorted(n[a:b], n[a:b] * 100 // percent, side="right")
-        left, found = np.arange(len(tile)), []
-        width = last - left - 1
-        total = np.concatenate([[0], np.cumsum(width)])
-        i = 0
-        while i < len(left):
-            j = max(i + 1, int(np.searchsorted(total, total[i] + 200_000, side="right")) - 1)
-            x = np.repeat(left[i:j], width[i:j])
-            y = gather_ranges(left[i:j] + 1, width[i:j])
+        bits, found = _bitmaps(table["bits"])[order], []
+        for x, y in _pairs_by_size(tile, n, percent):
             keep = (component[x] != component[y]) & (rep[x] != rep[y]) & ((side[x] == 0) | (side[x] != side[y])) & ~(low[x] & low[y])
             x, y = x[keep], y[keep]
             keep = linked(_bound(m[x], m[y], bits[x], bits[y]), n[x], n[y], percent)
             x, y = x[keep], y[keep]
             found.append(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], 1))
-            i = j
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -284,76 +291,47 @@ def _verify(percent: int):
     return run
 
 
-def _small_cells(row: np.ndarray, shingle: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, common): rows of one cell with shingles in common, for many small cells at once."""
-    order = np.lexsort((row, shingle, cell[row]))
-    row, shingle = row[order], shingle[order]
-    start = np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (cell[row][1:] != cell[row][:-1])]))
-    end = np.repeat(np.append(start[1:], len(row)), np.diff(np.append(start, len(row))))
-    at = np.arange(len(row))
-    x, y = np.repeat(row, end - at - 1), row[gather_ranges(at + 1, end - at - 1)]
-    pair, common = np.unique(x * len(cell) + y, return_counts=True)
-    return pair // len(cell), pair % len(cell), common
-
-
-def _large_cell(row: np.ndarray, shingle: np.ndarray, rows: int) -> np.ndarray:
-    """Shingles in common of all pairs of rows: rare shingles by their pairs, the others by a product of matrices."""
-    order = np.lexsort((row, shingle))
-    row, shingle = row[order], shingle[order]
-    start = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-    count = np.diff(np.append(start, len(row)))
-    common = np.zeros(rows * rows, np.int64)
-    rare = start[(count > 1) & (count <= RARE)]
-    for i in range(0, len(rare), 4096):
-        width = count[np.searchsorted(start, rare[i : i + 4096])]
-        at = gather_ranges(rare[i : i + 4096], width)
-        left = np.repeat(rare[i : i + 4096] + width, width) - at - 1
-        common += np.bincount(np.repeat(row[at], left) * rows + row[gather_ranges(at + 1, left)], minlength=rows * rows)
-    common = common.reshape(rows, rows)
-    often = start[count > RARE]
-    for i in range(0, len(often), 2048):  # counts below 2**24 are exact in single precision
-        width = count[np.searchsorted(start, often[i : i + 2048])]
-        held = np.zeros((rows, len(width)), np.float32)
-        held[row[gather_ranges(often[i : i + 2048], width)], np.repeat(np.arange(len(width)), width)] = 1
-        common += np.triu(held @ held.T, 1).astype(np.int64)
+def _overlaps(x: np.ndarray, y: np.ndarray, bounds: np.ndarray, number: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Exact intersections of pairs of non-empty arrays, x ascending; held is zero for every number, and is so again at the end."""
+    common = np.zeros(len(x), np.int64)
+    start, stop = _runs(x)
+    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
+        own = number[bounds[x[a]] : bounds[x[a] + 1]]
+        held[own] = 1
+        others = y[a:b]
+        lo, hi = int(others[0]), int(others[-1]) + 1
+        if hi - lo <= 2 * (b - a):  # near copies follow one another
+            sums = np.add.reduceat(held[number[bounds[lo] : bounds[hi]]], bounds[lo:hi] - bounds[lo])
+            common[a:b] = sums[others - lo]
+        else:
+            width = bounds[others + 1] - bounds[others]
+            common[a:b] = np.add.reduceat(held[number[gather_ranges(bounds[others], width)]], np.cumsum(width) - width)
+        held[own] = 0
     return common
 
 
 def _cell_links(percent: int, listed: bool):
     def run(table: pa.Table) -> pa.Table:
-        """The links of a bucket of cells, from exact overlaps."""
+        """The links of a bucket of cells: by sizes, then bitmaps, then the exact overlap of the arrays."""
         table = table.combine_chunks()
-        cell, rep, n, side = (table[c].to_numpy() for c in ("cell", "rep", "n", "side"))
-        order = np.argsort(cell, kind="stable")
-        cell, rep, n, side = cell[order], rep[order], n[order], side[order]
+        order = np.lexsort((table["n"].to_numpy(), table["cell"].to_numpy()))
+        cell, rep, n, side = (table[c].to_numpy()[order] for c in ("cell", "rep", "n", "side"))
+        bits = _bitmaps(table["bits"])[order]
         lists = table["shared"].combine_chunks().take(pa.array(order))
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        start, stop = _runs(np.unique(cell, return_inverse=True)[1])
-        found, waiting, held = [(np.zeros(0, np.int64),) * 3], [], 0
-
-        def small() -> None:
-            rows = np.concatenate(waiting)
-            width = bounds[rows + 1] - bounds[rows]
-            found.append(_small_cells(np.repeat(rows, width), values[gather_ranges(bounds[rows], width)], cell))
-
-        for a, b in zip(start, stop, strict=True):
-            size = int(bounds[b] - bounds[a])
-            if b - a > RARE or size * (b - a) > 8 * TILE_SHINGLES:
-                common = _large_cell(np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1])), values[bounds[a] : bounds[b]], b - a)
-                x, y = np.nonzero(common)
-                found.append((a + x, a + y, common[x, y]))
-            else:
-                waiting.append(np.arange(a, b))
-                held += size * (b - a)
-                if held > 8 * TILE_SHINGLES:
-                    small()
-                    waiting, held = [], 0
-        if waiting:
-            small()
+        bounds, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        m = np.diff(bounds)
+        shingles, number = np.unique(values, return_inverse=True)
+        held, found = np.zeros(len(shingles), np.int32), [(np.zeros(0, np.int64),) * 3]
+        for x, y in _pairs_by_size(cell, n, percent):
+            keep = (rep[x] != rep[y]) & ((side[x] == 0) | (side[x] != side[y]))
+            x, y = x[keep], y[keep]
+            keep = linked(_bound(m[x], m[y], bits[x], bits[y]), n[x], n[y], percent)
+            x, y = x[keep], y[keep]
+            common = _overlaps(x, y, bounds, number, held)
+            keep = linked(common, n[x], n[y], percent)
+            found.append((rep[x[keep]], rep[y[keep]], common[keep]))
         x, y, common = (np.concatenate(c) for c in zip(*found, strict=True))
-        keep = linked(common, n[x], n[y], percent) & (rep[x] != rep[y]) & ((side[x] == 0) | (side[x] != side[y]))
-        x, y, common = rep[x[keep]], rep[y[keep]], common[keep]
         if listed:
             return pa.table([np.minimum(x, y), np.maximum(x, y), common], names=["a", "b", "common"])
         reps, count = np.unique(np.concatenate([x, y]), return_counts=True)
@@ -362,9 +340,10 @@ def _cell_links(percent: int, listed: bool):
     return run
 
 
-def _grouped(docs: DataFrame, percent: int, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, active, groups): (doc_id, n, rep) of every document, (rep, n, shared, ...) of the sets that may have
-    links, and (rep, component) of those that have one. rep is the least doc_id with the same set.
+def _grouped(docs: DataFrame, percent: int, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sets, reps, active, groups): (doc_id, digest, n) of every document, (digest, n, rep, copies) of every set with
+    words, (rep, n, shared, ...) of those that may have links, and (rep, component) of those that have one. rep is the
+    least doc_id with the same set.
     """
     rows = text_rows(docs).where("doc_id is not null")
     buckets = bucket_count(docs, 256 << 10, 256)
@@ -374,8 +353,8 @@ def _grouped(docs: DataFrame, percent: int, folder: str | None = None) -> tuple[
     sets = saved(frequent.groupBy("block").applyInArrow(_prefixes(percent), SETS), "sets", folder)
     del blocks_, frequent
     released(docs.sparkSession)  # the shuffles so far hold all shingles, those to come only shared ones
-    reps = sets.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
-    active = sets.where("prefix is not null").join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
+    reps = sets.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    active = sets.where("prefix is not null").join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])  # a repeated row is one set
     active = saved(active.select(F.col("doc_id").alias("rep"), "n", "shared", "prefix", "bits"), "active-sets", folder)
     postings = active.select("rep", "n", F.explode("prefix").alias("tile"))
 
@@ -402,7 +381,19 @@ def _grouped(docs: DataFrame, percent: int, folder: str | None = None) -> tuple[
     pairs = cells.withColumn("bucket", F.pmod("cell", F.lit(4 * buckets))).groupBy("bucket").applyInArrow(_tile_pairs(percent), "a long, b long")
     second = verified(pairs.distinct(), "links-by-tile")
     groups = saved(components(first.union(second), folder), "groups", folder).withColumnRenamed("vertex", "rep")
-    return sets.select("doc_id", "digest", "n").join(reps, ["digest", "n"], "left").select("doc_id", "n", "rep"), active, groups
+    return sets.select("doc_id", "digest", "n"), reps, active, groups
+
+
+def _of_documents(sets: DataFrame, found: DataFrame, folder: str | None) -> DataFrame:
+    """(doc_id, n, ...) of every document, with what `found` (digest, n, copies, ...) knows of its set; null without words."""
+    found = saved(found, "of-sets", folder)
+    most = sets.count() // HOT_PARTS
+    more = [c for c in found.columns if c not in ("digest", "n", "copies")]
+    hot, others, rows = found.where(F.col("copies") > most), found.where(F.col("copies") <= most), sets.where("n > 0")
+    hot = F.broadcast(hot.select("digest", "n", *more))  # at most HOT_PARTS rows
+    known = rows.join(hot, ["digest", "n"]).unionByName(rows.join(hot.select("digest", "n"), ["digest", "n"], "left_anti").join(others.drop("copies"), ["digest", "n"]))
+    blank = sets.where("n = 0").select("doc_id", "n", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in more))
+    return known.select("doc_id", "n", *more).unionByName(blank)
 
 
 def _links(active: DataFrame, groups: DataFrame, percent: int, listed: bool) -> DataFrame:
@@ -411,10 +402,10 @@ def _links(active: DataFrame, groups: DataFrame, percent: int, listed: bool) ->
     large = held.select("component", F.ceil(F.greatest(F.col("rows") / TILE_ROWS, F.col("m") / TILE_SHINGLES)).cast("int").alias("parts")).where("parts > 1")
     placed = groups.join(large, "component", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     # as with tiles: pairs of parts, in which sides 1 and 2 only meet each other
-    dealt = active.select("rep", "n", "shared").join(placed, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = active.select("rep", "n", "shared", "bits").where(F.size("shared") > 0).join(placed, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     cell = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
-    cells = dealt.select(cell.alias("cell"), "parts", "rep", "n", side.cast("int").alias("side"), "shared")
+    cells = dealt.select(cell.alias("cell"), "parts", "rep", "n", side.cast("int").alias("side"), "shared", "bits")
     bucket = F.when(F.col("parts") > 1, F.col("cell")).otherwise(F.pmod("cell", F.lit(bucket_count(active, 64 << 10, 256))))
     return cells.withColumn("bucket", bucket).drop("parts").groupBy("bucket").applyInArrow(_cell_links(percent, listed), "a long, b long, common long" if listed else "rep long, n_links long")
 
@@ -425,14 +416,14 @@ def similar_sets(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFra
     rep is the least doc_id with the same set; common is the number of shingles that both sets hold. A group of k
     near copies has up to k (k - 1) / 2 links.
     """
-    sets, active, groups = _grouped(docs, percent)
-    return sets, _links(active, groups, percent, True)
+    sets, reps, active, groups = _grouped(docs, percent)
+    return _of_documents(sets, reps, None), _links(active, groups, percent, True)
 
 
 def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document; n_links counts the different sets linked with its own.
 
-    Every link is found and counted where it is found, so that a large group sends no pairs.
+    Every link is found and counted where it is found, so that a large group sends no pairs. Copies have the n_links of their set.
     """
     return _joined(docs, percent, True)
 
@@ -446,12 +437,13 @@ def join_groups(docs: DataFrame, percent: int = 75, folder: str | None = None) -
 
 
 def _joined(docs: DataFrame, percent: int, counted: bool, folder: str | None = None) -> DataFrame:
-    sets, active, groups = _grouped(docs, percent, folder)
+    sets, reps, active, groups = _grouped(docs, percent, folder)
     if counted:
         counts = _links(active, groups, percent, False).groupBy("rep").agg(F.sum("n_links").alias("n_links"))
         groups = groups.join(saved(counts, "link-counts"), "rep", "left")
     more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []
-    linked_ = sets.join(groups, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), *more)
+    of_sets = reps.join(groups, "rep", "left").select("digest", "n", "copies", F.coalesce("component", "rep").alias("component"), *more)
+    linked_ = _of_documents(sets, of_sets, folder).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *more)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -472,8 +464,8 @@ def representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op2: groups of near-duplicate documents. All links are found and counted; the columns are those of the SQL."""
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_links")
+    """op2: groups of near-duplicate documents, and the number of different sets that each one's is linked with."""
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE = r"""
@@ -487,6 +479,10 @@ common as (
 links as (
   select a, b from common join sets p on p.doc_id = a join sets q on q.doc_id = b where 100 * k >= 75 * (len(p.s) + len(q.s) - k)),
 edges as (select a, b from links union all select b, a from links),
-reach as (select doc_id as a, doc_id as b from sets union select reach.a, edges.b from reach join edges on reach.b = edges.a)
-select doc_id, cast(len(s) as bigint) as n_shingles, (select min(b) from reach where a = doc_id) as component_id from sets
+reach as (select doc_id as a, doc_id as b from sets union select reach.a, edges.b from reach join edges on reach.b = edges.a),
+rep as (select doc_id, min(doc_id) over (partition by list_sort(s)) as rep from sets),
+counts as (
+  select a, count(distinct y.rep) as k from edges join rep x on x.doc_id = a join rep y on y.doc_id = b where x.rep <> y.rep group by a)
+select doc_id, cast(len(s) as bigint) as n_shingles, (select min(b) from reach where a = doc_id) as component_id,
+  cast(coalesce((select k from counts where a = doc_id), 0) as bigint) as n_links from sets
 """

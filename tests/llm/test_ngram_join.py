@@ -94,7 +94,7 @@ def all_links(rows):
 
 
 def test_every_link_is_found_and_counted(table, monkeypatch):
-    texts = near_copies(5, 3, 9) + near_copies(8, 2, 45)  # some groups take the way of large cells
+    texts = near_copies(5, 3, 9) + near_copies(8, 2, 45)  # some groups are split into parts
     texts += [texts[0], texts[0], None]
     want, _ = all_links(enumerate(texts))
     for rows in (512, 4):
@@ -107,6 +107,26 @@ def test_every_link_is_found_and_counted(table, monkeypatch):
     assert len(want) > 500
 
 
+def test_repeated_rows_have_no_more_links(spark):
+    words = [f"w{i}" for i in range(40)]
+    a, b, c = (" ".join([*words, *tail]) for tail in ("x", "yz", "uvw"))
+    other = " ".join(f"v{i}" for i in range(30))
+    rows = [(1, a), (1, a), (2, b), (2, b), (2, b), (3, c), (7, other), (7, other + " end"), (8, other + " one two"), (9, None), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {(r.doc_id, r.component_id, r.n_links) for r in ngram_join.join(docs).collect()}
+    # 7 has two texts, linked with each other, which is no link of it; both are linked with that of 8, and counted together
+    assert got == {(1, 1, 2), (2, 1, 2), (3, 1, 2), (7, 7, 2), (8, 7, 2), (9, 9, 0), (None, None, 0)}
+    _, links = ngram_join.similar_sets(docs.where("doc_id < 7"))
+    assert sorted((r.a, r.b) for r in links.collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_sets_of_many_copies_are_broadcast(table, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_PARTS", 4)
+    texts = ["a b c d e f"] * 30 + [None] * 20 + ["a b c d e f g h"] * 3 + ["own words of this one text"]
+    docs = table(texts)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_groups(docs).collect()) == brute(list(enumerate(texts)))
+
+
 def test_documents_of_first_blocks_are_spread(spark, table):
     none = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.uint32)))
     docs = table([f"{i} b c d e f g" for i in range(40)]).repartition(20).select("doc_id", "text")
