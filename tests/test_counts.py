@@ -137,3 +137,20 @@ def test_pairs_are_estimated_from_a_sample(spark):
     few = estimated_pairs(proteins.where("id % 50 = 1"), p).first()
     assert few.sampled == few.proteins == 121 and few.low == few.mean == few.high
     assert estimated_pairs(proteins.where("id < 0"), p).first().pairs == 0
+
+
+def test_stream_plans_a_mass_once(spark, tmp_path):
+    """Many copies of two masses, in one batch and in a later one after a restart, are two masses to plan and join."""
+    from massgrid.functions.chemistry import mass_of
+    from massgrid.streaming.searches import search_stream
+
+    table = spark.createDataFrame([(mass_of(s), s) for s in ("PEPTIDEK", "MAKERS")], "mass long, sequence string")
+    source, out, marks = (str(tmp_path / x) for x in ("masses", "out", "marks"))
+    kept = []
+    for _ in range(2):
+        spark.createDataFrame([(mass_of(s),) for s in ("PEPTIDEK", "MAKERS")] * 3000, "mass long").coalesce(1).write.mode("append").parquet(source)
+        stream = search_stream(spark.readStream.schema("mass long").parquet(source), table, out, marks, (), (1, 1))
+        stream.awaitTermination()
+        kept += [sorted(s.numRowsTotal for s in p.stateOperators) for p in stream.recentProgress if p.numInputRows]
+    assert kept == [[2, 2], [2, 2]]
+    assert sorted(r.sequence for r in spark.read.parquet(out).collect()) == ["MAKERS", "PEPTIDEK"]
