@@ -158,3 +158,16 @@ def test_circles_are_refused(spark):
 def test_lookups_of_a_stored_build(built):
     s = built.peptides.first().sequence
     assert built.peptide_exists(s) and built.peptide(s).first().mass == mass_of(s)
+
+
+def test_ranges_grow_before_there_are_more(spark, tmp_path, monkeypatch):
+    """Many rows in small ranges are few folders with larger ranges, in order and whole; full ranges are as many as there are."""
+    number = layout.range_number
+    assert [number(n, 1000) for n in (0, 1000, 1001, 512_000, 600_000, 76_800_000, 150_000_000)] == [1, 1, 2, 512, 512, 512, 1000]
+    assert number(1_000_000, 200_000) == 5 and number(10**9, 200_000) == 5000
+    monkeypatch.setattr(layout, "MOST_RANGES", 6)
+    path = str(tmp_path / "ranges")
+    layout.write_ranges(spark.range(1000).selectExpr("id as mass"), path, "mass", ["mass"], "partition", 10)
+    spans = [tuple(r) for r in spark.read.parquet(path).groupBy("partition").agg(F.min("mass"), F.max("mass"), F.count("*")).orderBy("partition").collect()]
+    assert len(spans) <= 6 and sum(s[3] for s in spans) == 1000
+    assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
