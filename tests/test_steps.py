@@ -9,6 +9,7 @@ import pytest
 from helpers import SMALL, same_rows
 
 from massgrid import catalog
+from massgrid.engine import Engine
 from massgrid.functions.chemistry import mass_of
 from massgrid.operators import places, search
 from massgrid.operators.digest import Protease, digest, merged
@@ -58,3 +59,21 @@ def test_searches_make_only_what_they_can_match(spark, duck, monkeypatch):
         same_rows(catalog.QUERIES[name](spark, SMALL), duck, catalog.ORACLES[name])
         assert asked and all(asked), name
     assert asked == [search.mass_windows(catalog.ONE)]
+
+
+def test_a_derived_build_answers_as_a_table_does(spark):
+    """Lookups in a build that is not stored make no list of proteins that they don't return, and answer as a table does."""
+    rng = random.Random(7)
+    rows = [(i, f"P{i}", "".join(rng.choices("ACDEKR", k=50)), 1 + i % 3, i % 2 == 0, ["g"]) for i in range(60)]
+    rows += [(90 + i, f"Q{i}", rows[4][2], 5, True, []) for i in range(3)]
+    proteins = spark.createDataFrame(rows, "id long, accession string, sequence string, taxonomy_id int, is_reviewed boolean, genes array<string>")
+    none = spark.createDataFrame([], "id int")
+    derived = Engine.derived(spark, proteins, none, none, Protease("trypsin", 6, 50, 1))
+    table = Engine(spark, proteins, derived.peptides, none, none, derived.protease)
+    seen = [r.sequence for r in table.peptides.select("sequence").limit(3).collect()]
+    want = [(s, s in seen) for s in [*seen, "WWWWWW"]]
+    for e in (derived, table):
+        assert sorted(map(tuple, e.peptides_exist(*seen, "WWWWWW", seen[0]).collect())) == sorted(want)
+        assert e.peptide_exists(seen[0]) and not e.peptide_exists("WWWWWW")
+    assert "collect" not in plan_of(derived.peptides_exist(*seen))
+    assert derived.peptide(seen[0]).collect() == table.peptide(seen[0]).collect()
