@@ -77,3 +77,9 @@ def test_a_derived_build_answers_as_a_table_does(spark):
         assert e.peptide_exists(seen[0]) and not e.peptide_exists("WWWWWW")
     assert "collect" not in plan_of(derived.peptides_exist(*seen))
     assert derived.peptide(seen[0]).collect() == table.peptide(seen[0]).collect()
+    for accession in ("p4", "Q1", "none"):
+        assert derived.protein_full(accession).collect() == table.protein_full(accession).collect()
+    assert [len(r.protein_ids) >= 4 for r in derived.protein_peptides("P4").collect()].count(True) > 0
+    # the digest of all proteins is filtered before its only shuffle
+    lines = plan_of(derived.protein_peptides("P4")).splitlines()
+    assert [x for x in lines if "Join" in x and "BroadcastHashJoin" in x] and not [x for x in lines if "SortMergeJoin" in x]
