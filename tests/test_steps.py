@@ -4,15 +4,18 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from helpers import SMALL, same_rows
+from pyspark.sql import functions as F
 
 from massgrid import catalog
 from massgrid.engine import Engine
 from massgrid.functions.chemistry import mass_of
-from massgrid.operators import places, search
+from massgrid.operators import build, places, search, targets
 from massgrid.operators.digest import Protease, digest, merged
+from massgrid.plans.ptm import BOND_N, STATIC, TERMINUS_N, VARIABLE, Ptm
 
 
 def plan_of(frame):
@@ -83,3 +86,21 @@ def test_a_derived_build_answers_as_a_table_does(spark):
     # the digest of all proteins is filtered before its only shuffle
     lines = plan_of(derived.protein_peptides("P4")).splitlines()
     assert [x for x in lines if "Join" in x and "BroadcastHashJoin" in x] and not [x for x in lines if "SortMergeJoin" in x]
+
+
+def test_forms_are_made_only_where_there_are_some(spark, monkeypatch):
+    """Peptides without a residue to modify don't reach Python, and conditions are enumerated by what they ask for alone."""
+    rng = random.Random(8)
+    sequences = sorted({"".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=9)) for _ in range(300)} | {"AAAAAAAAK"})
+    oxidation, acetyl = Ptm.of("o", "M", 15.994915, VARIABLE), Ptm.of("n", "M", 42.010565, VARIABLE, TERMINUS_N)
+    bond = Ptm.of("b", "X", 42.010565, VARIABLE, BOND_N)
+    table = spark.createDataFrame([(s,) for s in sequences], "sequence string")
+    for ptms in ([oxidation], [oxidation, acetyl], [bond], [Ptm.of("c", "C", 57.021464, STATIC), oxidation]):
+        forms = targets.forms_of(ptms, 1)
+        rows = table.select("sequence", targets.can_change(ptms).alias("can"), forms("sequence").alias("forms"), forms(F.lit(None).cast("string")).alias("none")).collect()
+        assert all(r.can == (len(r.forms) > 1) and r.none is None for r in rows) and any(r.can for r in rows)
+    calls = []
+    made = targets.conditions
+    monkeypatch.setattr(targets, "conditions", lambda *a: calls.append(1) or made(*a))
+    targets.forms_of([oxidation], 1).func(pd.Series(sequences))
+    assert len(calls) <= 4
