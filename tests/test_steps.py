@@ -104,3 +104,12 @@ def test_forms_are_made_only_where_there_are_some(spark, monkeypatch):
     monkeypatch.setattr(targets, "conditions", lambda *a: calls.append(1) or made(*a))
     targets.forms_of([oxidation], 1).func(pd.Series(sequences))
     assert len(calls) <= 4
+
+
+def test_lists_of_one_protein_are_not_sorted(spark):
+    """A peptide of one protein needs no work on its lists, and has the same lists."""
+    rows = [(1, 5, True), (2, 5, False), (3, 6, False)]
+    whole = spark.createDataFrame([(10, "A", *r) for r in rows] + [(20, "B", *rows[0])] + [(30, "C", *r) for r in (rows[2], rows[2])], "mass long, sequence string, protein_id long, taxonomy_id int, is_reviewed boolean")
+    made = build.aggregate(whole)
+    assert plan_of(made).count("CASE WHEN (size(pairs") == 3
+    assert {r.sequence: tuple(r)[2:] for r in made.collect()} == {"A": ([1, 2, 3], [6], [5], True, True), "B": ([1], [5], [], True, False), "C": ([3], [6], [], False, True)}
