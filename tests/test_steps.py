@@ -113,3 +113,10 @@ def test_lists_of_one_protein_are_not_sorted(spark):
     made = build.aggregate(whole)
     assert plan_of(made).count("CASE WHEN (size(pairs") == 3
     assert {r.sequence: tuple(r)[2:] for r in made.collect()} == {"A": ([1, 2, 3], [6], [5], True, True), "B": ([1], [5], [], True, False), "C": ([3], [6], [], False, True)}
+
+
+def test_peptides_of_a_mass_are_counted_in_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, "AB"), (1, "BA"), (1, "AB"), (2, "AA"), (2, "AA")], "mass long, sequence string")
+    made = build.peptide_counts(rows)
+    assert plan_of(made).count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, made.collect())) == [(1, 2), (2, 1)]
