@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -139,3 +140,55 @@ def test_a_passage_in_many_documents_sends_few_copies(table, monkeypatch):
 
     monkeypatch.setattr(repeats, "_resolve", bounded)
     check(repeats.without_repeats(table(texts)), texts)
+
+
+def passages_by_words(texts, length):
+    """Maximal runs, in words, that repeated sequences of so many words cover, from a count of all."""
+    split = [[w for w in re.split("[\x20\x09-\x0d]+", t or "") if w] for t in texts]
+    seen = Counter(tuple(w[i : i + length]) for w in split for i in range(len(w) - length + 1))
+    out = []
+    for w in split:
+        gone = np.zeros(len(w) + 2, int)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i : i + length])] > 1:
+                gone[i + 1 : i + 1 + length] = 1
+        step = np.diff(gone)
+        out.append(list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist())))
+    return out
+
+
+def passages_found(frame, texts):
+    got = {r.doc_id: [(x.s, x.e) for x in r.passages] for r in frame.collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def wordy(seed):
+    """Texts with common passages of 50 to 300 words of four bytes; the shortest have far under 400 bytes."""
+    rng = random.Random(seed)
+    prose = lambda n: rng.choice([" ", "\n", " \t"]).join("".join(rng.choice("abcdefgh\u00e9") for _ in range(3)) for _ in range(n))
+    shared = [prose(n) for n in (50, 51, 55, 90, 300)]
+    texts = [f"{prose(40)} {rng.choice(shared)} {prose(rng.choice([1, 9, 120]))}\n{rng.choice(shared)} {prose(5)}" for _ in range(40)]
+    return texts + [texts[0], shared[1], "a b " * 90, "x " * 50, "y " * 52, prose(50)]
+
+
+def test_passages_by_words_against_counts(table, odd_texts, monkeypatch):
+    texts = wordy(3) + odd_texts
+    want = passages_by_words(texts, 51)
+    assert passages_found(repeats.without_repeats(table(texts), passage=51), texts) == want
+    assert {e - s for runs in want for s, e in runs} >= {51, 55, 90, 300}
+    monkeypatch.setattr(repeats, "HOT", 2)
+    monkeypatch.setattr(repeats, "LONG_TEXT", 100)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 300)
+    check(frame := repeats.without_repeats(table(texts), passage=20), texts)
+    assert passages_found(frame, texts) == passages_by_words(texts, 20)
+
+
+def test_op7_counts_passages_under_400_bytes_and_leaves_them(spark, tmp_path):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    shared = prose(55)
+    texts = [f"{prose(30)} {shared} {prose(20)}", f"{prose(10)} {shared}", prose(120), None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(repeats.query(spark, str(tmp_path)).collect())
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == brute(texts)
+    assert [(r.n_removed, r.n_passages, r.n_passage_words) for r in rows] == [(0, 1, 55), (0, 1, 55), (0, 0, 0), (0, 0, 0)]
