@@ -4,15 +4,18 @@
    blocks of about BLOCK rows. Within a block they stand by descending length.
 2. Every query meets the first block, the longest vectors. Its k-th best score there is its floor.
 3. A block of queries then meets the blocks of those bands whose greatest length, times the length of any of the
-   queries, reaches that query's floor; the bands beyond are skipped whole. The floors travel with the queries.
+   queries, reaches that query's floor; the bands beyond are skipped whole. The floors travel with the queries. Blocks meet
+   in cells: consecutive blocks of candidates and blocks of queries, CELL bytes of each at most. A block is sent once for
+   each cell it is in, not for each block it meets, and no block goes through the driver but the first one. In a cell the
+   longest vectors come first, and what they find raises the floors for the others.
 4. Where two blocks meet, both sides are rotated by the right singular vectors of a sample of the vectors. Tile by tile,
    the inner product over the leading components plus the product of the lengths of the rests bounds the score; the
    bound is taken after two, four, five, six and seven eighths of the components, and pairs below the query's floor,
    which rises with what is found, go. Only pairs that are left get the exact integer product.
-5. The k best of all meetings are taken by query.
+5. The k best of all cells are taken by query.
 
 The sample for the rotation has about SAMPLE vectors, chosen by a hash of the id; it changes how much is pruned, never a
-result. The driver gets that sample and a row for each of at most BANDS bands.
+result. The driver gets that sample, a row for each of at most BANDS bands and, to broadcast it, the first block.
 
 Cases: null vectors, those that hold a null or non-finite component, and rows without an id take no part; equal
 scores go to the smaller id; queries with fewer candidates return all; vectors of unequal length count as padded
@@ -37,6 +40,8 @@ BLOCK = 2048
 BANDS = 512
 TILE = 256
 SAMPLE = 4096
+#: Bytes of the candidates, and of the queries, that meet in a cell, and how many cells candidates are split into below that.
+CELL, CELLS = 16 << 20, 64
 #: Eighths of the components after which the bound is taken, and the share of a tile's pairs under which they go on one by one.
 EIGHTHS, FEW = (2, 4, 5, 6, 7), 1 / 32
 LEAST = np.iinfo(np.int64).min
@@ -149,18 +154,46 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray,
 MEETING = "query_id long, vec_id long, score long"
 
 
+def _unpacked(ids: pa.Scalar, data: pa.Scalar, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a packed block."""
+    names, q = np.frombuffer(ids.as_py(), np.int64), data.as_py()
+    size = len(q) // max(1, len(names) * width)
+    return names, np.frombuffer(q, {2: np.int16, 4: np.int32, 8: np.int64}[size]).reshape(len(names), -1)
+
+
+def _found(query_ids: np.ndarray, top: np.ndarray, who: np.ndarray) -> list[pa.Array]:
+    at = np.nonzero(top != LEAST)
+    return [pa.array(query_ids[at[0]]), pa.array(who[at]), pa.array(top[at])]
+
+
 def _search(k: int, axes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(data: bytes, n: int) -> np.ndarray:
-            size = len(data) // max(1, n * len(axes))
-            return np.frombuffer(data, {2: np.int16, 4: np.int32, 8: np.int64}[size]).reshape(n, -1)
-
         for batch in batches:
             for qi, q, floor, ci, c in zip(*(batch.column(n) for n in ("query_ids", "query_q", "floor", "ids", "q")), strict=True):
-                query_ids, ids = np.frombuffer(qi.as_py(), np.int64), np.frombuffer(ci.as_py(), np.int64)
-                top, who, _ = best_of_block(query_ids, rows(q.as_py(), len(query_ids)), np.frombuffer(floor.as_py(), np.int64), ids, rows(c.as_py(), len(ids)), axes, k)
-                at = np.nonzero(top != LEAST)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[at[0]]), pa.array(who[at]), pa.array(top[at])], names=["query_id", "vec_id", "score"])
+                (query_ids, queries), (ids, vectors) = _unpacked(qi, q, len(axes)), _unpacked(ci, c, len(axes))
+                top, who, _ = best_of_block(query_ids, queries, np.frombuffer(floor.as_py(), np.int64), ids, vectors, axes, k)
+                yield pa.RecordBatch.from_arrays(_found(query_ids, top, who), names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _search_cell(k: int, axes: np.ndarray):
+    def run(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        """Each block of queries against the cell's blocks up to the last one that it wants, the longest vectors first."""
+        numbers, parts = blocks["block"].to_numpy(), []
+        for qi, q, known, wanted in zip(*(asked[n] for n in ("query_ids", "query_q", "floor", "wanted")), strict=True):
+            query_ids, queries = _unpacked(qi, q, len(axes))
+            best = Found(len(query_ids), k, np.frombuffer(known.as_py(), np.int64))
+            for b in np.argsort(numbers):
+                if numbers[b] > wanted.as_py():
+                    break
+                top, who, _ = best_of_block(query_ids, queries, best.floor(), *_unpacked(blocks["ids"][b], blocks["q"][b], len(axes)), axes, k)
+                x, y = np.nonzero(top != LEAST)
+                if len(x):
+                    best.add(x, top[x, y], who[x, y])
+            parts.append(pa.table(_found(query_ids, best.top, best.who), names=["query_id", "vec_id", "score"]))
+        empty = [pa.array([], pa.int64())] * 3
+        return pa.concat_tables(parts or [pa.table(empty, names=["query_id", "vec_id", "score"])])
 
     return run
 
@@ -211,18 +244,28 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def dealt(rows: DataFrame) -> DataFrame:
         dealt_ = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(math.ceil(n_q / BLOCK))))
         packed = dealt_.groupBy("block").applyInArrow(_packed(width, True), "block long, ids binary, q binary, floor binary, need double")
-        return packed.select(F.col("ids").alias("query_ids"), F.col("q").alias("query_q"), "floor", "need")
+        return packed.select(F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("q").alias("query_q"), "floor", "need")
 
-    def met(rows: DataFrame) -> DataFrame:
-        return rows.join(blocks, "block").select("query_ids", "query_q", "floor", "ids", "q").mapInArrow(_search(k, axes), MEETING)
-
-    first = saved(_best(met(dealt(asked.withColumn("floor", F.lit(None).cast("long"))).withColumn("block", F.lit(0).cast("long"))), k), "first-block")
+    longest = F.broadcast(blocks.where("block = 0").select("ids", "q"))  # one row of about BLOCK vectors
+    met = dealt(asked.withColumn("floor", F.lit(None).cast("long"))).crossJoin(longest).select("query_ids", "query_q", "floor", "ids", "q")
+    first = saved(_best(met.mapInArrow(_search(k, axes), MEETING), k), "first-block")
+    if last[-1] == 1:
+        return first
     floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
     with_floors = saved(dealt(asked.join(floors, "vec_id", "left")), "query-blocks")
     reached = F.size(F.filter(F.array(*map(F.lit, tops)), lambda t: t * (1 + 1e-9) + 1e-6 >= F.col("need")))
     wanted = F.when(reached > 0, _per_row(last, F.greatest(reached, F.lit(1)))).otherwise(0).cast("long") - 1
-    rest = with_floors.withColumn("wanted", wanted).where("wanted >= 1").withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("wanted")))) if last[-1] > 1 else with_floors.where("false").withColumn("block", F.lit(1).cast("long"))
-    return _best(first.drop("rank").union(met(rest)), k)
+
+    most = max(1, CELL // (BLOCK * (2 * width + 8)))  # components mostly take two bytes
+    side, groups = min(most, math.ceil(last[-1] / CELLS)), math.ceil(math.ceil(n_q / BLOCK) / most)
+    asking = with_floors.withColumn("wanted", wanted).where("wanted >= 1")
+    furthest = asking.agg(F.max("wanted")).first()[0] or 0
+    group = F.floor(F.col("query_block") / most).cast("long").alias("group")
+    asking = asking.select("query_ids", "query_q", "floor", "wanted", group, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("wanted") - 1) / side).cast("long"))).alias("part"))
+    others = blocks.where(F.col("block").between(1, furthest)).withColumn("part", F.floor((F.col("block") - 1) / side).cast("long"))
+    others = others.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    cells = asking.groupBy("group", "part").cogroup(others.groupBy("group", "part")).applyInArrow(_search_cell(k, axes), MEETING)
+    return _best(first.drop("rank").union(cells), k)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -77,6 +77,21 @@ def test_bands_beyond_the_floors_are_skipped(spark, monkeypatch):
     assert banded.groupBy("number").agg(topk.F.max("length").alias("t")).orderBy("number").toPandas()["t"].tolist() == tops
 
 
+def test_blocks_meet_in_cells_and_not_in_the_driver(spark, monkeypatch):
+    """Queries are never broadcast with the candidates that they meet; few large cells, and many small ones of both."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1 + i % 5) for _ in range(8)]) for i in range(2000)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    for cell, cells in ((1 << 20, 4), (2 * 16 * 24, 4)):  # a quarter of the blocks with all queries; two blocks with two
+        monkeypatch.setattr(topk, "CELL", cell, raising=False)
+        monkeypatch.setattr(topk, "CELLS", cells, raising=False)
+        found = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+        assert sorted(map(tuple, found.collect())) == brute(rows)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_columns_with_other_names(spark):
     """Columns that the operator names itself, too."""
     rows = [(i, [float(i % 7), 1.0], "x", 1, 2, 3.0, "b") for i in range(101)]
