@@ -139,6 +139,25 @@ def test_pairs_are_estimated_from_a_sample(spark):
     assert estimated_pairs(proteins.where("id < 0"), p).first().pairs == 0
 
 
+def test_few_long_proteins_do_not_mislead_the_estimate(spark):
+    """Twelve of 6,012 proteins have a quarter of the pairs, so a sample of equal chances mostly sees none of them."""
+    from massgrid.operators.build import estimated_pairs
+    from massgrid.operators.digest import Protease, digest_masses
+
+    rng, p = random.Random(9), Protease("trypsin", 6, 50, 1)
+    sizes = [rng.randint(40, 80) for _ in range(6000)] + [10_000] * 12
+    proteins = spark.createDataFrame([(i, "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=n))) for i, n in enumerate(sizes)], "id long, sequence string").repartition(8)
+    exact = digest_masses(proteins, p).count()
+    for shift in (0, 10_000, 20_000):
+        got = estimated_pairs(proteins.selectExpr(f"id + {shift} as id", "sequence"), p).first()
+        assert got.sampled < 3000 and abs(got.pairs - exact) <= 0.05 * exact
+        assert got.low * 6012 <= exact <= got.high * 6012 and got.high - got.mean <= 0.05 * got.mean
+    # a row that is there twice is one protein of the digest, drawn or counted
+    twice = proteins.union(proteins)
+    assert abs(estimated_pairs(twice, p).first().pairs - exact) <= 0.05 * exact
+    assert estimated_pairs(twice.where("id < 100"), p).first().pairs == digest_masses(proteins.where("id < 100"), p).count()
+
+
 def test_stream_plans_a_mass_once(spark, tmp_path):
     """Many copies of two masses, in one batch and in a later one after a restart, are two masses to plan and join."""
     from massgrid.functions.chemistry import mass_of
